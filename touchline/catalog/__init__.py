@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ("options", "relations")
+PARTS = ("options", "relations", "points", "population")
 
 
 def load() -> None:

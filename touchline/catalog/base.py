@@ -115,11 +115,11 @@ utility AS (
          + sd / 10e0 * 1e0 + att / 2e0 * -0.4e0, cx, rx FROM edge),
 weighed AS (
   SELECT *, exp(u - max(u) OVER st) AS w,
-         CASE WHEN lag(u) OVER (st ORDER BY u DESC) - u <= 1e-12 THEN 0 ELSE 1 END AS opens
+         CASE WHEN lag(u) OVER (st ORDER BY u DESC, j) - u <= 1e-12 THEN 0 ELSE 1 END AS opens
   FROM utility WINDOW st AS (PARTITION BY model, k)),
 blocked AS (
   SELECT *, w / sum(w) OVER (PARTITION BY model, k) AS share,
-         sum(opens) OVER (PARTITION BY model, k ORDER BY u DESC ROWS UNBOUNDED PRECEDING) - 1 AS block
+         sum(opens) OVER (PARTITION BY model, k ORDER BY u DESC, j ROWS UNBOUNDED PRECEDING) - 1 AS block
   FROM weighed),
 scored AS MATERIALIZED (
   SELECT *, 1 + count(*) OVER (PARTITION BY model, k ORDER BY block
@@ -151,10 +151,10 @@ kinds AS (
   UNION ALL
   SELECT k, match_id, j, id, d, nc, nd, 'segment', sdist FROM relation),
 opened AS (
-  SELECT *, CASE WHEN dist - lag(dist) OVER (PARTITION BY kind, k, j ORDER BY dist) <= 1e-12
+  SELECT *, CASE WHEN dist - lag(dist) OVER (PARTITION BY kind, k, j ORDER BY dist, d) <= 1e-12
             THEN 0 ELSE 1 END AS opens FROM kinds),
 numbered AS (
-  SELECT *, sum(opens) OVER (PARTITION BY kind, k, j ORDER BY dist ROWS UNBOUNDED PRECEDING) - 1 AS block
+  SELECT *, sum(opens) OVER (PARTITION BY kind, k, j ORDER BY dist, d ROWS UNBOUNDED PRECEDING) - 1 AS block
   FROM opened),
 ranked AS MATERIALIZED (
   SELECT *, 1 + count(*) OVER (PARTITION BY kind, k, j ORDER BY block

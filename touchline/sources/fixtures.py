@@ -1,0 +1,35 @@
+"""Closed-form example states for quickstarts and tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+def _point(x, y, name: str | None = None) -> Column:
+    fields = [F.lit(name).alias("id")] if name else []
+    as_double = lambda v: (v if isinstance(v, Column) else F.lit(float(v))).cast("double")
+    return F.struct(*fields, as_double(x).alias("x"), as_double(y).alias("y"))
+
+
+def smooth_sequence(spark: SparkSession, steps: int = 80) -> DataFrame:
+    """A smooth example sequence; step i sits at t = i / (steps - 1)."""
+    if steps < 2:
+        raise ValueError("at least two steps required")
+    t = F.col("step") / F.lit(float(steps - 1))
+    wave = lambda turns: F.sin(F.lit(turns) * F.pi() * t)
+    candidates = F.array(
+        _point(12 + 2 * t, 8, "A"),
+        _point(22, 2 * wave(2.0), "B"),
+        _point(10 + 3 * t, -12 + 2 * t, "C"),
+        _point(30 - 2 * t, 15 - 3 * t, "D"),
+    )
+    defenders = F.array(
+        _point(8 + 4 * t, 3 - 4 * t), _point(16 - 2 * t, -2 - 4 * wave(1.0)), _point(24 - 5 * t, 10 - 3 * t)
+    )
+    return spark.range(steps).select(
+        F.lit("example").alias("match_id"),
+        F.col("id").cast("string").alias("event_id"),
+        F.col("id").alias("ordinal"),
+        F.col("id").alias("step"),
+        F.lit(None).cast("int").alias("target_index"),
+    ).select("*", _point(0, 0).alias("carrier"), candidates.alias("candidates"), defenders.alias("defenders"))
