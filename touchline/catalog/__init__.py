@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ("options", "relations", "points", "population")
+PARTS = ("options", "relations", "points", "population", "evaluation", "diagnostics")
 
 
 def load() -> None:

@@ -153,13 +153,13 @@ def _(spark, sf_dir):
 @query(
     "prj17_goalward_progression",
     with_ctes(STATE, CANDIDATE, PITCH)
-    + """SELECT event_id, id, CASE WHEN abs(rx) <= len / 2 THEN round(0.5e0 + rx / len, 6) + 0e0 END AS progress
+    + """SELECT event_id, id, CASE WHEN abs(rx) <= len / 2 THEN round(0.5e0 + rx / len, 9) + 0e0 END AS progress
     FROM candidate JOIN pitch USING (match_id)""",
 )
 def _(spark, sf_dir):
     rows = op.candidate_rows(tt.states(spark, sf_dir)).join(tt.pitches(spark, sf_dir), "match_id")
     return rows.select(
-        "event_id", "id", rounded(g.goalward_progress(F.col("rx"), F.col("pitch_length"))).alias("progress")
+        "event_id", "id", rounded(g.goalward_progress(F.col("rx"), F.col("pitch_length")), 9).alias("progress")
     )
 
 

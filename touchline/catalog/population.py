@@ -432,14 +432,16 @@ def _(spark, sf_dir):
         *keys, "frame", (F.col("t_us") - F.col("frame_clock")).cast("double").alias("age_us")
     )
     joined = attempts(spark, sf_dir).select(*keys, "pass_outcome", "target").join(placed, keys).join(ages, keys, "left")
-    # Outcomes are a handful of labels; the median keeps a counted map per label.
-    return joined.groupBy("pass_outcome").agg(
+    from touchline.plans.ordered import linear_quantiles
+
+    counted = joined.groupBy("pass_outcome").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.count_if(F.col("target") != "").alias("with_target"),
         F.count("frame").alias("aligned"),
-        F.median("age_us").alias("median_age_us"),
         F.count_if("target_in").alias("target_in"),
     )
+    middle = linear_quantiles(joined, ["pass_outcome"], "age_us", (0.5,))
+    return counted.join(middle.withColumnRenamed("q50", "median_age_us"), "pass_outcome", "left")
 
 
 _REVIEW = """

@@ -266,3 +266,57 @@ def match_macro_summary(
     )
     matches = F.when(F.col("alias") == MACRO, F.col("represented_matches")).otherwise(F.lit(1))
     return summary.join(represented, keys).withColumn("represented_matches", matches)
+
+
+def linear_quantiles(
+    df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float] = QUANTILES
+) -> DataFrame:
+    """Linearly interpolated quantiles per group, exact, without holding a group in memory.
+
+    The two neighbouring order statistics of every quantile are looked up in the few
+    value buckets that contain them.
+    """
+    groups = list(groups)
+    rows = (
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        .select(*groups, F.col(value).cast("double").alias("_v"))
+        .withColumn("_bucket", value_bucket(F.col("_v")))
+    )
+    buckets = counted_side(rows.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    along = Window.partitionBy(*groups).orderBy("_bucket")
+    stepped = (
+        buckets.withColumn("_upto", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups)))
+        .withColumn("_before", F.col("_upto") - F.col("_n"))
+    )
+    place = lambda q: (F.col("_total") - 1) * F.lit(float(q))
+    holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_upto"))
+    needed = F.lit(False)
+    for q in quantiles:
+        needed = needed | holds(F.floor(place(q))) | holds(F.ceil(place(q)))
+    critical = counted_side(stepped.where(needed).select(*groups, "_bucket", "_before", "_total"))
+    fine = (
+        Window.partitionBy(*groups, "_bucket").orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    located = (
+        rows.join(critical, [*groups, "_bucket"])
+        .groupBy(*groups, "_bucket", "_v", "_before", "_total")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", F.col("_before") + F.sum("_n").over(fine))
+        .withColumn("_before", F.col("_upto") - F.col("_n"))
+    )
+    picks = []
+    for i, q in enumerate(quantiles):
+        picks += [
+            F.max(F.when(holds(F.floor(place(q))), F.col("_v"))).alias(f"_lo{i}"),
+            F.max(F.when(holds(F.ceil(place(q))), F.col("_v"))).alias(f"_hi{i}"),
+        ]
+    found = located.groupBy(*groups, "_total").agg(*picks)
+    between = [
+        (F.col(f"_lo{i}") + (place(q) - F.floor(place(q))) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(
+            _quantile_name(q)
+        )
+        for i, q in enumerate(quantiles)
+    ]
+    return found.select(*groups, *between)
