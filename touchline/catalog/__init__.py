@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ("options", "relations", "points", "population", "evaluation", "diagnostics")
+PARTS = ("options", "relations", "points", "population", "evaluation", "diagnostics", "fields")
 
 
 def load() -> None:

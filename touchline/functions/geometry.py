@@ -66,22 +66,14 @@ FIELDS: dict[str, FieldFunction] = {
 }
 
 
-def union_strength(values: Column) -> Column:
-    """1 - prod(1 - v) of an array, summed in log space; 1 as soon as one v is 1."""
-    ordered = F.array_sort(values)
-    log_sum = F.aggregate(ordered, F.lit(0.0), lambda acc, v: acc + F.log1p(-v))
-    return F.when(F.array_max(values) >= 1.0, F.lit(1.0)).otherwise(-F.expm1(log_sum))
+def union_strength(value: Column) -> Column:
+    """Aggregate 1 - prod(1 - v), summed in log space; 1 as soon as one v is 1."""
+    log_sum = F.sum(F.log1p(F.when(value < 1.0, -value)))
+    return F.when(F.max(value) >= 1.0, F.lit(1.0)).otherwise(-F.expm1(log_sum))
 
 
-def maximum_strength(values: Column) -> Column:
-    return F.array_max(values)
-
-
-# Combination rules over the defender strengths at one point.
-COMBINATIONS: dict[str, Callable[[Column], Column]] = {
-    "union": union_strength,
-    "maximum": maximum_strength,
-}
+# Aggregates over the defender strengths at one point; users add their own.
+COMBINATIONS: dict[str, Callable[[Column], Column]] = {"union": union_strength, "maximum": F.max}
 
 
 def goalward_progress(x: Column, length: Column) -> Column:
