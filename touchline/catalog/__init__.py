@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ("options", "relations", "points", "population", "evaluation", "diagnostics", "fields")
+PARTS = ("options", "relations", "points", "population", "evaluation", "diagnostics", "fields", "quality")
 
 
 def load() -> None:

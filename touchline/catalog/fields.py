@@ -107,7 +107,7 @@ def _(spark, sf_dir):
 @query(
     "prj23_edge_sample_grid",
     with_ctes(EDGES)
-    + """SELECT event_id, id, CAST(greatest(2, 2 * ceil(dist / 0.5e0)) AS INTEGER) AS coarse, CAST(greatest(2, 2 * ceil(dist / 0.25e0)) AS INTEGER) AS fine FROM edge""",
+    + """SELECT event_id, id, CAST(greatest(2, 2 * ceil(dist / 0.5e0 - 1e-12)) AS INTEGER) AS coarse, CAST(greatest(2, 2 * ceil(dist / 0.25e0 - 1e-12)) AS INTEGER) AS fine FROM edge""",
 )
 def _(spark, sf_dir):
     rows = op.pass_vector(op.candidate_rows(tt.states(spark, sf_dir)))
@@ -155,7 +155,7 @@ def _(spark, sf_dir):
 
 
 def _edge_field_sql(kind):
-    fine = "CAST(greatest(2, 2 * ceil(len / 0.25e0)) AS BIGINT)"
+    fine = "CAST(greatest(2, 2 * ceil(len / 0.25e0 - 1e-12)) AS BIGINT)"
     return (
         _endpoint_sql(kind),
         _grid_sql(kind, fine).replace("FROM ray)", "FROM ray WHERE len > 1e-9)"),

@@ -58,7 +58,8 @@ def combined(rows: DataFrame, keys: Sequence[str], rules: Sequence[str] = ("unio
 
 
 def grid_intervals(length: Column, spacing: float) -> Column:
-    return F.greatest(F.lit(2), 2 * F.ceil(length / (2 * spacing))).cast("int")
+    # A length that is a multiple of the spacing up to float noise adds no interval.
+    return F.greatest(F.lit(2), 2 * F.ceil(length / (2 * spacing) - TIE)).cast("int")
 
 
 def on_grid(relations: DataFrame, field, intervals: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.functions import scalars as sc
+from touchline.session import cut_lineage
 
 
 def identity_form_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -102,31 +103,28 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 
 def json_leaves(df: DataFrame, key: str, json_column: str) -> DataFrame:
-    """(key, path, type, value) for every node of a JSON document, two levels deep or more.
+    """(key, path, type, value) for every scalar of a JSON document.
 
-    Containers are opened level by level until none is left.
+    Containers are opened level by level until no row holds one.
     """
     spark = df.sparkSession
     nodes = df.select(key, F.lit("$").alias("path"), F.parse_json(json_column).alias("node"))
     leaves = None
-    for _ in range(MAX_JSON_DEPTH):
-        typed = nodes.withColumn("type", F.schema_of_variant("node"))
+    while True:
+        typed = cut_lineage(nodes.withColumn("type", F.schema_of_variant("node")))
         container = F.col("type").startswith("OBJECT") | F.col("type").startswith("ARRAY")
         part = typed.where(~container).select(
             key, "path", "type", F.try_variant_get("node", "$", "string").alias("value")
         )
         leaves = part if leaves is None else leaves.unionByName(part)
         opened = typed.where(container)
+        if opened.isEmpty():
+            return leaves
         opened.createOrReplaceTempView("touchline_json_level")
         nodes = spark.sql(
             f"""SELECT {key}, path || CASE WHEN v.key IS NULL THEN '[' || v.pos || ']' ELSE '.' || v.key END AS path,
             v.value AS node FROM touchline_json_level, LATERAL variant_explode(node) AS v"""
         )
-    return leaves
-
-
-# Documents of the reports nest four levels at most.
-MAX_JSON_DEPTH = 5
 
 
 def exact_differences(left: DataFrame, right: DataFrame, key: str, json_column: str) -> DataFrame:
@@ -197,3 +195,75 @@ def chain_violations(journal: DataFrame) -> DataFrame:
         .when(~first & ~F.col("expected").eqNullSafe(F.col("previous")), "hash_mismatch")
     )
     return joined.select("run", "sequence", broken.alias("violation")).where(F.col("violation").isNotNull())
+
+
+DIGEST_FANOUT = 4096
+
+
+def ordered_digest(df: DataFrame, group: str, order: str, line: Column, levels: int = 4) -> DataFrame:
+    """One SHA-256 per group over its lines in order, built as a tree.
+
+    A flat hash over a whole group would need one task per group. Here blocks of 4096
+    lines are hashed, then blocks of block hashes, up to ``levels`` times; a block is
+    complete in itself, so no list exceeds 4096 entries (4 levels reach 2.8e14 lines).
+    """
+    rows = df.select(group, F.col(order).cast("long").alias("_o"), line.alias("_h"))
+    for _ in range(levels):
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda x: x["_h"])
+        rows = rows.groupBy(group, F.floor(F.col("_o") / DIGEST_FANOUT).alias("_b")).agg(
+            F.sha2(F.array_join(ordered, "\n"), 256).alias("_h")
+        ).select(group, F.col("_b").alias("_o"), "_h")
+    # Groups whose numbers exceed the tree are caught here instead of hashed apart.
+    return rows.groupBy(group).agg(
+        F.when(F.count(F.lit(1)) == 1, F.max("_h"))
+        .otherwise(F.raise_error(F.lit("digest needs another level")))
+        .alias("digest")
+    )
+
+
+def lifecycle_accounts(journal: DataFrame) -> DataFrame:
+    """Counters per run from (run, state, edge, action) records.
+
+    Aggregated edge first, then state, then run, each step with map-side partials.
+    """
+    did = lambda a: F.coalesce(F.bool_or(F.col("action") == a), F.lit(False))
+    edges = journal.groupBy("run", "state", "edge").agg(
+        did("discovered").alias("discovered"), did("started").alias("started"),
+        did("completed").alias("completed"), did("failed").alias("failed"),
+    )
+    n = lambda c: F.count_if(F.col(c))
+    states = edges.groupBy("run", "state").agg(
+        n("discovered").alias("edges_discovered"), n("started").alias("edges_evaluation_started"),
+        n("completed").alias("edges_completed"), n("failed").alias("edge_failures"),
+    )
+    total = lambda c: F.sum(c).alias(c)
+    return states.groupBy("run").agg(
+        F.count(F.lit(1)).alias("states_discovered"),
+        F.count_if(F.col("edges_evaluation_started") > 0).alias("states_evaluation_started"),
+        F.count_if(F.col("edges_completed") == F.col("edges_discovered")).alias("states_completed"),
+        total("edges_discovered"), total("edges_evaluation_started"), total("edges_completed"), total("edge_failures"),
+    )
+
+
+def lifecycle_violations(accounts: DataFrame) -> DataFrame:
+    """Broken orderings of the counters per run."""
+    c = F.col
+    rules = F.array(
+        F.when(~(c("states_completed") <= c("states_evaluation_started")), "state_lifecycle_order"),
+        F.when(~(c("states_evaluation_started") <= c("states_discovered")), "state_lifecycle_order"),
+        F.when(
+            ~((c("edges_completed") <= c("edges_evaluation_started")) & (c("edges_evaluation_started") <= c("edges_discovered"))),
+            "edge_lifecycle_order",
+        ),
+        F.when(c("edges_completed") + c("edge_failures") > c("edges_discovered"), "edge_terminal_count"),
+    )
+    return accounts.select("run", F.explode(F.array_compact(rules)).alias("violation"))
+
+
+def distribution_violations(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summary rows whose quantiles are unordered or whose mean leaves [minimum, maximum]."""
+    steps = ["minimum", "q05", "q25", "q50", "q75", "q95", "maximum"]
+    ordered = _all([F.col(a) <= F.col(b) for a, b in zip(steps, steps[1:])])
+    slack = 1e-9 * F.greatest(F.lit(1.0), F.abs("minimum"), F.abs("maximum"))
+    inside = (F.col("mean") >= F.col("minimum") - slack) & (F.col("mean") <= F.col("maximum") + slack)
+    return stats.where(~(ordered & inside & (F.col("count") > 0))).select(*keys)

@@ -23,3 +23,61 @@ def wide_summary(
         F.sum("states").alias("states"), *[F.avg(n).alias(n) for n in names]
     )
     return means.unionByName(macro)
+
+
+def canonical_lines(states: DataFrame) -> DataFrame:
+    """One compact JSON line per state, keys in sorted order, nulls kept."""
+    xy = lambda p: F.array(p["x"], p["y"])
+    fields = {
+        "candidate_ids": F.transform("candidates", lambda c: c["id"]),
+        "candidate_xy": F.transform("candidates", xy),
+        "carrier_xy": xy(F.col("carrier")),
+        "defender_xy": F.transform("defenders", xy),
+        "event_id": F.col("event_id"),
+        "match_id": F.col("match_id"),
+        "target_index": F.col("target_index"),
+        "target_outside": F.col("target_index").isNull(),
+    }
+    record = F.struct(*[c.alias(n) for n, c in sorted(fields.items())])
+    return states.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_canonical(states: DataFrame, path: str) -> None:
+    canonical_lines(states).write.mode("errorifexists").text(path)
+
+
+def write_metric_csv(rows: DataFrame, path: str, fields: Sequence[str]) -> None:
+    """A report of one row per match and metric: small, so one file is written."""
+    rows.select(*fields).coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def write_once(df: DataFrame, path: str) -> bool:
+    """Write a closed result; False (and no change) when the path already holds one."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    except AnalysisException as error:
+        if "PATH_ALREADY_EXISTS" not in str(error):
+            raise
+        return False
+    return True
+
+
+# What a publishable text may not contain.
+LEAK_RULES = {
+    "seven_digit_identity": r"\b\d{7}\b",
+    "private_path": r"(/Users/|/home/|[A-Z]:\\)",
+    "mail_address": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+}
+FORBIDDEN_HEADERS = ("match_id", "event_id", "player_id", "candidate_id", "timestamp", "x", "y", "score", "rank")
+
+
+def leak_scan(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, rule) for every rule a text breaks; one pass over the whole text."""
+    rules = F.array(*[F.when(F.col(column).rlike(p), F.lit(n)) for n, p in LEAK_RULES.items()])
+    return texts.select(key, F.explode(F.array_compact(rules)).alias("rule"))
+
+
+def forbidden_headers(columns: Sequence[str]) -> list[str]:
+    return sorted(set(columns) & set(FORBIDDEN_HEADERS))
