@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ("options", "relations", "points", "population", "evaluation", "diagnostics", "fields", "quality")
+PARTS = ("options", "relations", "points", "population", "evaluation", "diagnostics", "fields", "quality", "streaming")
 
 
 def load() -> None:
