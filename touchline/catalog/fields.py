@@ -183,8 +183,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     # The usual ladder, entered three doublings earlier; the stopping rule is the same.
     counts = (32, 64, 128, *fd.LADDER)
-    settled = fd.resolution_ladder(tt.states(spark, sf_dir), "isotropic", counts)
-    return settled.groupBy("intervals", F.col("component").isin("union", "maximum").alias("combined")).agg(
+    settled = fd.resolution_ladder(tt.states(spark, sf_dir), "isotropic", counts, with_combined=False)
+    return settled.groupBy("intervals").agg(
         F.count(F.lit(1)).alias("components"), F.max("change").alias("largest_change")
     )
 

@@ -17,6 +17,7 @@ from touchline.catalog.base import (
 from touchline.functions.scalars import pass_direction, rounded, three_way_sign
 from touchline.operators import options as op
 from touchline.plans.ordered import match_macro_summary
+from touchline.session import cut_lineage
 from touchline.sources.models import DEMO_MODELS
 from touchline.sources.testtables import states
 
@@ -304,7 +305,8 @@ def _metric_union_sql():
     + f"SELECT scope, metric, alias, represented_matches, count, {ROUNDED_STATS} FROM macro_rows",
 )
 def _(spark, sf_dir):
-    metrics = op.network_metrics(scored(spark, sf_dir), "m0", "m1")
+    # Scores feed the summaries, the comparison and both quantile passes: written once.
+    metrics = cut_lineage(op.network_metrics(cut_lineage(scored(spark, sf_dir)), "m0", "m1"))
     summary = match_macro_summary(metrics, ["scope", "metric"], "match_id", "value")
     return summary.select(
         "scope",

@@ -133,7 +133,7 @@ def fit_folds(
     usable = cut_lineage(
         edges.where(F.col("target_index").isNotNull())
         .select(*EDGE_KEYS, "target_index", *features)
-        .repartition(*KEYS)
+        .repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
     )
     beta = {f: np.zeros(p) for f in folds}
     accepted: dict[str, tuple] = {}

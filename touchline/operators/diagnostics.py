@@ -14,6 +14,7 @@ from touchline.operators.options import (
 )
 from touchline.plans.ordered import MACRO, weighted_summary
 from touchline.plans.sizing import counted_side
+from touchline.session import cut_lineage
 from touchline.sources.models import OptionModel
 
 COMPONENTS = ("attacking", "receiver", "segment", "attenuation")
@@ -104,8 +105,8 @@ def stratum_cuts(edges: DataFrame) -> DataFrame:
 def diagnose(states: DataFrame, models: Sequence[OptionModel], population: str) -> DataFrame:
     """One row per state with a target: rank moves, disagreement, target features, top sets."""
     m0, m1, m2 = models
-    edges = edge_features(states, "target_index")
-    scored = score(utility_rows(edges, models, "target_index"))
+    edges = cut_lineage(edge_features(states, "target_index"))
+    scored = cut_lineage(score(utility_rows(edges, models, "target_index")))
     side = lambda name, c: F.max(F.when(F.col("model") == name.name, F.col(c)))
     moved = (
         expected_credits(scored)

@@ -137,9 +137,14 @@ def edge_fields(states: DataFrame, field) -> DataFrame:
     )
 
 
-def resolution_ladder(states: DataFrame, field, counts: Sequence[int] = LADDER, on_level=None) -> DataFrame:
+def resolution_ladder(
+    states: DataFrame, field, counts: Sequence[int] = LADDER, with_combined: bool = True, on_level=None
+) -> DataFrame:
     """Double the intervals until every component of an edge moves by at most 1e-7.
 
+    Components are the single defenders and, unless ``with_combined`` is off, their union
+    and maximum.
+
     Each level works on the edges that are still open. Edges open after the last level
     come back with ``intervals`` null. ``on_level(count, open_edges)`` observes the loop.
     """
@@ -149,17 +154,13 @@ def resolution_ladder(states: DataFrame, field, counts: Sequence[int] = LADDER,
     open_relations = relations
     for count in counts:
         points = on_grid(open_relations, field, F.lit(count))
-        joint = simpson_combined(points).drop("intervals")
         parts = simpson_individual(points).select(*keys, F.col("d").cast("string").alias("component"), "average")
-        named = joint.select(
-            *keys,
-            F.inline(
-                F.array(
-                    *[F.struct(F.lit(r).alias("component"), F.col(r).alias("average")) for r in ("union", "maximum")]
-                )
-            ),
-        )
-        current = cut_lineage(parts.unionByName(named))
+        if with_combined:
+            named = F.array(
+                *[F.struct(F.lit(r).alias("component"), F.col(r).alias("average")) for r in ("union", "maximum")]
+            )
+            parts = parts.unionByName(simpson_combined(points).select(*keys, F.inline(named)))
+        current = cut_lineage(parts)
         if previous is not None:
             moved = current.join(
                 previous.withColumnRenamed("average", "before"), [*keys, "component"]

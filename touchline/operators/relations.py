@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from touchline.functions.ranking import fractional_membership
 from touchline.operators.options import EDGE_KEYS, KEYS, relation_rows
 from touchline.plans.ties import tie_blocks
+from touchline.session import cut_lineage
 
 KINDS = ("receiver", "segment")
 TOPS = (1, 2, 3)
@@ -141,8 +142,11 @@ STATE_METRICS = (
 
 
 def state_metrics(states: DataFrame, shares: DataFrame) -> DataFrame:
-    """One wide row per state; joins of co-partitioned per-state aggregates."""
-    relations = defender_relations(states)
+    """One wide row per state; joins of co-partitioned per-state aggregates.
+
+    Six aggregates read the ranked relation, so it is written once.
+    """
+    relations = cut_lineage(defender_relations(states))
     as_number = lambda c: F.avg(F.col(c).cast("double")).alias(c)
     overlap = edge_overlap(relations).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("edges"),

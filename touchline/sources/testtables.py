@@ -39,10 +39,13 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prepared population, hash-partitioned by the state keys.
 
-    That partitioning is the only shuffle the in-state operators need.
+    That partitioning is the only shuffle the in-state operators need. The number of
+    partitions is the session's: a compact record grows many times over when exploded,
+    so coalescing by its stored size would leave too few tasks.
     """
     stored = _stored(spark, sf_dir, "population", derived_states)
-    return stored.repartition("match_id", "event_id", "ordinal")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stored.repartition(partitions, "match_id", "event_id", "ordinal")
 
 
 def derived_states(spark: SparkSession, sf_dir: str) -> DataFrame:
