@@ -170,9 +170,15 @@ def test_defender_on_carrier_is_rejected(spark):
 
 
 def test_resolution_ladder_settles_all_components(spark):
-    df = state(spark, [("a", 12.0, 1.0), ("b", 3.0, -4.0)], [(5.0, 1.0), (8.0, -2.0)])
-    rows = fd.resolution_ladder(df, "isotropic", (8, 16, 32, 64, 128, 256, 512)).collect()
-    assert len(rows) == 8 and all(r["intervals"] is not None and r["change"] <= 1e-7 for r in rows)
+    counts = (8, 16, 32, 64, 128, 256)
+    lone = state(spark, [("a", 12.0, 1.0), ("b", 3.0, -4.0)], [(5.0, 1.0)])
+    rows = fd.resolution_ladder(lone, "isotropic", counts).collect()
+    assert {r["component"] for r in rows} == {"0", "union", "maximum"}
+    assert len(rows) == 6 and all(r["intervals"] is not None and r["change"] <= 1e-7 for r in rows)
+    # The maximum of two fields has a kink, so its edge stays open on a short ladder.
+    pair = state(spark, [("a", 12.0, 1.0)], [(5.0, 1.0), (8.0, -2.0)])
+    assert {r["intervals"] for r in fd.resolution_ladder(pair, "isotropic", counts).collect()} == {None}
+    assert all(r["intervals"] for r in fd.resolution_ladder(pair, "isotropic", counts, with_combined=False).collect())
 
 
 def test_model_validation(spark):

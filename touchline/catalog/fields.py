@@ -340,13 +340,16 @@ def _(spark, sf_dir):
 
 
 def endpoint_fields(spark, sf_dir):
-    """Per edge: endpoint strengths of two fields and both nearest distances."""
+    """Per edge: endpoint strengths of two fields and both nearest distances.
+
+    Strengths are taken at nine digits, so that far fields below 1e-9 tie at zero.
+    """
     relations = rays(spark, sf_dir)
     wide = relations.withColumn("iso", fd.strength("isotropic", F.col("rx"), F.col("ry"))).withColumn(
         "cone", fd.strength("constant_width", F.col("rx"), F.col("ry"))
     )
     return wide.groupBy(*op.EDGE_KEYS).agg(
-        F.max("iso").alias("iso"), F.max("cone").alias("cone"),
+        F.round(F.max("iso"), 9).alias("iso"), F.round(F.max("cone"), 9).alias("cone"),
         F.min("receiver_distance").alias("rd"), F.min("segment_distance").alias("sd"),
     )
 
@@ -359,7 +362,7 @@ def ranked_edges(spark, sf_dir):
 
 
 _FIELD_PAIRS = f"""
-ends AS (SELECT k, match_id, event_id, j, max({field_sql('isotropic', 'rx', 'ry')}) AS iso, max({field_sql('constant_width', 'rx', 'ry')}) AS cone,
+ends AS (SELECT k, match_id, event_id, j, round(max({field_sql('isotropic', 'rx', 'ry')}), 9) AS iso, round(max({field_sql('constant_width', 'rx', 'ry')}), 9) AS cone,
   min(rdist) AS rd, min(sdist) AS sd FROM ray GROUP BY k, match_id, event_id, j),
 fpair AS (
   SELECT a.k, a.event_id, a.match_id, CASE WHEN abs(a.iso - b.iso) <= 1e-12 THEN 0 ELSE sign(a.iso - b.iso) END AS x,

@@ -93,12 +93,16 @@ def count_summary(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame
     )
 
 
+def correlation(x: str, y: str) -> Column:
+    """Aggregate correlation that is null, not an error, for a constant side."""
+    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(~flat & value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+
+
 def pearson(df: DataFrame, groups: Sequence[str], x: str, y: str, name: str) -> DataFrame:
     """Correlation per group, null when a side is constant, kept within [-1, 1]."""
-    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return df.groupBy(*groups).agg(
-        F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(x, y)))).alias(name)
-    )
+    return df.groupBy(*groups).agg(correlation(x, y).alias(name))
 
 
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from touchline.operators.evaluation import correlation
 from touchline.operators.options import KEYS, receiver_pairs
 from touchline.plans.ordered import MACRO, match_macro_summary, weighted_summary
 from touchline.plans.sizing import counted_side
@@ -129,5 +130,4 @@ def state_spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
         return below + (same - 1) / 2.0
 
     ranked = rows.withColumn("_x", average_rank(x)).withColumn("_y", average_rank(y))
-    flat = (F.min("_x") == F.max("_x")) | (F.min("_y") == F.max("_y"))
-    return ranked.groupBy(*KEYS).agg(F.when(~flat, F.corr("_x", "_y")).alias("rho"))
+    return ranked.groupBy(*KEYS).agg(correlation("_x", "_y").alias("rho"))
