@@ -100,10 +100,10 @@ def _(spark, sf_dir):
 @query(
     "stm05_tumbling_profile",
     with_ctes(EVENT, FRAME, POSITION)
-    + """, stamped AS (SELECT match_id, is_detected, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(t_us) AS ts FROM position)
-    SELECT match_id, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, count(*) AS player_rows, count(*) FILTER (is_detected) AS detected
-    FROM stamped GROUP BY ALL
-    HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM stamped) - INTERVAL 10 MINUTE""",
+    + """, stamped AS (SELECT match_id, is_detected, t_us, t_us // 3600000000 * 3600000000 AS start_us FROM position),
+    windows AS (SELECT match_id, start_us, count(*) AS player_rows, count(*) FILTER (is_detected) AS detected FROM stamped GROUP BY match_id, start_us)
+    SELECT match_id, start_us + epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS window_us, player_rows, detected FROM windows
+    WHERE start_us + 3600000000 <= (SELECT max(t_us) FROM stamped) - 600000000""",
 )
 def _(spark, sf_dir):
     from touchline.operators.population import position_rows
