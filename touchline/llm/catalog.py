@@ -32,9 +32,9 @@ WITH hashed AS (
   FROM pages),
 linked AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS keeper FROM hashed)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-       list_reduce(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+       list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
          (CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)),
-         (a, b) -> a || b) AS payload_digest,
+         lambda a, b: a || b) AS payload_digest,
        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM linked
