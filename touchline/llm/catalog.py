@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import cas_archive, poisson_mix
+from touchline.llm import cas_archive, poisson_mix, rule_forest
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ FROM repeated
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op1_rule_forest")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
