@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import cas_archive, poisson_mix, rule_forest
+from touchline.llm import cas_archive, poisson_mix, rule_forest, tag_paths
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_rule_forest")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_tag_paths")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extract(table(spark, sf_dir, "pages"))
