@@ -53,13 +53,12 @@ BANNED_WORDS = frozenset(
 ARTICLE = ("article", "main")
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
+    r"|</?([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：·¿¡]")
-WHITE = re.compile(r"\s+")
+PUNCTUATION = ".,;:!?…。、，！？；：·¿¡"
 # Share of the page's best fused ratio that a path must reach.
 THRESHOLD = 0.05
 SMOOTHING = 0.5
@@ -88,8 +87,11 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, bool, bool]]:
     at = 0
 
     def flush() -> None:
-        text = WHITE.sub(" ", references.unescape("".join(pieces))).strip()
+        if not pieces:
+            return
+        text = "".join(pieces)
         pieces.clear()
+        text = " ".join((references.unescape(text) if "&" in text else text).split())
         if text:
             top = stack[-1] if stack else ("", False, False)
             path = tuple(name for name, _, _ in stack if name not in INLINE)
@@ -170,7 +172,7 @@ def path_scores(blocks) -> dict[tuple[str, ...], float]:
     for path, text, _, _ in blocks:
         nodes[path] += 1
         chars[path] += len(text)
-        marks[path] += len(PUNCTUATION.findall(text))
+        marks[path] += sum(map(text.count, PUNCTUATION))
     by_parent = defaultdict(list)
     for path in nodes:
         by_parent[path[:-1]].append(path)
