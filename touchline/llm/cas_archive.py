@@ -80,7 +80,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     kept = (
         hashed.select(F.col("record_id").alias("keeper"), "digest", "payload")
         .join(keepers.select("keeper", "digest"), ["keeper", "digest"], "left_semi")
-        .dropDuplicates(["digest"])
+        .dropDuplicates(["keeper", "digest"])
         .select("digest", "payload")
     )
     payloads = stored(kept, "warc-payloads")
