@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import cas_archive, poisson_mix, rule_forest, tag_paths
+from touchline.llm import cas_archive, poisson_mix, rule_forest, simhash_bk, tag_paths
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_tag_paths")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_simhash_bk")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
