@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import cas_archive, poisson_mix, rule_forest, simhash_bk, tag_paths
+from touchline.llm import cas_archive, poisson_mix, rule_forest, sentence_spans, simhash_bk, tag_paths
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op2_sentence_spans")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
