@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import cas_archive, poisson_mix, rule_forest, sentence_spans, simhash_bk, tag_paths
+from touchline.llm import cas_archive, poisson_mix, radix_windows, rule_forest, sentence_spans, simhash_bk, tag_paths
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_sentence_spans")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_radix_windows")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_windows.dedup(table(spark, sf_dir, "documents"))
