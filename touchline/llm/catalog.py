@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import cas_archive, poisson_mix, radix_windows, rule_forest, sentence_spans, simhash_bk, tag_paths
+from touchline.llm import cas_archive, kneser_ney, poisson_mix, radix_windows, rule_forest, sentence_spans, simhash_bk, tag_paths
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_radix_windows")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_windows.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op6_kneser_ney")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
