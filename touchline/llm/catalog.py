@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import cas_archive, kneser_ney, poisson_mix, radix_windows, rule_forest, sentence_spans, simhash_bk, tag_paths
+from touchline.llm import (
+    cas_archive,
+    kneser_ney,
+    latent_leaks,
+    poisson_mix,
+    radix_windows,
+    rule_forest,
+    sentence_spans,
+    simhash_bk,
+    tag_paths,
+)
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +113,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_kneser_ney")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_latent_leaks")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("contaminated", F.lit(True))
