@@ -220,24 +220,30 @@ class Searcher:
         best: dict[int, tuple[float, int]] = {}
         for at in range(0, len(able), 256):
             some = able[at : at + 256]
-            places = np.minimum(starts[some][:, None] + np.arange(WINDOW), n - 1)
-            inside = starts[some][:, None] + np.arange(WINDOW) < ends[some][:, None]
-            # Words of no item have no row in the space: they cost nothing but their place.
-            taken = np.where(inside, columns[places], other)
-            latent = np.zeros((len(some), block.basis.shape[1]), dtype=np.float32)
-            for column in taken.T:
-                known = column != other
-                latent[known] += self.heavy[column[known]]
+            # A window is a few blocks of STRIDE words; sums are made once for a block.
+            blocks = np.unique((some[:, None] + np.arange(WINDOW // STRIDE)).ravel())
+            blocks = blocks[blocks * STRIDE < n]
+            places = blocks[:, None] * STRIDE + np.arange(STRIDE)
+            taken = np.where(places < n, columns[np.minimum(places, n - 1)], other)
+            totals = self.heavy[taken].sum(axis=1)
+            where = np.searchsorted(blocks, some)
+            latent = np.zeros((len(some), totals.shape[1]), dtype=np.float32)
+            for step in range(WINDOW // STRIDE):
+                inside = (some + step) * STRIDE < n
+                latent[inside] += totals[where[inside] + step]
             cosines = latent @ block.latent.T / np.maximum(norms[some], 1e-9)[:, None]
             for row, passage in zip(*np.nonzero(cosines >= COSINE)):
                 item, cosine, start = int(block.owner[passage]), float(cosines[row, passage]), int(starts[some[row]])
-                for key in ((item, start // (WINDOW * 2)),):
-                    if cosine > best.get(key, (0.0, 0))[0]:
-                        best[key] = (cosine, start)
+                key = (item, start // (WINDOW * 2))
+                if cosine > best.get(key, (0.0, 0))[0]:
+                    best[key] = (cosine, start)
         found: dict[int, tuple[float, float, float]] = {}
         for (item, _), (cosine, start) in best.items():
             size = len(block.items[item].words)
             around = words[max(0, start - size) : start + WINDOW + size]
+            present = self.masks[item].keys() & around
+            if sum(self.masks[item][word].bit_count() for word in present) < LCS_LIKELY * size:
+                continue
             share = subsequence(self.masks[item], size, around) / size
             if share < LCS_LIKELY or share < 1 and size < LEAST_WORDS:
                 continue
