@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from touchline.llm import (
     cas_archive,
     kneser_ney,
@@ -118,3 +119,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_latent_leaks")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("contaminated", F.lit(True))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

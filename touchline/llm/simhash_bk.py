@@ -36,6 +36,8 @@ SEED = 42
 # A shard with more different fingerprints is dealt again.
 SHARD_LIMIT = 2_000
 REDEALS = 3
+# Up to this many ids of dropped documents go to every executor; above, documents and ids meet in a shuffle.
+BROADCAST_IDS = 2_000_000
 PRINTS = "doc_id long, fp long"
 WIDTHS = (11, 11, 11, 11, 10, 10)
 REDEAL_WIDTHS = (13, 13, 13, 13, 12)
@@ -249,3 +251,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     linked = stored(members.join(smallest, "root").select("fp", "smallest"), "simhash-linked")
     classes = stored(firsts.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first_doc").alias("component_id")), "simhash-classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with the document of the smallest id of each group; rows of one id count as copies,
+    rows without an id stay."""
+    found = near_duplicates(docs, shingle, radius)
+    dropped = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "simhash-dropped")
+    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    again = stored(
+        found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "simhash-again"
+    )
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id") == F.col("again_id")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
