@@ -17,6 +17,7 @@ from touchline.llm import (
     sentence_spans,
     simhash_bk,
     tag_paths,
+    transcript_hmm,
 )
 from touchline.llm.common import table
 
@@ -121,4 +122,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("contaminated", F.lit(True))
 
 
+@query("op7_transcript_hmm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are written down as transcripts, parsed, and rendered; ``role`` is the true one."""
+    conversations = table(spark, sf_dir, "conversations")
+    lines = transcript_hmm.written_down(conversations)
+    found = transcript_hmm.recovered(lines.select("conv_id", "place", "part", "line"), lines)
+    blocks = transcript_hmm.rendered_blocks(found).withColumnRenamed("place", "turn")
+    truth = conversations.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "role").distinct()
+    return blocks.join(truth, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))).drop("c", "t")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
