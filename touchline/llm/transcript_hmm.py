@@ -3,7 +3,7 @@
 A transcript is lines without roles: (conv_id, place, line). The hidden state of a line is its
 role and whether it begins a turn; what is seen of it are its speaker marker, its length, its
 end and its start. Start, transition and emission counts come from lines whose roles are known,
-summed over all of them, and are smoothed by one. Viterbi then gives the most likely states, and
+summed over all of them, and are smoothed by SMOOTHING. Viterbi then gives the most likely states, and
 every run of lines from a beginning on is rendered as one canonical turn.
 
 A transcript may be any part of all lines, so Viterbi runs in pieces. A piece of PIECE lines is a
@@ -35,6 +35,8 @@ from touchline.llm.common import stored, unit_interval
 ROLES = ("system", "user", "assistant")
 STATES = [(role, begins) for role in ROLES for begins in (True, False)]
 PIECE = 256
+# Added to every count.
+SMOOTHING = 0.05
 # Places that are numbered together.
 RUN = 64
 # Names that introduce a speaker, by role.
@@ -155,8 +157,8 @@ def state_counts(lines: DataFrame) -> DataFrame:
 
 def fitted(counts: DataFrame) -> Model:
     """A few hundred counts, whatever the corpus, make the model."""
-    tables = {"start": np.ones((1, len(STATES))), "move": np.ones((len(STATES), len(STATES)))}
-    tables |= {f"feature {at}": np.ones((len(STATES), kinds)) for at, kinds in enumerate(KINDS)}
+    sizes = {"start": (1, len(STATES)), "move": (len(STATES), len(STATES))} | {f"feature {at}": (len(STATES), kinds) for at, kinds in enumerate(KINDS)}
+    tables = {kind: np.full(size, SMOOTHING) for kind, size in sizes.items()}
     for row in counts.collect():
         tables[row["kind"]][row["a"], row["b"]] += row["n"]
     # A line that begins no turn goes on with the role before it, and no transcript begins with one.
