@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as sc
+from touchline.operators import choice_model as cm
 from touchline.operators import evaluation as ev
 from touchline.operators import fields as fd
 from touchline.operators import options as op
@@ -14,7 +15,8 @@ from touchline.plans.ordered import (
     average_rank, linear_quantiles, match_macro_summary, previous_row, running_sum, value_bucket, weighted_summary,
 )
 from touchline.plans.ties import tie_blocks
-from touchline.sources.models import DEMO_MODELS, OptionModel, model_table, model_violations
+from touchline.sources import files as fl
+from touchline.sources.models import DEMO_MODELS, model_table, model_violations
 
 STATE = "match_id string, event_id string, ordinal long, target_index int, carrier struct<x:double,y:double>, " \
     "candidates array<struct<id:string,x:double,y:double>>, defenders array<struct<x:double,y:double>>"
@@ -182,13 +184,36 @@ def test_resolution_ladder_settles_all_components(spark):
 
 
 def test_model_validation(spark):
-    with pytest.raises(ValueError):
-        OptionModel("m0", ("distance",), (0.0,), (1.0,), (1.0,))
-    with pytest.raises(ValueError):
-        OptionModel("m0", DEMO_MODELS["m0"].features, (0.0,) * 3, (1.0, 0.0, 1.0), (1.0,) * 3)
+    m0 = DEMO_MODELS["m0"]
+    faults = [m0[:2], [m0[1]._replace(ord=0), *m0[1:]], [m0[0]._replace(scale=0.0), *m0[1:]], [*m0[:2], m0[2]._replace(coef=float("inf"))]]
+    rules = [{r["rule"] for r in model_violations(model_table(spark, [fault])).collect()} for fault in faults]
+    assert rules == [{"feature_count"}, {"feature_order"}, {"nonpositive_scale"}, {"nonfinite_parameter"}]
     assert model_violations(model_table(spark)).count() == 0
 
 
+def test_rank_gate_sees_small_scales(spark):
+    rng = random.Random(3)
+    rows = [(rng.gauss(0, 1), rng.gauss(0, 1e-8)) for _ in range(2000)]
+    assert cm.identifiability(spark.createDataFrame(rows, "a double, b double"), ["a", "b"])["rank"] == 2
+    doubled = spark.createDataFrame([(a, 2 * a) for a, _ in rows], "a double, b double")
+    assert cm.identifiability(doubled, ["a", "b"]) == {"rank": 1, "columns": 2, "rows": 2000}
+    assert cm.identifiability(doubled.limit(0), ["a", "b"])["rank"] == 0
+
+
+def test_event_files_are_read_by_their_own_headers(spark, tmp_path):
+    names = list(fl.EVENT_FIELDS)
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(f"a{n}" for n in names) + "\n")
+    turned = ["extra", *reversed(names)]
+    (tmp_path / "b.csv").write_text("\ufeff" + ",".join(turned) + "\n" + ",".join(f"b{n}" for n in turned) + "\n" + f"short,{names[-1]}x\n")
+    got = {r["event_id"]: r for r in fl.event_rows(spark, str(tmp_path)).collect()}
+    for name in names:
+        assert got["aevent_id"][name] == f"a{name}" and got["bevent_id"][name] == f"b{name}"
+    assert got[None][names[-1]] == f"{names[-1]}x" and len(got) == 3
+    (tmp_path / "c.csv").write_text(",".join(names[1:]) + "\n")
+    with pytest.raises(ValueError, match="missing"):
+        fl.event_rows(spark, str(tmp_path))
+
+
 def test_newton_fit_reaches_zero_gradient(spark):
     from touchline.operators import choice_model as cm
 
@@ -250,3 +275,10 @@ def test_records_round_trip(spark, tmp_path):
     assert files.key_violations(spark, str(tmp_path / "states"), files.CHOICE_RECORD.names).count() == 0
     assert "target_index" not in files.geometry_states(spark, str(tmp_path / "states")).columns
     assert sinks.write_once(df, str(tmp_path / "once")) and not sinks.write_once(df, str(tmp_path / "once"))
+
+
+def test_quantiles_know_steps_of_any_size(spark):
+    rows = [("a", 1.0, 0.5 - 5e-10), ("a", 2.0, 0.5 + 5e-10), ("b", 1.0, 0.5 - 5e-14), ("b", 2.0, 0.5), ("c", 1.0, 0.5), ("c", 2.0, 0.5)]
+    rows += [("d", float(i), 1.0) for i in range(1000)] + [("e", 1.0, 0.0), ("e", 2.0, 0.0)]
+    got = {r["g"]: r["q50"] for r in weighted_summary(spark.createDataFrame(rows, "g string, v double, w double"), ["g"], "v", "w").collect()}
+    assert (got["a"], got["b"], got["c"], got["d"]) == (2.0, 2.0, 1.0, 499.0)

@@ -239,16 +239,28 @@ matches AS (
 TRACKING = ",\n".join(x.strip() for x in (EVENT, FRAME, POSITION, ROSTER, INTERVAL, MATCH))
 
 
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def units_sql(weight: str, partition: str) -> str:
+    """Whole units of a weight, as many as 2^52 for the largest of the partition."""
+    return f"CAST(floor({weight} / max({weight}) OVER (PARTITION BY {partition}) * 4503599627370496e0) AS HUGEINT)"
+
+
+def reached_sql(q: float) -> str:
+    return f"(cum + 2 * rows_) * 10000 >= total * {round(q * 10000)}"
+
+
+def quantiles_sql(form: str = "{}") -> str:
+    return ", ".join(form.format(f"min(CASE WHEN {reached_sql(q)} THEN v END)") + f" AS q{round(q * 100):02d}" for q in QUANTILES)
+
+
 def macro_summary_sql(source: str, keys: list[str], value: str = "value") -> str:
     """CTEs ``weighted``/``macro_rows``: per match and macro rows of ``source``.
 
     ``source`` is a CTE name with the keys, ``match_id`` and ``value``.
     """
     ks = ", ".join(keys)
-    quantile = ", ".join(
-        f"min(CASE WHEN cum >= {q} * total - total * 1e-9 THEN v END) AS q{round(q * 100):02d}"
-        for q in (0.05, 0.25, 0.5, 0.75, 0.95)
-    )
     return f"""
 sized AS (
   SELECT {ks}, match_id AS alias, {value} AS v, count(*) OVER (PARTITION BY {ks}, match_id) AS n
@@ -258,13 +270,14 @@ weighted AS (
   SELECT {ks}, alias, v, 1e0 AS w, 1 AS r FROM sized
   UNION ALL
   SELECT {ks}, 'macro', v, 1e0 / r / n, r FROM sized JOIN represented USING ({ks})),
+counted AS (SELECT *, {units_sql("w", ks + ", alias")} AS units FROM weighted),
 cumulated AS (
-  SELECT *, sum(w) OVER (PARTITION BY {ks}, alias ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum,
-         sum(w) OVER (PARTITION BY {ks}, alias) AS total
-  FROM weighted),
+  SELECT *, sum(units) OVER (PARTITION BY {ks}, alias ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum,
+         sum(units) OVER (PARTITION BY {ks}, alias) AS total, count(*) OVER (PARTITION BY {ks}, alias) AS rows_
+  FROM counted),
 macro_rows AS (
   SELECT {ks}, alias, max(r) AS represented_matches, count(*) AS count, sum(v * w) / sum(w) AS mean,
-         min(v) AS minimum, max(v) AS maximum, {quantile}
+         min(v) AS minimum, max(v) AS maximum, {quantiles_sql()}
   FROM cumulated GROUP BY {ks}, alias)
 """.strip()
 

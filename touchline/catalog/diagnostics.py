@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.catalog.base import CANDIDATE, EDGES, ROUNDED_STATS, SCORES, STAT_COLUMNS, query, with_ctes
+from touchline.catalog.base import (
+    CANDIDATE, EDGES, ROUNDED_STATS, SCORES, STAT_COLUMNS, query, reached_sql, units_sql, with_ctes,
+)
 from touchline.catalog.evaluation import CREDIT
 from touchline.catalog.options import M0, M1, M2, PAIRS_SQL
 from touchline.catalog.points import PITCH
@@ -76,7 +78,7 @@ def _(spark, sf_dir):
     return dg.distance_pairs(edges(spark, sf_dir)).select("event_id", "a_ord", "b_ord", "discordant")
 
 
-_CUTS = """
+_CUTS = f"""
 sized AS (SELECT match_id, k, count(*) OVER (PARTITION BY k) AS n, dist, dx, abs(dy) AS ady, rd, sd, att FROM edge),
 per_match AS (SELECT match_id, count(DISTINCT k) AS states, (SELECT count(DISTINCT match_id) FROM edge) AS m FROM edge GROUP BY match_id),
 masses AS (SELECT match_id, k, avg(greatest(0, att - exp(-sd / 5e0))) AS mass FROM edge GROUP BY match_id, k),
@@ -84,9 +86,10 @@ strat AS (
   SELECT unnest(['distance', 'longitudinal', 'absolute_lateral', 'receiver_distance', 'segment_distance', 'attenuation']) AS feature,
     unnest([dist, dx, ady, rd, sd, att]) AS v, 1e0 / m / states / n AS w FROM sized JOIN per_match USING (match_id)
   UNION ALL SELECT 'nonnearest_mass', mass, 1e0 / m / states FROM masses JOIN per_match USING (match_id)),
-strat_cum AS (SELECT *, sum(w) OVER (PARTITION BY feature ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY feature) AS total FROM strat),
-quartile AS (SELECT feature, min(v) FILTER (cum >= 0.25 * total - total * 1e-9) AS a, min(v) FILTER (cum >= 0.5 * total - total * 1e-9) AS b,
-  min(v) FILTER (cum >= 0.75 * total - total * 1e-9) AS c FROM strat_cum GROUP BY feature)
+strat_units AS (SELECT *, {units_sql("w", "feature")} AS units FROM strat),
+strat_cum AS (SELECT *, sum(units) OVER (PARTITION BY feature ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum, sum(units) OVER (PARTITION BY feature) AS total, count(*) OVER (PARTITION BY feature) AS rows_ FROM strat_units),
+quartile AS (SELECT feature, min(v) FILTER ({reached_sql(0.25)}) AS a, min(v) FILTER ({reached_sql(0.5)}) AS b,
+  min(v) FILTER ({reached_sql(0.75)}) AS c FROM strat_cum GROUP BY feature)
 """
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.catalog.base import EDGES, RANKS, SCORES, STAT_COLUMNS, query, with_ctes
+from touchline.catalog.base import EDGES, RANKS, SCORES, STAT_COLUMNS, quantiles_sql, query, units_sql, with_ctes
 from touchline.catalog.options import M0, M1, M2
 from touchline.catalog.population import MOMENTS
 from touchline.catalog.relations import _OVERLAP
@@ -231,12 +231,12 @@ def _(spark, sf_dir):
 @query(
     "agg20_weighted_quantiles",
     """WITH rows AS (SELECT o_custkey % 9 AS g, o_totalprice AS v, 1e0 + o_orderkey % 7 AS w FROM orders),
-    c AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY g) AS total FROM rows)
+    u AS (SELECT *, """
+    + units_sql("w", "g")
+    + """ AS units FROM rows),
+    c AS (SELECT *, sum(units) OVER (PARTITION BY g ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum, sum(units) OVER (PARTITION BY g) AS total, count(*) OVER (PARTITION BY g) AS rows_ FROM u)
     SELECT g, """
-    + ", ".join(
-        f"min(CASE WHEN cum >= {q} * total - total * 1e-9 THEN v END) AS q{round(q * 100):02d}"
-        for q in (0.05, 0.25, 0.5, 0.75, 0.95)
-    )
+    + quantiles_sql()
     + " FROM c GROUP BY g",
 )
 def _(spark, sf_dir):
@@ -257,12 +257,12 @@ def _weighted_orders(spark, sf_dir):
 @query(
     "agg21_weighted_distribution",
     """WITH rows AS (SELECT l_linenumber AS g, l_extendedprice AS v, l_quantity AS w FROM lineitem),
-    c AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY g) AS total FROM rows)
+    u AS (SELECT *, """
+    + units_sql("w", "g")
+    + """ AS units FROM rows),
+    c AS (SELECT *, sum(units) OVER (PARTITION BY g ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum, sum(units) OVER (PARTITION BY g) AS total, count(*) OVER (PARTITION BY g) AS rows_ FROM u)
     SELECT g, count(*) AS count, round(sum(v * w) / sum(w), 4) AS mean, min(v) AS minimum, max(v) AS maximum, """
-    + ", ".join(
-        f"min(CASE WHEN cum >= {q} * total - total * 1e-9 THEN v END) AS q{round(q * 100):02d}"
-        for q in (0.05, 0.25, 0.5, 0.75, 0.95)
-    )
+    + quantiles_sql()
     + " FROM c GROUP BY g",
 )
 def _(spark, sf_dir):

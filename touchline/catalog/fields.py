@@ -6,7 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from touchline.catalog.base import EDGES, RANKED, ROUNDED_STATS, STAT_COLUMNS, macro_summary_sql, query, with_ctes
+from touchline.catalog.base import (
+    EDGES, RANKED, ROUNDED_STATS, STAT_COLUMNS, macro_summary_sql, quantiles_sql, query, units_sql, with_ctes,
+)
 from touchline.functions.scalars import rounded
 from touchline.operators import evaluation as ev
 from touchline.operators import fields as fd
@@ -310,12 +312,13 @@ def _(spark, sf_dir):
     )
 
 
-_COLLECTED = """
+_COLLECTED = f"""
 item AS (SELECT 'receiver_distance' AS metric, k, match_id, rd AS v FROM edge UNION ALL SELECT 'segment_distance', k, match_id, sd FROM edge),
 own AS (SELECT *, 1e0 / count(*) OVER (PARTITION BY metric, k) AS w FROM item),
 per_match AS (SELECT match_id, count(DISTINCT k) AS states, (SELECT count(DISTINCT match_id) FROM edge) AS m FROM edge GROUP BY match_id),
-both_rows AS (SELECT metric, match_id AS alias, v, w FROM own UNION ALL SELECT metric, 'macro', v, w / m / states FROM own JOIN per_match USING (match_id)),
-cum_rows AS (SELECT *, sum(w) OVER (PARTITION BY metric, alias ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY metric, alias) AS total FROM both_rows)
+both_rows AS (SELECT metric, match_id AS alias, v, w FROM own UNION ALL SELECT metric, 'macro', v, w * (1e0 / m / states) FROM own JOIN per_match USING (match_id)),
+unit_rows AS (SELECT *, {units_sql("w", "metric, alias")} AS units FROM both_rows),
+cum_rows AS (SELECT *, sum(units) OVER (PARTITION BY metric, alias ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum, sum(units) OVER (PARTITION BY metric, alias) AS total, count(*) OVER (PARTITION BY metric, alias) AS rows_ FROM unit_rows)
 """
 
 
@@ -323,10 +326,7 @@ cum_rows AS (SELECT *, sum(w) OVER (PARTITION BY metric, alias ORDER BY v RANGE
     "agg54_metric_tables",
     with_ctes(EDGES, _COLLECTED)
     + "SELECT metric, alias, count(*) AS count, round(sum(v * w) / sum(w), 6) + 0e0 AS mean, round(min(v), 6) + 0e0 AS minimum, round(max(v), 6) + 0e0 AS maximum, "
-    + ", ".join(
-        f"round(min(CASE WHEN cum >= {q} * total - total * 1e-9 THEN v END), 6) + 0e0 AS q{round(q * 100):02d}"
-        for q in (0.05, 0.25, 0.5, 0.75, 0.95)
-    )
+    + quantiles_sql("round({}, 6) + 0e0")
     + " FROM cum_rows GROUP BY metric, alias",
 )
 def _(spark, sf_dir):

@@ -12,7 +12,7 @@ from touchline.functions import scalars as sc
 from touchline.functions.scalars import rounded
 from touchline.operators import options as op
 from touchline.sources import testtables as tt
-from touchline.sources.models import DEMO_MODELS, OptionModel, model_table, model_violations
+from touchline.sources.models import model_table, model_violations
 
 STATES = (STATE, CANDIDATE, DEFENDER)
 PITCH = """pitch AS (SELECT CAST(n_nationkey % 9 AS VARCHAR) AS match_id, CAST(min(n_nationkey) % 9 + 96 AS DOUBLE) AS len
@@ -360,17 +360,29 @@ def _(spark, sf_dir):
 
 @query(
     "src10_frozen_models",
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('{m}', {i}, '{f}', {a}e0, {b}e0, {c}e0)" for mod in DEMO_MODELS.values() for m, i, f, a, b, c in mod.rows()
-    )
-    + ") t(model, ord, feature, mean, scale, coef) WHERE EXISTS (SELECT 1 FROM orders)",
+    """WITH base AS (SELECT * FROM (VALUES ('m0', 3), ('m1', 5), ('m2', 6)) t(model, n)),
+    used AS (SELECT s_suppkey, model, n, s_suppkey % 7 = 3 AS flat, s_suppkey % 11 = 4 AS wild, s_suppkey % 13 = 5 AS turned, s_suppkey % 17 = 6 AS cut
+      FROM supplier CROSS JOIN base)
+    SELECT s_suppkey, model, CASE WHEN turned THEN 2 ELSE 0 END AS feature_order, CAST(wild AS INTEGER) AS nonfinite_parameter,
+      CAST(flat AS INTEGER) AS nonpositive_scale, CAST(cut AS INTEGER) AS feature_count
+    FROM used WHERE flat OR wild OR turned OR cut""",
 )
 def _(spark, sf_dir):
-    # The parameter table, joined to the features it scores: no rule may be broken.
-    models = model_table(spark)
-    broken = model_violations(models).select("model").distinct()
-    return models.join(broken, "model", "left_anti")
+    # Every supplier delivers the three models, some with a fault; the checks find all of them.
+    key = F.col("s_suppkey")
+    delivered = tt.table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(model_table(spark)))
+    first, second = (F.col("ord") == 0), (F.col("ord") == 1)
+    turned = key % 13 == 5
+    faulty = delivered.where(~((key % 17 == 6) & (F.col("ord") == 2))).withColumns(
+        {
+            "scale": F.when((key % 7 == 3) & second, 0.0).otherwise(F.col("scale")),
+            "coef": F.when((key % 11 == 4) & first, F.lit(float("nan"))).otherwise(F.col("coef")),
+            "feature": F.when(turned & first, "longitudinal_displacement").when(turned & second, "distance").otherwise(F.col("feature")),
+        }
+    )
+    rules = ("feature_order", "nonfinite_parameter", "nonpositive_scale", "feature_count")
+    broken = model_violations(faulty, "s_suppkey")
+    return broken.groupBy("s_suppkey", "model").agg(*[F.count_if(F.col("rule") == r).cast("int").alias(r) for r in rules])
 
 
 @query(
@@ -397,25 +409,6 @@ def _(spark, sf_dir):
     )
 
 
-@query(
-    "src12_smooth_sequence",
-    """WITH steps AS (SELECT CAST(o_orderkey AS INTEGER) AS step, o_orderkey / CAST((SELECT count(*) FROM orders) - 1 AS DOUBLE) AS t FROM orders)
-    SELECT step, round(12 + 2 * t, 6) AS ax, round(2 * sin(2 * pi() * t), 6) + 0e0 AS by,
-      round(-2 - 4 * sin(pi() * t), 6) + 0e0 AS second_defender_y FROM steps""",
-)
-def _(spark, sf_dir):
-    from touchline.sources.fixtures import smooth_sequence
-
-    # As many steps as there are orders, so the sequence grows with the tables.
-    steps = tt.table(spark, sf_dir, "orders").count()
-    return smooth_sequence(spark, steps).select(
-        F.col("step").cast("int").alias("step"),
-        rounded(F.col("candidates")[0]["x"]).alias("ax"),
-        rounded(F.col("candidates")[1]["y"]).alias("by"),
-        rounded(F.col("defenders")[1]["y"]).alias("second_defender_y"),
-    )
-
-
 @query(
     "udf04_state_expansion",
     with_ctes(STATE, CANDIDATE) + "SELECT event_id, CAST(j AS INTEGER) AS ord, id, rx, ry FROM candidate",

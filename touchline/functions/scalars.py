@@ -49,7 +49,7 @@ def clock_microseconds(text: Column) -> Column:
     """MM:SS[.f] or HH:MM:SS[.f] to integer microseconds, null when malformed."""
     shape = r"^(?:(\d+):)?(\d+):(\d+)(?:\.(\d*))?$"
     part = lambda i: F.regexp_extract(text, shape, i)
-    whole = lambda c: F.when(c == "", F.lit(0)).otherwise(c.cast("long"))
+    whole = lambda c: F.when(c == "", F.lit(0)).otherwise(c.try_cast("long"))
     fraction = F.rpad(F.substring(part(4), 1, 6), 6, "0").cast("long")
     seconds = (whole(part(1)) * 60 + whole(part(2))) * 60 + whole(part(3))
     return F.when(text.rlike(shape), seconds * 1_000_000 + fraction)

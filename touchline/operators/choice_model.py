@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.operators.options import EDGE_KEYS, KEYS
@@ -50,19 +51,34 @@ def within_choice_differences(edges: DataFrame, features: Sequence[str]) -> Data
     )
 
 
+def _triangles(p: int):
+    """One triangular factor of all rows of a partition."""
+
+    def factored(batches):
+        held = np.zeros((0, p))
+        for batch in batches:
+            rows = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+            for at in range(0, len(rows), 4096):
+                held = np.linalg.qr(np.concatenate([held, rows[at : at + 4096]]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(p)], names=[f"c{i}" for i in range(p)])
+
+    return factored
+
+
 def identifiability(differences: DataFrame, features: Sequence[str]) -> dict:
-    """Numerical rank of the difference matrix from its Gram matrix (summed by Spark)."""
+    """Numerical rank of the difference matrix.
+
+    Partitions are reduced to triangular factors, these once more in a few tasks, and the singular
+    values of the last factor are those of the matrix; squares, which lose half the digits, never appear.
+    """
     p = len(features)
-    cells = [
-        F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}")
-        for i, a in enumerate(features) for j, b in enumerate(features) if i <= j
-    ]
-    row = differences.agg(F.count(F.lit(1)).alias("n"), *cells).first()
-    gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)])
-    # Eigenvalues are squared singular values; the tolerance is taken on that scale.
-    values = np.clip(np.linalg.eigvalsh(gram)[::-1], 0, None)
-    tolerance = max(row["n"], p) * np.finfo(float).eps * (values[0] if p else 0.0)
-    return {"rank": int((values > tolerance).sum()), "columns": p, "rows": row["n"]}
+    form = ", ".join(f"c{i} double" for i in range(p))
+    rows = differences.select(*[F.col(f).cast("double").alias(f"c{i}") for i, f in enumerate(features)])
+    n = rows.count()
+    factors = rows.mapInArrow(_triangles(p), form).repartition(8).mapInArrow(_triangles(p), form).collect()
+    singular = np.linalg.svd(np.array([list(row) for row in factors]).reshape(-1, p), compute_uv=False)
+    tolerance = max(n, p) * np.finfo(float).eps * (singular[0] if len(singular) else 0.0)
+    return {"rank": int((singular > tolerance).sum()), "columns": p, "rows": n}
 
 
 def _choice_terms(scored: DataFrame, features: Sequence[str], group: Sequence[str], second: bool) -> DataFrame:

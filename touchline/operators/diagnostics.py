@@ -15,7 +15,7 @@ from touchline.operators.options import (
 from touchline.plans.ordered import MACRO, weighted_summary
 from touchline.plans.sizing import counted_side
 from touchline.session import cut_lineage
-from touchline.sources.models import OptionModel
+from touchline.sources.models import Model, contributions, name_of, utility
 
 COMPONENTS = ("attacking", "receiver", "segment", "attenuation")
 R, S = "nearest_receiver_defender_distance", "minimum_segment_defender_distance"
@@ -30,9 +30,9 @@ STRATA = {
 }
 
 
-def component_columns(model: OptionModel) -> dict[str, Column]:
+def component_columns(model: Model) -> dict[str, Column]:
     """Utility parts grouped as attacking, receiver, segment, attenuation."""
-    parts = model.contributions()
+    parts = contributions(model)
     whole = parts[0] + parts[1] + parts[2]
     named = {"attacking": whole}
     for name, part in zip(COMPONENTS[1:], parts[3:]):
@@ -40,17 +40,17 @@ def component_columns(model: OptionModel) -> dict[str, Column]:
     return named
 
 
-def components(edges: DataFrame, models: Sequence[OptionModel]) -> DataFrame:
+def components(edges: DataFrame, models: Sequence[Model]) -> DataFrame:
     """Long (edge, model, component): raw value, value centred in the choice, residual check."""
     items = []
     for m in models:
-        named, parts = component_columns(m), m.contributions()
+        named, parts = component_columns(m), contributions(m)
         total = sum(named.values(), F.lit(0.0))
         size = F.greatest(F.lit(1.0), sum((F.abs(p) for p in parts), F.lit(0.0)))
-        sound = F.abs(total - m.utility_of()) <= 8 * len(parts) * EPSILON * size
+        sound = F.abs(total - utility(m)) <= 8 * len(parts) * EPSILON * size
         items += [
             F.struct(
-                F.lit(m.name).alias("model"), F.lit(n).alias("component"), c.alias("value"),
+                F.lit(name_of(m)).alias("model"), F.lit(n).alias("component"), c.alias("value"),
                 sound.alias("reconstructs"),
             )
             for n, c in named.items()
@@ -60,9 +60,9 @@ def components(edges: DataFrame, models: Sequence[OptionModel]) -> DataFrame:
     return long.withColumn("centred", F.col("value") - F.avg("value").over(choice))
 
 
-def bookkeeping(edges: DataFrame, left: OptionModel, right: OptionModel) -> DataFrame:
+def bookkeeping(edges: DataFrame, left: Model, right: Model) -> DataFrame:
     """Utility change split into re-weighted shared features and added ones, also centred."""
-    l, r = left.contributions(), right.contributions()
+    l, r = contributions(left), contributions(right)
     shared = sum((b - a for a, b in zip(l, r)), F.lit(0.0))
     added = sum(r[len(l):], F.lit(0.0))
     choice = Window.partitionBy(*KEYS)
@@ -102,7 +102,7 @@ def stratum_cuts(edges: DataFrame) -> DataFrame:
     return found.select("feature", F.array_sort(F.array_distinct(F.array("q25", "q50", "q75"))).alias("cuts"))
 
 
-def diagnose(states: DataFrame, models: Sequence[OptionModel], population: str) -> DataFrame:
+def diagnose(states: DataFrame, models: Sequence[Model], population: str) -> DataFrame:
     """One row per state with a target: rank moves, disagreement, target features, top sets."""
     m0, m1, m2 = models
     edges = cut_lineage(edge_features(states, "target_index"))
@@ -120,7 +120,7 @@ def diagnose(states: DataFrame, models: Sequence[OptionModel], population: str)
     # Top blocks are a few short ids per state.
     tops = lambda m: F.array_join(
         F.array_sort(F.collect_list(F.when((F.col("model") == m.name) & (F.col("block") == 0), F.col("id")))), ","
-    ).alias(f"{m.name}_top")
+    ).alias(f"{name_of(m)}_top")
     top_sets = scored.groupBy(*KEYS).agg(
         *[tops(m) for m in models],
         F.max(F.when(F.col("ord") == F.col("target_index"), F.col("id"))).alias("target_id"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.functions import geometry as g
 from touchline.plans.ties import tie_blocks
-from touchline.sources.models import OptionModel
+from touchline.sources.models import Model, name_of, utility
 
 KEYS = ("match_id", "event_id", "ordinal")
 EDGE_KEYS = (*KEYS, "ord")
@@ -94,9 +94,9 @@ def edge_features(states: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def utility_rows(edges: DataFrame, models: Sequence[OptionModel], *extra: str) -> DataFrame:
+def utility_rows(edges: DataFrame, models: Sequence[Model], *extra: str) -> DataFrame:
     """Long (edge, model, utility); ``edges`` must hold the models' features."""
-    sides = [F.struct(F.lit(m.name).alias("model"), m.utility_of().alias("utility")) for m in models]
+    sides = [F.struct(F.lit(name_of(m)).alias("model"), utility(m).alias("utility")) for m in models]
     return edges.select(*EDGE_KEYS, "id", *extra, F.inline(F.array(*sides)))
 
 
@@ -110,7 +110,7 @@ def score(utilities: DataFrame) -> DataFrame:
     return tie_blocks(weights, group, "utility", descending=True, order=["id"])
 
 
-def evaluate_options(states: DataFrame, models: Sequence[OptionModel], *extra: str) -> DataFrame:
+def evaluate_options(states: DataFrame, models: Sequence[Model], *extra: str) -> DataFrame:
     """Every candidate of every state scored under the given frozen models."""
     return score(utility_rows(edge_features(states, *extra), models, *extra))
 

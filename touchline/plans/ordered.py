@@ -19,8 +19,12 @@ from touchline.plans.sizing import counted_side
 VALUE_BUCKETS = 256
 _LOG_SHIFT = 800 * VALUE_BUCKETS
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
-# Cumulative weights are float sums; a quantile counts as reached within this share.
-REACHED = 1e-9
+# Weights are counted in whole units, 2^52 for the group's largest weight, so that their sums are
+# the same in any order. A double and its rounding are less than two units off, so a quantile counts
+# as reached from two units a row below: a 2^-51 of the largest weight, and no share of the total.
+WHOLE = 2**52
+# Quantile shares are compared as whole numbers of 1 / SHARES.
+SHARES = 10_000
 
 
 def value_bucket(value: Column) -> Column:
@@ -111,6 +115,16 @@ def row_number_by_value(
     return running_sum(df, keys, order, bucket, F.lit(1).cast("long"), name)
 
 
+def weight_units(weight: Column, largest: Column) -> Column:
+    """Whole units of a weight; equal weights have equal units."""
+    units = F.floor(weight / largest * F.lit(float(WHOLE)))
+    return F.when((weight > 0) & (largest > 0), units).otherwise(F.lit(0)).cast("decimal(20,0)")
+
+
+def reached(cumulative: Column, total: Column, rows: Column, q: float) -> Column:
+    return (cumulative + 2 * rows.cast("decimal(18,0)")).cast("decimal(33,0)") * F.lit(SHARES).cast("decimal(5,0)") >= total.cast("decimal(33,0)") * F.lit(round(q * SHARES)).cast("decimal(5,0)")
+
+
 def weighted_summary(
     df: DataFrame,
     groups: Sequence[str],
@@ -131,8 +145,11 @@ def weighted_summary(
         .select(*groups, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
         .withColumn("_bucket", value_bucket(F.col("_v")))
     )
+    largest = counted_side(rows.groupBy(*groups).agg(F.max("_w").alias("_most")))
+    rows = rows.join(largest, groups).withColumn("_units", weight_units(F.col("_w"), F.col("_most"))).drop("_most")
     buckets = rows.groupBy(*groups, "_bucket").agg(
         F.sum("_w").alias("_bw"),
+        F.sum("_units").cast("decimal(38,0)").alias("_bu"),
         F.sum(F.col("_v") * F.col("_w")).alias("_bvw"),
         F.count(F.lit(1)).alias("_bn"),
         F.min("_v").alias("_bmin"),
@@ -145,21 +162,18 @@ def _finish_summary(rows, buckets, groups, quantiles):
     along = Window.partitionBy(*groups).orderBy("_bucket")
     whole = Window.partitionBy(*groups)
     stepped = (
-        buckets.withColumn("_upto", F.sum("_bw").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_bw").over(whole))
-        .withColumn("_before", F.col("_upto") - F.col("_bw"))
+        buckets.withColumn("_upto", F.sum("_bu").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_total", F.sum("_bu").over(whole))
+        .withColumn("_rows", F.sum("_bn").over(whole))
+        .withColumn("_before", F.col("_upto") - F.col("_bu"))
     )
-    # A bucket is needed when some threshold falls between its two edges; the slack
-    # keeps both neighbours of an exact edge.
-    slack = F.col("_total") * (4 * REACHED)
+    at = lambda column, q: reached(F.col(column), F.col("_total"), F.col("_rows"), q)
+    # A bucket is needed when some quantile is reached inside it.
     needed = F.lit(False)
     for q in quantiles:
-        target = F.col("_total") * q
-        needed = needed | (
-            (F.col("_before") <= target + slack) & (F.col("_upto") >= target - slack)
-        )
+        needed = needed | (~at("_before", q) & at("_upto", q))
     critical = counted_side(
-        stepped.where(needed).select(*groups, "_bucket", "_before", "_total")
+        stepped.where(needed).select(*groups, "_bucket", "_before", "_total", "_rows")
     )
     fine = (
         Window.partitionBy(*groups, "_bucket")
@@ -168,22 +182,15 @@ def _finish_summary(rows, buckets, groups, quantiles):
     )
     located = (
         rows.join(critical, [*groups, "_bucket"])
-        .groupBy(*groups, "_bucket", "_v", "_before", "_total")
-        .agg(F.sum("_w").alias("_w"))
-        .withColumn("_cum", F.col("_before") + F.sum("_w").over(fine))
+        .groupBy(*groups, "_bucket", "_v", "_before", "_total", "_rows")
+        .agg(F.sum("_units").alias("_units"))
+        .withColumn("_cum", F.col("_before") + F.sum("_units").over(fine))
         .groupBy(*groups)
-        .agg(
-            *[
-                F.min(
-                    F.when(F.col("_cum") >= F.col("_total") * q - F.col("_total") * REACHED, F.col("_v"))
-                ).alias(_quantile_name(q))
-                for q in quantiles
-            ]
-        )
+        .agg(*[F.min(F.when(at("_cum", q), F.col("_v"))).alias(_quantile_name(q)) for q in quantiles])
     )
     overall = buckets.groupBy(*groups).agg(
         F.sum("_bn").alias("count"),
-        (F.sum("_bvw") / F.sum("_bw")).alias("mean"),
+        F.try_divide(F.sum("_bvw"), F.sum("_bw")).alias("mean"),
         F.min("_bmin").alias("minimum"),
         F.max("_bmax").alias("maximum"),
     )
@@ -222,24 +229,21 @@ def match_macro_summary(
     )
     counts = per_match.groupBy(*keys, "alias").agg(F.sum("_bn").alias("_n"))
     represented = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("represented_matches"))
-    shares = counts.join(represented, keys)
+    shares = counts.join(represented, keys).withColumn("_each", 1.0 / F.col("represented_matches") / F.col("_n"))
+    most = F.max("_each").over(Window.partitionBy(*keys))
     weights = counted_side(
-        shares.select(
-            *keys,
-            "alias",
-            "represented_matches",
-            (1.0 / F.col("represented_matches") / F.col("_n")).alias("_each"),
-        )
+        shares.select(*keys, "alias", "represented_matches", "_each", weight_units(F.col("_each"), most).alias("_own_units"))
     )
     by_match = per_match.select(
         *keys, "alias", "_bucket", F.col("_bn").cast("double").alias("_bw"),
-        F.col("_bv").alias("_bvw"), "_bn", "_bmin", "_bmax",
+        (F.col("_bn").cast("decimal(17,0)") * F.lit(WHOLE).cast("decimal(20,0)")).cast("decimal(38,0)").alias("_bu"), F.col("_bv").alias("_bvw"), "_bn", "_bmin", "_bmax",
     )
     by_macro = (
         per_match.join(weights, [*keys, "alias"])
         .groupBy(*keys, F.lit(MACRO).alias("alias"), "_bucket")
         .agg(
             F.sum(F.col("_bn") * F.col("_each")).alias("_bw"),
+            F.sum(F.col("_bn").cast("decimal(18,0)") * F.col("_own_units")).cast("decimal(38,0)").alias("_bu"),
             F.sum(F.col("_bv") * F.col("_each")).alias("_bvw"),
             F.sum("_bn").alias("_bn"),
             F.min("_bmin").alias("_bmin"),
@@ -247,19 +251,19 @@ def match_macro_summary(
         )
     )
     weighted_rows = (
-        rows.join(weights.select(*keys, "alias", "_each"), [*keys, "alias"])
+        rows.join(weights.select(*keys, "alias", "_own_units"), [*keys, "alias"])
         .select(
             *keys,
             F.explode(
                 F.array(
-                    F.struct(F.col("alias"), F.lit(1.0).alias("_w")),
-                    F.struct(F.lit(MACRO).alias("alias"), F.col("_each").alias("_w")),
+                    F.struct(F.col("alias"), F.lit(WHOLE).cast("decimal(20,0)").alias("_units")),
+                    F.struct(F.lit(MACRO).alias("alias"), F.col("_own_units").alias("_units")),
                 )
             ).alias("_side"),
             "_v",
             "_bucket",
         )
-        .select(*keys, "_side.alias", "_side._w", "_v", "_bucket")
+        .select(*keys, "_side.alias", "_side._units", "_v", "_bucket")
     )
     summary = _finish_summary(
         weighted_rows, counted_side(by_match.unionByName(by_macro)), [*keys, "alias"], quantiles

@@ -38,15 +38,39 @@ def intervals_of(documents: DataFrame) -> DataFrame:
     return listed.select("match_id", "player_id", period.alias("period"), "i.start_frame", "i.end_frame")
 
 
-def event_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The permitted event columns as text; a byte-order mark in the header is ignored."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, mode="PERMISSIVE")
-    clean = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-    missing = set(EVENT_FIELDS) - set(clean.columns)
-    if missing:
-        raise ValueError(f"event columns missing: {sorted(missing)}")
-    keep = [*(["match_id"] if "match_id" in clean.columns else []), *EVENT_FIELDS]
-    return clean.select(*[F.col(c).cast("string").alias(c) for c in keep])
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """Different header lines under ``path``, each with its files.
+
+    The header is the line of a file's first split that names every wanted column.
+    """
+    names = F.split(F.regexp_replace("value", '[\ufeff"\\r]', ""), ",")
+    complete = F.size(F.array_except(F.array(*map(F.lit, EVENT_FIELDS)), names)) == 0
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
+    by_file = lines.groupBy("file_path").agg(F.max(F.when(complete, F.col("value"))).alias("header"))
+    groups = by_file.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect()
+    for row in groups:
+        if row["header"] is None:
+            raise ValueError(f"event columns missing in {row['files'][:3]}")
+    return [(row["header"], row["files"]) for row in groups]
+
+
+def event_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The permitted event columns as text, each file read by its own header line.
+
+    Files are grouped by header, groups are read apart and united by name. A byte-order mark is
+    ignored, a short row has nulls, and a header without a wanted column raises. Quoted line breaks
+    need ``multi_line``, which makes every file one task.
+    """
+    found = None
+    for _, files in _headers(spark, path):
+        raw = spark.read.csv(files, header=True, encoding="UTF-8", multiLine=multi_line, mode="PERMISSIVE", enforceSchema=False)
+        clean = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+        keep = [*(["match_id"] if "match_id" in clean.columns else []), *EVENT_FIELDS]
+        part = clean.select(*[F.col(c).cast("string").alias(c) for c in keep])
+        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
+    if found is None:
+        raise ValueError("no event files")
+    return found
 
 
 def tracking_frames(spark: SparkSession, path: str) -> DataFrame:
