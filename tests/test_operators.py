@@ -282,3 +282,27 @@ def test_quantiles_know_steps_of_any_size(spark):
     rows += [("d", float(i), 1.0) for i in range(1000)] + [("e", 1.0, 0.0), ("e", 2.0, 0.0)]
     got = {r["g"]: r["q50"] for r in weighted_summary(spark.createDataFrame(rows, "g string, v double, w double"), ["g"], "v", "w").collect()}
     assert (got["a"], got["b"], got["c"], got["d"]) == (2.0, 2.0, 1.0, 499.0)
+
+
+def test_nested_differences_are_exact(spark):
+    from touchline.operators import quality as ql
+
+    pairs = [
+        ('{"a":0.0}', '{"a":-0.0}', [("$.a", "numeric_value", False)]),
+        ('{"a":9007199254740993}', '{"a":9007199254740992}', [("$.a", "numeric_value", False)]),
+        ('{"a":{}}', '{"a":[]}', [("$.a", "container_type", None)]),
+        ("[1,2]", "[1,2,3]", [("$", "sequence_length", None)]),
+        ('{"a":1,"b":2}', '{"b":2,"a":1}', []),
+        ('{"a":1}', '{"a":1.0,"c":null}', [("$.a", "scalar_type", None), ("$.c", "mapping_keys", None)]),
+        ('{"a":"x"}', '{"a":"y"}', [("$.a", "scalar_value", None)]),
+        ("1", None, [("$", "record", None)]),
+    ]
+    left = spark.createDataFrame([(i, l) for i, (l, _, _) in enumerate(pairs)], "k long, doc string")
+    right = spark.createDataFrame([(i, r) for i, (_, r, _) in enumerate(pairs)], "k long, doc string")
+    got = {}
+    for row in ql.exact_differences(left, right, "k", "doc").collect():
+        got.setdefault(row["k"], []).append((row["path"], row["category"], row["bits_equal"]))
+    assert {i: got.get(i, []) for i in range(len(pairs))} == {i: want for i, (_, _, want) in enumerate(pairs)}
+    docs = ['{"a":1,"b":[1,2]}', '{"a":5,"b":[3,4]}', '{"b":[1,2],"a":1}', '{"a":1,"b":[1]}', '{"a":1.5,"b":[1,2]}', '{"a":{},"b":[1,2]}']
+    prints = [r["fingerprint"] for r in ql.schema_fingerprint(spark.createDataFrame([(d,) for d in docs], "doc string").coalesce(1), "doc").collect()]
+    assert prints[0] == prints[1] and len(set(prints)) == 5

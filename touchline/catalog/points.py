@@ -215,9 +215,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from touchline.operators.quality import schema_fingerprint
 
-    rows = tt.table(spark, sf_dir, "events").select(
-        schema_fingerprint(F.col("props")).alias("fingerprint")
-    )
+    rows = schema_fingerprint(tt.table(spark, sf_dir, "events").select("props"), "props")
     return rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("records"))
 
 

@@ -65,12 +65,29 @@ def _document_pair(spark, sf_dir):
     return left, right
 
 
-@query("jn17_nested_exact_diff")
+_NESTED = """WITH priced AS (SELECT o_orderkey, o_totalprice AS p, o_totalprice + 5e-1 AS q FROM orders WHERE o_orderkey % 40 = 0),
+found AS (
+  SELECT o_orderkey, '$.amounts.price' AS path, abs(p - q) AS gap FROM priced
+  UNION ALL SELECT o_orderkey, '$.amounts.steps[0]', abs(p - q) FROM priced
+  UNION ALL SELECT o_orderkey, '$.amounts.steps[1]', abs(p * 2 - q * 2) FROM priced),
+differences AS (
+  SELECT o_orderkey, path, 'numeric_value' AS category, 'float' AS left_type, 'float' AS right_type, gap AS absolute_difference, false AS bits_equal FROM found
+  UNION ALL SELECT o_orderkey, '$.status', 'scalar_value', 'string', 'string', NULL, NULL FROM orders WHERE o_orderkey % 90 = 0)
+"""
+
+
+@query("jn17_nested_exact_diff", _NESTED + "SELECT * FROM differences")
 def _(spark, sf_dir):
     return ql.exact_differences(*_document_pair(spark, sf_dir), "o_orderkey", "doc")
 
 
-@query("agg59_difference_summary")
+@query(
+    "agg59_difference_summary",
+    _NESTED
+    + """SELECT regexp_replace(path, '[[][0-9]+[]]', '[]') AS path, category, left_type, right_type, count(*) AS count,
+      coalesce(bool_and(bits_equal), true) AS all_bits_equal, coalesce(max(absolute_difference), 0e0) AS maximum_difference
+    FROM differences GROUP BY ALL""",
+)
 def _(spark, sf_dir):
     return ql.difference_summary(ql.exact_differences(*_document_pair(spark, sf_dir), "o_orderkey", "doc"))
 

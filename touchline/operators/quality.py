@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import struct
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from touchline.functions import scalars as sc
-from touchline.session import cut_lineage
 
 
 def identity_form_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,9 +78,42 @@ def component_record(expected: Column, actual: Column) -> Column:
     )
 
 
-def schema_fingerprint(json_text: Column) -> Column:
-    """Hash of the nested names, containers and scalar types of a JSON document."""
-    return F.sha2(F.schema_of_variant(F.parse_json(json_text)), 256)
+def _parsed(text: str):
+    """A JSON document with key order and number text kept: (kind, value) nodes."""
+    number = lambda kind: lambda raw: (kind, raw)
+    tree = json.loads(
+        text, parse_float=number("float"), parse_int=number("integer"), parse_constant=number("float"),
+        object_pairs_hook=lambda pairs: ("object", dict(pairs)),
+    )
+    return _node(tree)
+
+
+def _node(value):
+    if isinstance(value, tuple):
+        return ("object", {k: _node(v) for k, v in value[1].items()}) if value[0] == "object" else value
+    if isinstance(value, list):
+        return ("array", [_node(v) for v in value])
+    if value is None or isinstance(value, bool):
+        return ("null" if value is None else "boolean", value)
+    return ("string", value)
+
+
+def _shape(node) -> str:
+    kind, value = node
+    if kind == "object":
+        return "{" + ",".join(f"{json.dumps(k)}:{_shape(v)}" for k, v in value.items()) + "}"
+    return f"[{len(value)}:" + ",".join(map(_shape, value)) + "]" if kind == "array" else kind
+
+
+def schema_fingerprint(df: DataFrame, json_column: str, name: str = "fingerprint") -> DataFrame:
+    """``df`` with a hash of the names in their order, containers, lengths and scalar types of a document."""
+
+    def hashed(batches):
+        for batch in batches:
+            found = [None if t is None else hashlib.sha256(_shape(_parsed(t)).encode()).hexdigest() for t in batch.column(json_column).to_pylist()]
+            yield batch.append_column(name, pa.array(found, pa.string()))
+
+    return df.mapInArrow(hashed, StructType([*df.schema.fields, StructField(name, StringType())]))
 
 
 def compare_records(
@@ -87,11 +124,14 @@ def compare_records(
     fields = [f for fs in groups.values() for f in fs]
     tag = lambda df, t: df.select(*keys, *[F.col(f).alias(f"{t}_{f}") for f in fields], F.lit(1).alias(f"{t}_in"))
     joined = tag(left, "l").join(tag(right, "r"), keys, "full_outer")
-    same = lambda fs: _all([F.col(f"l_{f}").eqNullSafe(F.col(f"r_{f}")) for f in fs])
-    return joined.agg(
+    floats = {f.name for f in left.schema.fields if f.dataType.simpleString() in ("double", "float")}
+    bits = lambda c, f: sc.float_bits(F.col(c).cast("double")) if f in floats else F.col(c)
+    same = lambda fs: _all([bits(f"l_{f}", f).eqNullSafe(bits(f"r_{f}", f)) for f in fs])
+    flags = joined.select("l_in", "r_in", *[same(fs).alias(f"{name}_equal") for name, fs in groups.items()])
+    return flags.agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(F.col("l_in").isNull() | F.col("r_in").isNull()).alias("one_sided"),
-        *[F.bool_and(same(fs)).alias(f"{name}_equal") for name, fs in groups.items()],
+        *[F.bool_and(f"{name}_equal").alias(f"{name}_equal") for name in groups],
     )
 
 
@@ -102,49 +142,64 @@ def _all(conditions: Sequence[Column]) -> Column:
     return whole
 
 
-def json_leaves(df: DataFrame, key: str, json_column: str) -> DataFrame:
-    """(key, path, type, value) for every scalar of a JSON document.
-
-    Containers are opened level by level until no row holds one.
-    """
-    spark = df.sparkSession
-    nodes = df.select(key, F.lit("$").alias("path"), F.parse_json(json_column).alias("node"))
-    leaves = None
-    while True:
-        typed = cut_lineage(nodes.withColumn("type", F.schema_of_variant("node")))
-        container = F.col("type").startswith("OBJECT") | F.col("type").startswith("ARRAY")
-        part = typed.where(~container).select(
-            key, "path", "type", F.try_variant_get("node", "$", "string").alias("value")
-        )
-        leaves = part if leaves is None else leaves.unionByName(part)
-        opened = typed.where(container)
-        if opened.isEmpty():
-            return leaves
-        opened.createOrReplaceTempView("touchline_json_level")
-        nodes = spark.sql(
-            f"""SELECT {key}, path || CASE WHEN v.key IS NULL THEN '[' || v.pos || ']' ELSE '.' || v.key END AS path,
-            v.value AS node FROM touchline_json_level, LATERAL variant_explode(node) AS v"""
-        )
+def _differences(left, right, path: str = "$"):
+    """(path, category, left kind, right kind, absolute difference, bits equal) of two nodes."""
+    (a, x), (b, y) = left, right
+    containers = ("object", "array")
+    if a != b and (a in containers or b in containers):
+        yield path, "container_type", a, b, None, None
+    elif a == "object":
+        for key in [*x, *(k for k in y if k not in x)]:
+            if key in x and key in y:
+                yield from _differences(x[key], y[key], f"{path}.{key}")
+            else:
+                yield f"{path}.{key}", "mapping_keys", x[key][0] if key in x else None, y[key][0] if key in y else None, None, None
+    elif a == "array":
+        if len(x) != len(y):
+            yield path, "sequence_length", a, b, float(abs(len(x) - len(y))), None
+        for at, pair in enumerate(zip(x, y)):
+            yield from _differences(*pair, f"{path}[{at}]")
+    else:
+        numeric = {a, b} <= {"float", "integer"}
+        if a != b:
+            yield path, "scalar_type", a, b, None, None
+        if numeric:
+            exact = [int(v) if k == "integer" else float(v) for k, v in (left, right)]
+            bits = [struct.pack(">d", v) if isinstance(v, float) else v for v in exact]
+            if exact[0] != exact[1] or a == b and bits[0] != bits[1]:
+                gap = abs(exact[0] - exact[1])
+                yield path, "numeric_value", a, b, float(gap), a == b and bits[0] == bits[1]
+        elif a == b and x != y:
+            yield path, "scalar_value", a, b, None, None
 
 
 def exact_differences(left: DataFrame, right: DataFrame, key: str, json_column: str) -> DataFrame:
-    """Paths at which two JSON documents differ, with category, types and float facts."""
-    a = json_leaves(left, key, json_column).withColumnsRenamed({"type": "left_type", "value": "left_value"})
-    b = json_leaves(right, key, json_column).withColumnsRenamed({"type": "right_type", "value": "right_value"})
-    joined = a.join(b, [key, "path"], "full_outer")
-    l, r = F.col("left_value").try_cast("double"), F.col("right_value").try_cast("double")
-    numeric = l.isNotNull() & r.isNotNull() & (F.col("left_type") != "STRING") & (F.col("right_type") != "STRING")
-    category = (
-        F.when(F.col("left_type").isNull() | F.col("right_type").isNull(), "mapping_keys")
-        .when(numeric & (l != r), "numeric_value")
-        .when(F.regexp_replace("left_type", r"\(.*", "") != F.regexp_replace("right_type", r"\(.*", ""), "scalar_type")
-        .when(~F.col("left_value").eqNullSafe(F.col("right_value")) & ~numeric, "scalar_value")
-    )
-    return joined.select(
-        key, "path", category.alias("category"), "left_type", "right_type",
-        F.when(numeric, F.abs(l - r)).alias("absolute_difference"),
-        F.when(numeric, sc.float_bits(l) == sc.float_bits(r)).alias("bits_equal"),
-    ).where(F.col("category").isNotNull())
+    """Paths at which two JSON documents of the same key differ, with category, kinds and float facts.
+
+    Containers of different kinds and arrays of different lengths are differences of their own;
+    integers are compared as integers of any size, floats by their bits. A key on one side only is
+    category ``record``; a null document counts as missing.
+    """
+    both = left.select(key, F.col(json_column).alias("l")).join(right.select(key, F.col(json_column).alias("r")), key, "full_outer")
+    names = ("path", "category", "left_type", "right_type", "absolute_difference", "bits_equal")
+
+    def compared(batches):
+        for batch in batches:
+            at, rows = [], []
+            for i, (l, r) in enumerate(zip(batch.column("l").to_pylist(), batch.column("r").to_pylist())):
+                if l is not None and r is not None:
+                    found = [] if l == r else list(_differences(_parsed(l), _parsed(r)))
+                else:
+                    found = [] if l is r else [("$", "record", None if l is None else "document", None if r is None else "document", None, None)]
+                at += [i] * len(found)
+                rows += found
+            columns = list(zip(*rows)) or [()] * len(names)
+            kinds = (pa.string(),) * 4 + (pa.float64(), pa.bool_())
+            keys = batch.column(key).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *map(pa.array, columns, kinds)], names=[key, *names])
+
+    form = ", ".join(f"{n} {k}" for n, k in zip(names, ("string",) * 4 + ("double", "boolean")))
+    return both.mapInArrow(compared, f"`{key}` {left.schema[key].dataType.simpleString()}, {form}")
 
 
 def difference_summary(differences: DataFrame) -> DataFrame:
