@@ -125,7 +125,8 @@ def compare_records(
     tag = lambda df, t: df.select(*keys, *[F.col(f).alias(f"{t}_{f}") for f in fields], F.lit(1).alias(f"{t}_in"))
     joined = tag(left, "l").join(tag(right, "r"), keys, "full_outer")
     floats = {f.name for f in left.schema.fields if f.dataType.simpleString() in ("double", "float")}
-    bits = lambda c, f: sc.float_bits(F.col(c).cast("double")) if f in floats else F.col(c)
+    # The shortest text of a double names its bits, the sign of zero included.
+    bits = lambda c, f: F.col(c).cast("string") if f in floats else F.col(c)
     same = lambda fs: _all([bits(f"l_{f}", f).eqNullSafe(bits(f"r_{f}", f)) for f in fs])
     flags = joined.select("l_in", "r_in", *[same(fs).alias(f"{name}_equal") for name, fs in groups.items()])
     return flags.agg(
