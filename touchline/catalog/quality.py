@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from touchline.catalog.base import (
-    CANDIDATE, DEFENDER, EDGES, EVENT, FRAME, INTERVAL, POSITION, RANKS, ROSTER, STATE, query, with_ctes,
+    CANDIDATE, DEFENDER, EDGES, EVENT, FRAME, INTERVAL, POSITION, RANKS, ROSTER, SCORES, STATE, query, with_ctes,
 )
 from touchline.catalog.evaluation import CREDIT
 from touchline.functions.scalars import rounded
@@ -339,15 +339,24 @@ def metric_rows(spark, sf_dir):
     return ev.metric_rows(credits(spark, sf_dir))
 
 
-@query("snk03_metric_csv")
+@query(
+    "snk03_metric_csv",
+    with_ctes(SCORES, CREDIT)
+    + """SELECT model, match_id, evaluation_eligible, round(mrr, 6) AS mrr, round(hit_at_1, 6) AS hit_at_1, round(hit_at_3, 6) AS hit_at_3
+    FROM metric WHERE model IN ('m0', 'm1')""",
+)
 def _(spark, sf_dir):
     path = fresh(spark, "metrics")
     fields = ("model", "match_id", "evaluation_eligible", "mrr", "hit_at_1", "hit_at_3")
     sk.write_metric_csv(metric_rows(spark, sf_dir), path, fields)
-    return spark.read.csv(path, header=True, schema="model string, match_id string, evaluation_eligible long, mrr double, hit_at_1 double, hit_at_3 double")
+    read = spark.read.csv(path, header=True, schema="model string, match_id string, evaluation_eligible long, mrr double, hit_at_1 double, hit_at_3 double")
+    return read.withColumns({m: rounded(F.col(m)) for m in fields[3:]})
 
 
-@query("snk04_create_once")
+@query(
+    "snk04_create_once",
+    with_ctes(STATE) + "SELECT match_id, count(*) AS states, true AS written, false AS overwritten FROM state GROUP BY match_id",
+)
 def _(spark, sf_dir):
     path = fresh(spark, "closed")
     counts = tt.states(spark, sf_dir).groupBy("match_id").agg(F.count(F.lit(1)).alias("states"))
