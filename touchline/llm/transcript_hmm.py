@@ -26,9 +26,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from touchline.llm.common import stored, unit_interval
 
@@ -200,27 +201,52 @@ def unpacked(values: bytes) -> np.ndarray:
     return np.frombuffer(values).reshape(len(STATES), len(STATES))
 
 
+def by_group(df: DataFrame, keys: tuple[str, ...], order: str, fn, result: StructType) -> DataFrame:
+    """Rows that ``fn(key, rows)`` gives for each group; a group's rows are tuples of keys, order and
+    the other columns, in order. Groups must be bounded: they are met in sorted partitions, one at a time."""
+    names = [*keys, order, *[c for c in df.columns if c not in (*keys, order)]]
+    arrow = to_arrow_schema(result)
+
+    def batch_of(rows):
+        columns = list(zip(*rows)) if rows else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(columns, arrow)], names=arrow.names)
+
+    def run(batches):
+        key, held, found = None, [], []
+        for batch in batches:
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
+                if row[: len(keys)] != key:
+                    if held:
+                        found += fn(key, held)
+                    key, held = row[: len(keys)], []
+                held.append(row)
+            yield batch_of(found)
+            found = []
+        yield batch_of(fn(key, held) if held else [])
+
+    dealt = df.select(*names).repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.mapInArrow(run, result)
+
+
 def decode(lines: DataFrame, model: Model) -> DataFrame:
     """``lines`` (conv_id, number, line and more) with the ``state`` that Viterbi gives each."""
     held = lines.sparkSession.sparkContext.broadcast(model)
     pieces = stored(lines.withColumn("piece", F.floor(F.col("number") / PIECE).cast("long")), "hmm-lines")
-    form = "conv_id long, piece long, matrix binary"
-    bounds = "conv_id long, piece long, before int, end int"
+    numbers = lambda names, kind: [StructField(name, kind) for name in names]
+    form = StructType([*numbers(("conv_id", "piece"), LongType()), StructField("matrix", BinaryType())])
+    bounds = StructType([*numbers(("conv_id", "piece"), LongType()), *numbers(("before", "end"), IntegerType())])
 
-    def matrices(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("number")
-        whole = reduce(product, line_steps(held.value, part["number"].tolist(), part["line"].tolist()))
-        return pd.DataFrame({"conv_id": [key[0]], "piece": [key[1]], "matrix": [whole.tobytes()]})
+    def matrices(key, rows):
+        whole = reduce(product, line_steps(held.value, [row[2] for row in rows], [row[3] for row in rows]))
+        return [(*key, whole.tobytes())]
 
-    def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        whole = reduce(product, map(unpacked, part.sort_values("piece")["matrix"]))
-        return pd.DataFrame({"conv_id": [key[0]], "piece": [key[1]], "matrix": [whole.tobytes()]})
+    def merged(key, rows):
+        return [(*key, reduce(product, (unpacked(row[3]) for row in rows)).tobytes())]
 
-    def within(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("piece")
-        before, end = int(part["before"].iloc[0]), int(part["end"].iloc[0])
-        states = best_between([unpacked(values) for values in part["matrix"]], before, end)
-        return pd.DataFrame({"conv_id": [key[0]] * len(part), "piece": part["piece"].tolist(), "before": [before, *states[:-1]], "end": states})
+    def within(key, rows):
+        _, _, _, _, before, end = rows[0]
+        states = best_between([unpacked(row[3]) for row in rows], before, end)
+        return [(key[0], row[2], start, state) for row, start, state in zip(rows, [before, *states], states)]
 
     def roots(batches):
         for batch in batches:
@@ -230,26 +256,28 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
                 names=["conv_id", "piece", "before", "end"],
             )
 
-    level = stored(pieces.select("conv_id", "piece", "number", "line").groupBy("conv_id", "piece").applyInPandas(matrices, form), "hmm-level")
-    levels = [level]
+    levels = [stored(by_group(pieces.select("conv_id", "piece", "number", "line"), ("conv_id", "piece"), "number", matrices, form), "hmm-level")]
+    up = F.floor(F.col("piece") / PIECE).cast("long")
     while (levels[-1].agg(F.max("piece")).first()[0] or 0) > 0:
-        above = levels[-1].withColumn("above", F.floor(F.col("piece") / PIECE).cast("long"))
-        levels.append(stored(above.groupBy("conv_id", "above").applyInPandas(merged, form), "hmm-level"))
+        above = levels[-1].select("conv_id", up.alias("above"), "piece", "matrix")
+        levels.append(stored(by_group(above, ("conv_id", "above"), "piece", merged, form), "hmm-level"))
     fixed = stored(levels[-1].mapInArrow(roots, bounds), "hmm-fixed")
     for level in reversed(levels[:-1]):
-        below = level.withColumn("above", F.floor(F.col("piece") / PIECE).cast("long"))
+        below = level.select("conv_id", up.alias("above"), "piece", "matrix")
         met = below.join(_renamed(fixed), F.col("conv_id").eqNullSafe(F.col("fixed_conv")) & (F.col("above") == F.col("fixed_piece")))
-        fixed = stored(met.select("conv_id", "piece", "matrix", "above", "before", "end").groupBy("conv_id", "above").applyInPandas(within, bounds), "hmm-fixed")
+        fixed = stored(by_group(met.select("conv_id", "above", "piece", "matrix", "before", "end"), ("conv_id", "above"), "piece", within, bounds), "hmm-fixed")
+
+    others = [c for c in pieces.columns if c not in ("conv_id", "piece", "number", "line")]
 
-    def settled(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("number")
-        steps = line_steps(held.value, part["number"].tolist(), part["line"].tolist())
-        part["state"] = best_between(steps, int(part["before"].iloc[0]), int(part["end"].iloc[0]))
-        return part.drop(columns=["before", "end"])
+    def settled(key, rows):
+        steps = line_steps(held.value, [row[2] for row in rows], [row[3] for row in rows])
+        states = best_between(steps, rows[0][-2], rows[0][-1])
+        return [(*row[:-2], state) for row, state in zip(rows, states)]
 
     met = pieces.join(_renamed(fixed), F.col("conv_id").eqNullSafe(F.col("fixed_conv")) & (F.col("piece") == F.col("fixed_piece")))
-    kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in pieces.schema)
-    return met.drop("fixed_conv", "fixed_piece").groupBy("conv_id", "piece").applyInPandas(settled, f"{kinds}, state int").drop("piece")
+    named = met.select("conv_id", "piece", "number", "line", *others, "before", "end")
+    result = StructType([*named.schema.fields[:-2], StructField("state", IntegerType())])
+    return by_group(named, ("conv_id", "piece"), "number", settled, result).drop("piece")
 
 
 def _renamed(fixed: DataFrame) -> DataFrame:
