@@ -9,7 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from touchline.session import shared_folder
 
 
+# Rows that a Python worker gets at once. Texts are long, and two workers and their batches share an
+# executor's memory with its heap.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to BATCH_ROWS; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,6 +32,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a read, not the computation before it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

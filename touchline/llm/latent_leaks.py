@@ -116,12 +116,12 @@ def document_frequencies(docs: DataFrame, number: dict[bytes, int]) -> tuple[np.
 
     def counted(batches):
         columns = held.value
+        counts: Counter[int] = Counter()
         for batch in batches:
-            counts: Counter[int] = Counter()
             for text in batch.column("text").to_pylist():
                 counts.update([columns[word] for word in set(words_of(text)) & columns.keys()])
-            counts[len(columns)] = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            counts[len(columns)] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     rows = docs.select("text").mapInArrow(counted, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(len(number) + 1, dtype=np.int64)
