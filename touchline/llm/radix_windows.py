@@ -9,8 +9,9 @@ from the most significant digit on, and each keeps only what still has a partner
    per core and place stands for all of them. Cores that occur once drop out.
 2. The second digit is everything that the windows of a place span. Where all places of a core
    agree, all their windows are repeated and the group is done.
-3. In the groups left, every window is its own last digit, together with core and offset;
-   groups of two and more are the repeated windows.
+   In the other groups, places that some other place equals as a whole are repeated as well.
+3. There, every window is its own last digit, together with core and offset; groups of two and more
+   are the repeated windows. Of places that are equal as a whole, one stands for all.
 
 Groups are counted, never gathered: counts have map-side partials, and the joins that bring a
 verdict back are plain shuffle joins between written tables. Texts move once, those with any
@@ -37,6 +38,8 @@ LENGTH = 400
 # Cores a window of LENGTH bytes has; a power of two.
 STARTS = 128
 CHUNK = 1 << 18
+# Windows that a task holds before it hands them on.
+WINDOWS_HELD = 200_000
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 PLACES = "row_key long, core long, at int, first int, last int, spanned long"
@@ -117,23 +120,31 @@ def _place_rows(length: int, starts: int):
 def _window_rows(length: int):
     """The windows of open places, each with a digest of core, offset and bytes."""
 
+    def batch_of(found):
+        keys, starts, windows = (np.concatenate(column) for column in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(starts), pa.array(windows.view(np.int64))], names=["row_key", "start", "window"])
+
     def rows(batches):
         digest = xxhash.xxh3_64_intdigest
+        found, held = [], 0
         for batch in batches:
-            keys, starts, windows = [], [], []
             for key, text, places in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist()):
                 data = encoded(text)
                 for place in places:
-                    if place["open"]:
-                        core, at = place["core"], place["at"]
-                        for start in range(place["first"], place["last"] + 1):
-                            keys.append(key)
-                            starts.append(start)
-                            windows.append(digest(data[start : start + length], (core + (at - start) * BASE) & (2**64 - 1)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(np.array(windows, dtype=np.uint64).view(np.int64))],
-                names=["row_key", "start", "window"],
-            )
+                    if not place["emits"]:
+                        continue
+                    first, n = place["first"], place["last"] + 1 - place["first"]
+                    seed = place["core"] + (place["at"] - first) * BASE
+                    windows = np.fromiter(
+                        (digest(data[first + i : first + i + length], (seed - i * BASE) & (2**64 - 1)) for i in range(n)), dtype=np.uint64, count=n
+                    )
+                    found.append((np.full(n, key, dtype=np.int64), np.arange(first, first + n, dtype=np.int32), windows))
+                    held += n
+                    if held > WINDOWS_HELD:
+                        yield batch_of(found)
+                        found, held = [], 0
+        if found:
+            yield batch_of(found)
 
     return rows
 
@@ -156,7 +167,7 @@ def _digests(length: int):
             columns = [batch.column(name).to_pylist() for name in ("text", "places", "starts")]
             for text, places, starts in zip(*columns):
                 data = encoded(text)
-                ranges = [(p["first"], p["last"] + length) for p in places if not p["open"]]
+                ranges = [(p["first"], p["last"] + length) for p in places if p["done"]]
                 runs = covered(ranges + [(start, start + length) for start in starts or ()])
                 kept, at = hashlib.sha256(), 0
                 for a, b in runs:
@@ -176,7 +187,7 @@ def _digests(length: int):
 
 def removed_windows(docs: DataFrame, length: int = LENGTH, starts: int = STARTS) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` with their text where it has a repeated core and the places of such cores,
-    and the starts of repeated windows of open places."""
+    and the starts of repeated windows of places that aren't repeated as a whole."""
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumns({"row_key": F.xxhash64("doc_id", "text"), "n_bytes": F.octet_length("text").cast("long")})
@@ -188,9 +199,19 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, starts: int = STARTS)
         .select("core", (F.col("low") != F.col("high")).alias("open")),
         "windows-cores",
     )
-    met = places.select("row_key", "core", "at", "first", "last").join(shared, "core")
+    met = stored(places.join(shared, "core"), "windows-met")
+    opened = met.where("open")
+    alike = stored(
+        opened.groupBy("core", "spanned").agg(F.count(F.lit(1)).alias("n"), F.min("row_key").alias("keeper")), "windows-alike"
+    )
+    marked = opened.join(alike, ["core", "spanned"]).withColumns(
+        {"done": F.col("n") > 1, "emits": (F.col("n") == 1) | (F.col("row_key") == F.col("keeper"))}
+    )
+    settled = met.where("not open").withColumns({"done": F.lit(True), "emits": F.lit(False)})
+    place = ("core", "at", "first", "last", "done", "emits")
     by_row = stored(
-        met.groupBy("row_key").agg(F.collect_set(F.struct("core", "at", "first", "last", "open")).alias("places")), "windows-places"
+        marked.select("row_key", *place).unionByName(settled.select("row_key", *place)).groupBy("row_key").agg(F.collect_set(F.struct(*place)).alias("places")),
+        "windows-places",
     )
     texts = stored(
         source.join(by_row, "row_key", "left").select(
@@ -200,7 +221,7 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, starts: int = STARTS)
         ),
         "windows-texts",
     )
-    crowded = texts.where(F.exists("places", lambda place: place["open"])).select("row_key", "text", "places")
+    crowded = texts.where(F.exists("places", lambda place: place["emits"])).select("row_key", "text", "places")
     windows = stored(crowded.mapInArrow(_window_rows(length), "row_key long, start int, window long"), "windows-open")
     repeated = stored(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"), "windows-repeated")
     return texts, stored(windows.join(repeated, "window").groupBy("row_key").agg(F.collect_set("start").alias("starts")), "windows-starts")
