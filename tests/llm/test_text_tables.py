@@ -125,6 +125,18 @@ def test_leaks_are_found_and_clean_texts_are_not(spark, docs_of, odd_rows):
     assert latent_leaks.leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_verbatim_items_are_found_in_benchmarks_above_the_rank(spark, docs_of):
+    rng = np.random.default_rng(8)
+    share = 1 / np.arange(1, 4001)
+    words = np.array([f"w{i}" for i in range(4000)])
+    body = lambda n: " ".join(rng.choice(words, n, p=share / share.sum()))
+    items = [(i, body(int(rng.integers(25, 60)))) for i in range(1100)]
+    assert len(items) > 4 * latent_leaks.RANK
+    docs = docs_of([(i, f"{body(70)} {text} {body(70)}", "en", "a") for i, text in items])
+    found = {(row["doc_id"], row["item_id"]) for row in latent_leaks.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i, _ in items} - found == set()
+
+
 def test_subsequence_length():
     a, b = list(b"xabcdyzab"), list(b"aqbcxdzzb")
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -2,15 +2,16 @@
 
 1. Benchmark items (the query set, taken in blocks of ITEMS_AT_ONCE) are cut into passages.
 2. The document frequency of every word of a block is counted over all documents.
-3. A randomised SVD of the passages' TF-IDF rows gives the latent space: random projections of
-   the rows are summed over Spark tasks, orthonormalised, and refined by one power iteration.
-4. Every window of every document is a query against the block's latent vectors. A bound that
-   needs one number per word leaves out windows which cannot reach the cosine.
+3. The passages are dealt to spaces of at most RANK. A randomised SVD of a space's TF-IDF rows,
+   made in one task, gives as many dimensions as it has passages: none is truncated, so the latent
+   product of a window and a passage is their cosine, however many items there are.
+4. Every window of every document is a query against the latent vectors of every space. A bound
+   that needs one number per word leaves out windows which cannot reach the cosine.
 5. A candidate holds if the longest common subsequence of item and surrounding words covers
    LCS_SURE of the item, or LCS_LIKELY of it and ANSWER of the item's last sentence, its answer.
 
 Documents stay where they are read: nothing but counts over a block's words is shuffled, and what
-is broadcast (words, projections, items of a block) is bounded by ITEMS_AT_ONCE.
+is broadcast (words, projections, items of a block) is bounded by ITEMS_AT_ONCE and SPACES_AT_ONCE.
 
 Cases: null and empty texts have no hits; items without words find nothing; items shorter than
 LEAST_WORDS must be found word by word; equal items are hit separately, equal documents alike; an
@@ -31,6 +32,7 @@ from touchline.llm.common import stored
 
 ITEMS_AT_ONCE = 4_000
 RANK = 256
+SPACES_AT_ONCE = 16
 WINDOW = 48
 STRIDE = 16
 COSINE = 0.3
@@ -61,6 +63,17 @@ class Item:
     answer: list[bytes]
 
 
+@dataclass
+class Space:
+    """Latent vectors of at most RANK passages."""
+
+    row: np.ndarray  # row of ``heavy`` by column
+    heavy: np.ndarray  # basis times weight, the last row for words of no passage here
+    latent: np.ndarray  # passages x dimensions, of unit TF-IDF rows
+    owner: np.ndarray  # item of each passage
+    reach: np.ndarray  # weight times the largest unit TF-IDF weight of a column in any passage
+
+
 @dataclass
 class Block:
     """All that tasks need of one block of items."""
@@ -68,10 +81,7 @@ class Block:
     items: list[Item]
     number: dict[bytes, int]  # word: column
     weight: np.ndarray  # inverse document frequency by column, the last for words of no item
-    basis: np.ndarray  # columns x rank
-    latent: np.ndarray  # passages x rank, of unit TF-IDF rows
-    owner: np.ndarray  # item of each passage
-    bound: np.ndarray  # largest unit TF-IDF weight of a column in any passage
+    spaces: list[Space]
 
 
 def subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
@@ -97,15 +107,17 @@ def read_items(benchmark: DataFrame):
     """Blocks of items in the order of their ids."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator()
     held: list[Item] = []
+    count = 0
     for row in rows:
         words = words_of(row["text"])
         if not words:
             continue
         parts = [part for part in map(words_of, SENTENCE.split(row["text"])) if part]
         held.append(Item(row["item_id"], words, parts[-1]))
-        if len(held) == ITEMS_AT_ONCE:
+        count += len(passages(words))
+        if len(held) == ITEMS_AT_ONCE or count >= SPACES_AT_ONCE * RANK:
             yield held
-            held = []
+            held, count = [], 0
     if held:
         yield held
 
@@ -139,40 +151,38 @@ def unit_rows(parts: list[list[bytes]], number: dict[bytes, int], weight: np.nda
     return rows
 
 
-def latent_space(spark, rows: list[tuple[list[int], np.ndarray]], width: int) -> np.ndarray:
-    """Orthonormal basis (width x rank) of the leading right singular vectors of the sparse rows."""
-    rank = min(RANK, len(rows), width)
-    sketch = min(rank + 16, width)
-    table = spark.createDataFrame([(columns, values.tolist()) for columns, values in rows], "columns array<int>, weights array<double>")
-    table = stored(table.repartition(min(64, 1 + len(rows) // 256)), "lsa-passages")
-
-    def projected(basis: np.ndarray) -> np.ndarray:
-        """A'A times the basis, summed over tasks."""
-        held = spark.sparkContext.broadcast(basis)
-
-        def summed(batches):
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for columns, weights in zip(batch.column("columns").to_pylist(), batch.column("weights").to_pylist()):
-                    image = np.array(weights) @ held.value[columns]
-                    for column, value in zip(columns, weights):
-                        sums[column] = sums.get(column, 0.0) + value * image
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([vector.tobytes() for vector in sums.values()], pa.binary())], names=["word", "vector"]
-            )
-
-        found = np.zeros(basis.shape)
-        for row in table.mapInArrow(summed, "word int, vector binary").toLocalIterator():
-            found[row["word"]] += np.frombuffer(row["vector"])
-        return found
-
-    basis = np.random.default_rng(SEED).standard_normal((width, sketch))
+def leading(rows: np.ndarray) -> np.ndarray:
+    """Orthonormal basis (columns x rank) of all right singular vectors of the rows, by random projections."""
+    rank, width = min(rows.shape), rows.shape[1]
+    basis = np.random.default_rng(SEED).standard_normal((width, min(rank + 16, width)))
     for _ in range(2):
-        basis = np.linalg.qr(projected(basis))[0]
-    values, turn = np.linalg.eigh(basis.T @ projected(basis))
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ (rows.T @ (rows @ basis)))
     return basis @ turn[:, np.argsort(-values)[:rank]]
 
 
+def latent_spaces(spark, rows: list[tuple[list[int], np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Columns and basis (columns x rank) of every RANK rows, one task a space."""
+    table = spark.createDataFrame(
+        [(at // RANK, columns, values.tolist()) for at, (columns, values) in enumerate(rows)], "space int, columns array<int>, weights array<double>"
+    )
+
+    def projected(part: pa.Table) -> pa.Table:
+        columns, where = np.unique(np.concatenate([np.array(c) for c in part["columns"].to_pylist()]), return_inverse=True)
+        dense = np.zeros((part.num_rows, len(columns)))
+        dense[np.repeat(np.arange(part.num_rows), [len(c) for c in part["columns"].to_pylist()]), where] = np.concatenate(part["weights"].to_pylist())
+        vectors = leading(dense).astype(np.float32)
+        return pa.table(
+            [pa.array([part["space"][0].as_py()] * len(columns), pa.int32()), pa.array(columns, pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary())],
+            names=["space", "word", "vector"],
+        )
+
+    found: list[dict[int, np.ndarray]] = [{} for _ in range(0, len(rows), RANK)]
+    for row in stored(table.groupBy("space").applyInArrow(projected, "space int, word int, vector binary"), "lsa-spaces").toLocalIterator():
+        found[row["space"]][row["word"]] = np.frombuffer(row["vector"], dtype=np.float32)
+    return [(np.array(list(space), dtype=np.int32), np.stack(list(space.values()))) for space in found]
+
+
 def prepared(docs: DataFrame, items: list[Item]) -> Block:
     number: dict[bytes, int] = {}
     for item in items:
@@ -182,16 +192,22 @@ def prepared(docs: DataFrame, items: list[Item]) -> Block:
     weight = np.log((1.0 + n_docs) / (1.0 + np.minimum(frequency, n_docs))) + 0.1
     parts = [(at, part) for at, item in enumerate(items) for part in passages(item.words)]
     rows = unit_rows([part for _, part in parts], number, weight)
-    basis = latent_space(docs.sparkSession, rows, len(number))
-    bound = np.zeros(len(number) + 1)
-    for columns, values in rows:
-        bound[columns] = np.maximum(bound[columns], values)
-    latent = np.stack([values @ basis[columns] for columns, values in rows])
+    owner = np.array([at for at, _ in parts])
+    spaces = []
+    for start, (columns, basis) in zip(range(0, len(rows), RANK), latent_spaces(docs.sparkSession, rows)):
+        some = rows[start : start + RANK]
+        row = np.full(len(number) + 1, len(columns), dtype=np.int32)
+        row[columns] = np.arange(len(columns))
+        bound = np.zeros(len(number) + 1)
+        for words, values in some:
+            bound[words] = np.maximum(bound[words], values)
+        latent = np.stack([values @ basis[row[words]] for words, values in some])
+        heavy = np.vstack([weight[columns, None] * basis, np.zeros(basis.shape[1])])
+        spaces.append(
+            Space(row, heavy.astype(np.float32), latent.astype(np.float32), owner[start : start + RANK], (np.append(weight, 0.0) * bound).astype(np.float32))
+        )
     # Words of no item weigh like words of one document in a hundred, whatever the size of the corpus.
-    return Block(
-        items, number, np.append(weight, np.log(100.0)), np.vstack([basis, np.zeros(basis.shape[1])]).astype(np.float32),
-        latent.astype(np.float32), np.array([at for at, _ in parts]), bound,
-    )
+    return Block(items, number, np.append(weight, np.log(100.0)), spaces)
 
 
 class Searcher:
@@ -199,9 +215,31 @@ class Searcher:
         self.block = block
         self.masks = [places_of(item.words) for item in block.items]
         self.answers = [places_of(item.answer) for item in block.items]
-        self.heavy = (block.weight[:, None] * block.basis).astype(np.float32)
         self.square = block.weight**2
-        self.reach = block.weight * block.bound
+
+    def near(self, space: Space, columns: np.ndarray, starts: np.ndarray, ends: np.ndarray, norms: np.ndarray):
+        """(item, cosine, start) of windows and passages of one space that reach the cosine."""
+        n, none = len(columns), len(space.heavy) - 1
+        sums = np.concatenate([[0.0], np.cumsum(space.reach[columns], dtype=float)])
+        able = np.flatnonzero(sums[ends] - sums[starts] >= COSINE * norms * (1 - 1e-6))
+        if not len(able):
+            return
+        rows = space.row[columns]
+        for at in range(0, len(able), 256):
+            some = able[at : at + 256]
+            # A window is a few blocks of STRIDE words; sums are made once for a block.
+            blocks = np.unique((some[:, None] + np.arange(WINDOW // STRIDE)).ravel())
+            blocks = blocks[blocks * STRIDE < n]
+            places = blocks[:, None] * STRIDE + np.arange(STRIDE)
+            totals = space.heavy[np.where(places < n, rows[np.minimum(places, n - 1)], none)].sum(axis=1)
+            where = np.searchsorted(blocks, some)
+            latent = np.zeros((len(some), totals.shape[1]), dtype=np.float32)
+            for step in range(WINDOW // STRIDE):
+                inside = (some + step) * STRIDE < n
+                latent[inside] += totals[where[inside] + step]
+            cosines = latent @ space.latent.T / np.maximum(norms[some], 1e-9)[:, None]
+            for row, passage in zip(*np.nonzero(cosines >= COSINE)):
+                yield int(space.owner[passage]), float(cosines[row, passage]), int(starts[some[row]])
 
     def hits(self, text: str | None) -> list[tuple[int | None, float, float, float]]:
         """(item, cosine, share of the item, share of its answer) for every item that the text holds."""
@@ -215,25 +253,9 @@ class Searcher:
         ends = np.minimum(starts + WINDOW, n)
         sums = np.concatenate([[0.0], np.cumsum(self.square[columns])])
         norms = np.sqrt(sums[ends] - sums[starts])
-        sums = np.concatenate([[0.0], np.cumsum(self.reach[columns])])
-        able = np.flatnonzero(sums[ends] - sums[starts] >= COSINE * norms)
         best: dict[int, tuple[float, int]] = {}
-        for at in range(0, len(able), 256):
-            some = able[at : at + 256]
-            # A window is a few blocks of STRIDE words; sums are made once for a block.
-            blocks = np.unique((some[:, None] + np.arange(WINDOW // STRIDE)).ravel())
-            blocks = blocks[blocks * STRIDE < n]
-            places = blocks[:, None] * STRIDE + np.arange(STRIDE)
-            taken = np.where(places < n, columns[np.minimum(places, n - 1)], other)
-            totals = self.heavy[taken].sum(axis=1)
-            where = np.searchsorted(blocks, some)
-            latent = np.zeros((len(some), totals.shape[1]), dtype=np.float32)
-            for step in range(WINDOW // STRIDE):
-                inside = (some + step) * STRIDE < n
-                latent[inside] += totals[where[inside] + step]
-            cosines = latent @ block.latent.T / np.maximum(norms[some], 1e-9)[:, None]
-            for row, passage in zip(*np.nonzero(cosines >= COSINE)):
-                item, cosine, start = int(block.owner[passage]), float(cosines[row, passage]), int(starts[some[row]])
+        for space in block.spaces:
+            for item, cosine, start in self.near(space, columns, starts, ends, norms):
                 key = (item, start // (WINDOW * 2))
                 if cosine > best.get(key, (0.0, 0))[0]:
                     best[key] = (cosine, start)
