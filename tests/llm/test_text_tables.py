@@ -32,6 +32,20 @@ def test_archive_round_trip(spark):
     assert cas_archive.read_archive(cas_archive.write_archive(pages.limit(0))).count() == 0
 
 
+def test_archive_keeps_rows_without_an_id(spark):
+    rows = [(None, "a", "alone"), (None, "b", "alone"), (None, "c", "shared"), (7, "d", "shared"), (None, None, None), (None, "e", "größer")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = cas_archive.write_archive(pages)
+    assert archive.payloads.count() == 4
+    key = lambda html: base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+    want = [(page, len((html or "").encode()), key(html), "response" if page == 7 else "revisit", None) for page, _, html in rows]
+    got = cas_archive.read_archive(archive).select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    records = [bytes(row["record"]) for row in cas_archive.records(archive).collect()]
+    assert sorted(record.split(b"\r\n\r\n", 1)[1] for record in records) == sorted((html or "").encode() + b"\r\n\r\n" for _, _, html in rows)
+    assert sum(b"WARC-Record-ID: <urn:page:>\r\n" in record and b"WARC-Refers-To" not in record for record in records) == 5
+
+
 def test_damaged_payloads_stop_the_job(spark):
     import pytest
 

@@ -10,7 +10,9 @@ the digest are plain shuffles between written tables, whose hot digests adaptive
 
 Cases: a null payload is empty; null urls give an empty target; empty payloads are stored like any
 other; an empty table gives an empty archive; rows are told apart by id, of rows with equal id and
-payload one record is kept per row; extra columns are ignored.
+payload one record is kept per row; extra columns are ignored. Rows without an id have an empty
+record id and are ``revisit`` records that name none: nothing can refer to them, their payload is
+found by its digest, also where only such rows have it.
 """
 
 from __future__ import annotations
@@ -43,23 +45,27 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), CONV32, BASE32)
 
 
+def page_urn(record: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(record.cast("string"), F.lit("")), F.lit(">"))
+
+
 def header_block(kind: Column, record: Column, url: Column, digest: Column, length: Column, refers: Column) -> Column:
     """The lines of one record header, each closed by CRLF, with the empty line after them."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), record.cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", page_urn(record)),
         line("WARC-Date", F.lit(FETCHED)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-        F.when(refers.isNotNull(), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers.cast("string"), F.lit(">")))).otherwise(F.lit("")),
+        F.when(refers.isNotNull(), line("WARC-Refers-To", page_urn(refers))).otherwise(F.lit("")),
         F.when(
-            refers.isNotNull(),
+            kind == "revisit",
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         ).otherwise(F.lit("")),
         line("X-Payload-Length", length),
-        line("Content-Length", F.when(refers.isNotNull(), F.lit(0)).otherwise(length)),
+        line("Content-Length", F.when(kind == "revisit", F.lit(0)).otherwise(length)),
         F.lit(CRLF),
     )
 
@@ -76,17 +82,20 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         narrow.groupBy("digest").agg(F.min("record_id").alias("keeper"), F.first("sha1").alias("keeper_sha1"), F.first("payload_bytes").alias("keeper_bytes")),
         "warc-keepers",
     )
-    # The bytes travel once, to the row of the record that keeps them; rows of the same id keep one copy.
+    # The bytes travel once, to the row of the record that keeps them; rows of the same id keep one copy,
+    # and so do rows without one. The key is never null, so join and duplicates share one partitioning.
+    known = lambda name: F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")).alias("key")
     kept = (
-        hashed.select(F.col("record_id").alias("keeper"), "digest", "payload")
-        .join(keepers.select("keeper", "digest"), ["keeper", "digest"], "left_semi")
-        .dropDuplicates(["keeper", "digest"])
+        hashed.select(known("record_id"), "digest", "payload")
+        .join(keepers.select(known("keeper"), "digest"), ["key", "digest"], "left_semi")
+        .dropDuplicates(["key", "digest"])
         .select("digest", "payload")
     )
     payloads = stored(kept, "warc-payloads")
     linked = narrow.join(keepers.select("digest", "keeper"), "digest")
     refers = F.when((F.col("record_id") != F.col("keeper")) & (F.col("payload_bytes") >= revisit_bytes), F.col("keeper"))
-    kind = F.when(refers.isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))
+    first = (F.col("record_id") == F.col("keeper")) | (F.col("payload_bytes") < revisit_bytes)
+    kind = F.when(first, F.lit("response")).otherwise(F.lit("revisit"))
     headers = stored(
         linked.select(
             "digest",
