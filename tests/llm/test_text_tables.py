@@ -77,6 +77,22 @@ def test_main_text_of_a_page():
     assert tag_paths.main_text(None) == ""
 
 
+def test_main_text_without_punctuation_and_in_odd_wrappers():
+    text = "<p>A first paragraph, long enough to be one.</p><p>And a second one, as long as it. Really.</p>"
+    plain = "A first paragraph, long enough to be one.\nAnd a second one, as long as it. Really."
+    page = f"<article><div><h1>Headline</h1></div>{text}<ul><li>one item<li>another</ul><table><tr><td>cell</table><pre>code x</pre></article>"
+    assert tag_paths.main_text(page) == f"Headline\n{plain}\none item\nanother\ncell\ncode x"
+    menu = "<div><ol><li><a href='/'>Home</a><li><a href='/x'>Other pages</a></ol></div>"
+    assert tag_paths.main_text(f"{menu}<section>{text}<ul><li>one item</ul></section>") == f"{plain}\none item"
+    for wrapper in ("body class='has-sidebar'", "div id='page' class='with-sidebar'", "div class='search-results'"):
+        name = wrapper.split()[0]
+        assert tag_paths.main_text(f"<{wrapper}>{text}<div class='sidebar'>Side, ways.</div></{name}>") == plain
+    assert tag_paths.main_text(f"<div><div class='article-header'><h1>Headline</h1></div>{text}</div>") == f"Headline\n{plain}"
+    teasers = "<div><article>Read this.</article><article>And that.</article></div>"
+    assert tag_paths.main_text(f"<div>{text}</div>{teasers}").startswith(plain)
+    assert tag_paths.main_text(f"<div><p>Short, but it.</p></div><div id='comments'>{text}</div>") == "Short, but it."
+
+
 def test_pages_query_keeps_every_block_of_the_article(spark):
     import html
     import re
