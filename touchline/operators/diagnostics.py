@@ -107,7 +107,7 @@ def diagnose(states: DataFrame, models: Sequence[Model], population: str) -> Dat
     m0, m1, m2 = models
     edges = cut_lineage(edge_features(states, "target_index"))
     scored = cut_lineage(score(utility_rows(edges, models, "target_index")))
-    side = lambda name, c: F.max(F.when(F.col("model") == name.name, F.col(c)))
+    side = lambda model, c: F.max(F.when(F.col("model") == name_of(model), F.col(c)))
     moved = (
         expected_credits(scored)
         .where(F.col("target_index").isNotNull())
@@ -119,7 +119,7 @@ def diagnose(states: DataFrame, models: Sequence[Model], population: str) -> Dat
     )
     # Top blocks are a few short ids per state.
     tops = lambda m: F.array_join(
-        F.array_sort(F.collect_list(F.when((F.col("model") == m.name) & (F.col("block") == 0), F.col("id")))), ","
+        F.array_sort(F.collect_list(F.when((F.col("model") == name_of(m)) & (F.col("block") == 0), F.col("id")))), ","
     ).alias(f"{name_of(m)}_top")
     top_sets = scored.groupBy(*KEYS).agg(
         *[tops(m) for m in models],
