@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from touchline.llm import (
     cas_archive,
+    gkl_whitening,
     kneser_ney,
     latent_leaks,
     poisson_mix,
     radix_windows,
+    reversed_search,
     rule_forest,
     sentence_spans,
     simhash_bk,
     tag_paths,
+    toxic_lexicon,
     transcript_hmm,
 )
 from touchline.llm.common import table
@@ -133,4 +136,46 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.join(truth, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))).drop("c", "t")
 
 
+@query("op11_gkl_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gkl_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_reversed_search",
+    r"""
+WITH tokens AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+item_tokens AS (
+  SELECT iid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS iid, item_id, text FROM benchmark)),
+asked AS (SELECT iid, item_id, term, count(*) AS times FROM item_tokens GROUP BY ALL),
+lengths AS (SELECT rid, count(*) AS n FROM tokens GROUP BY rid),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths),
+met AS (SELECT rid, doc_id, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM met GROUP BY term), corpus),
+gains AS (
+  SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words))) AS gain
+  FROM met JOIN weights USING (term) JOIN lengths USING (rid), corpus),
+scores AS (
+  SELECT iid, item_id, rid, doc_id, CAST(sum(gain * times) AS BIGINT) AS score FROM gains JOIN asked USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id ASC NULLS LAST) <= 20
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_toxic_lexicon")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_lexicon.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
