@@ -73,6 +73,8 @@ class Entry(NamedTuple):
 
 def core(token: str) -> str:
     """A token without the marks around it; digits and signs that stand for letters are read as such."""
+    if token.isalpha():
+        return token
     bare = token.strip(PUNCTUATION)
     if not bare or bare.isalpha() or not any(map(str.isalpha, bare)):
         return bare
@@ -132,6 +134,7 @@ class Matcher:
         return self.numbers[state]
 
     def step(self, state: int, letter: str) -> int:
+        """The state after a letter, made if it's new; ``find`` asks only for steps it doesn't know."""
         known = letter if letter in self.letters[state] else None  # all other letters act alike
         after = self.steps[state].get(known)
         if after is None:
@@ -146,16 +149,18 @@ class Matcher:
                 for label, child in self.children[node].items():
                     reach(child, edits + (label != known))
             after = self.steps[state][known] = self.number(self.closed(least))
+        self.steps[state][letter] = after
         return after
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(edits, entry) of the closest entry of a word, or None."""
-        state, stem = self.start, None
+        state, stem, steps, at_once = self.start, None, self.steps, self.at_once
         for letter in word:
-            state = self.step(state, letter)
-            if state == self.dead:
+            after = steps[state].get(letter)
+            state = self.step(state, letter) if after is None else after
+            if not state:  # the dead state is number 0
                 return stem
-            once = self.at_once[state]
+            once = at_once[state]
             if once and (stem is None or once < stem):
                 stem = once
         found = [hit for hit in (self.at_end[state], stem) if hit]
