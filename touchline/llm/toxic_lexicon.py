@@ -1,7 +1,9 @@
 """Toxicity by a learned lexicon whose spellings are met through a Levenshtein automaton.
 
 **Lexicon.** On a bounded sample of labelled rows (``SAMPLE_ROWS`` of each label, by the hash of their id) Spark
-counts the toxic and the clean documents of every word and of every word beginning. Forms that are far more
+counts the toxic and the clean documents of every word and of every word beginning. Near copies would make
+the words of one text look like evidence, so of documents with the same smallest hash of a three-word run
+one counts. Forms that are far more
 frequent in toxic documents (likelihood ratio against the number of forms tried) become entries: whole
 words, or stems where the beginning says more than any single word.
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,10 @@ LEAST_LOG_RATIO = 2.0
 WINDOW = 6
 # Words that a worker remembers the outcome of.
 REMEMBERED = 300_000
+# States of the automaton that it keeps before it starts anew.
+STATES = 100_000
+# Words of a run whose smallest hash tells copies of a document.
+RUN = 3
 
 # Marks and words of quotation and of address.
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*_-~`´“”„«»‘’…¡¿#"
@@ -186,6 +193,8 @@ class Reader:
     def learn(self, words: set[str]) -> None:
         if len(self.misses) + len(self.hits) > REMEMBERED:
             self.hits, self.misses = {}, set()
+        if len(self.matcher.states) > STATES:
+            self.matcher = Matcher(self.model.entries)
         for word in words - self.misses - self.hits.keys():
             bare = core(word)
             found = self.matcher.find(bare) if bare else None
@@ -240,14 +249,30 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def signature(text: str | None) -> int:
+    """The smallest CRC of all runs of RUN words; copies and most near copies share it."""
+    words = text.lower().encode("utf-8").split() if text else []
+    return min((crc32(b" ".join(words[i : i + RUN])) for i in range(max(1, len(words) - RUN + 1))), default=0)
+
+
 def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most SAMPLE_ROWS labelled rows of each label outside the held-out fifth, written down."""
+    """(text, toxic) of at most SAMPLE_ROWS labelled rows of each label outside the held-out fifth, written down.
+
+    One document stands for those of the same label and signature.
+    """
     rated = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     rated = rated.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     by_hash = lambda toxic: rated.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     chosen = stored(by_hash(1).unionByName(by_hash(0)), "toxic-sample-ids")  # at most 2 x SAMPLE_ROWS ids
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return stored(texts.select("text", "toxic"), "toxic-sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+
+    def signed(batches):
+        for batch in batches:
+            signs = [signature(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.int64())], ["text", "toxic", "sign"])
+
+    by_sign = texts.mapInArrow(signed, "text string, toxic int, sign long").groupBy("sign", "toxic")
+    return stored(by_sign.agg(F.min("text").alias("text")).select("text", "toxic"), "toxic-sample")
 
 
 def form_counts(sample: DataFrame) -> DataFrame:
