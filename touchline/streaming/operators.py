@@ -1,134 +1,323 @@
-"""Structured Streaming forms of the time-ordered operators; each has a batch twin."""
+"""Structured Streaming forms of the time-ordered operators; each has a batch twin.
+
+A source ends with a closing row: no keys, and an event time beyond all others. It moves the watermark
+past every open window and timer, so what the last rows opened is finished and its state freed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+EPOCH, CLOSING = "2024-01-01 00:00:00", "2100-01-01 00:00:00"
+
+
+def epoch_us() -> Column:
+    return F.unix_micros(F.lit(EPOCH).cast("timestamp"))
+
+
+def event_time(t_us: Column) -> Column:
+    return F.timestamp_micros(epoch_us() + t_us)
+
+
+def fields(text: str) -> T.StructType:
+    """A schema from its text; needs the session, so processors make theirs when they are made."""
+    return T._parse_datatype_string(text)
+
+
+def closing_row(like: DataFrame, ts: str = "ts") -> DataFrame:
+    """The row that ends a source: nulls and a time after all others."""
+    fields = [F.lit(CLOSING if f.name == ts else None).cast(f.dataType).alias(f.name) for f in like.schema]
+    return like.sparkSession.range(1).select(*fields)
+
+
+class TimeBucket(StatefulProcessor):
+    """Holds the rows of one (match, period, time bucket) until no more can come, then resolves them.
+
+    A timer at ``close_ms`` fires once the watermark has passed; ``resolve`` gets all rows by clock,
+    and the state is emptied. A busy match spreads over its buckets, and a bucket's state is never
+    older than the bucket, its reach and the watermark's delay.
+    """
+
+    def __init__(self, columns: list[str], schema: T.StructType, resolve: Callable[[pd.DataFrame], pd.DataFrame]):
+        self.columns, self.schema, self.resolve = columns, schema, resolve
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        if not self.rows.exists():
+            self.handle.registerTimer(int(batch["close_ms"].iloc[0]))
+        # Whole numbers beside nulls reach pandas as floats, which a long of the state doesn't take.
+        whole = [int if isinstance(f.dataType, T.LongType) else str for f in self.schema]
+        self.rows.appendList(
+            [tuple(None if pd.isna(v) else kind(v) for kind, v in zip(whole, row)) for row in batch[self.columns].itertuples(index=False)]
+        )
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = pd.DataFrame(list(self.rows.get()), columns=self.columns).sort_values("t_us", kind="stable")
+        self.rows.clear()
+        found = self.resolve(rows)
+        found.insert(0, "match_id", key[0])
+        found.insert(1, "period", key[1])
+        yield found
+
+    def close(self) -> None:
+        pass
+
+
+BUCKET_ROWS = "t_us long, side string, event_id string, frame long"
+BUCKET_COLUMNS = ["t_us", "side", "event_id", "frame"]
+
+
+def watermarked(stream: DataFrame, delay: str) -> DataFrame:
+    """The stream with its watermark, without the closing row: a filter on the event time stays above the watermark."""
+    return stream.withWatermark("ts", delay).where(F.col("ts") < F.lit(CLOSING).cast("timestamp"))
 
-def decision_frames(events: DataFrame, frames: DataFrame, tolerance: str, delay: str) -> DataFrame:
-    """Latest strictly earlier frame per event within ``tolerance``, in append mode.
 
-    Both inputs carry match_id, period and an event-time column ``ts``; events also
-    event_id, frames also frame. The interval join bounds the state to the tolerance
-    plus the watermark delay; a match is emitted once the watermark passes its event.
+def _by_bucket(asked: DataFrame, frames: DataFrame, delay: str, width_us: int, before_us: int, after_us: int) -> DataFrame:
+    """Both streams as rows of time buckets; frames also go to the buckets that they are near to.
+
+    A bucket needs the frames up to ``before_us`` before its start and ``after_us`` beyond its end.
     """
-    e = events.withWatermark("ts", delay).select(
-        "match_id", "period", "event_id", F.col("ts").alias("event_ts")
+    bucket = lambda t: F.floor(t / width_us)
+    none = lambda kind: F.lit(None).cast(kind)
+    own = watermarked(asked, delay).select(
+        "match_id", "period", bucket(F.col("t_us")).alias("bucket"), "ts", "t_us", F.lit("asked").alias("side"), "event_id", F.col("frame").cast("long").alias("frame")
     )
-    f = frames.withWatermark("ts", delay).select(
-        F.col("match_id").alias("f_match"), F.col("period").alias("f_period"), "frame", F.col("ts").alias("frame_ts")
+    t = F.col("t_us")
+    wanted = F.when(t.isNull(), F.array(none("long"))).otherwise(F.sequence(bucket(t - after_us), bucket(t + before_us)))
+    seen = watermarked(frames, delay).select(
+        "match_id", "period", F.explode(wanted).alias("bucket"), "ts", "t_us", F.lit("frame").alias("side"), none("string").alias("event_id"), F.col("frame").cast("long").alias("frame")
     )
-    near = (
-        (F.col("match_id") == F.col("f_match"))
-        & (F.col("period") == F.col("f_period"))
-        & (F.col("frame_ts") < F.col("event_ts"))
-        & (F.col("frame_ts") >= F.col("event_ts") - F.expr(f"INTERVAL {tolerance}"))
+    closes = F.ceil((epoch_us() + (F.col("bucket") + 1) * width_us + after_us) / 1000)
+    return own.unionByName(seen).withColumn("close_ms", closes)
+
+
+def _in_buckets(rows: DataFrame, output: str, resolve: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    schema = fields(f"match_id string, period int, {output}")
+    processor = TimeBucket(BUCKET_COLUMNS, fields(BUCKET_ROWS), resolve)
+    return rows.groupBy("match_id", "period", "bucket").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
-    joined = e.join(f, near)
-    return joined.groupBy(F.window("event_ts", "1 second"), "match_id", "period", "event_id").agg(
-        F.max_by("frame", "frame_ts").alias("frame"), F.max("frame_ts").alias("frame_ts")
-    ).drop("window")
 
 
-def split_rejects(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frames usable downstream, and rejected ones with a reason."""
-    reason = (
+def decision_frames(events: DataFrame, frames: DataFrame, tolerance_us: int, width_us: int, delay: str) -> DataFrame:
+    """(match_id, period, event_id, t_us, frame, frame_clock, status) for every event of the stream.
+
+    The frame is the latest strictly earlier one, ``aligned`` if at most ``tolerance_us`` old; an
+    event whose latest frame is older, or that has none, is an ``invalid_decision_frame`` without one.
+    Both streams carry match_id, period, t_us and the event time ``ts``; events also event_id, frames
+    also frame. The batch twin is ``plans.asof.asof_before``.
+    """
+
+    def resolve(rows: pd.DataFrame) -> pd.DataFrame:
+        seen, asked = rows[rows["side"] == "frame"], rows[rows["side"] == "asked"]
+        clocks = seen["t_us"].to_numpy(np.int64)
+        at = np.searchsorted(clocks, asked["t_us"].to_numpy(np.int64), "left") - 1
+        near = np.maximum(at, 0)
+        aligned = (at >= 0) & (len(clocks) > 0)
+        if len(clocks):
+            aligned &= asked["t_us"].to_numpy(np.int64) - clocks[near] <= tolerance_us
+        pick = lambda column: pd.array([seen[column].iloc[i] if ok else None for i, ok in zip(near, aligned)], "Int64")
+        return pd.DataFrame(
+            {
+                "event_id": asked["event_id"].to_numpy(), "t_us": asked["t_us"].to_numpy(np.int64),
+                "frame": pick("frame"), "frame_clock": pick("t_us"),
+                "status": np.where(aligned, "aligned", "invalid_decision_frame"),
+            }
+        )
+
+    rows = _by_bucket(events.withColumn("frame", F.lit(None).cast("long")), frames, delay, width_us, tolerance_us, 0)
+    return _in_buckets(rows, "event_id string, t_us long, frame long, frame_clock long, status string", resolve)
+
+
+def neighbour_frames(centres: DataFrame, frames: DataFrame, positions: int, reach_us: int, width_us: int, delay: str) -> DataFrame:
+    """(match_id, period, event_id, frame, step): frames around each centre, in order of clock.
+
+    ``step`` counts frames from the centre's own, from -positions to positions; frames further than ``reach_us``
+    from it are left out. A centre names its frame and that frame's clock. The batch twin is
+    ``operators.boundary.neighbours``.
+    """
+
+    def resolve(rows: pd.DataFrame) -> pd.DataFrame:
+        seen, asked = rows[rows["side"] == "frame"], rows[rows["side"] == "asked"]
+        clocks, numbers = seen["t_us"].to_numpy(np.int64), seen["frame"].to_numpy(np.int64)
+        found = []
+        for event, centre, frame in zip(asked["event_id"], asked["t_us"], asked["frame"]):
+            begin, end = np.searchsorted(clocks, centre, "left"), np.searchsorted(clocks, centre, "right")
+            own = next((i for i in range(begin, end) if numbers[i] == frame), None)
+            if own is not None:
+                around = range(max(0, own - positions), min(len(clocks), own + positions + 1))
+                found += [(event, numbers[i], i - own) for i in around if abs(clocks[i] - centre) <= reach_us]
+        return pd.DataFrame(found, columns=["event_id", "frame", "step"])
+
+    # A frame between two of a centre's neighbours is itself within reach, so steps counted in the bucket are the whole order's.
+    rows = _by_bucket(centres, frames, delay, width_us, reach_us, reach_us)
+    return _in_buckets(rows, "event_id string, frame long, step long", resolve)
+
+
+def with_reason(frames: DataFrame) -> DataFrame:
+    """Reasons that a frame row shows by itself."""
+    return frames.withColumn(
+        "outcome",
         F.when(F.col("period").isNull(), "ignored_non_playing_period")
         .when(~F.col("period").isin(1, 2), "unsupported_period")
-        .when(F.col("t_us").isNull(), "unsupported_clock")
+        .when(F.col("t_us").isNull(), "unsupported_clock"),
     )
-    judged = batch.withColumn("reason", reason)
-    return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
 
 
-def reject_writer(good_path: str, reject_path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink with a side output; a replayed batch overwrites its own folder."""
+class RisingClock(StatefulProcessor):
+    """Keeps the latest clock of one period of a match and judges every later frame by it."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_rejects(batch)
-        good.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
+    def __init__(self, oldest_us: int):
+        self.oldest_us, self.clock = oldest_us, fields("clock long")
 
-    return write
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", self.clock)
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        open_rows = batch["outcome"].isna().to_numpy()
+        clocks = batch.loc[open_rows, "t_us"].to_numpy(np.int64)
+        if len(clocks):
+            first = self.latest.get()[0] if self.latest.exists() else np.iinfo(np.int64).min // 2
+            highest = np.maximum.accumulate(np.append(first, clocks))
+            behind = highest[:-1] - clocks
+            outcomes = batch["outcome"].to_numpy(object)
+            outcomes[open_rows] = np.where(behind < 0, "usable", np.where(behind > self.oldest_us, "too_old_frame", "non_monotone_clock"))
+            batch = batch.assign(outcome=outcomes)
+            self.latest.update((int(highest[-1]),))
+        yield batch[["match_id", "period", "frame", "t_us", "arrival", "outcome"]]
 
-def sliding_neighbourhood(frames: DataFrame, width: str, slide: str, delay: str) -> DataFrame:
-    """Frames in overlapping windows, the streaming view of a neighbourhood."""
-    return (
-        frames.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width, slide), "match_id", "period")
-        .agg(F.count(F.lit(1)).alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    def close(self) -> None:
+        pass
+
+
+def judged_frames(frames: DataFrame, oldest_us: int) -> DataFrame:
+    """Every frame of the stream with its outcome: ``usable``, or why it is rejected.
+
+    ``arrival`` numbers the frames of a period in the order in which the source gives them. A clock that doesn't rise above
+    all usable ones before is ``non_monotone_clock``, more than ``oldest_us`` behind ``too_old_frame``. Frames that
+    are rejected by what they say themselves touch no clock and are spread over keys of their own.
+    """
+    own = F.when(F.col("outcome").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("frame"), F.lit(16)))
+    output = "match_id string, period int, frame long, t_us long, arrival long, outcome string"
+    rows = with_reason(frames).select("match_id", "period", "frame", "t_us", "arrival", "outcome", own.alias("lane"))
+    return rows.groupBy("match_id", "period", "lane").transformWithStateInPandas(
+        statefulProcessor=RisingClock(oldest_us), outputStructType=fields(output), outputMode="Append", timeMode="None"
     )
 
 
+def routed(good_path: str, reject_path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink with a side output; a replayed batch overwrites its own folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # judged once for both outputs
+        try:
+            usable = F.col("outcome") == "usable"
+            batch.where(usable).write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
+            batch.where(~usable).write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return write
+
+
 def tumbling_profile(positions: DataFrame, width: str, delay: str) -> DataFrame:
     """Player rows and detections per match and window."""
     return (
-        positions.withWatermark("ts", delay)
+        watermarked(positions, delay)
         .groupBy(F.window("ts", width), "match_id")
         .agg(F.count(F.lit(1)).alias("player_rows"), F.count_if("is_detected").alias("detected"))
         .select("match_id", F.col("window.start").alias("window_start"), "player_rows", "detected")
     )
 
 
-JOURNAL_OUTPUT = T.StructType(
-    [
-        T.StructField("run", T.LongType()),
-        T.StructField("state", T.LongType()),
-        T.StructField("edges_started", T.LongType()),
-        T.StructField("edges_completed", T.LongType()),
-        T.StructField("violations", T.LongType()),
-        T.StructField("status", T.StringType()),
-    ]
+JOURNAL_OUTPUT = (
+    "run long, state long, edges_started long, edges_completed long, violations long, gaps long, status string"
 )
+COUNTERS = ["next", "started", "completed", "violations", "failed"]
 
 
 class LifecycleReplay(StatefulProcessor):
     """Ordered start / complete / fail transitions of one state of a run.
 
-    The key is (run, state), so one busy run spreads over many keys. Running counters
-    are a ValueState, the open edges a MapState. An illegal transition counts as a
-    violation; after a failure the state is closed.
+    The key is (run, state), so one busy run spreads over many keys. Records are numbered from 1; one that
+    comes early waits in a MapState until those before it are there. An illegal transition counts as a
+    violation, and after a failure every record is one. When the journal is closed, the timer replays what still waits
+    across the gaps, gives the final account and empties the state.
     """
 
+    def __init__(self):
+        shapes = ", ".join(f"{n} long" for n in COUNTERS), "edge string", "phase string", "sequence long", "edge string, action string"
+        self.shapes = [fields(shape) for shape in shapes]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        counters = T.StructType(
-            [T.StructField(n, T.LongType()) for n in ("started", "completed", "violations", "failed")]
-        )
+        self.handle = handle
+        counters, edge, phase, number, record = self.shapes
         self.counters = handle.getValueState("counters", counters)
-        self.edges = handle.getMapState(
-            "edges",
-            T.StructType([T.StructField("edge", T.StringType())]),
-            T.StructType([T.StructField("phase", T.StringType())]),
-        )
+        self.edges = handle.getMapState("edges", edge, phase)
+        self.waiting = handle.getMapState("waiting", number, record)
+
+    def _step(self, account: dict, edge: str, action: str) -> None:
+        known = self.edges.getValue((edge,))[0] if self.edges.containsKey((edge,)) else None
+        if account["failed"]:
+            account["violations"] += 1
+        elif action == "started" and known is None:
+            self.edges.updateValue((edge,), ("started",))
+            account["started"] += 1
+        elif action == "completed" and known == "started":
+            self.edges.updateValue((edge,), ("completed",))
+            account["completed"] += 1
+        elif action == "failed" and known == "started":
+            account["failed"] = 1
+        else:
+            account["violations"] += 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        started, completed, violations, failed = self.counters.get() if self.counters.exists() else (0, 0, 0, 0)
-        batch = pd.concat(list(rows)).sort_values("sequence")
-        for edge, action in zip(batch["edge"], batch["action"]):
-            known = self.edges.getValue((edge,))[0] if self.edges.containsKey((edge,)) else None
-            if failed:
-                violations += 1
-            elif action == "started" and known is None:
-                self.edges.updateValue((edge,), ("started",))
-                started += 1
-            elif action == "completed" and known == "started":
-                self.edges.updateValue((edge,), ("completed",))
-                completed += 1
-            elif action == "failed" and known == "started":
-                failed = 1
-            else:
-                violations += 1
-        self.counters.update((started, completed, violations, failed))
-        status = "failure" if failed else "complete" if started and started == completed else "active"
+        batch = pd.concat(list(rows)).sort_values("sequence", kind="stable")
+        if self.counters.exists():
+            account = dict(zip(COUNTERS, self.counters.get()))
+        else:
+            account = dict.fromkeys(COUNTERS, 0) | {"next": 1}
+            self.handle.registerTimer(int(batch["close_ms"].iloc[0]))
+        for sequence, edge, action in zip(batch["sequence"], batch["edge"], batch["action"]):
+            if sequence == account["next"]:
+                self._step(account, edge, action)
+                account["next"] += 1
+                while self.waiting.containsKey((account["next"],)):
+                    later = self.waiting.getValue((account["next"],))
+                    self.waiting.removeKey((account["next"],))
+                    self._step(account, *later)
+                    account["next"] += 1
+            elif sequence > account["next"]:
+                self.waiting.updateValue((int(sequence),), (edge, action))
+            # A number that was replayed before is a repeated delivery.
+        self.counters.update(tuple(account[n] for n in COUNTERS))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        account, gaps = dict(zip(COUNTERS, self.counters.get())), 0
+        for (sequence,), (edge, action) in sorted(((tuple(k), tuple(v)) for k, v in self.waiting.iterator())):
+            gaps += sequence - account["next"]
+            self._step(account, edge, action)
+            account["next"] = sequence + 1
+        for state in (self.counters, self.edges, self.waiting):
+            state.clear()
+        done = account["started"] > 0 and account["started"] == account["completed"]
         yield pd.DataFrame(
             {
-                "run": [key[0]], "state": [key[1]], "edges_started": [started], "edges_completed": [completed],
-                "violations": [violations], "status": [status],
+                "run": [key[0]], "state": [key[1]], "edges_started": [account["started"]], "edges_completed": [account["completed"]],
+                "violations": [account["violations"]], "gaps": [gaps],
+                "status": ["failure" if account["failed"] else "complete" if done else "unresolved"],
             }
         )
 
@@ -136,29 +325,30 @@ class LifecycleReplay(StatefulProcessor):
         pass
 
 
-def replay_journal(journal: DataFrame) -> DataFrame:
-    """Journal rows (run, state, edge, sequence, action) -> latest accounts per state (update mode)."""
-    return journal.groupBy("run", "state").transformWithStateInPandas(
+def replay_journal(journal: DataFrame, horizon: str, delay: str) -> DataFrame:
+    """Journal rows (run, state, edge, sequence, action, ts) -> one final account per state (append mode).
+
+    A state is closed once the watermark is ``horizon`` beyond the first record that was read of it.
+    """
+    closes = F.unix_millis(F.col("ts") + F.expr(f"INTERVAL {horizon}"))
+    timed = watermarked(journal, delay).withColumn("close_ms", closes)
+    return timed.groupBy("run", "state").transformWithStateInPandas(
         statefulProcessor=LifecycleReplay(),
-        outputStructType=JOURNAL_OUTPUT,
-        outputMode="Update",
-        timeMode="None",
+        outputStructType=fields(JOURNAL_OUTPUT),
+        outputMode="Append",
+        timeMode="EventTime",
     )
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """The stateful processor needs the RocksDB state store."""
+    """The stateful processors need the RocksDB state store."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is available now into a parquet folder and stop."""
-    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint)
-    if mode == "append":
-        query = writer.format("parquet").option("path", path).start()
-    else:
-        query = writer.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}")).start()
-    query.awaitTermination()
+def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is available now into a parquet folder and stop (append mode)."""
+    writer = df.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    writer.format("parquet").option("path", path).start().awaitTermination()
