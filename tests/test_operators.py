@@ -183,6 +183,76 @@ def test_resolution_ladder_settles_all_components(spark):
     assert all(r["intervals"] for r in fd.resolution_ladder(pair, "isotropic", counts, with_combined=False).collect())
 
 
+FIELD_COUNTS = (4, 8, 16, 32, 64, 128)
+
+
+def plain_strength(kind, o, d, q):
+    if kind == "isotropic":
+        return math.exp(-((q[0] - d[0]) ** 2 + (q[1] - d[1]) ** 2) / 8)
+    r = math.hypot(d[0] - o[0], d[1] - o[1])
+    u = ((d[0] - o[0]) / r, (d[1] - o[1]) / r)
+    ell, side = (q[0] - d[0]) * u[0] + (q[1] - d[1]) * u[1], abs((q[0] - d[0]) * u[1] - (q[1] - d[1]) * u[0])
+    gate = min(1.0, max(0.0, ell))
+    width = 2.0 + (max(ell, 0.0) * math.tan(math.radians(10)) if kind == "expanding" else 0.0)
+    return gate * gate * (3 - 2 * gate) * math.exp(-0.5 * (side / width) ** 2)
+
+
+def plain_components(kind, end, defenders, n):
+    """Simpson averages of every component over n intervals of the edge from the origin."""
+    totals = [0.0] * (len(defenders) + 2)
+    for i in range(n + 1):
+        weight = 1 if i in (0, n) else 4 if i % 2 else 2
+        v = [plain_strength(kind, (0, 0), d, (end[0] * i / n, end[1] * i / n)) for d in defenders]
+        v += [1 - math.prod(1 - x for x in v), max(v)]
+        totals = [t + weight * x / (3 * n) for t, x in zip(totals, v)]
+    return totals
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "constant_width", "expanding"])
+def test_sampled_fields_against_single_points(spark, kind):
+    from touchline.operators import sampled as sm
+
+    defenders, ends = [(4.0, 1.0), (8.0, -2.0), (9.0, 2.5)], {0: (14.0, 1.0), 1: (3.0, -4.0), 2: (0.0, 0.0)}
+    rows = sm.edge_rows(state(spark, [(str(k), *v) for k, v in ends.items()], defenders))
+    found = {r["ord"]: r for r in sm.summaries(rows, kind, (0.25, 0.125), 1e-6).collect()}
+    single = {(r["ord"], r["d"]): r for r in sm.individual_averages(rows, kind, (0.25, 0.125)).collect()}
+    for k, end in ends.items():
+        length = math.hypot(*end)
+        at_end = plain_components(kind, end, defenders, 1)[:0] + [plain_strength(kind, (0, 0), d, end) for d in defenders]
+        assert found[k]["receiver_maximum"] == pytest.approx(max(at_end), abs=1e-12)
+        if not length:
+            assert found[k]["fine_intervals"] == 0 and found[k]["agrees"] and found[k]["segment_maximum"] == found[k]["receiver_maximum"]
+            continue
+        coarse, fine = (plain_components(kind, end, defenders, max(2, 2 * math.ceil(length / (2 * s)))) for s in (0.25, 0.125))
+        assert [single[k, d]["fine"] for d in range(3)] == pytest.approx(fine[:3], abs=1e-12)
+        assert [found[k]["segment_union"], found[k]["segment_maximum"]] == pytest.approx(fine[3:], abs=1e-12)
+        error = max(abs(a - b) for a, b in zip(coarse, fine))
+        assert found[k]["agreement_error"] == pytest.approx(error, abs=1e-12)
+        assert found[k]["agrees"] == (error <= 1e-6) == (found[k]["failed_component"] is None)
+    rungs = {}
+    for r in sm.ladder(rows, kind, FIELD_COUNTS, 1e-4).collect():
+        rungs.setdefault(r["ord"], {})[r["component"]] = (r["average"], r["intervals"], r["change"])
+    for k, end in ends.items():
+        before = plain_components(kind, end, defenders, FIELD_COUNTS[0])
+        for n in FIELD_COUNTS[1:]:
+            now = plain_components(kind, end, defenders, n)
+            change = max(abs(a - b) for a, b in zip(before, now))
+            before = now
+            if change <= 1e-4:
+                break
+        names = ["0", "1", "2", "union", "maximum"]
+        assert [rungs[k][c][0] for c in names] == pytest.approx(before, abs=1e-12)
+        assert {rungs[k][c][1] for c in names} == {n if change <= 1e-4 else None}
+        assert rungs[k]["0"][2] == pytest.approx(change, abs=1e-12)
+
+
+def test_ladder_tells_a_recorder_its_open_edges(spark):
+    seen = []
+    pair = state(spark, [("a", 12.0, 1.0), ("b", 0.0, 0.0)], [(5.0, 1.0), (8.0, -2.0)])
+    fd.resolution_ladder(pair, "isotropic", (8, 16, 32), on_level=lambda n, left: seen.append((n, left)))
+    assert seen == [(8, 2), (16, 1), (32, 1)]
+
+
 def test_model_validation(spark):
     m0 = DEMO_MODELS["m0"]
     faults = [m0[:2], [m0[1]._replace(ord=0), *m0[1:]], [m0[0]._replace(scale=0.0), *m0[1:]], [*m0[:2], m0[2]._replace(coef=float("inf"))]]

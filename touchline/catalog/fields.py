@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from touchline.catalog.base import (
     EDGES, RANKED, ROUNDED_STATS, STAT_COLUMNS, macro_summary_sql, quantiles_sql, query, units_sql, with_ctes,
@@ -13,6 +14,7 @@ from touchline.functions.scalars import rounded
 from touchline.operators import evaluation as ev
 from touchline.operators import fields as fd
 from touchline.operators import options as op
+from touchline.operators import sampled as sm
 from touchline.operators import study as sd
 from touchline.plans.ties import tie_blocks
 from touchline.sources import testtables as tt
@@ -109,14 +111,11 @@ def _(spark, sf_dir):
 @query(
     "prj23_edge_sample_grid",
     with_ctes(EDGES)
-    + """SELECT event_id, id, CAST(greatest(2, 2 * ceil(dist / 0.5e0 - 1e-12)) AS INTEGER) AS coarse, CAST(greatest(2, 2 * ceil(dist / 0.25e0 - 1e-12)) AS INTEGER) AS fine FROM edge""",
+    + """SELECT event_id, id, CAST(greatest(2, 2 * ceil(dist / 0.5e0)) AS INTEGER) AS coarse, CAST(greatest(2, 2 * ceil(dist / 0.25e0)) AS INTEGER) AS fine FROM edge""",
 )
 def _(spark, sf_dir):
-    rows = op.pass_vector(op.candidate_rows(tt.states(spark, sf_dir)))
-    return rows.select(
-        "event_id", "id",
-        *[fd.grid_intervals(F.col("distance"), s).alias(n) for n, s in fd.SPACINGS.items()],
-    )
+    rows = op.candidate_rows(tt.states(spark, sf_dir))
+    return rows.select("event_id", "id", *[fd.grid_intervals(s).alias(n) for n, s in fd.SPACINGS.items()])
 
 
 _BREAKS = """
@@ -135,130 +134,179 @@ def _(spark, sf_dir):
     return fd.onset_breakpoints(rays(spark, sf_dir)).select("event_id", "ord", rounded(F.col("t")).alias("t"))
 
 
-def _grid_sql(kind, n):
-    return f"""gridded AS (
-  SELECT k, match_id, event_id, j, d, n, i, {field_sql(kind, 'qx', 'qy')} AS v FROM (
-    SELECT *, cx + (i / CAST(n AS DOUBLE)) * vx AS qx, cy + (i / CAST(n AS DOUBLE)) * vy AS qy FROM (
-      SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, {n} AS n FROM ray))))"""
+def _steps_sql(spacing):
+    """The number of intervals of an edge at a spacing."""
+    return f"CAST(greatest(2, 2 * ceil(len / {2 * spacing!r})) AS BIGINT)"
+
+
+def _grid_sql(kinds, spacing, name="gridded"):
+    """Values of all points of the edges that have a length, for each of some fields."""
+    values = " UNION ALL ".join(f"SELECT '{kind}' AS field, *, {field_sql(kind, 'qx', 'qy')} AS v FROM {name}_points" for kind in kinds)
+    return f"""{name}_points AS (
+  SELECT *, cx + (i / CAST(n AS DOUBLE)) * vx AS qx, cy + (i / CAST(n AS DOUBLE)) * vy AS qy FROM (
+    SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, {_steps_sql(spacing)} AS n FROM ray WHERE len > 1e-9))),
+{name} AS ({values})"""
 
 
 _WEIGHT = "CASE WHEN i = 0 OR i = n THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END / (3e0 * n)"
+KINDS = ("isotropic", "constant_width", "expanding")
+COARSE, FINE = fd.SPACINGS["coarse"], fd.SPACINGS["fine"]
+
+
+def each_field(spark, sf_dir, build, kinds=KINDS):
+    """``build(edge rows, field)`` for every field, with its name."""
+    rows = sm.edge_rows(tt.states(spark, sf_dir))
+    parts = [build(rows, kind).withColumn("field", F.lit(kind)) for kind in kinds]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
     "agg48_simpson_individual",
-    with_ctes(RAYS, _grid_sql("constant_width", "16"))
-    + f"""SELECT event_id, CAST(j AS INTEGER) AS ord, CAST(d AS INTEGER) AS d, round(sum({_WEIGHT} * v), 6) + 0e0 AS average
-    FROM gridded GROUP BY event_id, j, d""",
+    with_ctes(RAYS, _grid_sql(KINDS, COARSE, "coarse_grid"), _grid_sql(KINDS, FINE, "fine_grid"))
+    + f""", coarse AS (SELECT field, k, event_id, j, d, sum({_WEIGHT} * v) AS average FROM coarse_grid GROUP BY ALL),
+    fine AS (SELECT field, k, event_id, j, d, sum({_WEIGHT} * v) AS average FROM fine_grid GROUP BY ALL)
+    SELECT field, event_id, CAST(j AS INTEGER) AS ord, CAST(d AS INTEGER) AS d, round(c.average, 6) + 0e0 AS coarse, round(f.average, 6) + 0e0 AS fine
+    FROM coarse c JOIN fine f USING (field, k, event_id, j, d)""",
 )
 def _(spark, sf_dir):
-    points = fd.on_grid(rays(spark, sf_dir), "constant_width", F.lit(16))
-    return fd.simpson_individual(points).select("event_id", "ord", "d", rounded(F.col("average")).alias("average"))
-
-
-def _edge_field_sql(kind):
-    fine = "CAST(greatest(2, 2 * ceil(len / 0.25e0 - 1e-12)) AS BIGINT)"
-    return (
-        _endpoint_sql(kind),
-        _grid_sql(kind, fine).replace("FROM ray)", "FROM ray WHERE len > 1e-9)"),
-        f"""at_point AS (SELECT k, j, n, i, {UNION_SQL} AS u, max(v) AS m FROM gridded GROUP BY k, j, n, i),
-segment AS (SELECT k, j, max(n) AS n, sum({_WEIGHT} * u) AS su, sum({_WEIGHT} * m) AS sm FROM at_point GROUP BY k, j),
-edge_field AS (
-  SELECT e.*, coalesce(su, u) AS su, coalesce(sm, m) AS sm, coalesce(n, 0) AS fine_intervals
-  FROM endpoint e LEFT JOIN segment s USING (k, j))""",
-    )
+    rows = each_field(spark, sf_dir, lambda rows, kind: sm.individual_averages(rows, kind, (COARSE, FINE)))
+    return rows.select("field", "event_id", "ord", "d", *[rounded(F.col(c)).alias(c) for c in ("coarse", "fine")])
+
+
+def _segment_sql(name):
+    """Segment averages of all components: one row per edge and single defender, with union and maximum."""
+    return f"""{name}_single AS (SELECT field, k, j, d, sum({_WEIGHT} * v) AS average FROM {name}_grid GROUP BY ALL),
+{name}_joint AS (SELECT field, k, j, max(n) AS n, sum({_WEIGHT} * u) AS su, sum({_WEIGHT} * m) AS sm FROM (
+  SELECT field, k, j, n, i, {UNION_SQL} AS u, max(v) AS m FROM {name}_grid GROUP BY ALL) GROUP BY ALL)"""
+
+
+_ALL_ENDS = "endpoint AS (" + " UNION ALL ".join(
+    f"SELECT '{kind}' AS field, k, event_id, j, {UNION_SQL} AS u, max(v) AS m FROM (SELECT *, {field_sql(kind, 'rx', 'ry')} AS v FROM ray) GROUP BY ALL"
+    for kind in KINDS
+) + ")"
 
 
 @query(
     "agg49_edge_field_summary",
-    with_ctes(RAYS, *_edge_field_sql("constant_width"))
-    + """SELECT event_id, CAST(j AS INTEGER) AS ord, round(u, 6) + 0e0 AS receiver_union, round(m, 6) + 0e0 AS receiver_maximum,
-    round(su, 6) + 0e0 AS segment_union, round(sm, 6) + 0e0 AS segment_maximum, CAST(fine_intervals AS INTEGER) AS fine_intervals FROM edge_field""",
+    with_ctes(RAYS, _ALL_ENDS, _grid_sql(KINDS, COARSE, "coarse_grid"), _grid_sql(KINDS, FINE, "fine_grid"), _segment_sql("coarse"), _segment_sql("fine"))
+    + """, apart AS (SELECT c.field, c.k, c.j, max(abs(f.average - c.average)) AS own FROM coarse_single c JOIN fine_single f USING (field, k, j, d) GROUP BY ALL),
+    joined AS (
+      SELECT e.*, f.su, f.sm, c.su AS cu, c.sm AS cm, coalesce(c.n, 0) AS coarse_n, coalesce(f.n, 0) AS fine_n, own, abs(f.su - c.su) AS du, abs(f.sm - c.sm) AS dm
+      FROM endpoint e LEFT JOIN coarse_joint c USING (field, k, j) LEFT JOIN fine_joint f USING (field, k, j) LEFT JOIN apart USING (field, k, j)),
+    judged AS (SELECT *, coalesce(greatest(own, du, dm), 0) AS error FROM joined)
+    SELECT field, event_id, CAST(j AS INTEGER) AS ord, round(u, 6) + 0e0 AS receiver_union, round(m, 6) + 0e0 AS receiver_maximum,
+      round(coalesce(su, u), 6) + 0e0 AS segment_union, round(coalesce(sm, m), 6) + 0e0 AS segment_maximum, CAST(coarse_n AS INTEGER) AS coarse_intervals,
+      CAST(fine_n AS INTEGER) AS fine_intervals, error <= 1e-6 AS agrees,
+      CASE WHEN error <= 1e-6 THEN NULL WHEN own >= error - 1e-12 THEN 'individual' WHEN du >= error - 1e-12 THEN 'union' ELSE 'maximum' END AS failed_component
+    FROM judged""",
 )
 def _(spark, sf_dir):
-    rows = fd.edge_fields(tt.states(spark, sf_dir), "constant_width")
+    rows = each_field(spark, sf_dir, lambda rows, kind: sm.summaries(rows, kind, (COARSE, FINE), fd.AGREEMENT))
     names = ("receiver_union", "receiver_maximum", "segment_union", "segment_maximum")
-    return rows.select("event_id", "ord", *[rounded(F.col(c)).alias(c) for c in names], "fine_intervals")
+    return rows.select(
+        "field", "event_id", "ord", *[rounded(F.col(c)).alias(c) for c in names],
+        "coarse_intervals", "fine_intervals", "agrees", "failed_component",
+    )
+
+
+@query(
+    "agg49_agreement_failures",
+    with_ctes(RAYS, _grid_sql(KINDS, COARSE, "coarse_grid"), _grid_sql(KINDS, FINE, "fine_grid"), _segment_sql("coarse"), _segment_sql("fine"))
+    + """, apart AS (
+      SELECT field, k, j, 'individual' AS kind, abs(f.average - c.average) AS gap FROM coarse_single c JOIN fine_single f USING (field, k, j, d)
+      UNION ALL SELECT field, k, j, unnest(['union', 'maximum']), unnest([abs(f.su - c.su), abs(f.sm - c.sm)]) FROM coarse_joint c JOIN fine_joint f USING (field, k, j)),
+    worst AS (SELECT field, k, j, max(gap) AS error, max(gap) FILTER (kind = 'individual') AS own, max(gap) FILTER (kind = 'union') AS du FROM apart GROUP BY ALL),
+    failed AS (SELECT field, error, CASE WHEN own >= error - 1e-12 THEN 'individual' WHEN du >= error - 1e-12 THEN 'union' ELSE 'maximum' END AS failed_component
+      FROM worst WHERE error > 1e-6)
+    SELECT field, failed_component, count(*) AS edges, round(max(error), 8) AS largest_error FROM failed GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    rows = each_field(spark, sf_dir, lambda rows, kind: sm.summaries(rows, kind, (COARSE, FINE), fd.AGREEMENT))
+    failed = rows.where(~F.col("agrees")).groupBy("field", "failed_component")
+    return failed.agg(F.count(F.lit(1)).alias("edges"), rounded(F.max("agreement_error"), 8).alias("largest_error"))
 
 
 @query("agg50_resolution_ladder")
 def _(spark, sf_dir):
-    # The usual ladder, entered three doublings earlier; the stopping rule is the same.
-    counts = (32, 64, 128, *fd.LADDER)
-    settled = fd.resolution_ladder(tt.states(spark, sf_dir), "isotropic", counts, with_combined=False)
-    return settled.groupBy("intervals").agg(
-        F.count(F.lit(1)).alias("components"), F.max("change").alias("largest_change")
+    return each_field(spark, sf_dir, lambda rows, kind: sm.ladder(rows, kind, fd.LADDER, fd.LADDER_CHANGE)).select(
+        "field", "event_id", "ord", "component", "average", "intervals", "change"
     )
 
 
+@query("udf05_recorded_ladder")
+def _(spark, sf_dir):
+    """What a recorder sees of a running ladder: the edges that are open after every level of every field."""
+    steps = []
+    for kind in KINDS:
+        fd.resolution_ladder(tt.states(spark, sf_dir), kind, on_level=lambda n, edges, kind=kind: steps.append((kind, n, edges)))
+    return spark.createDataFrame(steps, "field string, intervals int, open_edges long")
+
+
+SHADOWS = ("constant_width", "expanding")
+
+
 @query(
     "agg51_split_simpson",
     with_ctes(RAYS, _BREAKS)
     + f""", marks AS (SELECT k, event_id, j, t FROM breaks UNION SELECT DISTINCT k, event_id, j, unnest([0e0, 1e0]) FROM ray),
     piece AS (SELECT * FROM (SELECT *, lead(t) OVER (PARTITION BY k, j ORDER BY t) AS upper FROM marks) WHERE upper - t > 1e-12),
     stepped AS (SELECT *, unnest(range(n + 1)) AS i FROM (
-      SELECT r.*, p.t AS lower, p.upper, CAST(greatest(2, 2 * ceil(16 * (p.upper - p.t) / 2)) AS BIGINT) AS n FROM ray r JOIN piece p USING (k, j))),
-    peaks AS (SELECT k, event_id, j, lower, upper, n, i, max({field_sql('constant_width', 'qx', 'qy')}) AS v FROM (
-      SELECT *, cx + (lower + (i / CAST(n AS DOUBLE)) * (upper - lower)) * vx AS qx, cy + (lower + (i / CAST(n AS DOUBLE)) * (upper - lower)) * vy AS qy FROM stepped)
-      GROUP BY ALL)
-    SELECT event_id, CAST(j AS INTEGER) AS ord, round(sum((upper - lower) * {_WEIGHT} * v), 6) + 0e0 AS average FROM peaks GROUP BY event_id, j""",
+      SELECT r.*, p.t AS lower, p.upper, CAST(greatest(2, 2 * ceil({_steps_sql(FINE)} * (p.upper - p.t) / 2)) AS BIGINT) AS n FROM ray r JOIN piece p USING (k, j))),
+    points AS (SELECT *, cx + (lower + (i / CAST(n AS DOUBLE)) * (upper - lower)) * vx AS qx, cy + (lower + (i / CAST(n AS DOUBLE)) * (upper - lower)) * vy AS qy FROM stepped),
+    peaks AS ({" UNION ALL ".join(f"SELECT '{kind}' AS field, event_id, j, lower, upper, n, i, max({field_sql(kind, 'qx', 'qy')}) AS v FROM points GROUP BY ALL" for kind in SHADOWS)})
+    SELECT field, event_id, CAST(j AS INTEGER) AS ord, round(sum((upper - lower) * {_WEIGHT} * v), 6) + 0e0 AS average, count(*) AS evaluations
+    FROM peaks GROUP BY ALL""",
 )
 def _(spark, sf_dir):
-    relations = rays(spark, sf_dir)
-    rows = fd.split_simpson(relations, fd.onset_breakpoints(relations), "constant_width", 16)
-    return rows.select("event_id", "ord", rounded(F.col("average")).alias("average"))
+    rows = each_field(spark, sf_dir, lambda rows, kind: sm.split_averages(rows, kind, FINE), SHADOWS)
+    return rows.select("field", "event_id", "ord", rounded(F.col("average")).alias("average"), "evaluations")
 
 
-STEPS = 16
-_OWNERS = f"""{_grid_sql('isotropic', str(STEPS))},
-owned AS (SELECT k, event_id, j, n, i, max(env) AS env, coalesce(string_agg(d, ',' ORDER BY d) FILTER (env - v <= 1e-12 AND env > 0), '') AS owners
-  FROM (SELECT *, max(v) OVER (PARTITION BY k, j, i) AS env FROM gridded) GROUP BY k, event_id, j, n, i),
+_OWNERS = f"""{_grid_sql(KINDS, COARSE)},
+owned AS (SELECT field, k, event_id, j, n, i, max(env) AS env, coalesce(string_agg(d, ',' ORDER BY d) FILTER (env - v <= 1e-12 AND env > 0), '') AS owners
+  FROM (SELECT *, max(v) OVER (PARTITION BY field, k, j, i) AS env FROM gridded) GROUP BY field, k, event_id, j, n, i),
 stepped AS (SELECT *, lag(owners) OVER w AS previous_owners, lag(env) OVER w AS before, lead(env) OVER w AS after FROM owned
-  WINDOW w AS (PARTITION BY k, j ORDER BY i))"""
-
-
-def owner_steps(spark, sf_dir):
-    return fd.owner_steps(fd.on_grid(rays(spark, sf_dir), "isotropic", F.lit(STEPS)))
+  WINDOW w AS (PARTITION BY field, k, j ORDER BY i))"""
 
 
 @query(
     "win11_envelope_owner_runs",
     with_ctes(RAYS, _OWNERS)
-    + """, runs AS (SELECT *, sum(CASE WHEN previous_owners = owners THEN 0 ELSE 1 END) OVER (PARTITION BY k, j ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM stepped)
-    SELECT event_id, CAST(j AS INTEGER) AS ord, owners, CAST(min(i) AS INTEGER) AS first_step, CAST(max(i) AS INTEGER) AS last_step
-    FROM runs GROUP BY event_id, j, run, owners""",
+    + """, runs AS (SELECT *, sum(CASE WHEN previous_owners = owners THEN 0 ELSE 1 END) OVER (PARTITION BY field, k, j ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM stepped)
+    SELECT field, event_id, CAST(j AS INTEGER) AS ord, owners, CAST(min(i) AS INTEGER) AS first_step, CAST(max(i) AS INTEGER) AS last_step
+    FROM runs GROUP BY field, event_id, j, run, owners""",
 )
 def _(spark, sf_dir):
-    return fd.owner_runs(owner_steps(spark, sf_dir)).select("event_id", "ord", "owners", "first_step", "last_step")
+    rows = each_field(spark, sf_dir, lambda rows, kind: sm.owner_runs(rows, kind, COARSE))
+    return rows.select("field", "event_id", "ord", "owners", "first_step", "last_step")
 
 
 @query(
     "win12_difference_brackets",
-    with_ctes(RAYS, _grid_sql("isotropic", "8"))
-    + """, signs AS (SELECT a.k, a.event_id, a.j, a.d AS a, b.d AS b, a.i, sign(a.v - b.v) AS s FROM gridded a JOIN gridded b
-      ON a.k = b.k AND a.j = b.j AND a.i = b.i AND a.d < b.d),
-    stepped AS (SELECT *, lag(s) OVER (PARTITION BY k, j, a, b ORDER BY i) AS p FROM signs)
-    SELECT event_id, CAST(j AS INTEGER) AS ord, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, 'bracket' AS kind, CAST(i - 1 AS INTEGER) AS lower, CAST(i AS INTEGER) AS upper
+    with_ctes(RAYS, _grid_sql(KINDS, COARSE))
+    + """, pointwise AS (SELECT field, k, event_id, j, n, i, list(v ORDER BY d) AS vs FROM gridded GROUP BY ALL),
+    pairs AS (SELECT field, k, event_id, j, i, a, b, sign(vs[a + 1] - vs[b + 1]) AS s FROM (
+      SELECT *, unnest(range(a + 1, len(vs))) AS b FROM (SELECT *, unnest(range(len(vs))) AS a FROM pointwise))),
+    stepped AS (SELECT *, lag(s) OVER (PARTITION BY field, k, j, a, b ORDER BY i) AS p FROM pairs)
+    SELECT field, event_id, CAST(j AS INTEGER) AS ord, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, 'bracket' AS kind, CAST(i - 1 AS INTEGER) AS lower, CAST(i AS INTEGER) AS upper
     FROM stepped WHERE s * p < 0
-    UNION ALL SELECT event_id, CAST(j AS INTEGER), CAST(a AS INTEGER), CAST(b AS INTEGER), 'plateau', CAST(min(i) AS INTEGER), CAST(max(i) AS INTEGER)
-    FROM (SELECT *, i - row_number() OVER (PARTITION BY k, j, a, b ORDER BY i) AS g FROM stepped WHERE s = 0) GROUP BY k, event_id, j, a, b, g""",
+    UNION ALL SELECT field, event_id, CAST(j AS INTEGER), CAST(a AS INTEGER), CAST(b AS INTEGER), 'plateau', CAST(min(i) AS INTEGER), CAST(max(i) AS INTEGER)
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY field, k, j, a, b ORDER BY i) AS g FROM stepped WHERE s = 0) GROUP BY field, k, event_id, j, a, b, g""",
 )
 def _(spark, sf_dir):
-    points = fd.on_grid(rays(spark, sf_dir), "isotropic", F.lit(8))
-    return fd.difference_brackets(points).select("event_id", "ord", "a", "b", "kind", "lower", "upper")
+    rows = each_field(spark, sf_dir, lambda rows, kind: sm.brackets(rows, kind, COARSE))
+    return rows.select("field", "event_id", "ord", "a", "b", "kind", "lower", "upper")
 
 
 @query(
     "win13_envelope_slope_change",
     with_ctes(RAYS, _OWNERS)
-    + """SELECT event_id, CAST(j AS INTEGER) AS ord, CAST(i AS INTEGER) AS i, round((env - before) * n, 5) + 0e0 AS left_slope, round((after - env) * n, 5) + 0e0 AS right_slope
+    + """SELECT field, event_id, CAST(j AS INTEGER) AS ord, CAST(i AS INTEGER) AS i, round((env - before) * n, 5) + 0e0 AS left_slope, round((after - env) * n, 5) + 0e0 AS right_slope
     FROM stepped WHERE previous_owners <> owners AND before IS NOT NULL AND after IS NOT NULL""",
 )
 def _(spark, sf_dir):
-    rows = fd.envelope_slopes(owner_steps(spark, sf_dir))
-    return rows.select(
-        "event_id", "ord", "i", *[rounded(F.col(c), 5).alias(c) for c in ("left_slope", "right_slope")]
-    )
+    rows = each_field(spark, sf_dir, lambda rows, kind: sm.slope_changes(rows, kind, COARSE))
+    return rows.select("field", "event_id", "ord", "i", *[rounded(F.col(c), 5).alias(c) for c in ("left_slope", "right_slope")])
 
 
 _PAIRGAPS = """

@@ -1,18 +1,18 @@
 """Directional fields of the defenders along carrier-receiver edges.
 
-Everything is a grid: an edge is exploded to sample points, each point to the defenders
-of its state, and the strengths are summed back per point and per edge. All of it keeps
-the partitioning by state, so grids never cross the network.
+Single points are column expressions over edge x defender rows; grids of points along
+edges are folded in place by ``sampled``, so they never become rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from touchline.functions import geometry as g
-from touchline.functions.scalars import LENGTH_GUARD, TIE, is_finite
+from touchline.functions.scalars import LENGTH_GUARD, is_finite
+from touchline.operators import sampled
 from touchline.operators.options import EDGE_KEYS, KEYS, pass_vector, receiver_pairs, relation_rows
 from touchline.session import cut_lineage
 
@@ -57,132 +57,38 @@ def combined(rows: DataFrame, keys: Sequence[str], rules: Sequence[str] = ("unio
     return rows.groupBy(*keys).agg(*[g.COMBINATIONS[r](F.col("value")).alias(r) for r in rules])
 
 
-def grid_intervals(length: Column, spacing: float) -> Column:
-    # A length that is a multiple of the spacing up to float noise adds no interval.
-    return F.greatest(F.lit(2), 2 * F.ceil(length / (2 * spacing) - TIE)).cast("int")
-
-
-def on_grid(relations: DataFrame, field, intervals: Column) -> DataFrame:
-    """One row per edge, defender and grid point: step i of n, strength value."""
-    stepped = relations.withColumn("n", intervals).select(
-        *EDGE_KEYS, "cx", "cy", "rx", "ry", "d", "px", "py", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i")
-    )
-    t = F.col("i") / F.col("n")
-    qx, qy = F.col("cx") + t * (F.col("rx") - F.col("cx")), F.col("cy") + t * (F.col("ry") - F.col("cy"))
-    return stepped.select(*EDGE_KEYS, "d", "n", "i", strength(field, qx, qy).alias("value"))
-
-
-def simpson_weight() -> Column:
-    i, n = F.col("i"), F.col("n")
-    inner = F.when(i % 2 == 1, 4.0).otherwise(2.0)
-    return F.when((i == 0) | (i == n), 1.0).otherwise(inner) / (3 * n)
-
-
-def simpson_individual(points: DataFrame) -> DataFrame:
-    """Segment average per edge and defender."""
-    return points.groupBy(*EDGE_KEYS, "d").agg(F.sum(simpson_weight() * F.col("value")).alias("average"))
-
-
-def simpson_combined(points: DataFrame) -> DataFrame:
-    """Segment averages of the union and the maximum per edge."""
-    at_point = combined(points, [*EDGE_KEYS, "n", "i"])
-    w = simpson_weight()
-    return at_point.groupBy(*EDGE_KEYS).agg(
-        *[F.sum(w * F.col(r)).alias(r) for r in ("union", "maximum")], F.max("n").alias("intervals")
-    )
+def grid_intervals(spacing: float) -> Column:
+    """An even number of intervals no longer than ``spacing`` along the row's edge, two at least."""
+    dx, dy = F.col("rx") - F.col("cx"), F.col("ry") - F.col("cy")
+    return F.greatest(F.lit(2), 2 * F.ceil(F.sqrt(dx * dx + dy * dy) / (2 * spacing))).cast("int")
 
 
 def edge_fields(states: DataFrame, field) -> DataFrame:
     """Endpoint and segment field per edge, with the coarse/fine agreement of all components.
 
-    An edge shorter than 1e-9 m takes its endpoint values and no interval.
+    An edge shorter than 1e-9 m takes its endpoint values and no interval. Where a component moves by more than the
+    agreement limit, the row names the component and its two values.
     """
-    relations = field_relations(states)
-    proper = relations.where(F.col("distance") > LENGTH_GUARD)
-    endpoint = combined(endpoint_strengths(relations, field), [*EDGE_KEYS, "distance"])
-    level = {
-        name: on_grid(proper, field, grid_intervals(F.col("distance"), spacing))
-        for name, spacing in SPACINGS.items()
-    }
-    both = {
-        name: simpson_combined(points).withColumnsRenamed(
-            {"union": f"{name}_union", "maximum": f"{name}_maximum", "intervals": f"{name}_intervals"}
-        )
-        for name, points in level.items()
-    }
-    single = {
-        name: simpson_individual(points).withColumnRenamed("average", name) for name, points in level.items()
-    }
-    keys = list(EDGE_KEYS)
-    apart = single["coarse"].join(single["fine"], [*keys, "d"]).groupBy(*keys).agg(
-        F.max(F.abs(F.col("fine") - F.col("coarse"))).alias("individual_error")
-    )
-    joined = endpoint.join(both["coarse"], keys, "left").join(both["fine"], keys, "left").join(apart, keys, "left")
-    error = F.greatest(
-        F.col("individual_error"),
-        F.abs(F.col("fine_union") - F.col("coarse_union")),
-        F.abs(F.col("fine_maximum") - F.col("coarse_maximum")),
-    )
-    short = F.col("distance") <= LENGTH_GUARD
-    return joined.select(
-        *EDGE_KEYS,
-        F.col("union").alias("receiver_union"),
-        F.col("maximum").alias("receiver_maximum"),
-        F.when(short, F.col("union")).otherwise(F.col("fine_union")).alias("segment_union"),
-        F.when(short, F.col("maximum")).otherwise(F.col("fine_maximum")).alias("segment_maximum"),
-        F.coalesce("coarse_intervals", F.lit(0)).alias("coarse_intervals"),
-        F.coalesce("fine_intervals", F.lit(0)).alias("fine_intervals"),
-        F.when(short, 0.0).otherwise(error).alias("agreement_error"),
-        (short | (error <= AGREEMENT)).alias("agrees"),
-    )
+    return sampled.summaries(sampled.edge_rows(states), field, tuple(SPACINGS.values()), AGREEMENT)
 
 
-def resolution_ladder(
-    states: DataFrame, field, counts: Sequence[int] = LADDER, with_combined: bool = True, on_level=None
-) -> DataFrame:
+def resolution_ladder(states: DataFrame, field, counts: Sequence[int] = LADDER, with_combined: bool = True, on_level=None) -> DataFrame:
     """Double the intervals until every component of an edge moves by at most 1e-7.
 
-    Components are the single defenders and, unless ``with_combined`` is off, their union
-    and maximum.
-
-    Each level works on the edges that are still open. Edges open after the last level
-    come back with ``intervals`` null. ``on_level(count, open_edges)`` observes the loop.
+    Components are the single defenders and, unless ``with_combined`` is off, their union and maximum. Edges
+    open after the last level come back with ``intervals`` null. ``on_level(count, open_edges)`` is called for
+    every level with what Spark observed while the rows were written down.
     """
-    keys = list(EDGE_KEYS)
-    relations = cut_lineage(field_relations(states))
-    previous, settled = None, None
-    open_relations = relations
-    for count in counts:
-        points = on_grid(open_relations, field, F.lit(count))
-        parts = simpson_individual(points).select(*keys, F.col("d").cast("string").alias("component"), "average")
-        if with_combined:
-            named = F.array(
-                *[F.struct(F.lit(r).alias("component"), F.col(r).alias("average")) for r in ("union", "maximum")]
-            )
-            parts = parts.unionByName(simpson_combined(points).select(*keys, F.inline(named)))
-        current = cut_lineage(parts)
-        if previous is not None:
-            moved = current.join(
-                previous.withColumnRenamed("average", "before"), [*keys, "component"]
-            ).groupBy(*keys).agg(F.max(F.abs(F.col("average") - F.col("before"))).alias("change"))
-            moved = cut_lineage(moved)
-            closed = current.join(moved.where(F.col("change") <= LADDER_CHANGE), keys).withColumn(
-                "intervals", F.lit(count)
-            )
-            settled = closed if settled is None else settled.unionByName(closed)
-            still = moved.where(F.col("change") > LADDER_CHANGE).select(*keys, "change")
-            remaining = still.count()
-            if on_level:
-                on_level(count, remaining)
-            if not remaining:
-                return settled
-            open_relations = open_relations.join(still.select(*keys), keys, "left_semi")
-            if count == counts[-1]:
-                failed = current.join(still, keys).withColumn("intervals", F.lit(None).cast("int"))
-                return settled.unionByName(failed)
-            current = current.join(still.select(*keys), keys, "left_semi")
-        previous = current
-    return settled
+    found = sampled.ladder(sampled.edge_rows(states), field, counts, LADDER_CHANGE, with_combined)
+    if not on_level:
+        return found
+    # An edge is open after a level unless it settled by then; its first component counts it.
+    seen = Observation("ladder")
+    still = lambda n: F.count_if((F.col("component") == "0") & (F.col("intervals").isNull() | (F.col("intervals") > n)))
+    kept = cut_lineage(found.observe(seen, *[still(n).alias(str(n)) for n in counts]))
+    for n in counts:
+        on_level(n, seen.get[str(n)])
+    return kept
 
 
 def onset_breakpoints(relations: DataFrame) -> DataFrame:
@@ -195,93 +101,3 @@ def onset_breakpoints(relations: DataFrame) -> DataFrame:
         *EDGE_KEYS, "_slope", "_radius", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("_target")
     ).select(*EDGE_KEYS, ((F.col("_target") + F.col("_radius")) / F.col("_slope")).alias("t"))
     return located.where((F.col("t") > 0) & (F.col("t") < 1)).distinct()
-
-
-def split_simpson(relations: DataFrame, breaks: DataFrame, field, nominal: int) -> DataFrame:
-    """Segment average of the maximum, integrated piece by piece between breakpoints."""
-    keys = list(EDGE_KEYS)
-    ends = relations.select(*keys).distinct().select(*keys, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
-    order = Window.partitionBy(*keys).orderBy("t")
-    pieces = (
-        breaks.unionByName(ends)
-        .withColumn("upper", F.lead("t").over(order))
-        .where(F.col("upper") - F.col("t") > TIE)
-        .select(*keys, F.col("t").alias("lower"), "upper")
-    )
-    width = F.col("upper") - F.col("lower")
-    count = F.greatest(F.lit(2), 2 * F.ceil(F.lit(nominal) * width / 2)).cast("int")
-    stepped = relations.join(pieces, keys).withColumn("n", count).select(
-        *keys, "cx", "cy", "rx", "ry", "px", "py", "lower", "upper", "n",
-        F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"),
-    )
-    t = F.col("lower") + (F.col("i") / F.col("n")) * width
-    qx, qy = F.col("cx") + t * (F.col("rx") - F.col("cx")), F.col("cy") + t * (F.col("ry") - F.col("cy"))
-    peaks = stepped.withColumn("value", strength(field, qx, qy)).groupBy(*keys, "lower", "upper", "n", "i").agg(
-        F.max("value").alias("peak")
-    )
-    return peaks.groupBy(*keys).agg(
-        F.sum(width * simpson_weight() * F.col("peak")).alias("average"),
-        F.count(F.lit(1)).alias("evaluations"),
-    )
-
-
-def owner_steps(points: DataFrame) -> DataFrame:
-    """Per edge and grid point the envelope and its owners (within 1e-12 of the maximum)."""
-    at_point = Window.partitionBy(*EDGE_KEYS, "i")
-    top = points.withColumn("envelope", F.max("value").over(at_point))
-    owns = (F.col("envelope") - F.col("value") <= TIE) & (F.col("envelope") > 0)
-    # Owners of one point are a few defender numbers.
-    return top.groupBy(*EDGE_KEYS, "n", "i", "envelope").agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(owns, F.col("d")))), ",").alias("owners")
-    )
-
-
-def owner_runs(steps: DataFrame) -> DataFrame:
-    """Consecutive grid points with the same owners: start, end and owner set of each run."""
-    along = Window.partitionBy(*EDGE_KEYS).orderBy("i")
-    changed = F.coalesce(F.lag("owners").over(along) != F.col("owners"), F.lit(True))
-    marked = steps.withColumn("_new", changed.cast("int"))
-    numbered = marked.withColumn(
-        "run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    return numbered.groupBy(*EDGE_KEYS, "run", "owners").agg(
-        F.min("i").alias("first_step"), F.max("i").alias("last_step")
-    )
-
-
-def envelope_slopes(steps: DataFrame) -> DataFrame:
-    """Left and right slope of the envelope at interior points where the owners change."""
-    along = Window.partitionBy(*EDGE_KEYS).orderBy("i")
-    before, after = F.lag("envelope").over(along), F.lead("envelope").over(along)
-    return (
-        steps.withColumn("previous_owners", F.lag("owners").over(along))
-        .withColumn("left_slope", (F.col("envelope") - before) * F.col("n"))
-        .withColumn("right_slope", (after - F.col("envelope")) * F.col("n"))
-        .where(
-            (F.col("previous_owners") != F.col("owners"))
-            & F.col("left_slope").isNotNull() & F.col("right_slope").isNotNull()
-        )
-        .withColumn("slope_change", F.col("right_slope") - F.col("left_slope"))
-    )
-
-
-def difference_brackets(points: DataFrame) -> DataFrame:
-    """Grid steps between which two defenders' strengths swap order, and exact-equality runs.
-
-    Signs are compared, not multiplied, so tiny strengths do not underflow.
-    """
-    keys = [*EDGE_KEYS, "i"]
-    a = points.select(*keys, F.col("d").alias("a"), F.col("value").alias("av"))
-    b = points.select(*keys, F.col("d").alias("b"), F.col("value").alias("bv"))
-    signs = a.join(b, keys).where(F.col("a") < F.col("b")).withColumn("sign", F.signum(F.col("av") - F.col("bv")))
-    pair = [*EDGE_KEYS, "a", "b"]
-    along = Window.partitionBy(*pair).orderBy("i")
-    stepped = signs.withColumn("_before", F.lag("sign").over(along))
-    crossing = stepped.where((F.col("sign") * F.col("_before")) < 0).select(
-        *pair, F.lit("bracket").alias("kind"), (F.col("i") - 1).alias("lower"), F.col("i").alias("upper")
-    )
-    equal = stepped.where(F.col("sign") == 0).withColumn("_group", F.col("i") - F.row_number().over(along))
-    plateau = equal.groupBy(*pair, "_group").agg(
-        F.lit("plateau").alias("kind"), F.min("i").alias("lower"), F.max("i").alias("upper")
-    ).drop("_group")
-    return crossing.unionByName(plateau)
