@@ -284,22 +284,80 @@ def test_event_files_are_read_by_their_own_headers(spark, tmp_path):
         fl.event_rows(spark, str(tmp_path))
 
 
-def test_newton_fit_reaches_zero_gradient(spark):
-    from touchline.operators import choice_model as cm
+def test_newton_fits_reach_zero_gradient(spark):
+    import numpy as np
+
+    from touchline.operators import folds as fo
 
     rng = random.Random(1)
-    rows = []
+    rows, choices = [], []
     for k in range(240):
-        xs = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(4)]
-        scores = [1.2 * a - 0.7 * b - math.log(-math.log(rng.random())) for a, b in xs]
-        target = scores.index(max(scores))
-        rows += [(str(k % 3), str(k), k, i, target, a, b) for i, (a, b) in enumerate(xs)]
+        xs = [(rng.gauss(3, 2), rng.gauss(0, 1)) for _ in range(2 + k % 3)]
+        scores = [0.6 * a - 0.7 * b - math.log(-math.log(rng.random())) for a, b in xs]
+        target = scores.index(max(scores)) if k % 11 else None
+        rows += [(str(k % 7 % 3), str(k), k, i, target, a, b) for i, (a, b) in enumerate(xs)]
+        choices.append((str(k % 7 % 3), np.array(xs), target))
     df = spark.createDataFrame(rows, "match_id string, event_id string, ordinal long, ord int, target_index int, f0 double, f1 double")
-    fits = {f.fold: f for f in cm.fit_folds(df, ["f0", "f1"], ["all", "0"])}
-    assert fits["all"].max_gradient <= 1e-6 and fits["0"].coefficients != fits["all"].coefficients
-    at = cm.conditional_objective(df, ["f0", "f1"], fits["all"].coefficients).first()
+    seen = []
+    fits = {f.fold: f for f in fo.fit_folds(df, ["f0", "f1"], [fo.ALL, "0", "1", "2"], on_step=lambda *step: seen.append(step))}
+    assert {fold for _, fold, _, _ in seen} == set(fits) and all(f.max_gradient <= 1e-6 for f in fits.values())
+    for name, fit in fits.items():
+        kept = [c for c in choices if c[0] != name]
+        matches = sorted({m for m, _, _ in kept})
+        nested = lambda f: np.mean([np.mean([f(x) for m, x, _ in kept if m == match], axis=0) for match in matches], axis=0)
+        mean = nested(lambda x: x.mean(0))
+        scale = np.sqrt(nested(lambda x: ((x - mean) ** 2).mean(0)))
+        assert fit.mean == pytest.approx(mean, abs=1e-12) and fit.scale == pytest.approx(scale, abs=1e-12)
+        per_match = []
+        for match in matches:
+            own = []
+            for m, x, target in kept:
+                if m == match and target is not None:
+                    z = (x - mean) / scale
+                    e = np.exp(z @ fit.coef)
+                    own.append(np.append(np.log(e.sum()) - z[target] @ fit.coef, (e / e.sum()) @ z - z[target]))
+            per_match.append(np.mean(own, axis=0))
+        loss, *gradient = np.mean(per_match, axis=0)
+        assert np.abs(gradient).max() < 1e-6 and fit.objective == pytest.approx(loss, abs=1e-12)
+    at = cm.conditional_objective(df, ["f0", "f1"], fits["all"].coef / fits["all"].scale).first()
     assert abs(at["g0"]) <= 1e-6 and at["loss"] == pytest.approx(fits["all"].objective)
     assert cm.identifiability(cm.within_choice_differences(df, ["f0", "f1"]), ["f0", "f1"])["rank"] == 2
+    # A fold's parameters score the match that it left out.
+    table = fo.fold_table(spark, [fits[m] for m in "012"], ["f0", "f1"])
+    first = fo.scored_by_fold(df.withColumn("id", F.lit("x")), table, ["f0", "f1"], "m").where("ordinal = 5 AND ord = 1").first()
+    fit = fits[str(5 % 7 % 3)]
+    x = next(r for r in rows if r[2] == 5 and r[3] == 1)
+    assert first["utility"] == pytest.approx(sum((x[5 + i] - fit.mean[i]) / fit.scale[i] * fit.coef[i] for i in range(2)))
+
+
+def test_fitted_folds_have_no_gradient_in_sql(spark):
+    """The gradient of every fold of every model, measured by DuckDB at the fitted coefficients."""
+    import duckdb
+
+    import __spark_entry__ as driver
+    from touchline.catalog.base import EDGES, with_ctes
+
+    sf = "/root/testdata/sf0.001"
+    sql = {"distance": "dist", "longitudinal_displacement": "dx", "lateral_displacement": "dy", "nearest_receiver_defender_distance": "rd",
+           "minimum_segment_defender_distance": "sd", "summed_segment_attenuation": "att"}
+    folds = {}
+    for r in driver.queries()["agg11_fold_parameters"](spark, sf).collect():
+        folds.setdefault((r["model"], r["fold"]), {})[r["feature"]] = (r["mean"], r["scale"], r["coef"])
+    assert {m for m, _ in folds} == {"m0", "m1", "m2"} and len(folds) == 27
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    con.execute("CREATE TABLE edges AS " + with_ctes(EDGES) + " SELECT * FROM edge WHERE target_index IS NOT NULL")
+    for (model, fold), rows in folds.items():
+        score = " + ".join(f"({sql[f]} - {m!r}) / {s!r} * {c!r}" for f, (m, s, c) in rows.items())
+        gaps = ", ".join(f"sum(p * {sql[f]}) - sum(CASE WHEN j = target_index THEN {sql[f]} ELSE 0 END) AS g{i}" for i, f in enumerate(rows))
+        means = ", ".join(f"avg(g{i}) AS g{i}" for i in range(len(rows)))
+        gradient = con.execute(
+            f"""WITH scored AS (SELECT *, {score} AS s FROM edges WHERE match_id <> '{fold}'),
+            shares AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY k) AS p FROM scored),
+            choice AS (SELECT match_id, {gaps} FROM shares GROUP BY match_id, k),
+            per_match AS (SELECT {means} FROM choice GROUP BY match_id) SELECT {means} FROM per_match"""
+        ).fetchall()[0]
+        assert max(abs(g) / rows[f][1] for g, f in zip(gradient, rows)) < 1e-6, (model, fold)
 
 
 def test_case_selection_matches_a_loop(spark):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from touchline.catalog.base import EDGES, RANKS, SCORES, STAT_COLUMNS, quantiles_sql, query, units_sql, with_ctes
 from touchline.catalog.options import M0, M1, M2
@@ -11,10 +13,11 @@ from touchline.catalog.relations import _OVERLAP
 from touchline.functions.scalars import rounded
 from touchline.operators import choice_model as cm
 from touchline.operators import evaluation as ev
+from touchline.operators import folds as fo
 from touchline.operators import options as op
 from touchline.plans.ordered import average_rank, linear_quantiles, running_sum, value_bucket, weighted_summary
 from touchline.sources import testtables as tt
-from touchline.sources.models import M0_FEATURES, M1_FEATURES
+from touchline.sources.models import M0_FEATURES, M1_FEATURES, M2_FEATURES
 
 FEATURE_SQL = dict(zip(M1_FEATURES, ("dist", "dx", "dy", "rd", "sd")))
 
@@ -155,25 +158,27 @@ def _(spark, sf_dir):
     return row.select(*[rounded(F.col(c)).alias(c) for c in row.columns])
 
 
-def prepared_edges(spark, sf_dir, features):
-    from touchline.session import cut_lineage
-
-    raw = cut_lineage(edges(spark, sf_dir).select(*op.EDGE_KEYS, "id", "target_index", *features))
-    return cm.standardised(raw, features, cm.weighted_standardization(raw, features))
+def feature_edges(spark, sf_dir, features):
+    return edges(spark, sf_dir).select(*op.EDGE_KEYS, "id", "target_index", *features)
 
 
-def _fit_frame(spark, fits, features):
-    rows = [
-        (fit.fold, f, c, fit.objective, fit.max_gradient)
-        for fit in fits for f, c in zip(features, fit.coefficients)
-    ]
-    return spark.createDataFrame(rows, "fold string, feature string, coef double, objective double, max_gradient double")
+NESTED = {"m0": M0_FEATURES, "m1": M1_FEATURES, "m2": M2_FEATURES}
 
 
 @query("agg09_softmax_fit")
 def _(spark, sf_dir):
-    fits = cm.fit_folds(prepared_edges(spark, sf_dir, M1_FEATURES), M1_FEATURES, ["all"])
-    return _fit_frame(spark, fits, M1_FEATURES)
+    fits = fo.fit_folds(feature_edges(spark, sf_dir, M1_FEATURES), M1_FEATURES, [fo.ALL])
+    return fo.fold_table(spark, fits, M1_FEATURES).drop("ord", "mean", "scale", "steps")
+
+
+@query("udf05_recorded_fit")
+def _(spark, sf_dir):
+    """What a recorder sees of the running fits: objective and gradient after every step of every model and fold."""
+    steps = []
+    for model, features in NESTED.items():
+        record = lambda step, fold, loss, gradient, model=model: steps.append((model, fold, step, loss, gradient))
+        fo.fit_folds(feature_edges(spark, sf_dir, features), features, on_step=record)
+    return spark.createDataFrame(steps, "model string, fold string, step int, objective double, max_gradient double")
 
 
 @query("agg10_rank_gate")
@@ -182,50 +187,45 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(gate["rank"], gate["columns"], gate["rows"])], "rank int, columns int, differences long")
 
 
-def _scored_by_fold(standard, fits, features):
-    """Utilities of every edge under the parameters of the fold that left its match out."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(fit.fold).alias("fold"), F.array(*map(F.lit, fit.coefficients)).alias("beta"))
-            for fit in fits
+def fitted_folds(spark, sf_dir):
+    """(model, fold, feature, mean, scale, coef, ...): every model fitted with every match left out, once per application."""
+    def build(s, d):
+        tables = [
+            fo.fold_table(s, fo.fit_folds(feature_edges(s, d, features), features), features).withColumn("model", F.lit(model))
+            for model, features in NESTED.items()
         ]
-    )
-    utility = F.lit(0.0)
-    for i, f in enumerate(features):
-        utility = utility + F.col(f) * F.col("beta")[i]
-    return standard.select("*", F.inline(entries)).where(F.col("fold") == F.col("match_id")).select(
-        *op.EDGE_KEYS, "id", "target_index", F.lit(f"{len(features)} features").alias("model"), utility.alias("utility")
-    )
+        return reduce(DataFrame.unionByName, tables)
+
+    return tt._stored(spark, sf_dir, "fitted-folds", build)
 
 
 @query("agg11_leave_one_match_out")
 def _(spark, sf_dir):
-    rows = None
-    for features in (M0_FEATURES, M1_FEATURES):
-        standard = prepared_edges(spark, sf_dir, features)
-        # One fold per match of the study; the list is the fold plan, not data.
-        matches = sorted(r[0] for r in standard.select("match_id").distinct().collect())
-        fits = cm.fit_folds(standard, features, matches)
-        metrics = ev.metric_rows(ev.expected_credits(op.score(_scored_by_fold(standard, fits, features))))
-        rows = metrics if rows is None else rows.unionByName(metrics)
-    return rows
+    from touchline.session import cut_lineage
+
+    folds, raw = fitted_folds(spark, sf_dir), cut_lineage(feature_edges(spark, sf_dir, M2_FEATURES))
+    scored = [fo.scored_by_fold(raw, folds.where(F.col("model") == model), features, model) for model, features in NESTED.items()]
+    return ev.metric_rows(ev.expected_credits(op.score(reduce(DataFrame.unionByName, scored))))
+
+
+@query("agg11_fold_parameters")
+def _(spark, sf_dir):
+    """Scaling and coefficients of every fold, with how it converged."""
+    return fitted_folds(spark, sf_dir)
 
 
 @query("agg12_frozen_reserved_scoring")
 def _(spark, sf_dir):
-    features = M1_FEATURES
-    raw = edges(spark, sf_dir).select(*op.EDGE_KEYS, "id", "target_index", *features)
+    from touchline.session import cut_lineage
+
+    raw = cut_lineage(feature_edges(spark, sf_dir, M2_FEATURES))
     development = raw.where(F.col("match_id").cast("long") < 6)
     reserved = raw.where(F.col("match_id").cast("long") >= 6)
-    scaling = cm.weighted_standardization(development, features)
-    fit = cm.fit_folds(cm.standardised(development, features, scaling), features, ["all"])[0]
-    utility = F.lit(0.0)
-    for f, c in zip(features, fit.coefficients):
-        utility = utility + F.col(f) * c
-    scored = cm.standardised(reserved, features, scaling).select(
-        *op.EDGE_KEYS, "id", "target_index", F.lit("m1").alias("model"), utility.alias("utility")
-    )
-    return ev.metric_rows(ev.expected_credits(op.score(scored)))
+    scored = []
+    for model, features in NESTED.items():
+        frozen = fo.fold_table(spark, fo.fit_folds(development, features, [fo.ALL]), features)
+        scored.append(fo.scored_by_fold(reserved, frozen, features, model, None))
+    return ev.metric_rows(ev.expected_credits(op.score(reduce(DataFrame.unionByName, scored))))
 
 
 @query(
@@ -356,6 +356,14 @@ def _(spark, sf_dir):
     return cm.centred_correlation(covariance).withColumn("correlation", rounded(F.col("correlation")))
 
 
+@query("agg26_correlation_condition")
+def _(spark, sf_dir):
+    """Rank and condition number of the correlation within choices."""
+    correlation = cm.centred_correlation(cm.centred_covariance(edges(spark, sf_dir), M1_FEATURES))
+    found = cm.matrix_condition(correlation, list(M1_FEATURES))
+    return spark.createDataFrame([(found["rank"], len(M1_FEATURES), found["condition"])], "rank int, columns int, condition double")
+
+
 _PAIR_SQL = """
 pairs AS (SELECT a.k, a.match_id, a.event_id, a.j AS a_ord, b.j AS b_ord, a.rd - b.rd AS drd, a.sd - b.sd AS dsd
   FROM edge a JOIN edge b ON a.k = b.k AND a.j < b.j)
@@ -413,6 +421,16 @@ def _(spark, sf_dir):
     return rows.withColumns({c: rounded(F.col(c)) for c in ("minimum", "median", "maximum")})
 
 
+@query("agg29_fitted_stability")
+def _(spark, sf_dir):
+    """Signs, minimum, median and maximum of every coefficient over the fitted folds of each model."""
+    found = [
+        ev.coefficient_stability(fitted_folds(spark, sf_dir).where(F.col("model") == model)).withColumn("model", F.lit(model))
+        for model in NESTED
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "agg30_nondegenerate_gap",
     with_ctes(RANKS, _OVERLAP)
@@ -510,3 +528,20 @@ def _(spark, sf_dir):
     return spread.join(middle, cells).withColumns(
         {c: rounded(F.col(c)) for c in ("minimum", "median", "maximum")}
     )
+
+
+@query("agg32_fitted_sensitivity")
+def _(spark, sf_dir):
+    """Utility change of the second model at fixed anchors against a defender at 20 m, over its fitted folds."""
+    probe = F.array(*[F.struct(F.lit(r).alias("receiver"), F.lit(s).alias("segment")) for r in ANCHORS for s in ANCHORS if s <= r])
+    slope = lambda f: F.max(F.when(F.col("feature") == f, F.col("coef") / F.col("scale")))
+    folds = fitted_folds(spark, sf_dir).where("model = 'm1'").groupBy("fold").agg(
+        slope("nearest_receiver_defender_distance").alias("cr"), slope("minimum_segment_defender_distance").alias("cs")
+    )
+    rows = folds.select("fold", "cr", "cs", F.inline(probe)).withColumn(
+        "d", F.col("cr") * (F.col("receiver") - 20.0) + F.col("cs") * (F.col("segment") - 20.0)
+    )
+    return rows.groupBy("receiver", "segment").agg(
+        F.count_if(F.col("d") > 0).alias("positive_folds"), F.count_if(F.col("d") < 0).alias("negative_folds"),
+        F.min("d").alias("minimum"), F.median("d").alias("median"), F.max("d").alias("maximum"),  # a row per fold
+    )

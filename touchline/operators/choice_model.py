@@ -1,20 +1,18 @@
 """Conditional-softmax choice model with equal match weights.
 
 Every quantity is a nested average: candidates in a choice, choices in a match, matches.
-The driver sees only sums whose size is the number of features squared per fold.
+The fits themselves are in ``folds``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.operators.options import EDGE_KEYS, KEYS
-from touchline.session import cut_lineage
 
 
 def _nested_mean(df: DataFrame, expressions: dict[str, Column], group: Sequence[str]) -> DataFrame:
@@ -122,107 +120,6 @@ def conditional_objective(edges: DataFrame, features: Sequence[str], beta: Seque
     return _over_matches(_choice_terms(usable.withColumn("_all", F.lit(0)), features, ["_all"], False), ["_all"]).drop("_all")
 
 
-@dataclass(frozen=True)
-class Fit:
-    fold: str
-    coefficients: tuple[float, ...]
-    objective: float
-    max_gradient: float
-    steps: int
-
-
-def fit_folds(
-    edges: DataFrame,
-    features: Sequence[str],
-    folds: Sequence[str],
-    max_steps: int = 30,
-    gradient_limit: float = 1e-6,
-    on_step: Callable[[int, dict], None] | None = None,
-) -> list[Fit]:
-    """Newton fits of all folds together; a fold leaves out the match of its name.
-
-    The fold named 'all' leaves out nothing. ``edges`` holds standardised features. One
-    Spark job per step returns loss, gradient and Hessian per fold; solving and step
-    halving are p x p work on the driver. ``on_step`` observes every step.
-    """
-    p, features = len(features), list(features)
-    usable = cut_lineage(
-        edges.where(F.col("target_index").isNotNull())
-        .select(*EDGE_KEYS, "target_index", *features)
-        .repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
-    )
-    beta = {f: np.zeros(p) for f in folds}
-    accepted: dict[str, tuple] = {}
-    done: dict[str, Fit] = {}
-    trial = dict(beta)
-    direction = {f: np.zeros(p) for f in folds}
-    length = {f: 1.0 for f in folds}
-    for step in range(max_steps):
-        open_folds = [f for f in folds if f not in done]
-        if not open_folds:
-            break
-        measured = _measure(usable, features, {f: trial[f] for f in open_folds})
-        for f in open_folds:
-            loss, gradient, hessian = measured[f]
-            if f in accepted and loss > accepted[f][0] + 1e-15:
-                length[f] /= 2.0
-                trial[f] = beta[f] + length[f] * direction[f]
-                continue
-            beta[f], accepted[f] = trial[f], (loss, gradient, hessian)
-            worst = float(np.abs(gradient).max())
-            if worst <= gradient_limit * 1e-2 or step == max_steps - 1:
-                done[f] = Fit(f, tuple(float(b) for b in beta[f]), float(loss), worst, step + 1)
-                continue
-            direction[f] = -np.linalg.solve(hessian, gradient)
-            length[f] = 1.0
-            trial[f] = beta[f] + direction[f]
-        if on_step:
-            on_step(step, {f: accepted[f][0] for f in open_folds if f in accepted})
-    fits = [
-        done.get(f)
-        or Fit(f, tuple(map(float, beta[f])), float(accepted[f][0]), float(np.abs(accepted[f][1]).max()), max_steps)
-        for f in folds
-    ]
-    for fit in fits:
-        if not np.isfinite(fit.coefficients).all() or fit.max_gradient > gradient_limit:
-            raise RuntimeError(f"optimization gate failed for fold {fit.fold}: {fit.max_gradient}")
-    return fits
-
-
-def _measure(usable: DataFrame, features: Sequence[str], betas: dict[str, np.ndarray]) -> dict:
-    p = len(features)
-    entries = F.array(
-        *[
-            F.struct(F.lit(f).alias("fold"), F.array(*[F.lit(float(b)) for b in beta]).alias("beta"))
-            for f, beta in betas.items()
-        ]
-    )
-    score = F.lit(0.0)
-    for i, f in enumerate(features):
-        score = score + F.col(f) * F.col("beta")[i]
-    rows = (
-        usable.select("*", F.inline(entries))
-        .where(F.col("fold") != F.col("match_id"))
-        .withColumn("_s", score)
-        .drop("beta")
-    )
-    summed = _over_matches(_choice_terms(rows, features, ["fold"], True), ["fold"]).collect()
-    out = {}
-    for row in summed:
-        gradient = np.array([row[f"g{i}"] for i in range(p)])
-        hessian = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-        out[row["fold"]] = (row["loss"], gradient, hessian)
-    return out
-
-
-def standardised(edges: DataFrame, features: Sequence[str], scaling: DataFrame) -> DataFrame:
-    """Replace the feature columns by (x - mean) / scale; ``scaling`` has one row per feature."""
-    rows = {r["feature"]: (r["mean"], r["scale"]) for r in scaling.collect()}
-    return edges.withColumns(
-        {f: (F.col(f) - F.lit(rows[f][0])) / F.lit(rows[f][1]) for f in features}
-    )
-
-
 def centred_covariance(edges: DataFrame, features: Sequence[str]) -> DataFrame:
     """(a, b, value): covariance of features centred within the choice, equal matches."""
     choice = Window.partitionBy(*KEYS)
