@@ -468,6 +468,76 @@ def _(spark, sf_dir):
     )
 
 
+LIMIT_METRES = 40
+_OCCURRENCE = f"""
+occurrence AS (SELECT m.match_id, m.period, m.event_id, m.player_id, m.frame, abs(m.x) - {LIMIT_METRES} AS excess, abs(m.y) > 30 AS wide,
+    CASE WHEN p.is_detected IS NULL THEN 'unavailable' WHEN p.is_detected THEN 'detected' ELSE 'extrapolated' END AS status
+  FROM moment m JOIN position p USING (match_id, period, frame, player_id) WHERE abs(m.x) > {LIMIT_METRES})
+"""
+
+
+def occurrences(spark, sf_dir):
+    """Players beyond +-40 m in decision frames; a frame that decides several events gives several."""
+    return moments(spark, sf_dir).where(F.abs("x") > LIMIT_METRES).select(
+        "match_id", "period", "event_id", "player_id", "frame", (F.abs("x") - LIMIT_METRES).alias("excess"),
+        (F.abs("y") > 30).alias("lateral"), sc.detection_status(F.col("is_detected")).alias("status"),
+    )
+
+
+@query(
+    "agg47_excess_by_status",
+    with_ctes(*MOMENTS, _OCCURRENCE)
+    + """SELECT status, count(*) AS occurrences, count(*) FILTER (wide) AS lateral_crossings, round(min(excess), 6) + 0e0 AS minimum,
+    round(median(excess), 6) + 0e0 AS median, round(max(excess), 6) + 0e0 AS maximum FROM occurrence GROUP BY status""",
+)
+def _(spark, sf_dir):
+    from touchline.plans.ordered import linear_quantiles
+    from touchline.session import cut_lineage
+
+    rows = cut_lineage(occurrences(spark, sf_dir))
+    counted = rows.groupBy("status").agg(
+        F.count(F.lit(1)).alias("occurrences"), F.count_if("lateral").alias("lateral_crossings"),
+        F.min("excess").alias("minimum"), F.max("excess").alias("maximum"),
+    )
+    middle = linear_quantiles(rows, ["status"], "excess", (0.5,)).withColumnRenamed("q50", "median")
+    return counted.join(middle, "status").withColumns({c: rounded(F.col(c)) for c in ("minimum", "median", "maximum")})
+
+
+@query(
+    "agg47_repeated_occurrences",
+    with_ctes(*MOMENTS, _OCCURRENCE)
+    + """, per_frame AS (SELECT match_id, period, player_id, frame, count(*) AS n FROM occurrence GROUP BY ALL),
+    per_player AS (SELECT match_id, player_id, sum(n) AS n, count(*) AS frames FROM per_frame GROUP BY ALL)
+    SELECT match_id, CAST(sum(n) AS BIGINT) AS occurrences, CAST(sum(frames) AS BIGINT) AS distinct_player_frames, CAST(sum(n) - sum(frames) AS BIGINT) AS repeated,
+      count(*) AS players, count(*) FILTER (n > 1) AS players_with_repeats FROM per_player GROUP BY match_id""",
+)
+def _(spark, sf_dir):
+    per_frame = occurrences(spark, sf_dir).groupBy("match_id", "period", "player_id", "frame").agg(F.count(F.lit(1)).alias("n"))
+    per_player = per_frame.groupBy("match_id", "player_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("frames"))
+    return per_player.groupBy("match_id").agg(
+        F.sum("n").alias("occurrences"), F.sum("frames").alias("distinct_player_frames"), (F.sum("n") - F.sum("frames")).alias("repeated"),
+        F.count(F.lit(1)).alias("players"), F.count_if(F.col("n") > 1).alias("players_with_repeats"),
+    )
+
+
+@query(
+    "agg47_overlapping_windows",
+    with_ctes(*MOMENTS, _INDEXED, _OCCURRENCE)
+    + """, span AS (SELECT event_id, match_id, period, min(pos) AS lo, max(pos) AS hi FROM near GROUP BY ALL),
+    win AS (SELECT row_number() OVER () AS id, o.match_id, o.period, o.player_id, lo, hi FROM occurrence o JOIN span s USING (match_id, period, event_id)),
+    pairs AS (SELECT a.match_id, count(*) AS n FROM win a JOIN win b ON a.match_id = b.match_id AND a.period = b.period AND a.player_id = b.player_id
+      AND a.id < b.id AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY a.match_id),
+    own AS (SELECT match_id, count(*) AS windows, count(DISTINCT (period, player_id, lo, hi)) AS distinct_windows FROM win GROUP BY match_id)
+    SELECT match_id, windows, distinct_windows, coalesce(n, 0) AS overlapping_pairs FROM own LEFT JOIN pairs USING (match_id)""",
+)
+def _(spark, sf_dir):
+    from touchline.session import cut_lineage
+
+    spans = bd.window_spans(windows_around(spark, sf_dir))
+    windows = occurrences(spark, sf_dir).join(spans, ["match_id", "period", "event_id"]).select(*bd.SAMPLE_KEYS, "lo", "hi")
+    return bd.overlap_counts(cut_lineage(windows))
+
+
 @query(
     "agg65_array_size_profile",
     with_ctes(EDGES)

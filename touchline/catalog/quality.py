@@ -490,7 +490,19 @@ def _(spark, sf_dir):
     allowed = tt.table(spark, sf_dir, "nation").where("n_regionkey = 0").select(
         F.col("n_nationkey").cast("string").alias("match_id")
     )
-    return fl.allowed_only(tt.states(spark, sf_dir), allowed).select("match_id", "event_id")
+    return fl.allowed_only(tt.states_by_match(spark, sf_dir), allowed).select("match_id", "event_id")
+
+
+@query(
+    "src08_row_local_study",
+    with_ctes(STATE, CANDIDATE)
+    + """SELECT match_id, event_id, count(*) AS candidates, round(max(sqrt((rx - cx) * (rx - cx) + (ry - cy) * (ry - cy))), 6) + 0e0 AS longest
+    FROM candidate WHERE match_id IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 0) GROUP BY match_id, event_id""",
+)
+def _(spark, sf_dir):
+    """A study per state of the permitted matches: pruned to their folders, grouped without an exchange."""
+    allowed = tt.table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("string").alias("match_id"))
+    return fl.candidate_spans(fl.allowed_only(tt.states_by_match(spark, sf_dir), F.broadcast(allowed))).withColumn("longest", rounded(F.col("longest")))
 
 
 @query("src09_file_integrity")

@@ -88,15 +88,39 @@ def status_transitions(samples: DataFrame) -> DataFrame:
     return samples.join(before, [*SAMPLE_KEYS, "pos"]).where(F.col("status") != F.col("previous"))
 
 
+def window_spans(near: DataFrame) -> DataFrame:
+    """(match_id, period, event_id, lo, hi): first and last position of the frames around each centre."""
+    return near.groupBy("match_id", "period", "event_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+
+
 def overlapping_windows(windows: DataFrame) -> DataFrame:
-    """Distinct pairs of windows that share a sample, found through the shared sample.
+    """Pairs of different windows of a player that share a sample, with how often each window occurs.
 
-    ``windows`` holds (window, sample key). Only windows meeting in one sample are paired.
+    ``windows`` holds SAMPLE_KEYS, lo, hi. Equal windows are counted first and joined once. A window is no longer than a
+    bin, so it lies in one or two of them; a pair meets in the bin of the later start, once. Candidates per bin are
+    bounded by the starts in it, so the work follows the pairs that are found.
     """
-    key = [*SAMPLE_KEYS, "pos"]
-    left = windows.select(*key, F.col("event_id").alias("a"))
-    right = windows.select(*key, F.col("event_id").alias("b"))
-    return left.join(right, key).where(F.col("a") < F.col("b")).select("match_id", "a", "b").distinct()
+    width = 2 * WINDOW_FRAMES + 1
+    counted = windows.groupBy(*SAMPLE_KEYS, "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    bins = lambda c: F.floor(F.col(c) / width)
+    spread = counted.withColumn("bin", F.explode(F.sequence(bins("lo"), bins("hi"))))
+    later = spread.where(F.col("bin") == bins("lo"))
+    key = [*SAMPLE_KEYS, "bin"]
+    a = spread.select(*key, *[F.col(c).alias(f"a_{c}") for c in ("lo", "hi", "n")])
+    b = later.select(*key, *[F.col(c).alias(f"b_{c}") for c in ("lo", "hi", "n")])
+    first = (F.col("a_lo") < F.col("b_lo")) | ((F.col("a_lo") == F.col("b_lo")) & (F.col("a_hi") < F.col("b_hi")))
+    return a.join(b, key).where(first & (F.col("b_lo") <= F.col("a_hi"))).drop("bin")
+
+
+def overlap_counts(windows: DataFrame) -> DataFrame:
+    """(match_id, windows, distinct_windows, overlapping_pairs), pairs of equal windows included, none made twice."""
+    same = windows.groupBy(*SAMPLE_KEYS, "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    own = same.groupBy("match_id").agg(
+        F.sum("n").alias("windows"), F.count(F.lit(1)).alias("distinct_windows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("_equal")
+    )
+    apart = overlapping_windows(windows).groupBy("match_id").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("_apart"))
+    total = F.col("_equal") + F.coalesce("_apart", F.lit(0))
+    return own.join(apart, "match_id", "left").select("match_id", "windows", "distinct_windows", total.alias("overlapping_pairs"))
 
 
 def verified_point(canonical_x, canonical_y, native_x, native_y, sign, length):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from touchline.functions import scalars as sc
@@ -125,20 +129,65 @@ def json_inventory(documents: DataFrame, column: str, group: str) -> DataFrame:
 
 
 def allowed_only(df: DataFrame, allowlist: DataFrame, key: str = "match_id") -> DataFrame:
-    """Rows of permitted matches; with a match_id= layout the scan is pruned at run time."""
+    """Rows of permitted matches; over a table laid out by match only their folders are read."""
     return df.join(allowlist.select(key), key, "left_semi")
 
 
+def candidate_spans(states: DataFrame) -> DataFrame:
+    """(match_id, event_id, candidates, longest): candidates of a state and the longest way to one."""
+    each = states.select("match_id", "event_id", "ordinal", "carrier", F.explode("candidates").alias("c"))
+    way = F.hypot(F.col("c.x") - F.col("carrier.x"), F.col("c.y") - F.col("carrier.y"))
+    return each.groupBy("match_id", "event_id", "ordinal").agg(F.count(F.lit(1)).alias("candidates"), F.max(way).alias("longest")).drop("ordinal")
+
+
+# Bytes of a file that a task holds at once while it hashes it.
+BLOCK_BYTES = 4 << 20
+
+
+def _hashed(batches):
+    """Bytes, SHA-256 and git blob SHA-1 of the files of a batch, read block by block; or why a file can't be read."""
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = []
+        for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+            strong, blob, read, reason = hashlib.sha256(), hashlib.sha1(b"blob %d\0" % length), 0, None
+            try:
+                store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with store.open_input_stream(name) as stream:
+                    while block := stream.read(BLOCK_BYTES):
+                        strong.update(block)
+                        blob.update(block)
+                        read += len(block)
+                if read != length:
+                    reason = "length_changed"
+            except (OSError, pa.ArrowException) as error:
+                reason = type(error).__name__
+            rows.append((path, length, *((None, None) if reason else (strong.hexdigest(), blob.hexdigest())), reason))
+        columns = list(zip(*rows)) or [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+        names = ["path", "actual_bytes", "actual_sha256", "blob_sha1", "refused"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """Hashes of the files of a listing (path, length), whatever their size; ``refused`` tells why one has none."""
+    schema = "path string, actual_bytes long, actual_sha256 string, blob_sha1 string, refused string"
+    return files.select("path", "length").mapInArrow(_hashed, schema)
+
+
 def file_integrity(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Bytes and SHA-256 of every file against a manifest (name, bytes, sha256)."""
-    files = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("actual_bytes"),
-        F.sha2("content", 256).alias("actual_sha256"),
-        F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.col("length").cast("string")), "UTF-8"), F.unhex(F.lit("00")), "content")).alias("blob_sha1"),
-    )
+    """Bytes and SHA-256 of every file against a manifest (name, bytes, sha256).
+
+    Spark lists the files and deals them out by size without reading them; a task streams each of its files, so
+    a file of any size takes one block of memory. A file that tasks can't open is ``unreadable``, not skipped. Spark lists
+    no empty files, so an empty one counts as ``missing``.
+    """
+    listed = spark.read.format("binaryFile").load(path)  # the content column is never asked for
+    files = file_hashes(listed).withColumn("name", F.element_at(F.split("path", "/"), -1)).drop("path")
     status = (
         F.when(F.col("actual_bytes").isNull(), "missing")
+        .when(F.col("refused").isNotNull(), "unreadable")
         .when(F.col("bytes").isNull(), "unexpected")
         .when((F.col("bytes") != F.col("actual_bytes")) | (F.col("sha256") != F.col("actual_sha256")), "mismatch")
         .otherwise("verified")

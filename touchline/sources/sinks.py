@@ -81,3 +81,14 @@ def leak_scan(texts: DataFrame, key: str, column: str) -> DataFrame:
 
 def forbidden_headers(columns: Sequence[str]) -> list[str]:
     return sorted(set(columns) & set(FORBIDDEN_HEADERS))
+
+
+def write_by_match(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int, match: str = "match_id") -> DataFrame:
+    """A table with a folder per match, each cut into buckets by ``keys``, and read back.
+
+    Scans of some matches read their folders only, also where the matches come from another table at run time. Grouping
+    or joining by the match and the keys needs no exchange, and a busy match is spread over its buckets.
+    """
+    spread = df.repartition(buckets, *keys)  # each task holds one bucket of every match
+    spread.write.mode("overwrite").partitionBy(match).bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

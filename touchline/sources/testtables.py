@@ -48,6 +48,20 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.repartition(partitions, "match_id", "event_id", "ordinal")
 
 
+def states_by_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared population as a table with a folder per match and buckets of the state keys."""
+    from touchline.session import _WRITTEN, shared_folder
+    from touchline.sources.sinks import write_by_match
+
+    name = f"population_by_match_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}"
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _WRITTEN:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write_by_match(derived_states(spark, sf_dir), name, f"{shared_folder(spark)}/{name}", ["event_id", "ordinal"], partitions)
+        _WRITTEN[key] = name
+    return spark.table(name)
+
+
 def derived_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """match_id, event_id, ordinal, carrier, candidates, defenders, target_index."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
