@@ -84,4 +84,4 @@ def test_overlapping_windows_against_every_pair(spark):
         pairs = sum(a[:3] == b[:3] and a[3] <= b[4] and b[3] <= a[4] for a, b in itertools.combinations(own, 2))
         assert found[match] == (len(own), len(set(own)), pairs)
     pairs = bd.overlapping_windows(frame).collect()
-    assert len(pairs) == len({tuple(r)[:7] for r in pairs})
+    assert len(pairs) == len({tuple(r) for r in pairs})

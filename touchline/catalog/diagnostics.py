@@ -172,10 +172,43 @@ def _(spark, sf_dir):
     return rows.withColumn("weighted_disagreement", rounded(F.col("weighted_disagreement")))
 
 
-@query("agg42_strata_table")
+_STRATA = """
+own AS (SELECT k, dist, dx, abs(dy) AS ady, rd, sd, att, CASE WHEN dist <= 1e-9 THEN 'degenerate' WHEN dx / dist > sin(radians(10)) THEN 'forward'
+  WHEN dx / dist < -sin(radians(10)) THEN 'backward' ELSE 'approximately_lateral' END AS direction FROM edge WHERE j = target_index),
+valued AS (
+  SELECT d.match_id, m1_delta, m2_delta, unnest(['distance', 'longitudinal', 'absolute_lateral', 'receiver_distance', 'segment_distance', 'attenuation', 'nonnearest_mass']) AS feature,
+    unnest([dist, dx, ady, rd, sd, att, mass]) AS v FROM diagnosed d JOIN own USING (k) JOIN masses USING (k)),
+placed AS (
+  SELECT match_id, m1_delta, m2_delta, feature, 'bin_' || CAST(1 + CAST(a < v AS INTEGER) + CAST(b <> a AND b < v AS INTEGER) + CAST(c <> b AND c < v AS INTEGER) AS VARCHAR) AS bin
+  FROM valued JOIN quartile USING (feature)
+  UNION ALL SELECT d.match_id, m1_delta, m2_delta, 'direction', direction FROM diagnosed d JOIN own USING (k)),
+cell AS (
+  SELECT feature, 'bin_' || CAST(unnest(range(1, 3 + CAST(b <> a AS INTEGER) + CAST(c <> b AS INTEGER))) AS VARCHAR) AS bin FROM quartile
+  UNION ALL SELECT 'direction', unnest(['forward', 'approximately_lateral', 'backward', 'degenerate'])),
+counted AS (
+  SELECT feature, bin, match_id AS alias, count(*) AS states, count(*) FILTER (m1_delta < 0) AS m1_improved, count(*) FILTER (m1_delta > 0) AS m1_worsened,
+    count(*) FILTER (m1_delta = 0) AS m1_tied, count(*) FILTER (m2_delta < 0) AS m2_improved, count(*) FILTER (m2_delta > 0) AS m2_worsened,
+    count(*) FILTER (m2_delta = 0) AS m2_tied, avg(m1_delta) AS m1_mean_rank_change, avg(m2_delta) AS m2_mean_rank_change FROM placed GROUP BY ALL),
+summed AS (
+  SELECT * FROM counted
+  UNION ALL SELECT feature, bin, 'macro', sum(states), sum(m1_improved), sum(m1_worsened), sum(m1_tied), sum(m2_improved), sum(m2_worsened), sum(m2_tied),
+    avg(m1_mean_rank_change), avg(m2_mean_rank_change) FROM counted GROUP BY feature, bin),
+aliases AS (SELECT DISTINCT match_id AS alias FROM diagnosed UNION ALL SELECT 'macro')
+"""
+_COUNTS = ("states", *[f"{m}_{c}" for m in ("m1", "m2") for c in ("improved", "worsened", "tied")])
+
+
+@query(
+    "agg42_strata_table",
+    with_ctes(_DIAGNOSED, _CUTS, _STRATA)
+    + f"""SELECT alias, feature, bin, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in _COUNTS)},
+    round(m1_mean_rank_change, 6) + 0e0 AS m1_mean_rank_change, round(m2_mean_rank_change, 6) + 0e0 AS m2_mean_rank_change
+    FROM (SELECT * FROM aliases, cell) LEFT JOIN summed USING (alias, feature, bin)""",
+)
 def _(spark, sf_dir):
     cuts = dg.stratum_cuts(cut_lineage(edges(spark, sf_dir)))
-    return dg.strata_table(diagnosed(spark, sf_dir), cuts)
+    rows = dg.strata_table(diagnosed(spark, sf_dir), cuts)
+    return rows.withColumns({c: rounded(F.col(c)) for c in ("m1_mean_rank_change", "m2_mean_rank_change")})
 
 
 @query(
@@ -205,7 +238,31 @@ def _(spark, sf_dir):
     )
 
 
-@query("top05_quota_case_selection")
+def _pools_sql():
+    """The pools in turn: what a match may still give, best rows first, nobody twice."""
+    pools = [
+        ("failure", "m1_delta >= 2", 2, "m1_delta DESC, tie_key"),
+        ("failure", "m2_delta >= 2", 1, "m2_delta DESC, tie_key"),
+        ("feature_disagreement", "disagreement_fraction > 0 AND m0_top <> m1_top", 3, "disagreement_fraction DESC, tie_key"),
+        ("m2_ordering_change", "m1_top <> m2_top", 3, "changed_fraction DESC NULLS LAST, abs(m2_delta) DESC, tie_key"),
+        ("agreement", "m0_top = m1_top AND m1_top = m2_top AND m0_top = target_id", 3, "tie_key"),
+    ]
+    steps, used = [], "SELECT k, match_id, category, tie_key FROM (SELECT 0 AS k, '' AS match_id, '' AS category, '' AS tie_key) WHERE false"
+    for i, (category, condition, quota, order) in enumerate(pools):
+        steps.append(f"""used{i} AS ({used}),
+pool{i} AS (SELECT k, match_id, '{category}' AS category, tie_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY {order}) AS place FROM diagnosed WHERE {condition} AND k NOT IN (SELECT k FROM used{i}))
+  LEFT JOIN (SELECT match_id, count(*) AS taken FROM used{i} GROUP BY match_id) USING (match_id)
+  WHERE place <= 2 - coalesce(taken, 0) ORDER BY {order} LIMIT {quota})""")
+        used = f"SELECT * FROM used{i} UNION ALL SELECT * FROM pool{i}"
+    return ",\n".join([*steps, f"picked AS ({used})"])
+
+
+@query(
+    "top05_quota_case_selection",
+    with_ctes(_DIAGNOSED, _pools_sql())
+    + """SELECT 'case_' || lpad(CAST(row_number() OVER (ORDER BY tie_key) AS VARCHAR), 2, '0') AS case_id, CAST(k AS BIGINT) AS ordinal, match_id, category, tie_key FROM picked""",
+)
 def _(spark, sf_dir):
     return dg.select_cases(diagnosed(spark, sf_dir), dg.study_pools())
 
