@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.catalog.base import (
-    CANDIDATE, EDGES, ROUNDED_STATS, SCORES, STAT_COLUMNS, query, reached_sql, units_sql, with_ctes,
+    CANDIDATE, EDGES, ROUNDED_STATS, SCORES, STAT_COLUMNS, quantiles_sql, query, reached_sql, units_sql, with_ctes,
 )
 from touchline.catalog.evaluation import CREDIT
 from touchline.catalog.options import M0, M1, M2, PAIRS_SQL
@@ -220,10 +220,13 @@ def _(spark, sf_dir):
       SELECT model, component, 'components' AS kind, value AS v, w / count(*) OVER (PARTITION BY k, model, component) AS w FROM centred JOIN weight USING (match_id)
       UNION ALL SELECT model, component, 'centered_components', centred, w / count(*) OVER (PARTITION BY k, model, component) FROM centred JOIN weight USING (match_id)
       UNION ALL SELECT model, component, 'within_choice_range', max(value) - min(value), any_value(w) FROM centred JOIN weight USING (match_id) GROUP BY k, model, component),
-    c AS (SELECT *, sum(w) OVER (PARTITION BY model, component, kind ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum,
-      sum(w) OVER (PARTITION BY model, component, kind) AS total FROM rows)
+    u AS (SELECT *, UNITS AS units FROM rows),
+    c AS (SELECT *, sum(units) OVER (PARTITION BY model, component, kind ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum,
+      sum(units) OVER (PARTITION BY model, component, kind) AS total, count(*) OVER (PARTITION BY model, component, kind) AS rows_ FROM u)
     SELECT model, component, kind, count(*) AS count, round(sum(v * w) / sum(w), 6) + 0e0 AS mean, round(min(v), 6) + 0e0 AS minimum,
-      round(max(v), 6) + 0e0 AS maximum FROM c GROUP BY ALL""".replace(
+      round(max(v), 6) + 0e0 AS maximum, QUANTILES FROM c GROUP BY model, component, kind""".replace("UNITS", units_sql("w", "model, component, kind")).replace(
+        "QUANTILES", quantiles_sql("round({}, 6) + 0e0")
+    ).replace(
         "per_match AS (SELECT match_id, 1e0 / count(DISTINCT match_id) OVER () / count(DISTINCT k) AS unused FROM edge GROUP BY match_id),\n    ", ""
     ),
 )
@@ -234,7 +237,7 @@ def _(spark, sf_dir):
     weights = per_match.select("match_id", (1.0 / matches / F.col("states")).alias("w"))
     rows = dg.contribution_summary(dg.components(raw, MODELS), weights)
     return rows.select(
-        "model", "component", "kind", "count", *[rounded(F.col(c)).alias(c) for c in ("mean", "minimum", "maximum")]
+        "model", "component", "kind", "count", *[rounded(F.col(c)).alias(c) for c in STAT_COLUMNS]
     )
 
 
@@ -280,11 +283,11 @@ def progressions(spark, sf_dir):
 
 _HORIZON = """
 horizon AS (
-  SELECT k, match_id, event_id, model, sum(share * (rx - cx) / len) AS h, bool_and(abs(rx) <= len / 2 AND abs(cx) <= len / 2) AS valid,
+  SELECT k, match_id, event_id, model, sum(share * (rx - cx) / len) AS h, sum(share * (0.5e0 + rx / len)) AS v, bool_and(abs(rx) <= len / 2 AND abs(cx) <= len / 2) AS valid,
     exp(sum(CASE WHEN share > 0 THEN -share * ln(share) ELSE 0 END)) AS n
   FROM scored JOIN pitch USING (match_id) GROUP BY ALL),
 progression AS (
-  SELECT l.k, l.match_id, l.event_id, l.h AS H0, r.h AS H1, r.h - l.h AS S, r.n - l.n AS D
+  SELECT l.k, l.match_id, l.event_id, l.h AS H0, r.h AS H1, r.h - l.h AS S, r.n - l.n AS D, r.v - l.v AS by_value
   FROM horizon l JOIN horizon r USING (k) WHERE l.model = 'm0' AND r.model = 'm1' AND l.valid)
 """
 
@@ -293,7 +296,7 @@ progression AS (
     "agg39_value_horizon",
     with_ctes(SCORES, PITCH, _HORIZON)
     + """SELECT event_id, round(H0, 6) + 0e0 AS H0, round(H1, 6) + 0e0 AS H1, round(S, 6) + 0e0 AS S, round(D, 6) + 0e0 AS D,
-    true AS identity_holds FROM progression""",
+    abs(S - by_value) <= 1e-10 AS identity_holds FROM progression""",
 )
 def _(spark, sf_dir):
     rows = progressions(spark, sf_dir).where("valid")
@@ -302,6 +305,27 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "agg39_edge_contributions",
+    with_ctes(SCORES, PITCH)
+    + """SELECT l.event_id, l.id, round((r.share - l.share) * CASE WHEN abs(l.rx) <= len / 2 AND abs(l.cx) <= len / 2 THEN (l.rx - l.cx) / len END, 6) + 0e0 AS contribution
+    FROM scored l JOIN scored r ON l.k = r.k AND l.j = r.j JOIN pitch ON pitch.match_id = l.match_id WHERE l.model = 'm0' AND r.model = 'm1'""",
+)
+def _(spark, sf_dir):
+    rows = scored_with_points(spark, sf_dir).join(tt.pitches(spark, sf_dir), "match_id")
+    found = vl.edge_contributions(rows, vl.progression_surface(F.col("pitch_length")), "m0", "m1")
+    return found.select("event_id", "id", rounded(F.col("contribution")).alias("contribution"))
+
+
+@query(
+    "agg40_shift_correlation",
+    with_ctes(SCORES, PITCH, _HORIZON) + "SELECT match_id, round(corr(S, D), 6) + 0e0 AS pearson_S_D FROM progression GROUP BY match_id",
+)
+def _(spark, sf_dir):
+    rows = vl.shift_correlation(cut_lineage(progressions(spark, sf_dir).where("valid")))
+    return rows.select("match_id", rounded(F.col("pearson_S_D")).alias("pearson_S_D"))
+
+
 @query(
     "agg40_progression_typology",
     with_ctes(SCORES, PITCH, _HORIZON)

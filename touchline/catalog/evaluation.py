@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from touchline.catalog.base import EDGES, RANKS, SCORES, STAT_COLUMNS, quantiles_sql, query, units_sql, with_ctes
+from touchline.catalog.base import EDGES, QUANTILES, RANKS, SCORES, STAT_COLUMNS, quantiles_sql, query, units_sql, with_ctes
 from touchline.catalog.options import M0, M1, M2
-from touchline.catalog.population import MOMENTS
+from touchline.catalog.population import DECISION, MOMENTS
 from touchline.catalog.relations import _OVERLAP
 from touchline.functions.scalars import rounded
 from touchline.operators import choice_model as cm
@@ -350,7 +350,21 @@ def _(spark, sf_dir):
     )
 
 
-@query("agg26_centred_correlation")
+_CENTRED = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY k) AS {c}" for c in FEATURE_SQL.values())
+_CELLS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, match_id, k, avg({x} * {y}) AS v FROM middle GROUP BY match_id, k"
+    for a, x in FEATURE_SQL.items() for b, y in FEATURE_SQL.items()
+)
+
+
+@query(
+    "agg26_centred_correlation",
+    with_ctes(EDGES)
+    + f""", middle AS (SELECT match_id, k, {_CENTRED} FROM edge), cells AS ({_CELLS}),
+    covariance AS (SELECT a, b, avg(m) AS v FROM (SELECT a, b, match_id, avg(v) AS m FROM cells GROUP BY ALL) GROUP BY a, b)
+    SELECT c.a, c.b, round(c.v / sqrt(l.v) / sqrt(r.v), 6) + 0e0 AS correlation FROM covariance c
+    JOIN covariance l ON l.a = c.a AND l.b = c.a JOIN covariance r ON r.a = c.b AND r.b = c.b""",
+)
 def _(spark, sf_dir):
     covariance = cm.centred_covariance(edges(spark, sf_dir), M1_FEATURES)
     return cm.centred_correlation(covariance).withColumn("correlation", rounded(F.col("correlation")))
@@ -495,6 +509,32 @@ def provenance(spark, sf_dir):
     )
 
 
+@query(
+    "agg31_elapsed_quantiles",
+    with_ctes(*DECISION)
+    + """, ordered AS (SELECT *, lag(t_us) OVER (PARTITION BY match_id, period ORDER BY t_us) AS prior_us FROM frame),
+    elapsed AS (SELECT d.match_id, o.t_us - o.prior_us AS e FROM decided d JOIN ordered o USING (match_id, period, frame) WHERE o.prior_us IS NOT NULL)
+    SELECT match_id, count(*) AS frames, min(e) AS minimum, max(e) AS maximum, """
+    + ", ".join(f"round(quantile_cont(e, {q}), 3) + 0e0 AS q{round(q * 100):02d}" for q in QUANTILES)
+    + " FROM elapsed GROUP BY match_id",
+)
+def _(spark, sf_dir):
+    from touchline.catalog.population import BUCKET, decided
+    from touchline.operators import population as pop
+    from touchline.session import cut_lineage
+
+    before = pop.frames_with_previous(tt.tracking_frames(spark, sf_dir), BUCKET)
+    found = decided(spark, sf_dir).where(F.col("frame").isNotNull()).select("match_id", "period", "frame").join(
+        before, ["match_id", "period", "frame"]
+    )
+    elapsed = (F.col("t_us") - F.col("previous.t_us")).alias("e")
+    rows = cut_lineage(found.select("match_id", elapsed).where("e IS NOT NULL"))
+    counted = rows.groupBy("match_id").agg(F.count(F.lit(1)).alias("frames"), F.min("e").alias("minimum"), F.max("e").alias("maximum"))
+    spread = linear_quantiles(rows.withColumn("v", F.col("e").cast("double")), ["match_id"], "v", QUANTILES)
+    names = [c for c in spread.columns if c.startswith("q")]
+    return counted.join(spread.select("match_id", *[rounded(F.col(c), 3).alias(c) for c in names]), "match_id")
+
+
 # Probe distances of the sensitivity grid (metres).
 ANCHORS = (0.0, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0)
 

@@ -295,17 +295,19 @@ def _(spark, sf_dir):
 @query(
     "jn15_pitch_verification",
     with_ctes(STATE, CANDIDATE, PITCH)
-    + """SELECT event_id, id, CASE WHEN NOT (rx = -1 * (-1 * rx)) THEN 'transformation_defect'
-    WHEN abs(rx) - len / 2 <= 0 THEN 'dimension_join_defect' ELSE 'verified' END AS status FROM candidate JOIN pitch USING (match_id)""",
+    + """, native AS (SELECT *, CASE WHEN k % 83 = 7 THEN 0.5e0 - rx ELSE -rx END AS nx, CASE WHEN match_id = '4' THEN len + 1 ELSE len END AS declared
+      FROM candidate JOIN pitch USING (match_id))
+    SELECT event_id, id, CASE WHEN declared <> len THEN 'pitch_size_mismatch' WHEN rx <> -nx THEN 'transformation_defect'
+    WHEN abs(rx) - len / 2 <= 0 THEN 'dimension_join_defect' ELSE 'verified' END AS status FROM native""",
 )
 def _(spark, sf_dir):
     from touchline.operators.options import candidate_rows
 
+    # A team attacking left has its points turned around in the files. Some native points are moved, one match's size is wrong.
     rows = candidate_rows(tt.states(spark, sf_dir)).join(tt.pitches(spark, sf_dir), "match_id")
-    # The native point is the canonical one turned around, as for a team attacking left.
-    status = bd.verified_point(
-        F.col("rx"), F.col("ry"), -F.col("rx"), F.col("ry"), F.lit(-1), F.col("pitch_length")
-    )
+    moved = F.when(F.col("ordinal") % 83 == 7, 0.5 - F.col("rx")).otherwise(-F.col("rx"))
+    declared = F.when(F.col("match_id") == "4", F.col("pitch_length") + 1).otherwise(F.col("pitch_length"))
+    status = bd.verified_point(F.col("rx"), F.col("ry"), moved, F.col("ry"), F.lit(-1), F.col("pitch_length"), declared)
     return rows.select("event_id", "id", status.alias("status"))
 
 
@@ -363,6 +365,35 @@ def _(spark, sf_dir):
     return pop.target_checks(flow(spark, sf_dir))
 
 
+@query(
+    "agg02_carrier_checks",
+    with_ctes(*FLOWS)
+    + """, tracked AS (SELECT match_id, event_id, bool_or(player_id = carrier) AS seen FROM moment GROUP BY ALL),
+    unplaced AS (SELECT d.match_id, d.event_id FROM decided d JOIN position p ON p.match_id = d.match_id AND p.period = d.period AND p.frame = d.frame
+      AND p.player_id = d.carrier WHERE p.x IS NULL OR p.y IS NULL),
+    judged AS (
+      SELECT a.match_id, a.carrier, f.carrier_team, v.player_id = '' AND coalesce(v.player_in_possession_id, '') <> '' AS fallback,
+        coalesce(f.exclusion = 'invalid_carrier', false) AND f.carrier_team IS NOT NULL AS judged, coalesce(t.seen, false) AS seen, coalesce(f.carrier_active, false) AS active,
+        u.event_id IS NOT NULL AS unplaced
+      FROM attempt a JOIN flow f USING (match_id, event_id) JOIN vendor v USING (match_id, event_id)
+      LEFT JOIN tracked t ON t.match_id = a.match_id AND t.event_id = a.event_id LEFT JOIN unplaced u ON u.match_id = a.match_id AND u.event_id = a.event_id)
+    SELECT match_id, count(*) FILTER (carrier = '') AS both_missing, count(*) FILTER (fallback) AS fallback_used,
+      count(*) FILTER (carrier <> '' AND carrier_team IS NULL) AS selected_absent_roster, count(*) FILTER (judged AND NOT seen) AS selected_untracked,
+      count(*) FILTER (judged AND seen AND NOT active) AS selected_inactive, count(*) FILTER (unplaced) AS nonfinite_coordinate FROM judged GROUP BY match_id""",
+)
+def _(spark, sf_dir):
+    keys = ["match_id", "event_id"]
+    fallback = tt.match_events(spark, sf_dir).select(
+        *keys, ((F.coalesce("player_id", F.lit("")) == "") & (F.coalesce("player_in_possession_id", F.lit("")) != "")).alias("fallback")
+    )
+    placed = pop.position_rows(tt.tracking_frames(spark, sf_dir)).where("x IS NULL OR y IS NULL").select(
+        "match_id", "period", "frame", F.col("player_id").alias("carrier"), F.lit(True).alias("unplaced")
+    )
+    facts = attempts(spark, sf_dir).select(*keys, "carrier")
+    bare = decided(spark, sf_dir).join(facts, keys).join(placed, ["match_id", "period", "frame", "carrier"]).select(*keys, "unplaced")
+    return pop.carrier_checks(flow(spark, sf_dir).join(fallback, keys).join(bare, keys, "left"))
+
+
 @query(
     "agg03_identity_form_counts",
     with_ctes(EVENT)
@@ -414,6 +445,40 @@ def _(spark, sf_dir):
     return pop.tracking_profile(tt.tracking_frames(spark, sf_dir))
 
 
+@query(
+    "agg45_step_and_cadence_histograms",
+    with_ctes(EVENT, FRAME)
+    + """, stepped AS (SELECT period, frame - lag(frame) OVER w AS step, t_us - lag(t_us) OVER w AS gap FROM frame WINDOW w AS (PARTITION BY match_id, period ORDER BY t_us))
+    SELECT period, 'frame_step' AS kind, step AS value, count(*) AS frames FROM stepped WHERE step IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT period, 'cadence_minutes', gap // 60000000, count(*) FROM stepped WHERE gap IS NOT NULL GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    rows = pop.frames_with_previous(tt.tracking_frames(spark, sf_dir), BUCKET).where("previous IS NOT NULL")
+    gap = F.floor((F.col("t_us") - F.col("previous.t_us")) / 60_000_000)
+    kinds = F.array(
+        F.struct(F.lit("frame_step").alias("kind"), (F.col("frame") - F.col("previous.frame")).alias("value")),
+        F.struct(F.lit("cadence_minutes").alias("kind"), gap.alias("value")),
+    )
+    return rows.select("period", F.inline(kinds)).groupBy("period", "kind", "value").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@query(
+    "agg46_age_and_candidate_histograms",
+    with_ctes(*FLOWS)
+    + """SELECT 'age_minutes' AS kind, (t_us - frame_clock) // 60000000 AS value, count(*) AS attempts FROM decided WHERE frame IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'candidates', n_candidates, count(*) FROM flow WHERE exclusion IS NULL GROUP BY ALL
+    UNION ALL SELECT 'defenders', n_defenders, count(*) FROM flow WHERE exclusion IS NULL GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    ages = decided(spark, sf_dir).where(F.col("frame").isNotNull()).select(
+        F.lit("age_minutes").alias("kind"), F.floor((F.col("t_us") - F.col("frame_clock")) / 60_000_000).alias("value")
+    )
+    sizes = flow(spark, sf_dir).where(F.col("exclusion").isNull()).select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), F.size(n).cast("long").alias("value")) for n in ("candidates", "defenders")]))
+    )
+    return ages.unionByName(sizes).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("attempts"))
+
+
 @query(
     "agg46_alignment_profile",
     with_ctes(*FLOWS)

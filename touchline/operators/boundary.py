@@ -123,12 +123,16 @@ def overlap_counts(windows: DataFrame) -> DataFrame:
     return own.join(apart, "match_id", "left").select("match_id", "windows", "distinct_windows", total.alias("overlapping_pairs"))
 
 
-def verified_point(canonical_x, canonical_y, native_x, native_y, sign, length):
-    """Excess over half the pitch when the oriented native point equals the canonical one."""
+def verified_point(canonical_x, canonical_y, native_x, native_y, sign, length, declared=None):
+    """Whether the oriented native point equals the canonical one and lies beyond half the pitch length.
+
+    ``declared`` is the length that the match itself gives; it must equal the joined one exactly.
+    """
     same = (canonical_x == native_x * sign) & (canonical_y == native_y)
-    excess = F.abs(canonical_x) - length / 2
+    sizes = F.lit(True) if declared is None else declared.eqNullSafe(length)
     return (
-        F.when(~same, "transformation_defect")
-        .when(excess <= 0, "dimension_join_defect")
+        F.when(~sizes, "pitch_size_mismatch")
+        .when(~same, "transformation_defect")
+        .when(F.abs(canonical_x) - length / 2 <= 0, "dimension_join_defect")
         .otherwise("verified")
     )

@@ -298,6 +298,25 @@ def target_checks(flow: DataFrame) -> DataFrame:
     return flow.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("attempts"))
 
 
+def carrier_checks(flow: DataFrame) -> DataFrame:
+    """Six counters of the carrier per match over all attempts.
+
+    ``flow`` also carries ``fallback`` (the carrier is the player in possession) and ``unplaced`` (the carrier is in
+    the frame without coordinates). Tracking is judged only where the carrier decided the exclusion.
+    """
+    known = F.col("carrier_team").isNotNull()
+    judged = F.coalesce(F.col("exclusion") == "invalid_carrier", F.lit(False)) & known
+    seen, active = (F.coalesce(c, F.lit(False)) for c in ("carrier_tracked", "carrier_active"))
+    return flow.groupBy("match_id").agg(
+        F.count_if(F.col("carrier") == "").alias("both_missing"),
+        F.count_if("fallback").alias("fallback_used"),
+        F.count_if((F.col("carrier") != "") & ~known).alias("selected_absent_roster"),
+        F.count_if(judged & ~seen).alias("selected_untracked"),
+        F.count_if(judged & seen & ~active).alias("selected_inactive"),
+        F.count_if(F.coalesce("unplaced", F.lit(False))).alias("nonfinite_coordinate"),
+    )
+
+
 def tracking_profile(frames: DataFrame) -> DataFrame:
     """Frames, player rows, detections and coordinate extrema per period."""
     # Frames are counted before the explode, players after it.
