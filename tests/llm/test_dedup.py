@@ -142,6 +142,43 @@ def test_planted_passages_go_and_clean_texts_stay(spark, docs_of):
     assert rows[11]["text"] == clean and rows[11]["n_removed"] == 0
 
 
+def test_passages_begun_inside_sentences_are_seen():
+    """Passages of 51 to 80 words set between words of two texts, with and without full stops: at most 2 % share no span."""
+    import random
+
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+
+    def running(n, stops):
+        held = [rng.choice(words) for _ in range(n)]
+        return [w + "." if stops and rng.random() < 1 / 14 else w for w in held]
+
+    missed = total = 0
+    for stops in (True, False):
+        for _ in range(300):
+            passage = running(rng.choice((51, 60, 80)), stops)
+            hosts = []
+            for _ in range(2):
+                host = running(120, stops)
+                at = rng.randrange(len(host))
+                hosts.append({span for span, _, _ in sentence_spans.spans(" ".join(host[:at] + passage + host[at:]))})
+            total += 1
+            missed += not hosts[0] & hosts[1]
+    assert missed / total <= 0.02
+
+
+def test_places_and_digests_of_pieces_agree():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice(["Word ", "über\t", "x. ", "end!\n", "longer words here ", "a\x1cb ", *(["ä。"] if rng.random() < 0.5 else [])]) for _ in range(rng.randrange(60)))
+        placed, bare = sentence_spans.sentences(text), sentence_spans.sentences(text, False)
+        assert [p[2:] for p in placed] == [p[2:] for p in bare]
+        assert all(a[1] <= b[0] for a, b in zip(placed, placed[1:]))
+        assert all(len(text[a:b].split()) == n for a, b, n, _ in placed)
+
+
 def test_spans_odd_rows(docs_of, odd_rows):
     docs = docs_of(odd_rows)
     rows = sentence_spans.dedup(docs).collect()

@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (long ones into pieces at words chosen by their content, so that
-equal passages are cut alike wherever they begin). A span is the shortest run of consecutive
-sentences from a sentence on, or back from it, that has at least MIN_SENTENCES and MIN_WORDS. The
+A text is cut into sentences, and those of more than LONG_SENTENCE words into pieces at words chosen
+by their content (the smallest CRC among the REACH words on either side), so that equal passages are
+cut alike wherever they begin. A span is the shortest run of consecutive sentences from a sentence on
+that has at least MIN_SENTENCES and MIN_WORDS. A passage copied from the middle of a sentence into the middle of
+another loses the pieces at its ends, and is seen when a whole span is left between them. The
 hash of every span meets its equals globally: a minimum with map-side partials finds the document
 that has it first, a join on the hash finds the others. Every sentence inside a span that isn't
 the first of its kind (by document id, then by place) is removed. Case and white space don't
@@ -29,38 +31,53 @@ from pyspark.sql import DataFrame, functions as F
 
 from touchline.llm.common import stored
 
-MIN_SENTENCES = 3
+MIN_SENTENCES = 2
 MIN_WORDS = 20
-# Sentences of more words are cut after words whose CRC has its three lowest bits unset.
-LONG_SENTENCE = 24
+# Sentences of more words are cut after words whose CRC is the smallest of so many words before and after.
+LONG_SENTENCE = 12
+REACH = 3
 END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|[。！？]+\s*|\n+")
 WORD = re.compile(r"\S+\s*")
+SEPARATOR = re.compile(r"[\x1c-\x1f]")
 SPANS = "doc_id long, span long, first int, last int, again boolean"
 
 
-def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of every sentence that has a word."""
+def piece_ends(words: list[bytes]) -> list[int]:
+    """Numbers of words after which a sentence is cut; the last one is its end."""
+    n = len(words)
+    if n <= LONG_SENTENCE:
+        return [n]
+    crc = [zlib.crc32(word) for word in words]
+    ends = [
+        i + 1
+        for i, own in enumerate(crc[:-1])
+        if own < crc[i + 1] and (not i or own <= crc[i - 1]) and own < min(crc[i + 1 : i + 1 + REACH]) and own <= min(crc[max(0, i - REACH) : i + 1])
+    ]
+    return [*ends, n]
+
+
+def sentences(text: str, placed: bool = True) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of every sentence or piece of one that has a word; unless ``placed``, without places."""
     found, start = [], 0
     # Lower case may change lengths; then equality stays sensitive to case for this text.
     lower = text.lower()
     lower = lower if len(lower) == len(text) else text
     digest = xxhash.xxh3_64_digest
+    # Bytes part words like text does, but for the four separators that text knows besides.
+    plain = lower.isascii() and not SEPARATOR.search(lower)
 
     def add(a, b):
-        words = lower[a:b].split()
+        words = lower[a:b].encode().split() if plain else [w.encode("utf-8", "surrogatepass") for w in lower[a:b].split()]
         if not words:
             return
-        if len(words) <= LONG_SENTENCE:
-            found.append((a, b, len(words), digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-            return
-        held, n, at = [], 0, a
-        for match in WORD.finditer(lower, a, b):
-            word = match[0].rstrip()
-            held.append(word)
-            n += 1
-            if match.end() == b or not zlib.crc32(word.encode("utf-8", "surrogatepass")) & 7:
-                found.append((at, match.end(), n, digest(" ".join(held).encode("utf-8", "surrogatepass"))))
-                held, n, at = [], 0, match.end()
+        ends = piece_ends(words)
+        if placed and len(ends) > 1:
+            after = [match.end() for match in WORD.finditer(lower, a, b)]
+        at, from_place = 0, a
+        for end in ends:
+            to_place = after[end - 1] if placed and len(ends) > 1 and end < len(words) else b
+            found.append((from_place, to_place, end - at, digest(b" ".join(words[at:end]))))
+            at, from_place = end, to_place
 
     for match in END.finditer(text):
         add(start, match.end())
@@ -71,7 +88,7 @@ def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
 
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(hash, first sentence, last sentence) of every span."""
-    parts = sentences(text)
+    parts = sentences(text, False)
     n = len(parts)
     if n < MIN_SENTENCES:
         return []
@@ -79,14 +96,11 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     np.cumsum([part[2] for part in parts], out=before[1:])
     if before[n] < MIN_WORDS:
         return []
+    # Shortest run from each sentence on, with enough words and sentences.
     index = np.arange(n)
-    # Shortest run from each sentence on, and back from each sentence.
     last = np.maximum(np.searchsorted(before, before[:-1] + MIN_WORDS, "left") - 1, index + MIN_SENTENCES - 1)
-    first = np.minimum(np.searchsorted(before, before[1:] - MIN_WORDS, "right") - 1, index - MIN_SENTENCES + 1)
-    runs = {(int(i), int(j)) for i, j in zip(index, last) if j < n}
-    runs |= {(int(i), int(j)) for i, j in zip(first, index) if i >= 0}
     digests = b"".join(part[3] for part in parts)
-    return [(xxhash.xxh3_64_intdigest(digests[8 * i : 8 * j + 8]), i, j) for i, j in sorted(runs)]
+    return [(xxhash.xxh3_64_intdigest(digests[8 * i : 8 * j + 8]), i, j) for i, j in enumerate(last.tolist()) if j < n]
 
 
 def _span_rows(batches):
