@@ -240,4 +240,4 @@ def test_pipeline_stages_keep_columns_and_agree_with_run(spark):
 
 def test_catalog():
     assert set(ORACLES) <= set(QUERIES)
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
