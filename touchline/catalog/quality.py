@@ -486,7 +486,12 @@ def _(spark, sf_dir):
     return position_rows(fl.tracking_frames(spark, stored_text(spark, sf_dir, "tracking_jsonl", build)))
 
 
-@query("src06_pitch_dimensions")
+@query(
+    "src06_pitch_dimensions",
+    """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN -1e0 WHEN c_custkey % 13 <> 0 THEN CAST(c_custkey % 9 + 96 AS DOUBLE) END AS pitch_length,
+    CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 <> 0 THEN 68e0 END AS pitch_width,
+    CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN 'dimension_invalid' END AS reject FROM customer""",
+)
 def _(spark, sf_dir):
     k = F.col("c_custkey")
     document = (
