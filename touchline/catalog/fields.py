@@ -505,10 +505,19 @@ placed AS (
 per_edge AS (
   SELECT k, match_id, event_id, j, {UNION_SQL} AS u, max(v) AS m, bool_or(owner) AS owned, count(*) FILTER (owner AND near) AS both_n,
     count(*) FILTER (owner OR near) AS any_n FROM placed GROUP BY ALL),
+opened AS (SELECT *, CASE WHEN sdist - lag(sdist) OVER (PARTITION BY k, j ORDER BY sdist, d) <= 1e-12 THEN 0 ELSE 1 END AS opens FROM placed),
+blocks AS (SELECT *, sum(opens) OVER (PARTITION BY k, j ORDER BY sdist, d ROWS UNBOUNDED PRECEDING) AS blk FROM opened),
+ranged AS (
+  SELECT *, 1 + count(*) OVER (PARTITION BY k, j ORDER BY blk RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS first,
+    count(*) OVER (PARTITION BY k, j ORDER BY blk RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM blocks),
+fractions AS (SELECT match_id, k, j, top, CASE WHEN sum(v) > 0 THEN sum(v * greatest(0, least(last, top) - first + 1) / (last - first + 1)) / sum(v) END AS f
+  FROM ranged, (SELECT unnest([1, 2, 3]) AS top) GROUP BY ALL),
 involved AS (SELECT k, match_id, d, count(*) AS n FROM placed WHERE owner GROUP BY ALL),
 per_state AS (SELECT k, match_id, count(*) AS defenders, max(n) AS most FROM involved GROUP BY ALL),
 items AS (
   SELECT 'difference' AS metric, k, match_id, u - m AS v FROM per_edge
+  UNION ALL SELECT 'numerically_equal', k, match_id, CAST(abs(u - m) <= 1e-12 AS DOUBLE) FROM per_edge
+  UNION ALL SELECT 'segment_top' || top || '_strength_fraction', k, match_id, f FROM fractions WHERE f IS NOT NULL
   UNION ALL SELECT 'field_owner_available', k, match_id, CAST(owned AS DOUBLE) FROM per_edge
   UNION ALL SELECT 'segment_nearest_intersection', k, match_id, CAST(both_n > 0 AS DOUBLE) FROM per_edge WHERE owned
   UNION ALL SELECT 'segment_nearest_jaccard', k, match_id, both_n / any_n FROM per_edge WHERE owned
@@ -530,7 +539,8 @@ def _(spark, sf_dir):
     from touchline.session import cut_lineage
 
     shown = ("difference", "field_owner_available", "segment_nearest_intersection", "segment_nearest_jaccard",
-             "distinct_maximum_defenders", "maximum_involvement", "multi_edge")
+             "distinct_maximum_defenders", "maximum_involvement", "multi_edge", "numerically_equal",
+             *[f"segment_top{k}_strength_fraction" for k in (1, 2, 3)])
     values = cut_lineage(study_values(spark, sf_dir).where(F.col("metric").isin(*shown)))
     return sd.metric_tables(values, ["metric"]).select("metric", "alias", "count", rounded(F.col("mean")).alias("mean"))
 
