@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm import kneser_ney, latent_leaks, poisson_mix, sentence_spans, simhash_bk
+from touchline.llm import kneser_ney, latent_leaks, near_shingles, poisson_mix, sentence_spans
 from touchline.llm.common import stored, table
 
 
@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash_bk.one_of_each(docs)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_shingles.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
