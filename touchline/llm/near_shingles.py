@@ -8,7 +8,8 @@
 3. A piece holds its fingerprints in a BK-tree and links what lies within the radius with n - 1
    candidates; crowded shards are dealt a second time, which connects their pieces.
 4. Candidates meet both whole sets in joins, hot nodes in pieces, and count from SIMILARITY on;
-   large-star and small-star rounds close them.
+   large-star and small-star rounds close them. Sets are made again from the texts of the nodes that are
+   candidates, as keeping those of all texts would take more than the texts.
 5. A candidate that fails may have stood for others. So in every shard that still holds several
    components, each node outside the largest one is searched in the trees of all pieces, and every
    neighbour of another component is a candidate. Nothing is capped.
@@ -78,23 +79,47 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
-def _set_rows(batches):
+def node_of(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _described(batches):
     for batch in batches:
         sets = [shingle_set(text) for text in batch.column("text").to_pylist()]
-        packed = [found.tobytes() for found in sets]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(p) for p in packed], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([set_fingerprint(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(packed, pa.binary()),
+                batch.column("doc_id"), pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([set_fingerprint(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
             ],
-            names=["doc_id", "node", "n", "fp", "keys", "shingles"],
+            names=["doc_id", "node", "n", "fp", "keys"],
         )
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n (shingles), fp, keys and the packed shingles of every row with an id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return rows.mapInArrow(_set_rows, "doc_id long, node binary, n long, fp long, keys array<long>, shingles binary")
+def _packed(batches):
+    for batch in batches:
+        sets = [shingle_set(text) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]
+        )
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, node, n (shingles), fp and keys of every row with an id."""
+    return with_ids(docs).mapInArrow(_described, "doc_id long, node binary, n long, fp long, keys array<long>")
+
+
+def packed_sets(docs: DataFrame, wanted: DataFrame, ids_repeat: bool) -> DataFrame:
+    """node and its packed shingles, once per node of ``wanted`` (node, first_doc)."""
+    wanted = if_small(stored(wanted, "near-wanted"))
+    texts = with_ids(docs).join(wanted.select("first_doc").distinct() if ids_repeat else wanted, F.col("doc_id") == F.col("first_doc"), "left_semi")
+    sets = texts.select("text").mapInArrow(_packed, "node binary, shingles binary")
+    if ids_repeat:
+        sets = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return stored(sets, "near-sets")
 
 
 def if_small(df: DataFrame) -> DataFrame:
@@ -206,8 +231,10 @@ def _alike(batches):
         yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, ids_repeat: bool) -> DataFrame:
     """The pairs whose whole sets reach SIMILARITY."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = packed_sets(docs, nodes.select("node", "first_doc").join(if_small(met), "node", "left_semi"), ids_repeat)
     beside = with_sets(with_sets(pairs, sets, "b"), sets, "a")
     return stored(beside.select("a", "b", "set_a", "set_b").mapInArrow(_alike, "a binary, b binary"), "near-links")
 
@@ -223,22 +250,22 @@ def with_components(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def links_between(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def links_between(nodes: DataFrame, docs: DataFrame, ids_repeat: bool) -> DataFrame:
     """Verified links whose closure has the components of all candidates: see the steps above."""
     shards = nodes.where("n > 0").select("node", "fp", "n", F.explode("keys").alias("key"))
     sizes = shards.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     crowded = stored(sizes.where(F.col("size") > SHARD_LIMIT).select("key", F.ceil(F.col("size") / SHARD_LIMIT).alias("pieces")), "near-crowded")
     few = if_small(crowded)
-    whole = shards.join(few, "key", "left").withColumn("n_pieces", F.coalesce("pieces", F.lit(1))).drop("pieces")
+    whole = shards.select("node", "fp", "key").join(few, "key", "left").withColumn("n_pieces", F.coalesce("pieces", F.lit(1))).drop("pieces")
     pairs = by_piece(in_pieces(whole, 0), _spanning)
     if not crowded.isEmpty():
-        again = shards.join(few, "key").withColumnRenamed("pieces", "n_pieces")
+        again = shards.select("node", "fp", "key").join(few, "key").withColumnRenamed("pieces", "n_pieces")
         pairs = pairs.unionByName(by_piece(in_pieces(again, 1), _spanning))
     pairs = stored(pairs.distinct(), "near-candidates")
-    links = verified(pairs, sets)
+    links = verified(pairs, nodes, docs, ids_repeat)
 
-    named = with_components(nodes.where("n > 0"), components(links)).select("node", "fp", "n", "component", F.explode("keys").alias("key"))
-    named = stored(named, "near-named")
+    named = stored(with_components(nodes.where("n > 0"), components(links)).select("node", "fp", "n", "component", "keys"), "near-named")
+    named = named.withColumn("key", F.explode("keys")).drop("keys")
     per_component = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = per_component.groupBy("key").agg(
         F.max_by("component", F.struct("size", "component")).alias("largest"), F.ceil(F.sum("size") / SHARD_LIMIT).alias("n_pieces"), F.count(F.lit(1)).alias("parts")
@@ -248,22 +275,19 @@ def links_between(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     visiting = searched.where("component <> largest").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces").cast("int") - 1)))
     searched = searched.unionByName(visiting.withColumn("visits", F.lit(True))).drop("largest", "n_pieces")
     rest = stored(by_piece(searched, _open_pairs).distinct().join(pairs, ["a", "b"], "left_anti"), "near-open")
-    return links.unionByName(verified(rest, sets))
+    return links.unionByName(verified(rest, nodes, docs, ids_repeat))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest id of its group) of every row with an id."""
-    rows = stored(shingle_sets(docs), "near-sets")
+    rows = stored(described(docs), "near-rows")
     keyed = rows.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = stored(keyed, "near-nodes")
     # Rows of one id count as copies: texts of one id are linked through it.
-    by_id = rows.select("doc_id", "node").distinct().groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("z"), F.count(F.lit(1)).alias("times"))
-    same_id = rows.select("doc_id", F.col("node").alias("a")).join(if_small(stored(by_id.where("times > 1"), "near-same-id")), "doc_id").where("a <> b").select("a", "b").distinct()
-    # Sets are looked up once per node, in the row that names it.
-    named = F.broadcast if nodes.count() <= BROADCAST_IDS else (lambda df: df)
-    firsts = named(nodes.select(F.col("node").alias("of"), "first_doc"))
-    sets = rows.join(firsts, (F.col("node") == F.col("of")) & (F.col("doc_id") == F.col("first_doc")), "left_semi").select("node", "shingles").dropDuplicates(["node"])
-    links = links_between(nodes, stored(sets, "near-distinct-sets"))
+    by_id = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("times"))
+    repeated = stored(by_id.where("times > 1"), "near-same-id")
+    links = links_between(nodes, docs, not repeated.isEmpty())
+    same_id = rows.select("doc_id", F.col("node").alias("a")).join(if_small(repeated), "doc_id").where("a <> b").select("a", "b").distinct()
     found = with_components(nodes.select("node", "first_doc"), components(links.unionByName(same_id)))
     smallest = found.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     classes = stored(found.join(smallest, "component").select("node", "component_id"), "near-classes")
