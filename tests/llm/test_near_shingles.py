@@ -87,7 +87,7 @@ def test_failed_stars_are_searched_again():
 
     columns = {"key": [1] * 5, "piece": [0] * 5, "node": [b"a", b"b", b"c", b"d", b"b"], "fp": [0, 1, 3, -1, 1], "n": [10] * 5}
     columns |= {"component": [b"a", b"b", b"a", b"d", b"b"], "visits": [False] * 4 + [True]}
-    found = [tuple(row.values()) for batch in near_shingles._open_pairs([pa.RecordBatch.from_pydict(columns)]) for row in batch.to_pylist()]
+    found = [tuple(row.values()) for batch in near_shingles._open_pairs(None)([pa.RecordBatch.from_pydict(columns)]) for row in batch.to_pylist()]
     assert sorted(found) == [(b"b", b"a"), (b"c", b"b")]
 
 

@@ -11,8 +11,9 @@
    large-star and small-star rounds close them. Sets are made again from the texts of the nodes that are
    candidates, as keeping those of all texts would take more than the texts.
 5. A candidate that fails may have stood for others. So in every shard that still holds several
-   components, each node outside the largest one is searched in the trees of all pieces, and every
-   neighbour of another component is a candidate. Nothing is capped.
+   components, each node outside the largest one is searched in the trees of all pieces. The nearest
+   neighbours of other components are candidates first, as they join most groups; the last round takes
+   every neighbour of another component that is left. Nothing is capped.
 
 Cases: null, empty and blank texts have the empty set and are copies of each other; texts of fewer
 words than a shingle have one shingle, their words; rows without an id take part in no group and
@@ -27,7 +28,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from touchline.llm.common import stored
 from touchline.llm.simhash_bk import BROADCAST_IDS, SEED, BKTree, closure, shard_links
@@ -37,6 +38,8 @@ SIMILARITY = 0.8
 RADIUS = 20
 BANDS, ROWS = 16, 4
 SHARD_LIMIT = 2_000
+# Nearest neighbours of other components that are tried in each round of the open search; the last one takes all.
+OPEN_ROUNDS = (4, 32, None)
 # A node in more candidates than this meets them in several tasks.
 HOT_NODE = 500
 
@@ -178,10 +181,10 @@ def _spanning(batches):
     return _pair_batches(pairs())
 
 
-def _open_pairs(batches):
-    """Candidates of open nodes with every neighbour of another component in the piece."""
+def _open_pairs(nearest: int | None):
+    """Candidates of open nodes with the nearest (None: all) neighbours of other components in the piece."""
 
-    def pairs():
+    def pairs(batches):
         for rows in _pieces(batches, ("node", "fp", "n", "component", "visits")):
             homes = [row for row in rows if not row[4]]
             searching = [row for row in rows if row[4]]
@@ -189,12 +192,14 @@ def _open_pairs(batches):
                 continue
             tree = BKTree([row[1] & (2**64 - 1) for row in homes])
             for node, fp, n, component, _ in searching:
-                for at in tree.near(fp & (2**64 - 1), RADIUS):
-                    other = homes[at]
-                    if other[3] != component and similar_sizes(n, other[2]):
-                        yield node, other[0]
+                own = fp & (2**64 - 1)
+                others = [homes[at] for at in tree.near(own, RADIUS)]
+                others = [row for row in others if row[3] != component and similar_sizes(n, row[2])]
+                if nearest is not None and len(others) > nearest:
+                    others = sorted(others, key=lambda row: (((row[1] & (2**64 - 1)) ^ own).bit_count(), row[0]))[:nearest]
+                yield from ((node, row[0]) for row in others)
 
-    return _pair_batches(pairs())
+    return lambda batches: _pair_batches(pairs(batches))
 
 
 def in_pieces(shards: DataFrame, salt: int) -> DataFrame:
@@ -264,7 +269,16 @@ def links_between(nodes: DataFrame, docs: DataFrame, ids_repeat: bool) -> DataFr
     pairs = stored(pairs.distinct(), "near-candidates")
     links = verified(pairs, nodes, docs, ids_repeat)
 
-    named = stored(with_components(nodes.where("n > 0"), components(links)).select("node", "fp", "n", "component", "keys"), "near-named")
+    for nearest in OPEN_ROUNDS:
+        rest = stored(open_candidates(nodes, components(links), nearest).distinct().join(pairs, ["a", "b"], "left_anti"), "near-open")
+        pairs = pairs.unionByName(rest)
+        links = links.unionByName(verified(rest, nodes, docs, ids_repeat))
+    return links
+
+
+def open_candidates(nodes: DataFrame, found: DataFrame, nearest: int | None) -> DataFrame:
+    """Candidates between components that meet in a shard."""
+    named = stored(with_components(nodes.where("n > 0"), found).select("node", "fp", "n", "component", "keys"), "near-named")
     named = named.withColumn("key", F.explode("keys")).drop("keys")
     per_component = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = per_component.groupBy("key").agg(
@@ -274,8 +288,7 @@ def links_between(nodes: DataFrame, docs: DataFrame, ids_repeat: bool) -> DataFr
     searched = in_pieces(named.join(if_small(mixed), "key"), 0).withColumn("visits", F.lit(False))
     visiting = searched.where("component <> largest").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces").cast("int") - 1)))
     searched = searched.unionByName(visiting.withColumn("visits", F.lit(True))).drop("largest", "n_pieces")
-    rest = stored(by_piece(searched, _open_pairs).distinct().join(pairs, ["a", "b"], "left_anti"), "near-open")
-    return links.unionByName(verified(rest, nodes, docs, ids_repeat))
+    return by_piece(searched, _open_pairs(nearest))
 
 
 def groups(docs: DataFrame) -> DataFrame:
