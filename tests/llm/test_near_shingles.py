@@ -91,6 +91,36 @@ def test_failed_stars_are_searched_again():
     assert sorted(found) == [(b"b", b"a"), (b"c", b"b")]
 
 
+def test_blocks_of_sets_join_what_pairs_join():
+    """Links of a block close to the components of all its pairs, with no join twice."""
+    rng = random.Random(4)
+    texts = []
+    for family in range(3):
+        body = [f"w{family}x{at}" for at in range(60)]
+        texts += [" ".join(f"r{rng.random()}" if rng.random() < share else word for word in body) for share in (0.01, 0.02, 0.04) for _ in range(25)]
+    rows = [(b"%03d" % at, near_shingles.shingle_set(text).tobytes(), b"%03d" % at) for at, text in enumerate(texts)]
+    links = list(near_shingles.set_links(rows, rows))
+    want = plain_groups(list(enumerate(texts)))
+    root = {at: at for at in want}
+    for a, b in links:
+        low, high = sorted((root[int(a)], root[int(b)]))
+        assert low != high
+        root = {at: low if top == high else top for at, top in root.items()}
+    assert root == want and 3 < len(set(want.values())) < 150
+
+
+def test_wide_shards_are_compared_in_blocks(docs_of, monkeypatch):
+    """A crowd of near copies of which many are too far from all others, in blocks far smaller than the crowd."""
+    rng = random.Random(5)
+    body = [f"w{at}" for at in range(90)]
+    docs = [(at, " ".join(f"r{rng.random()}" if rng.random() < 0.03 else word for word in body), "en", "a") for at in range(150)]
+    monkeypatch.setattr(near_shingles, "NEAREST", 1)
+    monkeypatch.setattr(near_shingles, "SET_NODES", 20)
+    want = plain_groups([(row[0], row[1]) for row in docs])
+    assert 5 < len(set(want.values())) < 140
+    assert found_groups(docs_of(docs)) == want
+
+
 def test_odd_rows(docs_of, odd_rows):
     docs = docs_of(odd_rows)
     found = near_shingles.groups(docs).collect()

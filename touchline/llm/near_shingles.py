@@ -11,9 +11,12 @@
    large-star and small-star rounds close them. Sets are made again from the texts of the nodes that are
    candidates, as keeping those of all texts would take more than the texts.
 5. A candidate that fails may have stood for others. So in every shard that still holds several
-   components, each node outside the largest one is searched in the trees of all pieces. The nearest
-   neighbours of other components are candidates first, as they join most groups; the last round takes
-   every neighbour of another component that is left. Nothing is capped.
+   components, each node outside the largest one is open: its NEAREST neighbours of other components in
+   the trees of all pieces are candidates. That tries all pairs of shards up to NEAREST + 1 nodes.
+6. Larger shards that still hold several components get the whole sets of their nodes and compare every
+   open node with every node of another component, in blocks of SET_NODES by SET_NODES. Near copies differ
+   in few shingles from what most of them hold, so a block counts differences from that, and gives back
+   links only, one at most for each node that it joins. Rows grow with a shard's blocks; nothing is capped.
 
 Cases: null, empty and blank texts have the empty set and are copies of each other; texts of fewer
 words than a shingle have one shingle, their words; rows without an id take part in no group and
@@ -38,8 +41,10 @@ SIMILARITY = 0.8
 RADIUS = 20
 BANDS, ROWS = 16, 4
 SHARD_LIMIT = 2_000
-# Nearest neighbours of other components that are tried in each round of the open search; the last one takes all.
-OPEN_ROUNDS = (4, 32, None)
+# Nearest neighbours of other components that an open node tries before whole shards are compared.
+NEAREST = 4
+# Nodes, and shingles of these, on either side of a block of whole sets.
+SET_NODES, SET_SHINGLES = 1_000, 4_000_000
 # A node in more candidates than this meets them in several tasks.
 HOT_NODE = 500
 
@@ -202,6 +207,52 @@ def _open_pairs(nearest: int | None):
     return lambda batches: _pair_batches(pairs(batches))
 
 
+def set_links(homes, searching):
+    """Links between (node, packed set, component, ...) rows of both lists that join different components, each join once."""
+    sets = [np.frombuffer(row[1], np.uint64) for row in homes]
+    sizes = np.array([len(own) for own in sets])
+    held, times = np.unique(np.concatenate(sets), return_counts=True)
+    usual = held[2 * times > len(sets)]
+    changes = [np.setxor1d(own, usual, assume_unique=True) for own in sets]
+    n_changes = np.array([len(change) for change in changes])
+    shingles, owners = np.concatenate(changes), np.repeat(np.arange(len(sets)), n_changes)
+    order = np.argsort(shingles)
+    shingles, owners = shingles[order], owners[order]
+    names = list(dict.fromkeys(row[2] for row in (*homes, *searching)))
+    label_of = {name: at for at, name in enumerate(names)}
+    labels, root = np.array([label_of[row[2]] for row in homes]), list(range(len(names)))
+
+    def find(label: int) -> int:
+        while root[label] != label:
+            root[label] = label = root[root[label]]
+        return label
+
+    for node, packed, component, *_ in searching:
+        own = np.frombuffer(packed, np.uint64)
+        change = np.setxor1d(own, usual, assume_unique=True)
+        first, last = np.searchsorted(shingles, change, "left"), np.searchsorted(shingles, change, "right")
+        found = last - first
+        at = np.repeat(first - np.cumsum(found) + found, found) + np.arange(found.sum())
+        apart = len(change) + n_changes - 2 * np.bincount(owners[at], minlength=len(sets))
+        alike = (len(own) + sizes - apart) / (len(own) + sizes + apart) >= SIMILARITY
+        label = label_of[component]
+        hits = np.flatnonzero(alike & (labels != label))
+        for other, hit in zip(*np.unique(labels[hits], return_index=True)):
+            if find(label) != find(int(other)):
+                root[find(label)] = find(int(other))
+                yield node, homes[hits[hit]][0]
+
+
+def _set_links(batches):
+    def pairs():
+        for rows in _pieces(batches, ("node", "shingles", "component", "visits")):
+            homes = [row for row in rows if not row[3]]
+            if 0 < len(homes) < len(rows):
+                yield from set_links(homes, [row for row in rows if row[3]])
+
+    return _pair_batches(pairs())
+
+
 def in_pieces(shards: DataFrame, salt: int) -> DataFrame:
     """``piece``: nodes of a shard (with ``n_pieces``) dealt at random."""
     return shards.withColumn("piece", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("n_pieces")).cast("int"))
@@ -269,26 +320,44 @@ def links_between(nodes: DataFrame, docs: DataFrame, ids_repeat: bool) -> DataFr
     pairs = stored(pairs.distinct(), "near-candidates")
     links = verified(pairs, nodes, docs, ids_repeat)
 
-    for nearest in OPEN_ROUNDS:
-        rest = stored(open_candidates(nodes, components(links), nearest).distinct().join(pairs, ["a", "b"], "left_anti"), "near-open")
-        pairs = pairs.unionByName(rest)
-        links = links.unionByName(verified(rest, nodes, docs, ids_repeat))
-    return links
+    rest = stored(open_candidates(*mixed_shards(nodes, components(links))).distinct().join(pairs, ["a", "b"], "left_anti"), "near-open")
+    links = links.unionByName(verified(rest, nodes, docs, ids_repeat))
+    return links.unionByName(links_by_sets(*mixed_shards(nodes, components(links)), nodes, docs, ids_repeat))
 
 
-def open_candidates(nodes: DataFrame, found: DataFrame, nearest: int | None) -> DataFrame:
-    """Candidates between components that meet in a shard."""
+def mixed_shards(nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, fp, n, component and key of every node in every shard; key, largest component, size and shingles of shards with several components."""
     named = stored(with_components(nodes.where("n > 0"), found).select("node", "fp", "n", "component", "keys"), "near-named")
     named = named.withColumn("key", F.explode("keys")).drop("keys")
-    per_component = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    per_component = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
     mixed = per_component.groupBy("key").agg(
-        F.max_by("component", F.struct("size", "component")).alias("largest"), F.ceil(F.sum("size") / SHARD_LIMIT).alias("n_pieces"), F.count(F.lit(1)).alias("parts")
-    )
-    mixed = stored(mixed.where("parts > 1").drop("parts"), "near-mixed")
-    searched = in_pieces(named.join(if_small(mixed), "key"), 0).withColumn("visits", F.lit(False))
+        F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("size"),
+        F.sum("shingles").alias("shingles"), F.count(F.lit(1)).alias("parts"),
+    )
+    return named, stored(mixed.where("parts > 1").drop("parts"), "near-mixed")
+
+
+def open_candidates(named: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Candidates between components that meet in a shard."""
+    pieces = mixed.select("key", "largest", F.ceil(F.col("size") / SHARD_LIMIT).alias("n_pieces"))
+    searched = in_pieces(named.join(if_small(pieces), "key"), 0).withColumn("visits", F.lit(False))
     visiting = searched.where("component <> largest").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces").cast("int") - 1)))
     searched = searched.unionByName(visiting.withColumn("visits", F.lit(True))).drop("largest", "n_pieces")
-    return by_piece(searched, _open_pairs(nearest))
+    return by_piece(searched, _open_pairs(NEAREST))
+
+
+def links_by_sets(named: DataFrame, mixed: DataFrame, nodes: DataFrame, docs: DataFrame, ids_repeat: bool) -> DataFrame:
+    """Links between components that meet in a shard of more than NEAREST + 1 nodes, from whole sets."""
+    n_blocks = F.ceil(F.greatest(F.col("size") / SET_NODES, F.col("shingles") / SET_SHINGLES))
+    wide = mixed.where(F.col("size") > NEAREST + 1).select("key", "largest", n_blocks.cast("int").alias("n_blocks"))
+    met = stored(named.join(if_small(wide), "key").select("node", "component", "key", "largest", "n_blocks"), "near-met")
+    wanted = nodes.select("node", "first_doc").join(if_small(met.select("node").distinct()), "node", "left_semi")
+    beside = met.join(packed_sets(docs, wanted, ids_repeat), "node")
+    own, every = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    homes = beside.withColumn("other", every).withColumn("piece", own * F.col("n_blocks") + F.col("other")).withColumn("visits", F.lit(False))
+    visiting = beside.where("component <> largest").withColumn("other", every)
+    visiting = visiting.withColumn("piece", F.col("other") * F.col("n_blocks") + own).withColumn("visits", F.lit(True))
+    return stored(by_piece(homes.unionByName(visiting).drop("largest", "n_blocks", "other"), _set_links), "near-set-links")
 
 
 def groups(docs: DataFrame) -> DataFrame:
