@@ -1,5 +1,6 @@
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 
@@ -131,6 +132,18 @@ def test_large_means_are_split_into_draws(spark, docs_of):
     assert 50 < rare < 150
 
 
+def test_rows_without_an_id_draw_by_their_text(docs_of, spark):
+    docs = docs_of([(None, f"text {at}", "en", "a") for at in range(600)] + [(None, None, "en", "a"), (None, "", "en", "a")])
+    weights = spark.createDataFrame([("a", 2.0)], "mix_source string, weight double")
+    rows = poisson_mix.mix(docs, weights=weights).collect()
+    times = Counter(row["text"] for row in rows)
+    drawn = Counter(times.get(f"text {at}", 0) for at in range(600))
+    assert 1.8 < sum(times.values()) / 602 < 2.2
+    assert 50 < drawn[0] < 115 and 120 < drawn[1] < 205 and 120 < drawn[2] < 205
+    assert times[None] == times[""]
+    assert len({row["shuffle_key"] for row in rows}) > 1000
+
+
 def test_leaks_are_found_and_clean_texts_are_not(spark, docs_of, odd_rows):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(3000)]

@@ -70,7 +70,7 @@ rates AS (
   SELECT source, pow(CAST(n AS DOUBLE), 0.5) / sum(pow(CAST(n AS DOUBLE), 0.5)) OVER () * sum(n) OVER () / n AS rate
   FROM sizes),
 points AS (
-  SELECT d.*, rate, CAST(('0x' || substr(md5('17:0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496e0 AS point
+  SELECT d.*, rate, CAST(('0x' || substr(md5('17:0:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, 13)) AS BIGINT) / 4503599627370496e0 AS point
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
 steps AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS below FROM rates
@@ -80,7 +80,7 @@ copies AS (
   SELECT p.*, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM p.source AND s.below <= p.point) AS n FROM points p),
 repeated AS (SELECT *, unnest(range(1, n + 1)) AS c FROM copies WHERE n > 0)
 SELECT doc_id, text, lang, source, n_chars, CAST(c AS INTEGER) AS copy,
-       CAST(('0x' || substr(md5('17:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || c), 1, 13)) AS BIGINT) / 4503599627370496e0 AS shuffle_key
+       CAST(('0x' || substr(md5('17:order:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) || ':' || c), 1, 13)) AS BIGINT) / 4503599627370496e0 AS shuffle_key
 FROM repeated
 """,
 )

@@ -2,12 +2,12 @@
 
 Every source has a mean repetition rate: its target share of the rows times all rows,
 divided by its own rows. A document's number of copies is the inverse of the Poisson
-distribution with that mean at a point fixed by a hash of the seed, its id and its text, so a rerun
-or a lost executor gives the same copies. The copies are then dealt to partitions by a
+distribution with that mean at a point fixed by a hash of the seed and its id (without one: its text), so a
+rerun or a lost executor gives the same copies. The copies are then dealt to partitions by a
 second hash and ordered by it, which is a global shuffle without a global sort.
 
-Cases: a null source is a source of its own; null texts and ids are replicated like any
-others; equal rows get equal counts (ids tell them apart); an empty table stays empty; a
+Cases: a null source is a source of its own; rows of one id share their draws, as do rows of one
+text without an id (a null text counts as empty, and without a text column they all share one); an empty table stays empty; a
 source without a weight has weight 0 and disappears; columns of other names pass through,
 columns called ``copy`` or ``shuffle_key`` are replaced.
 """
@@ -70,6 +70,13 @@ def poisson_count(mean: "F.Column", point: "F.Column") -> "F.Column":
     )
 
 
+def draw_key(docs: DataFrame, doc_id: str, text: str = "text") -> "F.Column":
+    """What tells rows apart when draws are hashed: the id, or the text of a row without one."""
+    if text not in docs.columns:
+        return F.col(doc_id).cast("string")
+    return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+
+
 def replicate(docs: DataFrame, rates: DataFrame, source: str = "source", doc_id: str = "doc_id", seed: int = 17) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, dealt out in a random order."""
     docs = with_clean_names(docs, "copy", "shuffle_key", "mix_rate", "mix_source", "mix_copies")
@@ -80,12 +87,12 @@ def replicate(docs: DataFrame, rates: DataFrame, source: str = "source", doc_id:
     rated = docs.join(F.broadcast(rates) if small else rates, F.col(source).eqNullSafe(F.col("mix_source")), "left")
     counted = F.lit(0)
     for draw in range(draws):
-        counted = counted + poisson_count(F.col("mix_rate") / draws, unit_interval(seed, draw, F.col(doc_id)))
+        counted = counted + poisson_count(F.col("mix_rate") / draws, unit_interval(seed, draw, draw_key(docs, doc_id)))
     return (
         rated.withColumn("mix_copies", counted)
         .where("mix_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-        .withColumn("shuffle_key", unit_interval(seed, "order", F.col(doc_id), F.col("copy")))
+        .withColumn("shuffle_key", unit_interval(seed, "order", draw_key(docs, doc_id), F.col("copy")))
         .drop("mix_rate", "mix_source", "mix_copies")
         .repartition(F.col("shuffle_key"))
         .sortWithinPartitions("shuffle_key", doc_id, "copy")
