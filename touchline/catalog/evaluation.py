@@ -483,7 +483,8 @@ def provenance(spark, sf_dir):
     from touchline.operators import population as pop
 
     frames = tt.tracking_frames(spark, sf_dir)
-    defenders = moments(spark, sf_dir).where("active AND team_id <> carrier_team").select(
+    opponents = moments(spark, sf_dir).where("active AND team_id <> carrier_team")
+    defenders = pop.with_detections(opponents, frames).select(
         "match_id", "period", "frame", "frame_clock", "event_id", "player_id",
         F.coalesce("is_detected", F.lit(False)).alias("detected"),
     )
