@@ -543,7 +543,8 @@ occurrence AS (SELECT m.match_id, m.period, m.event_id, m.player_id, m.frame, ab
 
 def occurrences(spark, sf_dir):
     """Players beyond +-40 m in decision frames; a frame that decides several events gives several."""
-    return moments(spark, sf_dir).where(F.abs("x") > LIMIT_METRES).select(
+    beyond = moments(spark, sf_dir).where(F.abs("x") > LIMIT_METRES)
+    return pop.with_detections(beyond, tt.tracking_frames(spark, sf_dir)).select(
         "match_id", "period", "event_id", "player_id", "frame", (F.abs("x") - LIMIT_METRES).alias("excess"),
         (F.abs("y") > 30).alias("lateral"), sc.detection_status(F.col("is_detected")).alias("status"),
     )
