@@ -1,9 +1,10 @@
 """Fields sampled along edges: all points of an edge at once, folded where they are made.
 
 An edge travels as one row with the arrays of its defenders. A task evaluates the edges of an Arrow batch as
-matrices (points x defenders), at every spacing in one pass, and gives back a few numbers per edge or
-the runs and brackets found; no point is ever a row and nothing is shuffled. Slices of at most
-``CELLS`` values bound the memory, whatever the length of the edges.
+matrices (defenders x points), at every spacing in one pass, and gives back a few numbers per edge or
+the runs and brackets found; no point is ever a row and nothing is shuffled. Slices of about ``CELLS``
+values stay in a core's cache and bound the memory, whatever the length of the edges. The points are the
+long, contiguous axis, as a loop over a few defenders costs more than its arithmetic.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from touchline.functions.geometry import FIELD_ANGLE_DEGREES, FIELD_SIGMA
 from touchline.functions.scalars import LENGTH_GUARD, TIE
 from touchline.operators.options import EDGE_KEYS, candidate_rows
 
-CELLS = 1_000_000
+CELLS = 32_768
 
 
 class Edges(NamedTuple):
-    """Edges with equally many defenders: ends as vectors, defenders as matrices (edges x defenders)."""
+    """Edges with equally many defenders: ends as vectors, defenders as matrices (defenders x edges)."""
 
     cx: np.ndarray
     cy: np.ndarray
@@ -38,16 +39,23 @@ class Edges(NamedTuple):
         vx, vy = self.rx - self.cx, self.ry - self.cy
         return np.sqrt(vx * vx + vy * vy)
 
+    @property
+    def defenders(self) -> int:
+        return self.px.shape[0]
+
     def some(self, which: np.ndarray) -> "Edges":
-        return Edges(*(column[which] for column in self))
+        return Edges(*(column.take(which, -1) for column in self))
 
     def at(self, edge: np.ndarray, t: np.ndarray, field: "Field") -> np.ndarray:
-        """Strengths (points x defenders) at fractions ``t`` of the edges ``edge``."""
-        qx = self.cx[edge] + t * (self.rx - self.cx)[edge]
-        qy = self.cy[edge] + t * (self.ry - self.cy)[edge]
-        own = Edges(*(column[edge] for column in self))
-        wide = lambda v: v[:, None]
-        return field(wide(own.cx), wide(own.cy), own.px, own.py, wide(qx), wide(qy))
+        """Strengths (defenders x points) at fractions ``t`` of the edges ``edge``."""
+        qx = self.cx.take(edge) + t * (self.rx - self.cx).take(edge)
+        qy = self.cy.take(edge) + t * (self.ry - self.cy).take(edge)
+        if isinstance(field, Shadow):
+            # What depends on the edge alone is made once for an edge, not for each of its points.
+            ux, uy = field.directions(self.cx, self.cy, self.px, self.py)
+            return field.behind(self.px.take(edge, 1), self.py.take(edge, 1), ux.take(edge, 1), uy.take(edge, 1), qx, qy)
+        own = self.some(edge)
+        return field(own.cx, own.cy, own.px, own.py, qx, qy)
 
 
 Field = Callable[..., np.ndarray]
@@ -58,30 +66,40 @@ def isotropic(ox, oy, dx, dy, qx, qy) -> np.ndarray:
     return np.exp(-0.5 * reach * reach)
 
 
-def _shadow(tangent: float) -> Field:
-    def field(ox, oy, dx, dy, qx, qy):
+class Shadow:
+    """The field behind a defender as seen from an origin."""
+
+    def __init__(self, tangent: float):
+        self.tangent = tangent
+
+    def directions(self, ox, oy, dx, dy) -> tuple[np.ndarray, np.ndarray]:
         radius = np.sqrt((dx - ox) ** 2 + (dy - oy) ** 2)
-        ux, uy = (dx - ox) / radius, (dy - oy) / radius
-        behind = (qx - dx) * ux + (qy - dy) * uy
-        lateral = np.abs((qx - dx) * uy - (qy - dy) * ux) / (FIELD_SIGMA + np.maximum(behind, 0.0) * tangent)
-        onset = np.clip(behind, 0.0, 1.0)
+        return (dx - ox) / radius, (dy - oy) / radius
+
+    def behind(self, dx, dy, ux, uy, qx, qy) -> np.ndarray:
+        ex, ey = qx - dx, qy - dy
+        behind = ex * ux + ey * uy
+        lateral = np.abs(ex * uy - ey * ux) / (FIELD_SIGMA + np.maximum(behind, 0.0) * self.tangent if self.tangent else FIELD_SIGMA)
+        onset = np.minimum(np.maximum(behind, 0.0), 1.0)
         return onset * onset * (3.0 - 2.0 * onset) * np.exp(-0.5 * lateral * lateral)
 
-    return field
+    def __call__(self, ox, oy, dx, dy, qx, qy) -> np.ndarray:
+        return self.behind(dx, dy, *self.directions(ox, oy, dx, dy), qx, qy)
 
 
 FIELDS: dict[str, Field] = {
     "isotropic": isotropic,
-    "constant_width": _shadow(0.0),
-    "expanding": _shadow(math.tan(math.radians(FIELD_ANGLE_DEGREES))),
+    "constant_width": Shadow(0.0),
+    "expanding": Shadow(math.tan(math.radians(FIELD_ANGLE_DEGREES))),
 }
 
 
 def with_combined(values: np.ndarray) -> np.ndarray:
-    """The strengths of each point with their union and maximum as two further columns."""
+    """The strengths of each point with their union and maximum as two further rows."""
+    highest = values.max(0)
     with np.errstate(divide="ignore"):
-        union = np.where((values >= 1).any(1), 1.0, -np.expm1(np.log1p(-np.minimum(values, 1.0)).sum(1)))
-    return np.column_stack([values, union, values.max(1)])
+        union = np.where(highest >= 1, 1.0, -np.expm1(np.log1p(-np.minimum(values, 1.0)).sum(0)))
+    return np.vstack([values, union, highest])
 
 
 def intervals(length: np.ndarray, spacing: float) -> np.ndarray:
@@ -103,8 +121,8 @@ class Grid(NamedTuple):
         return np.where((self.step == 0) | (self.step == self.n), 1.0, inner) / (3.0 * self.n)
 
     def averages(self, values: np.ndarray) -> np.ndarray:
-        """Simpson's average of each column over each owner."""
-        return np.add.reduceat(self.weights[:, None] * values, self.starts)
+        """Simpson's average of each row over each owner."""
+        return np.add.reduceat(self.weights * values, self.starts, axis=1)
 
 
 def grid(n: np.ndarray) -> Grid:
@@ -132,11 +150,11 @@ def _slices(batch: pa.RecordBatch, points_a_metre: float) -> Iterator[tuple[np.n
     ends = {name: batch.column(name).to_numpy(False) for name in ("cx", "cy", "rx", "ry")}
     for size in np.unique(sizes):
         rows = np.nonzero(sizes == size)[0]
-        places = begins[rows][:, None] + np.arange(size)
+        places = begins[rows] + np.arange(size)[:, None]
         edges = Edges(*(ends[name][rows] for name in ("cx", "cy", "rx", "ry")), flat["x"][places], flat["y"][places])
         cost = np.cumsum((edges.length * points_a_metre + 3) * size)
-        for part in np.unique(part_of := (cost // CELLS).astype(np.int64)):
-            which = part_of == part
+        # The cost rises from edge to edge, so a slice is a run of them.
+        for which in np.split(np.arange(len(rows)), np.nonzero(np.diff(cost // CELLS))[0] + 1):
             yield rows[which], edges.some(which)
 
 
@@ -173,19 +191,19 @@ def summaries(rows: DataFrame, field: str | Field, spacings: Sequence[float], ag
             average = endpoint.copy()  # an edge without length takes its endpoint's values
             if len(proper):
                 points = grid(n[proper])
-                average[proper] = points.averages(with_combined(edges.at(proper[points.owner], points.step / points.n, function)))
+                average[:, proper] = points.averages(with_combined(edges.at(proper[points.owner], points.step / points.n, function)))
             averages.append(average)
             steps.append(np.where(length > LENGTH_GUARD, n, 0).astype(np.int32))
         apart = np.abs(averages[1] - averages[0])
-        error = apart.max(1)
+        error = apart.max(0)
         # The first component that is as far apart as any: a defender's own field, the union, the maximum.
-        worst = (apart >= error[:, None] - TIE).argmax(1)
+        worst = (apart >= error - TIE).argmax(0)
         ok, each = error <= agreement, np.arange(count)
-        kind = np.where(worst < apart.shape[1] - 2, "individual", np.where(worst == apart.shape[1] - 2, "union", "maximum"))
+        kind = np.where(worst < edges.defenders, "individual", np.where(worst == edges.defenders, "union", "maximum"))
         unless = lambda v: pa.array(v, mask=ok)
         columns = [
-            endpoint[:, -2], endpoint[:, -1], averages[1][:, -2], averages[1][:, -1], *steps, error, ok,
-            unless(kind), unless(averages[0][each, worst]), unless(averages[1][each, worst]),
+            endpoint[-2], endpoint[-1], averages[1][-2], averages[1][-1], *steps, error, ok,
+            unless(kind), unless(averages[0][worst, each]), unless(averages[1][worst, each]),
         ]
         return each, columns
 
@@ -202,12 +220,12 @@ def individual_averages(rows: DataFrame, field: str | Field, spacings: Sequence[
 
     def compute(edges: Edges):
         proper = np.nonzero(edges.length > LENGTH_GUARD)[0]
-        defenders = edges.px.shape[1]
+        defenders = edges.defenders
         averages = []
         for spacing in spacings:
             points = grid(intervals(edges.length[proper], spacing))
             values = edges.at(proper[points.owner], points.step / points.n, function)
-            averages.append(points.averages(values).ravel() if len(proper) else np.zeros(0))
+            averages.append(points.averages(values).T.ravel() if len(proper) else np.zeros(0))
         return np.repeat(proper, defenders), [np.tile(np.arange(defenders, dtype=np.int32), len(proper)), *averages]
 
     return per_edge(rows, "d int, coarse double, fine double", compute)
@@ -226,15 +244,15 @@ def ladder(rows: DataFrame, field: str | Field, counts: Sequence[int], limit: fl
     def inner_sum(edges: Edges, which: np.ndarray, steps: np.ndarray, n: int) -> np.ndarray:
         """The sum of the values at some steps of n, for some edges, a bounded part at a time."""
         sums = []
-        at_once = max(1, CELLS // (len(steps) * edges.px.shape[1]))
+        at_once = max(1, CELLS // (len(steps) * edges.defenders))
         for start in range(0, len(which), at_once):
             part = which[start : start + at_once]
             values = fold(edges.at(np.repeat(part, len(steps)), np.tile(steps / n, len(part)), function))
-            sums.append(values.reshape(len(part), len(steps), -1).sum(1))
-        return np.concatenate(sums)
+            sums.append(values.reshape(-1, len(part), len(steps)).sum(2))
+        return np.concatenate(sums, 1)
 
     def compute(edges: Edges):
-        count, defenders = len(edges.cx), edges.px.shape[1]
+        count, defenders = len(edges.cx), edges.defenders
         everyone, width = np.arange(count), defenders + 2 * combined
         ends = fold(edges.at(everyone, np.zeros(count), function)) + fold(edges.at(everyone, np.ones(count), function))
         first = counts[0]
@@ -244,11 +262,11 @@ def ladder(rows: DataFrame, field: str | Field, counts: Sequence[int], limit: fl
         used, change, still = np.full(count, first), np.full(count, np.nan), everyone
         settled = np.zeros(count, bool)
         for n in counts[1:]:
-            even[still] += odd[still]
-            odd[still] = inner_sum(edges, still, np.arange(1, n, 2), n)
-            finer = (ends[still] + 4 * odd[still] + 2 * even[still]) / (3 * n)
-            change[still] = np.abs(finer - average[still]).max(1)
-            average[still], used[still] = finer, n
+            even[:, still] += odd[:, still]
+            odd[:, still] = inner_sum(edges, still, np.arange(1, n, 2), n)
+            finer = (ends[:, still] + 4 * odd[:, still] + 2 * even[:, still]) / (3 * n)
+            change[still] = np.abs(finer - average[:, still]).max(0)
+            average[:, still], used[still] = finer, n
             settled[still] = change[still] <= limit
             still = still[~settled[still]]
             if not len(still):
@@ -256,7 +274,7 @@ def ladder(rows: DataFrame, field: str | Field, counts: Sequence[int], limit: fl
         names = [*map(str, range(defenders)), *(["union", "maximum"] if combined else [])]
         each = np.repeat(everyone, width)
         return each, [
-            np.tile(np.array(names, object), count), average.ravel(),
+            np.tile(np.array(names, object), count), average.T.ravel(),
             pa.array(used[each].astype(np.int32), mask=~settled[each]), change[each],
         ]
 
@@ -271,21 +289,21 @@ def split_averages(rows: DataFrame, field: str | Field, spacing: float) -> DataF
     function = FIELDS[field] if isinstance(field, str) else field
 
     def compute(edges: Edges):
-        count, column = len(edges.cx), lambda v: v[:, None]
-        radius = np.sqrt((edges.px - column(edges.cx)) ** 2 + (edges.py - column(edges.cy)) ** 2)
-        ux, uy = (edges.px - column(edges.cx)) / radius, (edges.py - column(edges.cy)) / radius
-        slope = column(edges.rx - edges.cx) * ux + column(edges.ry - edges.cy) * uy
+        count = len(edges.cx)
+        radius = np.sqrt((edges.px - edges.cx) ** 2 + (edges.py - edges.cy) ** 2)
+        ux, uy = (edges.px - edges.cx) / radius, (edges.py - edges.cy) / radius
+        slope = (edges.rx - edges.cx) * ux + (edges.ry - edges.cy) * uy
         with np.errstate(divide="ignore", invalid="ignore"):
-            breaks = np.concatenate([radius / slope, (1.0 + radius) / slope], 1)
-        inside = (slope != 0)[:, np.tile(np.arange(slope.shape[1]), 2)] & (breaks > 0) & (breaks < 1)
-        marks = np.sort(np.column_stack([np.zeros(count), np.where(inside, breaks, 1.0), np.ones(count)]), 1)
+            breaks = np.concatenate([radius / slope, (1.0 + radius) / slope])
+        inside = np.tile(slope != 0, (2, 1)) & (breaks > 0) & (breaks < 1)
+        marks = np.sort(np.vstack([np.zeros(count), np.where(inside, breaks, 1.0), np.ones(count)]).T, 1)
         edge, piece = np.nonzero(marks[:, 1:] - marks[:, :-1] > TIE)
         lower, upper = marks[edge, piece], marks[edge, piece + 1]
         nominal = intervals(edges.length, spacing)[edge]
         points = grid(np.maximum(2, 2 * np.ceil(nominal * (upper - lower) / 2)).astype(np.int64))
         t = lower[points.owner] + points.step / points.n * (upper - lower)[points.owner]
-        peak = edges.at(edge[points.owner], t, function).max(1)
-        averages = np.bincount(edge, (upper - lower) * points.averages(peak[:, None])[:, 0], count)
+        peak = edges.at(edge[points.owner], t, function).max(0)
+        averages = np.bincount(edge, (upper - lower) * points.averages(peak[None, :])[0], count)
         evaluations = np.bincount(edge[points.owner], minlength=count)
         return np.arange(count), [averages, evaluations]
 
@@ -301,8 +319,8 @@ def _sampled(edges: Edges, function: Field, spacing: float) -> tuple[Grid, np.nd
 
 def _owners(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The envelope at each point, and who owns it (within 1e-12 of a positive maximum)."""
-    envelope = values.max(1)
-    return envelope, (envelope[:, None] - values <= TIE) & (envelope > 0)[:, None]
+    envelope = values.max(0)
+    return envelope, (envelope - values <= TIE) & (envelope > 0)
 
 
 def owner_runs(rows: DataFrame, field: str | Field, spacing: float) -> DataFrame:
@@ -314,10 +332,10 @@ def owner_runs(rows: DataFrame, field: str | Field, spacing: float) -> DataFrame
         if not len(proper):
             return proper, [np.array([], object), *[np.zeros(0, np.int32)] * 2]
         _, owns = _owners(values)
-        begins = np.append(True, (owns[1:] != owns[:-1]).any(1)) | (points.step == 0)
+        begins = np.append(True, (owns[:, 1:] != owns[:, :-1]).any(0)) | (points.step == 0)
         first = np.nonzero(begins)[0]
         last = np.append(first[1:], len(begins)) - 1
-        names = np.array([",".join(map(str, np.nonzero(o)[0])) for o in owns[first]], object)
+        names = np.array([",".join(map(str, np.nonzero(o)[0])) for o in owns[:, first].T], object)
         return proper[points.owner[first]], [names, points.step[first].astype(np.int32), points.step[last].astype(np.int32)]
 
     return per_edge(rows, "owners string, first_step int, last_step int", compute)
@@ -332,7 +350,7 @@ def slope_changes(rows: DataFrame, field: str | Field, spacing: float) -> DataFr
         if not len(proper):
             return proper, [np.zeros(0, np.int32), *[np.zeros(0)] * 3]
         envelope, owns = _owners(values)
-        changed = np.append(False, (owns[1:] != owns[:-1]).any(1)) & (points.step > 0) & (points.step < points.n)
+        changed = np.append(False, (owns[:, 1:] != owns[:, :-1]).any(0)) & (points.step > 0) & (points.step < points.n)
         here = np.nonzero(changed)[0]
         n = points.n[here]
         left, right = (envelope[here] - envelope[here - 1]) * n, (envelope[here + 1] - envelope[here]) * n
@@ -352,9 +370,9 @@ def brackets(rows: DataFrame, field: str | Field, spacing: float) -> DataFrame:
         points, proper, values = _sampled(edges, function, spacing)
         inside = points.step[1:] > 0
         found: list[tuple[np.ndarray, ...]] = []
-        for a in range(values.shape[1]):
-            for b in range(a + 1, values.shape[1]):
-                sign = np.sign(values[:, a] - values[:, b]).astype(np.int8)
+        for a in range(len(values)):
+            for b in range(a + 1, len(values)):
+                sign = np.sign(values[a] - values[b]).astype(np.int8)
                 crossed = np.nonzero((sign[1:] * sign[:-1] < 0) & inside)[0] + 1
                 found.append((crossed - 1, crossed, a, b, "bracket"))
                 zero = sign == 0
