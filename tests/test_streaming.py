@@ -80,3 +80,38 @@ def test_clocks_must_rise_across_batches(spark, tmp_path, stream_of):
     assert outcome(bad) == {
         2: "non_monotone_clock", 4: "ignored_non_playing_period", 5: "unsupported_period", 6: "non_monotone_clock", 9: "too_old_frame",
     }
+
+
+def test_states_of_a_lane_with_different_closings_all_close(spark, tmp_path, stream_of, monkeypatch):
+    monkeypatch.setattr(st, "LANES", 1)
+    rows = [(1, state, "a", 1, "started", state * 1_000_000) for state in range(1, 251)]
+    found = run(spark, tmp_path, st.replay_journal(stream_of("journal", JOURNAL, rows), "1 hour", "1 minute"))
+    assert sorted(r["state"] for r in found.collect()) == list(range(1, 251))
+
+
+def test_states_of_a_lane_close_at_their_own_time(spark, tmp_path, stream_of, monkeypatch):
+    """Many states share a key; one is closed and freed while others still wait."""
+    hour = 3_600_000_000
+    monkeypatch.setattr(st, "LANES", 1)
+    record = lambda state, n, edge, action, hours: (1, state, edge, n, action, hours * hour)
+    batches = [
+        [record(7, 1, "a", "started", 0), record(8, 1, "a", "started", 5)],
+        [record(9, 1, "a", "started", 5)],
+        [record(9, 2, "a", "completed", 5)],
+        [record(7, 1, "a", "started", 5), record(8, 2, "a", "completed", 5)],
+    ]
+    found = run(spark, tmp_path, st.replay_journal(stream_of("journal", JOURNAL, *batches), "1 hour", "1 minute"))
+    rows = sorted((r["state"], r["status"], r["edges_started"], r["violations"], r["gaps"]) for r in found.collect())
+    # State 7 is closed before its record comes again; that one opens a new account.
+    assert rows == [(7, "unresolved", 1, 0, 0), (7, "unresolved", 1, 0, 0), (8, "complete", 1, 0, 0), (9, "complete", 1, 0, 0)]
+    assert left_in_state(spark, tmp_path, "waiting") == 0
+
+
+def test_frames_rejected_by_themselves_need_no_state(spark, tmp_path, stream_of):
+    schema = "match_id string, period int, frame long, t_us long, arrival long"
+    rows = [("m", None, i, i, i) for i in range(40)] + [("m", 5, i, i, i) for i in range(40, 80)] + [("m", 1, 90, 7, 90)]
+    stream = stream_of("frames", schema, rows).where("match_id IS NOT NULL").select("match_id", "period", "frame", "t_us", "arrival")
+    found = run(spark, tmp_path, st.judged_frames(stream, 100))
+    assert sorted(r["outcome"] for r in found.collect()) == ["ignored_non_playing_period"] * 40 + ["unsupported_period"] * 40 + ["usable"]
+    keys = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "latest").load()
+    assert keys.count() == 1

@@ -206,14 +206,14 @@ def judged_frames(frames: DataFrame, oldest_us: int) -> DataFrame:
 
     ``arrival`` numbers the frames of a period in the order in which the source gives them. A clock that doesn't rise above
     all usable ones before is ``non_monotone_clock``, more than ``oldest_us`` behind ``too_old_frame``. Frames that
-    are rejected by what they say themselves touch no clock and are spread over keys of their own.
+    are rejected by what they say themselves touch no clock and need no state.
     """
-    own = F.when(F.col("outcome").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("frame"), F.lit(16)))
     output = "match_id string, period int, frame long, t_us long, arrival long, outcome string"
-    rows = with_reason(frames).select("match_id", "period", "frame", "t_us", "arrival", "outcome", own.alias("lane"))
-    return rows.groupBy("match_id", "period", "lane").transformWithStateInPandas(
+    rows = with_reason(frames).select("match_id", "period", "frame", "t_us", "arrival", "outcome")
+    judged = rows.where(F.col("outcome").isNull()).groupBy("match_id", "period").transformWithStateInPandas(
         statefulProcessor=RisingClock(oldest_us), outputStructType=fields(output), outputMode="Append", timeMode="None"
     )
+    return judged.unionByName(rows.where(F.col("outcome").isNotNull()))
 
 
 def routed(good_path: str, reject_path: str) -> Callable[[DataFrame, int], None]:
@@ -244,82 +244,94 @@ def tumbling_profile(positions: DataFrame, width: str, delay: str) -> DataFrame:
 JOURNAL_OUTPUT = (
     "run long, state long, edges_started long, edges_completed long, violations long, gaps long, status string"
 )
-COUNTERS = ["next", "started", "completed", "violations", "failed"]
+PLACES, TRANSITIONS = ["state", "sequence", "close_ms"], ["edge", "action"]
+# A run's states are dealt to so many keys; a call to a key's state costs more than replaying its records.
+LANES = 1024
+
+
+def account_of(run: int, state: int, records: list[tuple]) -> tuple:
+    """The final account of a state from its (sequence, edge, action) in order, each number once.
+
+    An illegal transition counts as a violation, and after a failure every record is one.
+    """
+    edges: dict[str, str] = {}
+    started = completed = violations = gaps = failed = 0
+    upto = 0
+    for sequence, edge, action in records:
+        gaps += sequence - upto - 1
+        upto = sequence
+        known = edges.get(edge)
+        if failed:
+            violations += 1
+        elif action == "started" and known is None:
+            edges[edge] = "started"
+            started += 1
+        elif action == "completed" and known == "started":
+            edges[edge] = "completed"
+            completed += 1
+        elif action == "failed" and known == "started":
+            failed = 1
+        else:
+            violations += 1
+    done = started > 0 and started == completed
+    return run, state, started, completed, violations, gaps, "failure" if failed else "complete" if done else "unresolved"
 
 
 class LifecycleReplay(StatefulProcessor):
-    """Ordered start / complete / fail transitions of one state of a run.
+    """Ordered start / complete / fail transitions of the states in one lane of a run.
 
-    The key is (run, state), so one busy run spreads over many keys. Records are numbered from 1; one that
-    comes early waits in a MapState until those before it are there. An illegal transition counts as a
-    violation, and after a failure every record is one. When the journal is closed, the timer replays what still waits
-    across the gaps, gives the final account and empties the state.
+    Records are numbered from 1 within their state and wait, in whatever order they come, until the state is closed; a
+    repeated delivery counts once. ``waiting`` has the place of each record, ``edges`` its transition in the same order,
+    ``counters`` the earliest closing. Its timer replays the states that are due across their gaps, gives their final
+    accounts and keeps the others.
     """
 
     def __init__(self):
-        shapes = ", ".join(f"{n} long" for n in COUNTERS), "edge string", "phase string", "sequence long", "edge string, action string"
-        self.shapes = [fields(shape) for shape in shapes]
+        self.shapes = [fields(shape) for shape in ("state long, sequence long, close_ms long", "edge string, action string", "close_ms long")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        counters, edge, phase, number, record = self.shapes
-        self.counters = handle.getValueState("counters", counters)
-        self.edges = handle.getMapState("edges", edge, phase)
-        self.waiting = handle.getMapState("waiting", number, record)
-
-    def _step(self, account: dict, edge: str, action: str) -> None:
-        known = self.edges.getValue((edge,))[0] if self.edges.containsKey((edge,)) else None
-        if account["failed"]:
-            account["violations"] += 1
-        elif action == "started" and known is None:
-            self.edges.updateValue((edge,), ("started",))
-            account["started"] += 1
-        elif action == "completed" and known == "started":
-            self.edges.updateValue((edge,), ("completed",))
-            account["completed"] += 1
-        elif action == "failed" and known == "started":
-            account["failed"] = 1
-        else:
-            account["violations"] += 1
+        place, transition, closing = self.shapes
+        self.waiting = handle.getListState("waiting", place)
+        self.edges = handle.getListState("edges", transition)
+        self.counters = handle.getValueState("counters", closing)
+
+    def _wake(self, close_ms: int) -> None:
+        self.handle.registerTimer(close_ms)
+        self.counters.update((close_ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("sequence", kind="stable")
-        if self.counters.exists():
-            account = dict(zip(COUNTERS, self.counters.get()))
-        else:
-            account = dict.fromkeys(COUNTERS, 0) | {"next": 1}
-            self.handle.registerTimer(int(batch["close_ms"].iloc[0]))
-        for sequence, edge, action in zip(batch["sequence"], batch["edge"], batch["action"]):
-            if sequence == account["next"]:
-                self._step(account, edge, action)
-                account["next"] += 1
-                while self.waiting.containsKey((account["next"],)):
-                    later = self.waiting.getValue((account["next"],))
-                    self.waiting.removeKey((account["next"],))
-                    self._step(account, *later)
-                    account["next"] += 1
-            elif sequence > account["next"]:
-                self.waiting.updateValue((int(sequence),), (edge, action))
-            # A number that was replayed before is a repeated delivery.
-        self.counters.update(tuple(account[n] for n in COUNTERS))
+        batch = pd.concat(list(rows)).sort_values(["state", "sequence"], kind="stable")
+        self.waiting.appendList(list(zip(*(batch[c].tolist() for c in PLACES))))
+        self.edges.appendList(list(zip(*(batch[c].tolist() for c in TRANSITIONS))))
+        earliest = int(batch["close_ms"].min())
+        known = self.counters.get()[0] if self.counters.exists() else None
+        if known is None or earliest < known:
+            if known is not None:
+                self.handle.deleteTimer(known)
+            self._wake(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        account, gaps = dict(zip(COUNTERS, self.counters.get())), 0
-        for (sequence,), (edge, action) in sorted(((tuple(k), tuple(v)) for k, v in self.waiting.iterator())):
-            gaps += sequence - account["next"]
-            self._step(account, edge, action)
-            account["next"] = sequence + 1
-        for state in (self.counters, self.edges, self.waiting):
-            state.clear()
-        done = account["started"] > 0 and account["started"] == account["completed"]
-        yield pd.DataFrame(
-            {
-                "run": [key[0]], "state": [key[1]], "edges_started": [account["started"]], "edges_completed": [account["completed"]],
-                "violations": [account["violations"]], "gaps": [gaps],
-                "status": ["failure" if account["failed"] else "complete" if done else "unresolved"],
-            }
-        )
+        # All that the watermark has passed: a timer set here for a time that is over may find no further batch.
+        now = timerValues.getCurrentWatermarkInMs()
+        states: dict[int, list[tuple]] = {}
+        for place, transition in zip(list(self.waiting.get()), list(self.edges.get())):
+            states.setdefault(place[0], []).append((*place, *transition))
+        for held in (self.waiting, self.edges, self.counters):
+            held.clear()
+        # A state closes by the first record that was read of it.
+        later = [rows for rows in states.values() if rows[0][2] > now]
+        if later:
+            self.waiting.put([row[:3] for rows in later for row in rows])
+            self.edges.put([row[3:] for rows in later for row in rows])
+            self._wake(min(rows[0][2] for rows in later))
+        found = []
+        for state, rows in states.items():
+            if rows[0][2] <= now:
+                first = {row[1]: (row[1], *row[3:]) for row in reversed(rows)}
+                found.append(account_of(key[0], state, [first[n] for n in sorted(first)]))
+        yield pd.DataFrame(found, columns=[part.split()[0] for part in JOURNAL_OUTPUT.split(", ")])
 
     def close(self) -> None:
         pass
@@ -332,7 +344,7 @@ def replay_journal(journal: DataFrame, horizon: str, delay: str) -> DataFrame:
     """
     closes = F.unix_millis(F.col("ts") + F.expr(f"INTERVAL {horizon}"))
     timed = watermarked(journal, delay).withColumn("close_ms", closes)
-    return timed.groupBy("run", "state").transformWithStateInPandas(
+    return timed.withColumn("lane", F.pmod(F.xxhash64("state"), F.lit(LANES))).groupBy("run", "lane").transformWithStateInPandas(
         statefulProcessor=LifecycleReplay(),
         outputStructType=fields(JOURNAL_OUTPUT),
         outputMode="Append",
