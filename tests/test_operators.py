@@ -475,3 +475,23 @@ def test_units_sum_exactly_beyond_doubles(spark):
     units = [2**52, 2**52 - 1, 1, 0, 3] * 400
     got = spark.createDataFrame([(u,) for u in units], "u long").agg(unit_sum(F.col("u")).alias("s")).first()["s"]
     assert int(got) == sum(units)
+
+
+def test_nested_models_share_packed_choices(spark):
+    from touchline.operators import folds as fo
+
+    rng = random.Random(7)
+    rows = [
+        (m, f"{m}{k}", k, j, k % 3, f"P{j}", rng.gauss(0, 1), rng.gauss(0, 1))
+        for m in ("0", "1", "2") for k in range(30) for j in range(3)
+    ]
+    rows.append(("3", "30", 0, 0, None, "P0", 1.0, 2.0))  # a match without any target still has moments
+    df = spark.createDataFrame(rows, "match_id string, event_id string, ordinal long, ord int, target_index int, id string, f0 double, f1 double")
+    shared = fo.prepared_choices(df, ["f0", "f1"])
+    assert shared.represented == {"0", "1", "2"}
+    for features in (["f0"], ["f0", "f1"]):
+        for a, b in zip(fo.fit_folds(shared, features), fo.fit_folds(df.select("*"), features)):
+            assert (a.fold, a.steps) == (b.fold, b.steps)
+            assert a.coef == pytest.approx(b.coef, abs=1e-9) and a.objective == pytest.approx(b.objective, abs=1e-12)
+    with pytest.raises(ValueError):
+        fo.fit_folds(shared, ["f1"])

@@ -174,10 +174,10 @@ def _(spark, sf_dir):
 @query("udf05_recorded_fit")
 def _(spark, sf_dir):
     """What a recorder sees of the running fits: objective and gradient after every step of every model and fold."""
-    steps = []
+    steps, choices = [], fo.prepared_choices(feature_edges(spark, sf_dir, M2_FEATURES), M2_FEATURES)
     for model, features in NESTED.items():
         record = lambda step, fold, loss, gradient, model=model: steps.append((model, fold, step, loss, gradient))
-        fo.fit_folds(feature_edges(spark, sf_dir, features), features, on_step=record)
+        fo.fit_folds(choices, features, on_step=record)
     return spark.createDataFrame(steps, "model string, fold string, step int, objective double, max_gradient double")
 
 
@@ -190,8 +190,9 @@ def _(spark, sf_dir):
 def fitted_folds(spark, sf_dir):
     """(model, fold, feature, mean, scale, coef, ...): every model fitted with every match left out, once per application."""
     def build(s, d):
+        choices = fo.prepared_choices(feature_edges(s, d, M2_FEATURES), M2_FEATURES)
         tables = [
-            fo.fold_table(s, fo.fit_folds(feature_edges(s, d, features), features), features).withColumn("model", F.lit(model))
+            fo.fold_table(s, fo.fit_folds(choices, features), features).withColumn("model", F.lit(model))
             for model, features in NESTED.items()
         ]
         return reduce(DataFrame.unionByName, tables)
@@ -221,9 +222,9 @@ def _(spark, sf_dir):
     raw = cut_lineage(feature_edges(spark, sf_dir, M2_FEATURES))
     development = raw.where(F.col("match_id").cast("long") < 6)
     reserved = raw.where(F.col("match_id").cast("long") >= 6)
-    scored = []
+    scored, choices = [], fo.prepared_choices(development, M2_FEATURES)
     for model, features in NESTED.items():
-        frozen = fo.fold_table(spark, fo.fit_folds(development, features, [fo.ALL]), features)
+        frozen = fo.fold_table(spark, fo.fit_folds(choices, features, [fo.ALL]), features)
         scored.append(fo.scored_by_fold(reserved, frozen, features, model, None))
     return ev.metric_rows(ev.expected_credits(op.score(reduce(DataFrame.unionByName, scored))))
 

@@ -93,32 +93,71 @@ def choice_rows(edges: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def _sums(features: Sequence[str], names: Sequence[str], weights: np.ndarray):
-    """Per fold: weighted sums of loss, gradient and second moments in raw units, over the choices of other matches."""
-    p, folds = len(features), len(names)
+class Choices(NamedTuple):
+    """What the fits of nested models share: moments, packed choices, and the matches with a choice."""
+
+    features: tuple[str, ...]
+    moments: tuple
+    packed: DataFrame
+    represented: set
+
+
+def prepared_choices(edges: DataFrame, features: Sequence[str]) -> Choices:
+    """Read and packed once for all steps of all models whose features are the first of ``features``."""
+    features = list(features)
+    edges = cut_lineage(edges.select(*EDGE_KEYS, "target_index", *features))
+    moments = match_moments(edges, features)
+    packed = cut_lineage(choice_rows(edges, features).mapInArrow(_pack(features, moments[1]), "x binary, lengths binary, match binary, w binary"))
+    own = edges.where("ord = target_index").select("match_id").distinct().collect()
+    return Choices(tuple(features), moments, packed, {row["match_id"] for row in own})
+
+
+def _pack(features: Sequence[str], matches: Sequence[str]):
+    """A batch of choices as one row: features against the target's, candidates, match number and weight of each choice."""
 
     def run(batches):
-        total = np.zeros((folds, 1 + p + p * p))
+        number = {m: i for i, m in enumerate(matches)}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lists = [batch.column(f) for f in features]
-            lengths = lists[0].value_lengths().to_numpy(False)
+            lengths = lists[0].value_lengths().to_numpy(False).astype(np.int64)
             starts = np.cumsum(lengths) - lengths
             x = np.column_stack([column.flatten().to_numpy(False) for column in lists])
-            target = starts + batch.column("target").to_numpy(False)
-            x = x - np.repeat(x[target], lengths, 0)  # against the target, whose score is then 0
-            score = x @ weights.T
-            top = np.maximum.reduceat(score, starts)
-            e = np.exp(score - np.repeat(top, lengths, 0))
-            z = np.add.reduceat(e, starts)
-            share = e / np.repeat(z, lengths, 0)
-            matches = batch.column("match_id").to_pylist()
-            own = batch.column("w").to_numpy(False)
-            for k, fold in enumerate(names):
-                w = np.where(np.array([m != fold for m in matches]), own, 0.0)
-                weighed = share[:, k : k + 1] * x
-                mean = np.add.reduceat(weighed, starts)
-                second = (weighed * np.repeat(w, lengths)[:, None]).T @ x - (mean * w[:, None]).T @ mean
-                total[k] += np.concatenate([[w @ (top[:, k] + np.log(z[:, k]))], w @ mean, second.ravel()])
+            x = x - np.repeat(x[starts + batch.column("target").to_numpy(False)], lengths, 0)  # the target's score is then 0
+            match = np.array([number[m] for m in batch.column("match_id").to_pylist()], dtype=np.int32)
+            arrays = (x, lengths, match, batch.column("w").to_numpy(False))
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=["x", "lengths", "match", "w"])
+
+    return run
+
+
+def _sums(width: int, p: int, names: Sequence[str], matches: Sequence[str], weights: np.ndarray):
+    """Per fold: weighted sums of loss, gradient and second moments in raw units, over the choices of other matches.
+
+    The first ``p`` of ``width`` packed features are the model's.
+    """
+    folds = len(names)
+    left_out = [matches.index(n) if n in matches else -1 for n in names]
+
+    def run(batches):
+        total = np.zeros((folds, 1 + p + p * p))
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("x", "lengths", "match", "w"))):
+                x = np.ascontiguousarray(np.frombuffer(row[0]).reshape(-1, width)[:, :p])
+                lengths, match, own = np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int32), np.frombuffer(row[3])
+                starts = np.cumsum(lengths) - lengths
+                score = x @ weights.T
+                top = np.maximum.reduceat(score, starts)
+                e = np.exp(score - np.repeat(top, lengths, 0))
+                z = np.add.reduceat(e, starts)
+                share = e / np.repeat(z, lengths, 0)
+                for k, out in enumerate(left_out):
+                    w = np.where(match != out, own, 0.0)
+                    weighed = share[:, k : k + 1] * x
+                    mean = np.add.reduceat(weighed, starts)
+                    second = (weighed * np.repeat(w, lengths)[:, None]).T @ x - (mean * w[:, None]).T @ mean
+                    total[k] += np.concatenate([[w @ (top[:, k] + np.log(z[:, k]))], w @ mean, second.ravel()])
         slots = np.arange(total.size)
         yield pa.RecordBatch.from_arrays(
             [pa.array((slots // total.shape[1]).astype(np.int32)), pa.array((slots % total.shape[1]).astype(np.int32)), pa.array(total.ravel())],
@@ -129,27 +168,31 @@ def _sums(features: Sequence[str], names: Sequence[str], weights: np.ndarray):
 
 
 def fit_folds(
-    edges: DataFrame,
+    edges: DataFrame | Choices,
     features: Sequence[str],
     folds: Sequence[str] | None = None,
     on_step: Callable[[int, str, float, float], None] | None = None,
 ) -> list[Fold]:
     """Newton fits of all folds together, each in its own scaling; without ``folds``, one per match.
 
+    ``edges`` may be choices prepared for a larger model, whose first features are ``features``.
     The model of all matches is fitted first and every fold starts from it. Each step is one Spark job over the choices for the
     folds that are still open; solving and step halving are p x p work on the driver. ``on_step(step, fold,
     objective, max_gradient)`` sees every accepted step.
     """
     features, p = list(features), len(features)
-    edges = cut_lineage(edges.select(*EDGE_KEYS, "target_index", *features))
-    moments = match_moments(edges, features)
-    choices = cut_lineage(choice_rows(edges, features))
-    represented = {row["match_id"] for row in choices.select("match_id").distinct().collect()}
-    folds = list(moments[1]) if folds is None else list(folds)
+    known = edges if isinstance(edges, Choices) else prepared_choices(edges, features)
+    if list(known.features[:p]) != features:
+        raise ValueError(f"choices were prepared for {known.features}, not for {features}")
+    centre, matches, means, squares = known.moments
+    moments = (centre[:p], matches, means[:, :p], squares[:, :p])
+    represented = known.represented
+    folds = list(matches) if folds is None else list(folds)
 
     def measured(names, scales, betas):
         weights = np.array([b / s for b, s in zip(betas, scales)])
-        parts = choices.mapInArrow(_sums(features, names, weights), "fold int, slot int, v double")
+        sums_of = _sums(len(known.features), p, names, matches, weights)
+        parts = known.packed.mapInArrow(sums_of, "fold int, slot int, v double")
         found = np.zeros((len(names), 1 + p + p * p))
         for row in parts.groupBy("fold", "slot").agg(F.sum("v").alias("v")).collect():  # folds x p squared
             found[row["fold"], row["slot"]] = row["v"]
