@@ -495,3 +495,12 @@ def test_nested_models_share_packed_choices(spark):
             assert a.coef == pytest.approx(b.coef, abs=1e-9) and a.objective == pytest.approx(b.objective, abs=1e-12)
     with pytest.raises(ValueError):
         fo.fit_folds(shared, ["f1"])
+
+
+def test_tie_blocks_sort_once(spark):
+    rows = [("g", v, i) for i, v in enumerate([0.0, 6e-13, 12e-13, 18e-13, 24e-13, 1.0, 1.0, 2.0, 2.0 + 9e-13, 2.0 + 15e-13])]
+    found = tie_blocks(spark.createDataFrame(rows, "g string, v double, i int"), ["g"], "v", order=["i"])
+    assert sorts_of(found) == 1
+    assert [tuple(r) for r in found.orderBy("position").select("block", "first", "last").collect()] == [
+        (0, 1, 2), (0, 1, 2), (1, 3, 4), (1, 3, 4), (2, 5, 5), (3, 6, 7), (3, 6, 7), (4, 8, 9), (4, 8, 9), (5, 10, 10),
+    ]
