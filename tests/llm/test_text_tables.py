@@ -180,6 +180,26 @@ def test_verbatim_items_are_found_in_benchmarks_above_the_rank(spark, docs_of):
     assert {(i, i) for i, _ in items} - found == set()
 
 
+def test_the_latent_space_is_truncated_and_keeps_every_passage():
+    rng = np.random.default_rng(5)
+    topics = [rng.choice(900, 40, replace=False) for _ in range(12)]
+    rows = np.zeros((120, 900))
+    for at, row in enumerate(rows):
+        row[rng.choice(topics[at % 12], 25, replace=False)] = rng.random(25) + 0.2
+        row[rng.choice(900, 4, replace=False)] = 0.2
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    basis = latent_leaks.leading(rows)
+    assert basis.shape[1] < len(rows)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]))
+    assert ((rows @ basis) ** 2).sum(axis=1).min() >= latent_leaks.RETAINED
+    # Words of the topic count for a passage that lacks them: the space changes cosines.
+    plain, image = rows @ rows.T, rows @ basis @ basis.T
+    cosines = rows @ (image / np.linalg.norm(image, axis=1, keepdims=True)).T
+    same = (np.arange(120)[:, None] % 12 == np.arange(120) % 12) & ~np.eye(120, dtype=bool)
+    assert np.abs(cosines - plain)[same].max() > 0.02 and cosines[same].mean() > plain[same].mean()
+    assert latent_leaks.leading(rows[:1]).shape[1] == 1 and latent_leaks.leading(np.repeat(rows[:1], 5, axis=0)).shape[1] == 1
+
+
 def test_subsequence_length():
     a, b = list(b"xabcdyzab"), list(b"aqbcxdzzb")
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -3,10 +3,11 @@
 1. Benchmark items (the query set, taken in blocks of ITEMS_AT_ONCE) are cut into passages.
 2. The document frequency of every word of a block is counted over all documents.
 3. The passages are dealt to spaces of at most RANK. A randomised SVD of a space's TF-IDF rows,
-   made in one task, gives as many dimensions as it has passages: none is truncated, so the latent
-   product of a window and a passage is their cosine, however many items there are.
-4. Every window of every document is a query against the latent vectors of every space. A bound
-   that needs one number per word leaves out windows which cannot reach the cosine.
+   made in one task, is truncated to the fewest leading dimensions in which every passage keeps
+   RETAINED of its square: what passages have in common stays, and none is lost to the others.
+4. Every window of every document is a query against the latent vectors of every space, by its
+   cosine with a passage's image in the space, which also weighs words that go with the passage's
+   own. A bound that needs one number per word leaves out windows which cannot reach the cosine.
 5. A candidate holds if the longest common subsequence of item and surrounding words covers
    LCS_SURE of the item, or LCS_LIKELY of it and ANSWER of the item's last sentence, its answer.
 
@@ -35,7 +36,9 @@ RANK = 256
 SPACES_AT_ONCE = 16
 WINDOW = 48
 STRIDE = 16
-COSINE = 0.3
+# A window that is a passage has a cosine of at least sqrt(RETAINED) with its image.
+RETAINED = 0.8
+COSINE = 0.25
 LCS_SURE = 0.8
 LCS_LIKELY = 0.6
 ANSWER = 0.6
@@ -69,9 +72,9 @@ class Space:
 
     row: np.ndarray  # row of ``heavy`` by column
     heavy: np.ndarray  # basis times weight, the last row for words of no passage here
-    latent: np.ndarray  # passages x dimensions, of unit TF-IDF rows
+    latent: np.ndarray  # passages x dimensions, of unit length in the space
     owner: np.ndarray  # item of each passage
-    reach: np.ndarray  # weight times the largest unit TF-IDF weight of a column in any passage
+    reach: np.ndarray  # weight times the largest entry of a column in any passage's unit image
 
 
 @dataclass
@@ -152,13 +155,18 @@ def unit_rows(parts: list[list[bytes]], number: dict[bytes, int], weight: np.nda
 
 
 def leading(rows: np.ndarray) -> np.ndarray:
-    """Orthonormal basis (columns x rank) of all right singular vectors of the rows, by random projections."""
+    """Orthonormal basis (columns x rank) of leading right singular vectors of the rows, by random projections.
+
+    The rank is the least at which every row keeps RETAINED of its square.
+    """
     rank, width = min(rows.shape), rows.shape[1]
     basis = np.random.default_rng(SEED).standard_normal((width, min(rank + 16, width)))
     for _ in range(2):
         basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
     values, turn = np.linalg.eigh(basis.T @ (rows.T @ (rows @ basis)))
-    return basis @ turn[:, np.argsort(-values)[:rank]]
+    basis = basis @ turn[:, np.argsort(-values)[:rank]]
+    kept = np.cumsum((rows @ basis) ** 2, axis=1) / (rows**2).sum(axis=1, keepdims=True)
+    return basis[:, : 1 + min(int((kept.min(axis=0) < RETAINED).sum()), rank - 1)]
 
 
 def latent_spaces(spark, rows: list[tuple[list[int], np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -198,10 +206,10 @@ def prepared(docs: DataFrame, items: list[Item]) -> Block:
         some = rows[start : start + RANK]
         row = np.full(len(number) + 1, len(columns), dtype=np.int32)
         row[columns] = np.arange(len(columns))
-        bound = np.zeros(len(number) + 1)
-        for words, values in some:
-            bound[words] = np.maximum(bound[words], values)
         latent = np.stack([values @ basis[row[words]] for words, values in some])
+        latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+        bound = np.zeros(len(number) + 1)
+        bound[columns] = np.maximum((latent @ basis.T).max(axis=0), 0.0)
         heavy = np.vstack([weight[columns, None] * basis, np.zeros(basis.shape[1])])
         spaces.append(
             Space(row, heavy.astype(np.float32), latent.astype(np.float32), owner[start : start + RANK], (np.append(weight, 0.0) * bound).astype(np.float32))
