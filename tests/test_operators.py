@@ -406,6 +406,18 @@ def test_records_round_trip(spark, tmp_path):
     assert sinks.write_once(df, str(tmp_path / "once")) and not sinks.write_once(df, str(tmp_path / "once"))
 
 
+def test_canonical_states_are_written_small_and_unshuffled(spark, tmp_path):
+    from touchline.sources import files, sinks, testtables
+
+    stored = testtables.stored_states(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    sinks.write_canonical(stored, str(tmp_path / "states"))
+    parts = list((tmp_path / "states").glob("part-*"))
+    plain = sinks.canonical_lines(stored).agg(F.sum(F.length("value") + 1)).first()[0]
+    assert sum(part.stat().st_size for part in parts) < plain / 3
+    assert files.geometry_states(spark, str(tmp_path / "states")).count() == stored.count()
+
+
 def test_quantiles_know_steps_of_any_size(spark):
     rows = [("a", 1.0, 0.5 - 5e-10), ("a", 2.0, 0.5 + 5e-10), ("b", 1.0, 0.5 - 5e-14), ("b", 2.0, 0.5), ("c", 1.0, 0.5), ("c", 2.0, 0.5)]
     rows += [("d", float(i), 1.0) for i in range(1000)] + [("e", 1.0, 0.0), ("e", 2.0, 0.0)]

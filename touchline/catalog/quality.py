@@ -387,7 +387,7 @@ def _(spark, sf_dir):
 
 
 def canonical_folder(spark, sf_dir):
-    return stored_text(spark, sf_dir, "canonical", lambda p: sk.write_canonical(tt.states(spark, sf_dir), p))
+    return stored_text(spark, sf_dir, "canonical", lambda p: sk.write_canonical(tt.stored_states(spark, sf_dir), p))
 
 
 @query(

@@ -43,7 +43,8 @@ def canonical_lines(states: DataFrame) -> DataFrame:
 
 
 def write_canonical(states: DataFrame, path: str) -> None:
-    canonical_lines(states).write.mode("errorifexists").text(path)
+    """Compressed files of lines, one a task; points repeat their key names and shrink to a fraction."""
+    canonical_lines(states).write.mode("errorifexists").option("compression", "gzip").text(path)
 
 
 def write_metric_csv(rows: DataFrame, path: str, fields: Sequence[str]) -> None:
