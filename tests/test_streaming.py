@@ -58,6 +58,27 @@ def test_decision_frames_to_the_last_event(spark, tmp_path, stream_of):
     assert left_in_state(spark, tmp_path, "rows") == 0
 
 
+def test_matches_share_the_states_of_a_bucket(spark, tmp_path):
+    st.use_rocksdb(spark)
+    opened = {}
+    for name, schema, rows in (
+        ("events", "match_id string, period int, event_id string, t_us long", [(f"m{m}", m % 2, f"e{m}", 500 + m) for m in range(60)]),
+        ("frames", "match_id string, period int, frame long, t_us long", [(f"m{m}", m % 2, 7, 400 + 2 * m) for m in range(60)]),
+    ):
+        frame = spark.createDataFrame(rows, schema).withColumn("ts", st.event_time(F.col("t_us")))
+        frame.write.parquet(f"{tmp_path}/{name}")
+        opened[name] = lambda name=name, frame=frame: spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/{name}")
+    # Without closing rows the bucket stays open: its 60 matches hold no more states than there are lanes.
+    assert run(spark, tmp_path, st.decision_frames(opened["events"](), opened["frames"](), 90, 10_000, "1 second")).count() == 0
+    held = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "rows").load()
+    assert held.count() == 120 and held.select("key").distinct().count() <= 16
+    for name, like in opened.items():
+        st.closing_row(spark.read.parquet(f"{tmp_path}/{name}")).write.mode("append").parquet(f"{tmp_path}/{name}")
+    rows = run(spark, tmp_path, st.decision_frames(opened["events"](), opened["frames"](), 90, 10_000, "1 second")).collect()
+    expected = {f"e{m}": (f"m{m}", m % 2, 400 + 2 * m if 10 <= m else None) for m in range(60)}
+    assert {r["event_id"]: (r["match_id"], r["period"], r["frame_clock"]) for r in rows} == expected
+
+
 def test_neighbours_across_buckets(spark, tmp_path, stream_of):
     clocks = [10, 90, 100, 130, 400, 410]
     frames = stream_of("frames", "match_id string, period int, frame long, t_us long", [("m", 1, i, t) for i, t in enumerate(clocks)])

@@ -35,12 +35,17 @@ def closing_row(like: DataFrame, ts: str = "ts") -> DataFrame:
     return like.sparkSession.range(1).select(*fields)
 
 
+# Lanes of a time bucket: the matches of a bucket share this many states, whatever their number.
+BUCKET_LANES = 16
+
+
 class TimeBucket(StatefulProcessor):
-    """Holds the rows of one (match, period, time bucket) until no more can come, then resolves them.
+    """Holds the rows of one lane of a time bucket until no more can come, then resolves them.
 
-    A timer at ``close_ms`` fires once the watermark has passed; ``resolve`` gets all rows by clock,
-    and the state is emptied. A busy match spreads over its buckets, and a bucket's state is never
-    older than the bucket, its reach and the watermark's delay.
+    A timer at ``close_ms`` fires once the watermark has passed; ``resolve`` gets all rows by clock, with
+    a number for each match and period, and the state is emptied. Matches share lanes, as a state and a timer for each of
+    them cost more than its few rows; a busy match spreads over its buckets. A lane's state is never older than
+    the bucket, its reach and the watermark's delay.
     """
 
     def __init__(self, columns: list[str], schema: T.StructType, resolve: Callable[[pd.DataFrame], pd.DataFrame]):
@@ -55,26 +60,26 @@ class TimeBucket(StatefulProcessor):
         if not self.rows.exists():
             self.handle.registerTimer(int(batch["close_ms"].iloc[0]))
         # Whole numbers beside nulls reach pandas as floats, which a long of the state doesn't take.
-        whole = [int if isinstance(f.dataType, T.LongType) else str for f in self.schema]
-        self.rows.appendList(
-            [tuple(None if pd.isna(v) else kind(v) for kind, v in zip(whole, row)) for row in batch[self.columns].itertuples(index=False)]
-        )
+        held = []
+        for field in self.schema:
+            kind = str if isinstance(field.dataType, T.StringType) else int
+            column = batch[field.name]
+            held.append([None if gone else kind(v) for v, gone in zip(column.tolist(), column.isna().tolist())])
+        self.rows.appendList(list(zip(*held)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = pd.DataFrame(list(self.rows.get()), columns=self.columns).sort_values("t_us", kind="stable")
+        rows = pd.DataFrame(list(self.rows.get()), columns=self.columns).sort_values("t_us", kind="stable", ignore_index=True)
         self.rows.clear()
-        found = self.resolve(rows)
-        found.insert(0, "match_id", key[0])
-        found.insert(1, "period", key[1])
-        yield found
+        rows.insert(0, "group", rows.groupby(["match_id", "period"], dropna=False).ngroup())
+        yield self.resolve(rows)
 
     def close(self) -> None:
         pass
 
 
-BUCKET_ROWS = "t_us long, side string, event_id string, frame long"
-BUCKET_COLUMNS = ["t_us", "side", "event_id", "frame"]
+BUCKET_ROWS = "match_id string, period int, t_us long, side string, event_id string, frame long"
+BUCKET_COLUMNS = ["match_id", "period", "t_us", "side", "event_id", "frame"]
 
 
 def watermarked(stream: DataFrame, delay: str) -> DataFrame:
@@ -104,7 +109,8 @@ def _by_bucket(asked: DataFrame, frames: DataFrame, delay: str, width_us: int, b
 def _in_buckets(rows: DataFrame, output: str, resolve: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     schema = fields(f"match_id string, period int, {output}")
     processor = TimeBucket(BUCKET_COLUMNS, fields(BUCKET_ROWS), resolve)
-    return rows.groupBy("match_id", "period", "bucket").transformWithStateInPandas(
+    lane = F.pmod(F.xxhash64("match_id", "period"), F.lit(BUCKET_LANES))
+    return rows.withColumn("lane", lane).groupBy("bucket", "lane").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
@@ -120,18 +126,17 @@ def decision_frames(events: DataFrame, frames: DataFrame, tolerance_us: int, wid
 
     def resolve(rows: pd.DataFrame) -> pd.DataFrame:
         seen, asked = rows[rows["side"] == "frame"], rows[rows["side"] == "asked"]
-        clocks = seen["t_us"].to_numpy(np.int64)
-        at = np.searchsorted(clocks, asked["t_us"].to_numpy(np.int64), "left") - 1
-        near = np.maximum(at, 0)
-        aligned = (at >= 0) & (len(clocks) > 0)
-        if len(clocks):
-            aligned &= asked["t_us"].to_numpy(np.int64) - clocks[near] <= tolerance_us
-        pick = lambda column: pd.array([seen[column].iloc[i] if ok else None for i, ok in zip(near, aligned)], "Int64")
+        frames = pd.DataFrame({"group": seen["group"], "t_us": seen["t_us"].astype("int64"), "at": np.arange(len(seen))})
+        wanted = pd.DataFrame({"group": asked["group"], "t_us": asked["t_us"].astype("int64")})
+        found = pd.merge_asof(wanted, frames, on="t_us", by="group", allow_exact_matches=False, tolerance=tolerance_us)
+        at = found["at"].fillna(-1).to_numpy(np.int64)
+        pick = lambda column: pd.array([seen[column].iloc[i] if i >= 0 else None for i in at], "Int64")
         return pd.DataFrame(
             {
+                "match_id": asked["match_id"].to_numpy(), "period": asked["period"].to_numpy(),
                 "event_id": asked["event_id"].to_numpy(), "t_us": asked["t_us"].to_numpy(np.int64),
                 "frame": pick("frame"), "frame_clock": pick("t_us"),
-                "status": np.where(aligned, "aligned", "invalid_decision_frame"),
+                "status": np.where(at >= 0, "aligned", "invalid_decision_frame"),
             }
         )
 
@@ -148,16 +153,22 @@ def neighbour_frames(centres: DataFrame, frames: DataFrame, positions: int, reac
     """
 
     def resolve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("group", kind="stable")
         seen, asked = rows[rows["side"] == "frame"], rows[rows["side"] == "asked"]
-        clocks, numbers = seen["t_us"].to_numpy(np.int64), seen["frame"].to_numpy(np.int64)
-        found = []
-        for event, centre, frame in zip(asked["event_id"], asked["t_us"], asked["frame"]):
-            begin, end = np.searchsorted(clocks, centre, "left"), np.searchsorted(clocks, centre, "right")
-            own = next((i for i in range(begin, end) if numbers[i] == frame), None)
-            if own is not None:
-                around = range(max(0, own - positions), min(len(clocks), own + positions + 1))
-                found += [(event, numbers[i], i - own) for i in around if abs(clocks[i] - centre) <= reach_us]
-        return pd.DataFrame(found, columns=["event_id", "frame", "step"])
+        group, clocks, numbers = (seen[c].to_numpy(np.int64) for c in ("group", "t_us", "frame"))
+        own = seen.assign(at=np.arange(len(seen))).drop_duplicates(["group", "t_us", "frame"])
+        centres = asked.merge(own[["group", "t_us", "frame", "at"]], on=["group", "t_us", "frame"])
+        at = np.repeat(centres["at"].to_numpy(np.int64), 2 * positions + 1)
+        step = np.tile(np.arange(-positions, positions + 1), len(centres))
+        which = np.repeat(np.arange(len(centres)), 2 * positions + 1)
+        inside = (at + step >= 0) & (at + step < len(seen))
+        at, step, which = at[inside], step[inside], which[inside]
+        near = (group[at + step] == group[at]) & (np.abs(clocks[at + step] - clocks[at]) <= reach_us)
+        at, step, which = at[near], step[near], which[near]
+        taken = centres.iloc[which]
+        return pd.DataFrame(
+            {"match_id": taken["match_id"].to_numpy(), "period": taken["period"].to_numpy(), "event_id": taken["event_id"].to_numpy(), "frame": numbers[at + step], "step": step}
+        )
 
     # A frame between two of a centre's neighbours is itself within reach, so steps counted in the bucket are the whole order's.
     rows = _by_bucket(centres, frames, delay, width_us, reach_us, reach_us)
