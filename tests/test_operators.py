@@ -418,6 +418,20 @@ def test_canonical_states_are_written_small_and_unshuffled(spark, tmp_path):
     assert files.geometry_states(spark, str(tmp_path / "states")).count() == stored.count()
 
 
+def test_tie_positions_of_a_matrix_are_those_of_tie_blocks(spark):
+    import numpy as np
+
+    from touchline.operators import sampled
+    from touchline.plans.ties import tie_blocks
+
+    rng = random.Random(6)
+    columns = [sorted(rng.choice((0.0, 1.0, 2.0)) + rng.randrange(6) * 4e-13 for _ in range(7)) for _ in range(40)]
+    first, last = sampled.tie_positions(np.array(columns).T)
+    rows = [(g, d, v) for g, column in enumerate(columns) for d, v in enumerate(column)]
+    found = tie_blocks(spark.createDataFrame(rows, "g long, d long, v double"), ["g"], "v", order=["d"]).collect()
+    assert {(r["g"], r["d"]): (r["first"], r["last"]) for r in found} == {(g, d): (first[d, g], last[d, g]) for g, d, _ in rows}
+
+
 def test_quantiles_know_steps_of_any_size(spark):
     rows = [("a", 1.0, 0.5 - 5e-10), ("a", 2.0, 0.5 + 5e-10), ("b", 1.0, 0.5 - 5e-14), ("b", 2.0, 0.5), ("c", 1.0, 0.5), ("c", 2.0, 0.5)]
     rows += [("d", float(i), 1.0) for i in range(1000)] + [("e", 1.0, 0.0), ("e", 2.0, 0.0)]

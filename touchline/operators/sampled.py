@@ -163,7 +163,7 @@ def per_edge(rows: DataFrame, output: str, compute: Callable[[Edges], tuple[np.n
     keys = rows.select(*EDGE_KEYS).schema
     parts = [part.split() for part in output.split(", ")]
     names = [name for name, _ in parts]
-    kinds = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[k] for _, k in parts]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}[k] for _, k in parts]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", " + output
 
     def run(batches):
@@ -177,6 +177,57 @@ def per_edge(rows: DataFrame, output: str, compute: Callable[[Edges], tuple[np.n
     return rows.mapInArrow(run, schema)
 
 
+def tie_positions(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last position (1-based) of the tie block of every value down sorted columns; blocks are anchored at their first value."""
+    first, last = np.ones(values.shape, dtype=np.int64), np.full(values.shape, len(values), dtype=np.int64)
+    anchor = values[0]
+    for at in range(1, len(values)):
+        opens = values[at] - anchor > TIE
+        anchor = np.where(opens, values[at], anchor)
+        first[at] = np.where(opens, at + 1, first[at - 1])
+    for at in range(len(values) - 2, -1, -1):
+        last[at] = np.where(first[at + 1] == at + 2, at + 1, last[at + 1])
+    return first, last
+
+
+def owner_study(rows: DataFrame, field: str | Field, tops: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """Endpoint field per edge beside the defenders nearest to it: who owns its maximum, and what share of it the nearest hold."""
+    function = FIELDS[field] if isinstance(field, str) else field
+
+    def compute(edges: Edges):
+        count = len(edges.cx)
+        vx, vy = edges.rx - edges.cx, edges.ry - edges.cy
+        square = vx * vx + vy * vy
+        with np.errstate(divide="ignore", invalid="ignore"):
+            along = ((edges.px - edges.cx) * vx + (edges.py - edges.cy) * vy) / square
+        t = np.where(square <= LENGTH_GUARD * LENGTH_GUARD, 0.0, np.clip(along, 0.0, 1.0))
+        apart = lambda x, y: np.sqrt((edges.px - x) ** 2 + (edges.py - y) ** 2)
+        distance = apart(edges.cx + t * vx, edges.cy + t * vy)
+        values = function(edges.cx, edges.cy, edges.px, edges.py, edges.rx, edges.ry)
+        union, maximum = with_combined(values)[-2:]
+        owners = (maximum - values <= TIE) & (values > 0)
+        order = np.argsort(distance, axis=0, kind="stable")
+        first, last = tie_positions(np.take_along_axis(distance, order, 0))
+        ranked, own = np.take_along_axis(values, order, 0), np.take_along_axis(owners, order, 0)
+        near, total = first == 1, values.sum(0)
+        shares = []
+        for k in tops:
+            inside = np.maximum(0, np.minimum(last, k) - first + 1) / (last - first + 1)
+            shares.append(pa.array((ranked * inside).sum(0) / np.where(total > 0, total, 1.0), mask=~(total > 0)))
+        held = owners.T
+        offsets = np.append(0, np.cumsum(held.sum(1))).astype(np.int32)
+        listed = pa.ListArray.from_arrays(offsets, np.nonzero(held)[1].astype(np.int32))
+        columns = [
+            union + 0.0, maximum, apart(edges.rx, edges.ry).min(0), owners.any(0).astype(float),
+            (own & near).sum(0), (own | near).sum(0), listed, *shares,
+        ]
+        return np.arange(count), columns
+
+    shares = "".join(f", segment_top{k}_strength_fraction double" for k in tops)
+    output = f"union double, maximum double, rd double, field_owner_available double, both long, any long, owners array<int>{shares}"
+    return per_edge(rows, output, compute, points_a_metre=0.0)
+
+
 def summaries(rows: DataFrame, field: str | Field, spacings: Sequence[float], agreement: float) -> DataFrame:
     """Endpoint and segment field per edge; where the spacings disagree, the component and both its values."""
     function = FIELDS[field] if isinstance(field, str) else field

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from touchline.operators.evaluation import correlation
 from touchline.operators.options import KEYS, receiver_pairs
-from touchline.plans.ordered import MACRO, match_macro_summary, weighted_summary
+from touchline.plans.ordered import MACRO, counted_summary, match_macro_summary, weight_units
 from touchline.plans.sizing import counted_side
+from touchline.session import cut_lineage
 
 
 def pair_means(pairs: DataFrame, value: str) -> DataFrame:
@@ -59,9 +60,14 @@ def metric_tables(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     1 / represented matches / represented states of its match.
     """
     keys = list(keys)
-    per_state = values.where(F.col("value").isNotNull()).groupBy(*keys, *KEYS).agg(F.count("value").alias("n"))
-    per_match = per_state.groupBy(*keys, "match_id").agg(
-        F.count(F.lit(1)).alias("states"), F.sum("n").alias("items")
+    state = Window.partitionBy(*keys, *KEYS)
+    # The items are read several times; their state's count is found once.
+    held = cut_lineage(
+        values.where(F.col("value").isNotNull()).select(*keys, "match_id", "value", F.count(F.lit(1)).over(state).alias("n"))
+    )
+    # A state of n items has n rows with this n.
+    per_match = held.groupBy(*keys, "match_id", "n").agg(F.count(F.lit(1)).alias("rows")).groupBy(*keys, "match_id").agg(
+        F.sum(F.expr("rows div n")).alias("states"), F.sum("rows").alias("items")
     )
     represented = per_match.groupBy(*keys).agg(F.count(F.lit(1)).alias("matches"))
     weights = counted_side(
@@ -69,23 +75,21 @@ def metric_tables(values: DataFrame, keys: Sequence[str]) -> DataFrame:
             *keys, "match_id", (1.0 / F.col("matches") / F.col("states")).alias("each")
         )
     )
-    state = Window.partitionBy(*keys, *KEYS)
-    rows = (
-        values.where(F.col("value").isNotNull())
-        .withColumn("own", 1.0 / F.count(F.lit(1)).over(state))
-        .join(weights, [*keys, "match_id"])
+    # Weights depend on the match and the state's count alone: they are put on few lines, not on the items.
+    lines = counted_side(
+        held.groupBy(*keys, "match_id", "n").agg(F.count(F.lit(1)).alias("_items")).join(weights, [*keys, "match_id"])
         .select(
-            *keys,
-            "value",
+            *keys, "match_id", "n",
             F.inline(
                 F.array(
-                    F.struct(F.col("match_id").alias("alias"), F.col("own").alias("weight")),
-                    F.struct(F.lit(MACRO).alias("alias"), (F.col("own") * F.col("each")).alias("weight")),
+                    F.struct(F.col("match_id").alias("alias"), (1.0 / F.col("n")).alias("_w")),
+                    F.struct(F.lit(MACRO).alias("alias"), (1.0 / F.col("n") * F.col("each")).alias("_w")),
                 )
             ),
         )
+        .withColumn("_units", weight_units(F.col("_w"), F.max("_w").over(Window.partitionBy(*keys, "alias"))))
     )
-    return weighted_summary(rows, [*keys, "alias"], "value", "weight")
+    return counted_summary(held, lines, [*keys, "match_id", "n"], [*keys, "alias"], "value")
 
 
 def order_category(x, y):
