@@ -58,7 +58,7 @@ LANGUAGES = 32_000
 # Up to this many ids go to every executor; above, documents and ids meet in a shuffle.
 BROADCAST_IDS = 2_000_000
 SHARD_BYTES = 16 << 20
-SLICES = 4
+SLICES = 3
 # Tokens and documents of a batch, trigrams that a task holds while counting.
 BATCH_TOKENS = 1_500_000
 BATCH_DOCS = 4_000
@@ -188,13 +188,16 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 
 def packed_keys(keys: np.ndarray, *arrays: np.ndarray) -> bytes:
-    """Sorted keys as steps of all but the last token, and last tokens."""
-    return packed(np.diff(keys >> 16, prepend=0).astype("<u8"), (keys & 0xFFFF).astype("<u2"), *arrays)
+    """Sorted keys as the first and the steps of all but the last token, and last tokens."""
+    above = keys >> 16
+    steps = np.diff(above, prepend=above[:1])
+    # Steps inside a model take 32 bits.
+    return packed(above[:1], steps.astype("<u8" if len(steps) and steps.max() >> 32 else "<u4"), (keys & 0xFFFF).astype("<u2"), *arrays)
 
 
 def unpacked_keys(data: bytes) -> list[np.ndarray]:
-    steps, last, *arrays = unpacked(data)
-    return [np.cumsum(steps.astype(np.int64)) << 16 | last, *arrays]
+    first, steps, last, *arrays = unpacked(data)
+    return [np.cumsum(steps, dtype=np.int64) + (first[0] if len(first) else 0) << 16 | last, *arrays]
 
 
 def keys_of(model: int, tokens: np.ndarray) -> np.ndarray:
@@ -209,10 +212,12 @@ def without_left(keys: np.ndarray) -> np.ndarray:
 
 def sums(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     """Distinct keys, sorted, and the sums of columns."""
-    order = np.argsort(keys, kind="stable")
+    if not len(keys) or (keys[1:] > keys[:-1]).all():
+        return [keys, *(column.astype(np.int64) for column in columns)]
+    order = np.argsort(keys)
     keys = keys[order]
-    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    return [keys[firsts], *(np.add.reduceat(column[order].astype(np.int64), firsts) if len(keys) else column for column in columns)]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return [keys[firsts], *(np.add.reduceat(column[order].astype(np.int64), firsts) for column in columns)]
 
 
 def variants(n0: np.ndarray, n1: np.ndarray) -> list[np.ndarray]:
@@ -246,7 +251,7 @@ class Shards:
 
 def dealt(shards: np.ndarray):
     """(shard, places in order) for every shard met."""
-    order = np.argsort(shards.astype(np.int32), kind="stable")
+    order = np.argsort(shards.astype(np.uint16 if shards.max(initial=0) < 1 << 16 else np.int32), kind="stable")
     cuts = np.flatnonzero(np.diff(shards[order])) + 1
     for places in np.split(order, cuts):
         if len(places):
@@ -269,9 +274,14 @@ def _counted(held):
 
         def emptied():
             by_half = [np.concatenate(part) if part else np.zeros(0, dtype=np.int64) for part in found]
-            keys = np.concatenate(by_half)
-            ones = np.concatenate([np.ones(len(by_half[0]), dtype=np.int64), np.zeros(len(by_half[1]), dtype=np.int64)])
-            keys, n0, n1 = sums(keys, ones, 1 - ones)
+            # Keys have 63 bits, so the half goes behind them.
+            both = np.concatenate([part.astype(np.uint64) << np.uint64(1) | np.uint64(half) for half, part in enumerate(by_half)])
+            both.sort()
+            keys, of_half = (both >> np.uint64(1)).astype(np.int64), (both & np.uint64(1)).astype(np.int64)
+            firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n1 = np.add.reduceat(of_half, firsts)
+            n0 = np.diff(np.append(firsts, len(keys))) - n1
+            keys = keys[firsts]
             for part in found:
                 part.clear()
             return record(
@@ -394,16 +404,19 @@ class ShardModel:
     def place(self, models: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.names, models)
 
-    def costs(self, keys: np.ndarray, v: int) -> np.ndarray:
-        """Negative log probabilities of trigrams by variant ``v``."""
-        found = self.unigrams[v][self.place(keys >> 48), keys & 0xFFFF].astype(np.float64)
+    def costs(self, keys: np.ndarray, wanted: list[np.ndarray]):
+        """Negative log probabilities of the trigrams at the ``wanted`` places, variant by variant."""
+        met = []
         for table, of_trigram, context_of, by_variant in self.orders:
-            own, contexts, rest = by_variant[v]
-            at, known = found_at(contexts, context_of(keys))
-            found *= np.where(known, rest[at], 1.0)
-            at, known = found_at(table, of_trigram(keys))
-            found += np.where(known, own[at], 0.0)
-        return -np.log(found)
+            met.append((*found_at(by_variant[0][1], context_of(keys)), *found_at(table, of_trigram(keys)), by_variant))
+        models, last = self.place(keys >> 48), keys & 0xFFFF
+        for v, places in enumerate(wanted):
+            found = self.unigrams[v][models[places], last[places]].astype(np.float64)
+            for above, above_known, at, known, by_variant in met:
+                own, _, rest = by_variant[v]
+                found *= np.where(above_known[places], rest[above[places]], 1.0)
+                found += np.where(known[places], own[at[places]], 0.0)
+            yield places, -np.log(found)
 
 
 def _requests(held):
@@ -427,7 +440,7 @@ def _requests(held):
             if size:
                 docs = np.repeat(np.arange(len(found)), [len(found[i]) for i in by_half])
                 keys = np.concatenate([found[i] for i in by_half])
-                order = np.argsort(keys, kind="stable")
+                order = np.argsort(keys)
                 keys, docs = keys[order], docs[order]
                 firsts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])]))
                 times = np.diff(np.append(firsts, len(keys)))
@@ -470,11 +483,10 @@ def _answers(held):
                     continue
                 model = model or ShardModel(tables[TRIGRAMS], tables[BIGRAMS], held.value)
                 keys, docs, times, halves = unpacked_keys(data)
-                out = [np.bincount(docs, weights=model.costs(keys, 0) * times, minlength=len(halves)), np.zeros(len(halves))]
-                for half in (1, 2):
-                    at = np.flatnonzero(halves[docs] == half)
-                    if len(at):
-                        out[1] += np.bincount(docs[at], weights=model.costs(keys[at], half) * times[at], minlength=len(halves))
+                of = halves[docs]
+                wanted = [np.arange(len(keys)), np.flatnonzero(of == 1), np.flatnonzero(of == 2)]
+                whole, *crossed = (np.bincount(docs[at], weights=cost * times[at], minlength=len(halves)) for at, cost in model.costs(keys, wanted))
+                out = (whole, sum(crossed))
                 met = np.unique(docs)
                 yield record([(shard, REQUESTS, batch, packed(met.astype("<u2"), *(column[met].astype("<f4") for column in out)))])
 

@@ -10,6 +10,8 @@ A word's first piece begins with a space; texts that differ by more than white s
 from __future__ import annotations
 
 from collections import Counter
+from itertools import compress, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ PIECE = 4
 # Longer words are always spelled.
 LONGEST_WORD = 40
 # Spelled words that a task remembers, and words that it counts before it hands them on.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 # A word equal to the one before; no word is a space.
 REPEATED = " "
 
@@ -33,9 +35,13 @@ REPEATED = " "
 def parts(text: str | None, training: bool = False) -> list[str]:
     """Words, with REPEATED for a repeated one. In training, a run of equal words counts as one
     repetition, as a few texts with endless runs among the trusted ones would make repetition likely."""
-    words = (text or "").split()
-    found = [REPEATED if word == before else word for before, word in zip([None, *words], words)]
-    if training and REPEATED in found:
+    found = (text or "").split()
+    repeated = list(map(eq, found, islice(found, 1, None)))
+    if True not in repeated:
+        return found
+    for at in compress(range(1, len(found)), repeated):
+        found[at] = REPEATED
+    if training:
         found = [part for before, part in zip([None, *found], found) if not before == part == REPEATED]
     return found
 
@@ -45,8 +51,10 @@ class Subwords(dict):
 
     def __init__(self, words: list[str], pieces: list[str]):
         super().__init__()
-        self.words, self.pieces = words, {piece: self.coded(FIRST + len(words) + i) for i, piece in enumerate(pieces)}
         self.size = FIRST + len(words) + len(pieces)
+        coded = np.arange(FIRST, self.size).astype("<u2").tobytes()
+        coded = [coded[at : at + 2] for at in range(0, len(coded), 2)]
+        self.words, self.pieces = dict(zip(words, coded)), dict(zip(pieces, zip(coded[len(words) :], map(len, pieces))))
         self.refill()
 
     @staticmethod
@@ -55,21 +63,21 @@ class Subwords(dict):
 
     def refill(self):
         self.clear()
-        self.update({word: self.coded(FIRST + i) for i, word in enumerate(self.words)})
+        self.update(self.words)
         self[REPEATED] = self.coded(REPEAT)
 
     def __missing__(self, word: str) -> bytes:
-        rest, found, at = f" {word}", [], 0
-        while at < len(rest):
-            for length in range(PIECE, 0, -1):
-                piece = self.pieces.get(rest[at : at + length])
-                if piece is not None and at + length <= len(rest):
-                    found.append(piece)
-                    at += length
-                    break
-            else:
-                found.append(self.coded(*rest[at].encode("utf-8", "surrogatepass")))
+        rest, found, at, get = f" {word}", [], 0, self.pieces.get
+        end = len(rest)
+        while at < end:
+            # At the end slices are shorter than they ask for.
+            piece = get(rest[at : at + 4]) or get(rest[at : at + 3]) or get(rest[at : at + 2]) or get(rest[at])
+            if piece is None:
+                found.append(self.coded(*rest[at].encode("utf-8")))
                 at += 1
+            else:
+                found.append(piece[0])
+                at += piece[1]
         if len(self) > REMEMBERED:
             self.refill()
         tokens = b"".join(found)
@@ -110,15 +118,18 @@ def _summed(counts_of):
 
 
 def _words(held: Counter, text: str | None):
-    # Lone surrogates can't be a string of Arrow; such words are spelled.
-    held.update(part for part in parts(text, True) if part != REPEATED and not any("\ud800" <= char <= "\udfff" for char in part))
+    held.update(parts(text, True))
+    held.pop(REPEATED, None)
 
 
 def _pieces(held: Counter, word: str, n: int):
     rest = f" {word}"
-    for length in range(1, PIECE + 1):
-        for at in range(len(rest) - length + 1):
-            held[rest[at : at + length]] += n
+    found = [rest[at : at + length] for length in range(1, PIECE + 1) for at in range(len(rest) - length + 1)]
+    if n == 1:
+        held.update(found)
+        return
+    for piece in found:
+        held[piece] += n
 
 
 def vocabulary(texts: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
