@@ -62,6 +62,7 @@ SLICES = 3
 # Tokens and documents of a batch, trigrams that a task holds while counting.
 BATCH_TOKENS = 1_500_000
 BATCH_DOCS = 4_000
+DOC_BITS = 12
 COUNTED = 4_000_000
 QUANTILE = 0.997
 PRIOR_SYMBOLS = 60
@@ -386,11 +387,9 @@ class ShardModel:
         self.names, by_order, self.unigrams = lower
         empty = np.zeros(0, dtype=np.int64)
         keys, n0, n1 = (np.concatenate(c) for c in zip(*map(unpacked_keys, trigrams))) if trigrams else (empty,) * 3
-        inside = np.isin(keys >> 48, self.names)
-        three, n0, n1 = sums(keys[inside], n0[inside], n1[inside])
+        three, n0, n1 = self.inside(48, keys, n0, n1)
         keys, *types = (np.concatenate(c) for c in zip(*map(unpacked_keys, bigrams))) if bigrams else (empty,) * 4
-        inside = np.isin(keys >> 32, self.names)
-        two, *types = sums(keys[inside], *(column[inside] for column in types))
+        two, *types = self.inside(32, keys, *types)
         # By order, the lower one first: keys, how a trigram's key and context are found, and what each variant leaves.
         self.orders = []
         for keys, of_trigram, context_of, by_variant, columns, bits in (
@@ -401,10 +400,15 @@ class ShardModel:
                 found = [discounted(column, keys >> 16, taken, self.place(keys >> bits)) for column, taken in zip(columns, by_variant)]
                 self.orders.append((keys, of_trigram, context_of, found))
 
+    def inside(self, bits: int, keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+        """Sums over the keys of the models at hand."""
+        found = np.isin(keys >> bits, self.names)
+        return sums(keys, *columns) if found.all() else sums(keys[found], *(column[found] for column in columns))
+
     def place(self, models: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.names, models)
 
-    def costs(self, keys: np.ndarray, wanted: list[np.ndarray]):
+    def costs(self, keys: np.ndarray, wanted: list[np.ndarray | slice]):
         """Negative log probabilities of the trigrams at the ``wanted`` places, variant by variant."""
         met = []
         for table, of_trigram, context_of, by_variant in self.orders:
@@ -438,15 +442,22 @@ def _requests(held):
             own = first + number
             out = [(own % shards.n, DOCUMENTS, own, packed(*whole))]
             if size:
-                docs = np.repeat(np.arange(len(found)), [len(found[i]) for i in by_half])
-                keys = np.concatenate([found[i] for i in by_half])
-                order = np.argsort(keys)
-                keys, docs = keys[order], docs[order]
-                firsts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])]))
-                times = np.diff(np.append(firsts, len(keys)))
-                keys, docs = keys[firsts], docs[firsts]
+                # Tokens and the document's place share 64 bits, so each model's are sorted as plain numbers.
+                by_model: dict[int, list[np.ndarray]] = {}
+                for place, i in enumerate(by_half):
+                    by_model.setdefault(documents[i][1], []).append(found[i] << DOC_BITS | place)
+                columns = []
+                for model in sorted(by_model):
+                    both = np.concatenate(by_model[model])
+                    both.sort()
+                    firsts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, dtype=np.int64)
+                    times = np.diff(np.append(firsts, len(both)))
+                    both = both[firsts]
+                    columns.append((both >> DOC_BITS | model << 48, both & (1 << DOC_BITS) - 1, times))
+                keys, docs, times = (np.concatenate(column) for column in zip(*columns))
+                times = times.astype("<u4" if times.max() > 255 else "u1")
                 for shard, at in dealt(shards.of(keys)):
-                    out.append((shard, REQUESTS, own, packed_keys(keys[at], docs[at].astype("<u2"), times[at].astype("<u4"), halves)))
+                    out.append((shard, REQUESTS, own, packed_keys(keys[at], docs[at].astype("<u2"), times[at], halves)))
             documents.clear()
             found.clear()
             return record(out)
@@ -454,7 +465,7 @@ def _requests(held):
         for batch in batches:
             for row_key, model, half, text in zip(*(batch.column(name).to_pylist() for name in ("row_key", "model", "half", "text"))):
                 tokens, n = subwords.tokens(text)
-                keys = keys_of(model, tokens) if n else np.zeros(0, dtype=np.int64)
+                keys = keys_of(0, tokens) if n else np.zeros(0, dtype=np.int64)
                 documents.append((row_key, model, half + 1, n))
                 found.append(keys)
                 size += len(keys)
@@ -484,7 +495,7 @@ def _answers(held):
                 model = model or ShardModel(tables[TRIGRAMS], tables[BIGRAMS], held.value)
                 keys, docs, times, halves = unpacked_keys(data)
                 of = halves[docs]
-                wanted = [np.arange(len(keys)), np.flatnonzero(of == 1), np.flatnonzero(of == 2)]
+                wanted = [slice(None), np.flatnonzero(of == 1), np.flatnonzero(of == 2)]
                 whole, *crossed = (np.bincount(docs[at], weights=cost * times[at], minlength=len(halves)) for at, cost in model.costs(keys, wanted))
                 out = (whole, sum(crossed))
                 met = np.unique(docs)
