@@ -254,6 +254,23 @@ def test_ladder_tells_a_recorder_its_open_edges(spark):
     assert seen == [(8, 2), (16, 1), (32, 1)]
 
 
+def test_ladder_takes_all_fields_in_one_pass(spark):
+    from touchline.operators import sampled as sm
+
+    defenders, ends = [(4.0, 1.0), (8.0, -2.0), (-3.0, 0.5)], [("a", 14.0, 1.0), ("b", 3.0, -4.0), ("c", 0.0, 0.0), ("d", -9.0, 2.0)]
+    rows = sm.edge_rows(state(spark, ends, defenders))
+    together = {}
+    for r in sm.ladder(rows, tuple(sm.FIELDS), FIELD_COUNTS, 1e-4).collect():
+        together.setdefault(r["field"], {})[r["ord"], r["component"]] = (r["average"], r["intervals"])
+    for kind, plain in sm.FIELDS.items():
+        # A field given as a function is evaluated point by point, without the short cut of the named ones.
+        slow = sm.ladder(rows, lambda *a, plain=plain: plain(*a), FIELD_COUNTS, 1e-4).collect()
+        assert len(slow) == len(together[kind]) == 20
+        for r in slow:
+            average, intervals = together[kind][r["ord"], r["component"]]
+            assert average == pytest.approx(r["average"], abs=1e-12) and intervals == r["intervals"]
+
+
 def test_model_validation(spark):
     m0 = DEMO_MODELS["m0"]
     faults = [m0[:2], [m0[1]._replace(ord=0), *m0[1:]], [m0[0]._replace(scale=0.0), *m0[1:]], [*m0[:2], m0[2]._replace(coef=float("inf"))]]

@@ -83,6 +83,35 @@ class Shadow:
         onset = np.minimum(np.maximum(behind, 0.0), 1.0)
         return onset * onset * (3.0 - 2.0 * onset) * np.exp(-0.5 * lateral * lateral)
 
+    def along(self, ax, ay, vx, vy, t) -> tuple[np.ndarray, np.ndarray]:
+        """The edges that reach behind their defender, and the strengths at the fractions ``t`` of each of them.
+
+        ``a`` leads from the origin to the defender, ``v`` along the edge, so distances behind and beside it are linear in ``t``.
+        """
+        radius = np.sqrt(ax * ax + ay * ay)
+        slope = (vx * ax + vy * ay) / radius
+        reached = np.nonzero(slope > radius)[0]
+        radius, slope = radius[reached], slope[reached]
+        cross = (vx[reached] * ay[reached] - vy[reached] * ax[reached]) / radius
+        onset = np.multiply.outer(slope, t)
+        onset -= radius[:, None]
+        np.maximum(onset, 0.0, out=onset)
+        if self.tangent:
+            values = np.multiply.outer(cross, t)
+            values /= onset * self.tangent + FIELD_SIGMA
+            values *= values
+            values *= -0.5
+        else:
+            values = np.multiply.outer(-0.5 * np.square(cross / FIELD_SIGMA), t * t)
+        np.exp(values, out=values)
+        np.minimum(onset, 1.0, out=onset)
+        values *= onset
+        values *= onset
+        onset *= -2.0
+        onset += 3.0
+        values *= onset
+        return reached, values
+
     def __call__(self, ox, oy, dx, dy, qx, qy) -> np.ndarray:
         return self.behind(dx, dy, *self.directions(ox, oy, dx, dy), qx, qy)
 
@@ -169,10 +198,11 @@ def per_edge(rows: DataFrame, output: str, compute: Callable[[Edges], tuple[np.n
     def run(batches):
         for batch in batches:
             for numbers, edges in _slices(batch, points_a_metre):
-                edge, columns = compute(edges)
-                again = pa.array(numbers[edge])
-                own = [batch.column(name).take(again) for name in EDGE_KEYS]
-                yield pa.RecordBatch.from_arrays([*own, *[c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]], [*EDGE_KEYS, *names])
+                found = compute(edges)
+                for edge, columns in [found] if isinstance(found, tuple) else found:
+                    again = pa.array(numbers[edge])
+                    own = [batch.column(name).take(again) for name in EDGE_KEYS]
+                    yield pa.RecordBatch.from_arrays([*own, *[c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]], [*EDGE_KEYS, *names])
 
     return rows.mapInArrow(run, schema)
 
@@ -282,54 +312,102 @@ def individual_averages(rows: DataFrame, field: str | Field, spacings: Sequence[
     return per_edge(rows, "d int, coarse double, fine double", compute)
 
 
-def ladder(rows: DataFrame, field: str | Field, counts: Sequence[int], limit: float, combined: bool = True) -> DataFrame:
+def _sums(edges: Edges, function: Field, t: np.ndarray, combined: bool) -> np.ndarray:
+    """The sums of all components over the same fractions ``t`` of every edge (components x edges).
+
+    The points of an edge are a row of a matrix, one defender at a time, so nothing is gathered point by point; a shadow
+    is evaluated only on the edges that reach behind its defender, as it is zero on all others.
+    """
+    count, defenders = len(edges.cx), edges.defenders
+    sums = np.zeros((defenders + 2 * combined, count))
+    at_once = max(1, CELLS // (2 * len(t)))
+    vx, vy = edges.rx - edges.cx, edges.ry - edges.cy
+    for start in range(0, count, at_once):
+        part = slice(start, start + at_once)
+        union, highest = (np.zeros((len(vx[part]), len(t))) for _ in range(2)) if combined else (None, None)
+        for d in range(defenders):
+            ax, ay = edges.px[d, part] - edges.cx[part], edges.py[d, part] - edges.cy[part]
+            if isinstance(function, Shadow):
+                reached, values = function.along(ax, ay, vx[part], vy[part], t)
+            elif function is isotropic:
+                reached, values = slice(None), _isotropic_along(ax, ay, vx[part], vy[part], t)
+            else:
+                own = [c[part, None] for c in (edges.cx, edges.cy, edges.px[d], edges.py[d])]
+                reached, values = slice(None), function(*own, own[0] + t * vx[part, None], own[1] + t * vy[part, None])
+            sums[d, part][reached] = values.sum(1)
+            if combined:
+                highest[reached] = np.maximum(highest[reached], values)
+                before = union[reached]
+                values *= 1.0 - before
+                union[reached] = before + values
+        if combined:
+            sums[-2, part], sums[-1, part] = union.sum(1), highest.sum(1)
+    return sums
+
+
+def _isotropic_along(ax, ay, vx, vy, t) -> np.ndarray:
+    """``isotropic`` at fractions of edges, by the distance from the foot of the defender's perpendicular and its length."""
+    length = np.sqrt(vx * vx + vy * vy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        foot, apart = (np.where(length > 0, part / length, other) for part, other in ((ax * vx + ay * vy, 0.0), (ax * vy - ay * vx, np.hypot(ax, ay))))
+    scale = math.sqrt(0.5) / FIELD_SIGMA
+    values = np.multiply.outer(length * scale, t)
+    values -= (foot * scale)[:, None]
+    values *= values
+    values += np.square(apart * scale)[:, None]
+    np.negative(values, out=values)
+    return np.exp(values, out=values)
+
+
+def _climb(edges: Edges, function: Field, counts: Sequence[int], limit: float, combined: bool):
+    """Averages (components x edges), intervals, last change and whether an edge settled, climbing ``counts``."""
+    count = len(edges.cx)
+    everyone, own = np.arange(count), edges
+    ends = _sums(edges, function, np.array([0.0, 1.0]), combined)
+    first = counts[0]
+    odd = _sums(edges, function, np.arange(1, first, 2) / first, combined)
+    even = _sums(edges, function, np.arange(2, first, 2) / first, combined)
+    average = (ends + 4 * odd + 2 * even) / (3 * first)
+    used, change, still = np.full(count, first), np.full(count, np.nan), everyone
+    settled = np.zeros(count, bool)
+    for n in counts[1:]:
+        even = even + odd
+        odd = _sums(own, function, np.arange(1, n, 2) / n, combined)
+        finer = (ends + 4 * odd + 2 * even) / (3 * n)
+        change[still] = np.abs(finer - average[:, still]).max(0)
+        average[:, still], used[still] = finer, n
+        settled[still] = change[still] <= limit
+        goes = np.nonzero(~settled[still])[0]
+        if not len(goes):
+            break
+        still, own = still[goes], own.some(goes)
+        ends, odd, even = ends[:, goes], odd[:, goes], even[:, goes]
+    return average, used, change, settled
+
+
+def ladder(rows: DataFrame, field: str | Field | Sequence[str], counts: Sequence[int], limit: float, combined: bool = True) -> DataFrame:
     """(EDGE_KEYS, component, average, intervals, change): intervals doubled until all components move by at most ``limit``.
 
     Components are the defenders by number and, with ``combined``, union and maximum. A level keeps the sums of the
     points before and evaluates only the new ones between them, and only for the edges that are still open. An edge open
-    after the last level has null intervals.
+    after the last level has null intervals. Several named fields share one pass; each row then has its ``field``.
     """
-    function = FIELDS[field] if isinstance(field, str) else field
-    fold = with_combined if combined else (lambda values: values)
-
-    def inner_sum(edges: Edges, which: np.ndarray, steps: np.ndarray, n: int) -> np.ndarray:
-        """The sum of the values at some steps of n, for some edges, a bounded part at a time."""
-        sums = []
-        at_once = max(1, CELLS // (len(steps) * edges.defenders))
-        for start in range(0, len(which), at_once):
-            part = which[start : start + at_once]
-            values = fold(edges.at(np.repeat(part, len(steps)), np.tile(steps / n, len(part)), function))
-            sums.append(values.reshape(-1, len(part), len(steps)).sum(2))
-        return np.concatenate(sums, 1)
+    several = not isinstance(field, str) and not callable(field)
+    functions = {name: FIELDS[name] if isinstance(name, str) else name for name in (field if several else [field])}
 
     def compute(edges: Edges):
         count, defenders = len(edges.cx), edges.defenders
-        everyone, width = np.arange(count), defenders + 2 * combined
-        ends = fold(edges.at(everyone, np.zeros(count), function)) + fold(edges.at(everyone, np.ones(count), function))
-        first = counts[0]
-        odd = inner_sum(edges, everyone, np.arange(1, first, 2), first)
-        even = inner_sum(edges, everyone, np.arange(2, first, 2), first)
-        average = (ends + 4 * odd + 2 * even) / (3 * first)
-        used, change, still = np.full(count, first), np.full(count, np.nan), everyone
-        settled = np.zeros(count, bool)
-        for n in counts[1:]:
-            even[:, still] += odd[:, still]
-            odd[:, still] = inner_sum(edges, still, np.arange(1, n, 2), n)
-            finer = (ends[:, still] + 4 * odd[:, still] + 2 * even[:, still]) / (3 * n)
-            change[still] = np.abs(finer - average[:, still]).max(0)
-            average[:, still], used[still] = finer, n
-            settled[still] = change[still] <= limit
-            still = still[~settled[still]]
-            if not len(still):
-                break
-        names = [*map(str, range(defenders)), *(["union", "maximum"] if combined else [])]
-        each = np.repeat(everyone, width)
-        return each, [
-            np.tile(np.array(names, object), count), average.T.ravel(),
-            pa.array(used[each].astype(np.int32), mask=~settled[each]), change[each],
-        ]
-
-    return per_edge(rows, "component string, average double, intervals int, change double", compute, counts[0] / 10.0)
+        width = defenders + 2 * combined
+        each = np.repeat(np.arange(count), width)
+        names = pa.array([*map(str, range(defenders)), *(["union", "maximum"] if combined else [])], pa.string())
+        component = names.take(pa.array(np.tile(np.arange(width), count)))
+        for name, function in functions.items():
+            average, used, change, settled = _climb(edges, function, counts, limit, combined)
+            columns = [component, average.T.ravel(), pa.array(used[each].astype(np.int32), mask=~settled[each]), change[each]]
+            yield each, [*([pa.repeat(name, len(each))] if several else []), *columns]
+
+    output = "component string, average double, intervals int, change double"
+    return per_edge(rows, "field string, " * several + output, compute, 0.0)
 
 
 def split_averages(rows: DataFrame, field: str | Field, spacing: float) -> DataFrame:
