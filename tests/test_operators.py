@@ -271,6 +271,16 @@ def test_ladder_takes_all_fields_in_one_pass(spark):
             assert average == pytest.approx(r["average"], abs=1e-12) and intervals == r["intervals"]
 
 
+def test_recorded_levels_are_counted_without_components(spark):
+    from touchline.operators import sampled as sm
+
+    rows = sm.edge_rows(state(spark, [("a", 12.0, 1.0), ("b", 0.0, 0.0)], [(5.0, 1.0), (8.0, -2.0)]))
+    seen = {(r["field"], r["intervals"]): r["open_edges"] for r in sm.open_edges(rows, tuple(sm.FIELDS), (8, 16, 32), 1e-7).collect()}
+    assert [seen["isotropic", n] for n in (8, 16, 32)] == [2, 1, 1] and len(seen) == 9
+    none = sm.open_edges(rows.limit(0), ["isotropic"], (8, 16), 1e-7).collect()
+    assert sorted((r["intervals"], r["open_edges"]) for r in none) == [(8, 0), (16, 0)]
+
+
 def test_model_validation(spark):
     m0 = DEMO_MODELS["m0"]
     faults = [m0[:2], [m0[1]._replace(ord=0), *m0[1:]], [m0[0]._replace(scale=0.0), *m0[1:]], [*m0[:2], m0[2]._replace(coef=float("inf"))]]

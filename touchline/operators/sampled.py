@@ -410,6 +410,25 @@ def ladder(rows: DataFrame, field: str | Field | Sequence[str], counts: Sequence
     return per_edge(rows, "field string, " * several + output, compute, 0.0)
 
 
+def open_edges(rows: DataFrame, fields: Sequence[str], counts: Sequence[int], limit: float) -> DataFrame:
+    """(field, intervals, open_edges): how many edges of each field are open after each level of their ladder.
+
+    A task gives back one row per field and level for a slice of edges, no component of any edge.
+    """
+
+    def compute(edges: Edges):
+        for name in fields:
+            _, used, _, settled = _climb(edges, FIELDS[name], counts, limit, True)
+            still = [(~settled | (used > n)).sum() for n in counts]
+            yield np.zeros(len(counts), int), [pa.repeat(name, len(counts)), np.array(counts, np.int32), np.array(still, np.int64)]
+
+    output = "field string, intervals int, open_edges long"
+    found = per_edge(rows, output, compute, 0.0).select("field", "intervals", "open_edges")
+    # Every level has a row, also where there is no edge at all.
+    levels = rows.sparkSession.createDataFrame([(name, n, 0) for name in fields for n in counts], output)
+    return found.unionByName(levels).groupBy("field", "intervals").agg(F.sum("open_edges").alias("open_edges"))
+
+
 def split_averages(rows: DataFrame, field: str | Field, spacing: float) -> DataFrame:
     """(EDGE_KEYS, average, evaluations): the maximum's segment average, piece by piece between onset breakpoints.
 
