@@ -557,3 +557,97 @@ def test_tie_blocks_sort_once(spark):
     assert [tuple(r) for r in found.orderBy("position").select("block", "first", "last").collect()] == [
         (0, 1, 2), (0, 1, 2), (1, 3, 4), (1, 3, 4), (2, 5, 5), (3, 6, 7), (3, 6, 7), (4, 8, 9), (4, 8, 9), (5, 10, 10),
     ]
+
+
+def odd_states(spark):
+    """States with ties, an edge without length, a lone edge, no defender, no candidate, a target that is no candidate and none at all."""
+    kinds = [
+        ([(6.0, 1.0), (0.0, 0.0), (9.0, -4.0)], [(3.0, 1.0), (3.0, 1.0), (7.0, -3.0)], 0),
+        ([(6.0, 1.0), (6.0, 1.0)], [(2.0, 2.0), (2.0, -2.0)], 1),
+        ([(12.0, 2.0), (-5.0, 3.0), (4.0, 9.0), (8.0, -8.0)], [(5.0, 1.0), (1.0, 4.0), (-2.0, 3.0), (9.0, 9.0)], 9),
+        ([(4.0, 4.0)], [(2.0, 1.0)], 0),
+        ([(4.0, 4.0)], [], 0),
+        ([], [(2.0, 1.0)], 0),
+        ([(4.0, 4.0), (5.0, 1.0)], [(2.0, 1.0)], None),
+    ]
+    rows = [
+        ("m", str(k), k, target, (0.0, 0.0), [(chr(122 - i), *p) for i, p in enumerate(candidates)], defenders)
+        for k, (candidates, defenders, target) in enumerate(kinds)
+    ]
+    return spark.createDataFrame(rows, STATE), kinds
+
+
+def plain_blocks(values):
+    """First and last position of the tie block of every value."""
+    order = sorted(range(len(values)), key=lambda i: values[i])
+    blocks = []
+    for i in order:
+        if not blocks or values[i] - values[blocks[-1][0]] > 1e-12:
+            blocks.append([])
+        blocks[-1].append(i)
+    found, at = {}, 1
+    for block in blocks:
+        found |= {i: (at, at + len(block) - 1) for i in block}
+        at += len(block)
+    return [found[i] for i in range(len(values))]
+
+
+def plain_edges(candidates, defenders):
+    """Distances of every edge to all defenders, to receiver and segment."""
+    rows = []
+    for x, y in candidates:
+        square = x * x + y * y
+        t = [0.0 if square <= 1e-18 else min(1.0, max(0.0, (p * x + q * y) / square)) for p, q in defenders]
+        rows.append(([math.hypot(p - x, q - y) for p, q in defenders], [math.hypot(p - f * x, q - f * y) for (p, q), f in zip(defenders, t)]))
+    return rows
+
+
+def plain_utility(model, edge, candidate):
+    receiver, segment = edge
+    values = {
+        "distance": math.hypot(*candidate), "longitudinal_displacement": candidate[0], "lateral_displacement": candidate[1],
+        "nearest_receiver_defender_distance": min(receiver), "minimum_segment_defender_distance": min(segment),
+        "summed_segment_attenuation": sum(math.exp(-v / 5) for v in segment),
+    }
+    return sum((values[r.feature] - r.mean) / r.scale * r.coef for r in model)
+
+
+def steps_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_state_metrics_come_from_the_record_alone(spark):
+    df, kinds = odd_states(spark)
+    metrics = rel.state_metrics(df, DEMO_MODELS["m1"])
+    assert not any(step in steps_of(metrics) for step in ("Exchange", "Sort", "Window", "Join"))
+    found = {r["ordinal"]: r for r in metrics.collect()}
+    assert sorted(found) == [0, 1, 2, 3, 6]
+    for k, row in found.items():
+        candidates, defenders, _ = kinds[k]
+        edges = plain_edges(candidates, defenders)
+        u = [plain_utility(DEMO_MODELS["m1"], e, c) for e, c in zip(edges, candidates)]
+        share = [math.exp(x - max(u)) / sum(math.exp(y - max(u)) for y in u) for x in u]
+        near, ranks = {}, [plain_blocks(segment) for _, segment in edges]
+        for i, kind in enumerate(("receiver", "segment")):
+            near[kind] = [{d for d, (first, _) in enumerate(plain_blocks(e[i])) if first == 1} for e in edges]
+            held = [sum(d in s for s in near[kind]) for d in range(len(defenders))]
+            assert row[f"max_{kind}_nearest_edges"] == max(held) and row[f"any_{kind}_multi_edge"] == float(max(held) >= 2)
+            assert row[f"{kind}_unique_nearest_defenders"] == sum(n > 0 for n in held)
+            assert row[f"{kind}_unique_nearest_edges"] == pytest.approx(sum(len(s) == 1 for s in near[kind]) / len(edges))
+            assert row[f"{kind}_distance_mean"] == pytest.approx(sum(sum(e[i]) for e in edges) / len(edges) / len(defenders))
+        both = list(zip(near["receiver"], near["segment"]))
+        assert row["nearest_intersects"] == pytest.approx(sum(bool(a & b) for a, b in both) / len(edges))
+        assert row["nearest_equal"] == pytest.approx(sum(a == b for a, b in both) / len(edges))
+        assert row["same_unique_nearest"] == pytest.approx(sum(a == b and len(a) == 1 for a, b in both) / len(edges))
+        assert (row["edges"], row["defenders"]) == (len(edges), len(defenders))
+        for n in (2, 3):
+            gaps = [sorted(e[1])[n - 1] - min(e[1]) for e in edges] if len(defenders) >= n else []
+            assert row[f"segment_d{n}_d1"] == (pytest.approx(sum(gaps) / len(gaps)) if gaps else None)
+        for n in (1, 2, 3):
+            inside = [[max(0, min(last, n) - first + 1) / (last - first + 1) for first, last in r] for r in ranks]
+            sides = range(len(defenders))
+            assert row[f"max_segment_top{n}_edge_share"] == pytest.approx(max(sum(e[d] for e in inside) / len(edges) for d in sides))
+            assert row[f"max_segment_top{n}_m1_weighted"] == pytest.approx(max(sum(w * e[d] for w, e in zip(share, inside)) for d in sides))
+            sets = [{d for d, (first, _) in enumerate(r) if first <= n} for r in ranks]
+            pairs = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :]]
+            assert row[f"segment_top{n}_pair_jaccard"] == (pytest.approx(sum(pairs) / len(pairs)) if pairs else None)

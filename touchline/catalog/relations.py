@@ -20,7 +20,7 @@ from touchline.functions.scalars import rounded
 from touchline.operators import options as op
 from touchline.operators import relations as rel
 from touchline.plans.ordered import match_macro_summary
-from touchline.sources.testtables import states
+from touchline.sources.testtables import states, stored_states
 
 
 def relations(spark, sf_dir):
@@ -355,9 +355,7 @@ def _(spark, sf_dir):
 
 
 def wide_metrics(spark, sf_dir):
-    population = states(spark, sf_dir)
-    shares = op.score(op.utility_rows(op.edge_features(population), [M1]))
-    return rel.state_metrics(population, shares)
+    return rel.state_metrics(stored_states(spark, sf_dir), M1)
 
 
 @query(

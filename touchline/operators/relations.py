@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from touchline.functions.ranking import fractional_membership
 from touchline.operators.options import EDGE_KEYS, KEYS, relation_rows
+from touchline.operators.statewise import involvement_metrics
 from touchline.plans.ties import tie_blocks
-from touchline.session import cut_lineage
+from touchline.sources.models import Model
 
 KINDS = ("receiver", "segment")
 TOPS = (1, 2, 3)
@@ -141,51 +142,6 @@ STATE_METRICS = (
 )
 
 
-def state_metrics(states: DataFrame, shares: DataFrame) -> DataFrame:
-    """One wide row per state; joins of co-partitioned per-state aggregates.
-
-    Six aggregates read the ranked relation, so it is written once.
-    """
-    relations = cut_lineage(defender_relations(states))
-    as_number = lambda c: F.avg(F.col(c).cast("double")).alias(c)
-    overlap = edge_overlap(relations).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("edges"),
-        as_number("nearest_intersects"),
-        as_number("nearest_equal"),
-        as_number("same_unique_nearest"),
-        *[
-            F.avg((F.col(f"{kind}_nearest_count") == 1).cast("double")).alias(
-                f"{kind}_unique_nearest_edges"
-            )
-            for kind in KINDS
-        ],
-        F.avg("segment_d2_d1").alias("segment_d2_d1"),
-        F.avg("segment_d3_d1").alias("segment_d3_d1"),
-    )
-    involvement = defender_involvement(relations, shares).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("defenders"),
-        *[
-            F.max((F.col(f"{kind}_nearest_edges") >= 2).cast("double")).alias(f"any_{kind}_multi_edge")
-            for kind in KINDS
-        ],
-        *[F.max(f"{kind}_nearest_edges").alias(f"max_{kind}_nearest_edges") for kind in KINDS],
-        *[
-            F.max(f"segment_top{k}_{tail}").alias(f"max_segment_top{k}_{tail}")
-            for tail in ("edge_share", "m1_weighted")
-            for k in TOPS
-        ],
-    )
-    pairs = pair_jaccard(relations).groupBy(*KEYS).agg(
-        *[F.avg(f"top{k}_jaccard").alias(f"segment_top{k}_pair_jaccard") for k in TOPS]
-    )
-    distances = relations.groupBy(*KEYS).agg(
-        *[F.avg(f"{kind}_distance").alias(f"{kind}_distance_mean") for kind in KINDS]
-    )
-    keys = list(KEYS)
-    return (
-        overlap.join(involvement, keys)
-        .join(distinct_nearest(relations), keys)
-        .join(distances, keys)
-        .join(pairs, keys, "left")
-        .select(*KEYS, *STATE_METRICS)
-    )
+def state_metrics(states: DataFrame, model: Model) -> DataFrame:
+    """One wide row per state with an edge, from its own record; ``model`` gives the shares that weigh involvement."""
+    return involvement_metrics(states, model, STATE_METRICS, TOPS)
