@@ -651,3 +651,16 @@ def test_state_metrics_come_from_the_record_alone(spark):
             sets = [{d for d, (first, _) in enumerate(r) if first <= n} for r in ranks]
             pairs = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :]]
             assert row[f"segment_top{n}_pair_jaccard"] == (pytest.approx(sum(pairs) / len(pairs)) if pairs else None)
+
+
+def test_match_macro_metrics_write_no_wide_rows(spark, monkeypatch):
+    import __spark_entry__ as driver
+    from touchline import session
+    from touchline.plans import sizing
+
+    written = []
+    cut = session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    monkeypatch.setattr(sizing, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    driver.queries()["agg22_match_macro_metrics"](spark, "/root/testdata/sf0.001").collect()
+    assert written and not any("edges" in columns or "ord" in columns for columns in written)

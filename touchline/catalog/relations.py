@@ -373,11 +373,8 @@ def wide_metrics(spark, sf_dir):
     + f"SELECT metric, alias, represented_matches, count, {ROUNDED_STATS} FROM macro_rows",
 )
 def _(spark, sf_dir):
-    from touchline.session import cut_lineage
-
-    # The wide rows feed two passes; they are written once instead of joined twice.
-    wide = cut_lineage(wide_metrics(spark, sf_dir).select("match_id", *rel.STATE_METRICS))
-    long = op.long_metrics(wide, rel.STATE_METRICS, [])
+    # The wide rows feed two passes; computing them again costs less than writing them down.
+    long = op.long_metrics(wide_metrics(spark, sf_dir), rel.STATE_METRICS, [])
     summary = match_macro_summary(long, ["metric"], "match_id", "value")
     return summary.select(
         "metric", "alias", "represented_matches", "count", *[rounded(F.col(c)).alias(c) for c in STAT_COLUMNS]
