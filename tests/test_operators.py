@@ -664,3 +664,66 @@ def test_match_macro_metrics_write_no_wide_rows(spark, monkeypatch):
     monkeypatch.setattr(sizing, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
     driver.queries()["agg22_match_macro_metrics"](spark, "/root/testdata/sf0.001").collect()
     assert written and not any("edges" in columns or "ord" in columns for columns in written)
+
+
+def test_diagnosis_comes_from_the_record_alone(spark):
+    df, kinds = odd_states(spark)
+    models = [DEMO_MODELS[m] for m in ("m0", "m1", "m2")]
+    rows = dg.diagnose(df, models, "population")
+    assert not any(step in steps_of(rows) for step in ("Exchange", "Sort", "Window", "Join"))
+    found = {r["ordinal"]: r for r in rows.collect()}
+    assert sorted(found) == [0, 1, 2, 3]
+    sign = lambda x: (x > 0) - (x < 0)
+    for k, row in found.items():
+        candidates, defenders, target = kinds[k]
+        edges, ids = plain_edges(candidates, defenders), [chr(122 - i) for i in range(len(candidates))]
+        blocks = [plain_blocks([-plain_utility(m, e, c) for e, c in zip(edges, candidates)]) for m in models]
+        known = target < len(candidates)
+        rank = [sum(b[target]) / 2 if known else None for b in blocks]
+        assert [row["m1_delta"], row["m2_delta"]] == ([rank[1] - rank[0], rank[2] - rank[1]] if known else [None, None])
+        for i, b in enumerate(blocks):
+            assert row[f"m{i}_top"] == ",".join(sorted(ids[j] for j, (first, _) in enumerate(b) if first == 1))
+        mass = [sum(math.exp(-v / 5) for v in s) - math.exp(-min(s) / 5) for _, s in edges]
+        assert row["nonnearest_mass"] == pytest.approx(sum(mass) / len(mass))
+        assert row["target_id"] == (ids[target] if known else None)
+        if known:
+            x, y = candidates[target]
+            assert [row[c] for c in ("distance", "longitudinal", "absolute_lateral")] == pytest.approx([math.hypot(x, y), x, abs(y)])
+            assert [row["receiver_distance"], row["segment_distance"]] == pytest.approx([min(side) for side in edges[target]])
+            assert row["attenuation"] == pytest.approx(sum(math.exp(-v / 5) for v in edges[target][1]))
+        else:
+            assert all(row[c] is None for c in [*dg.STRATUM_VALUES, "direction"])
+        pairs = [(a, b) for a in range(len(edges)) for b in range(a + 1, len(edges))]
+        if not pairs:
+            assert all(row[c] is None for c in ("eligible_pairs", "discordant_pairs", "disagreement_fraction", "pairs", "changed_fraction"))
+            continue
+        gaps = [[min(edges[a][i]) - min(edges[b][i]) for i in (0, 1)] for a, b in pairs]
+        eligible = [g for g in gaps if abs(g[0]) > 1e-12 and abs(g[1]) > 1e-12]
+        discordant = sum((r > 0) != (s > 0) for r, s in eligible)
+        moves = [(sign(blocks[1][a][0] - blocks[1][b][0]), sign(blocks[2][a][0] - blocks[2][b][0])) for a, b in pairs]
+        assert (row["eligible_pairs"], row["discordant_pairs"], row["pairs"]) == (len(eligible), discordant, len(pairs))
+        assert row["disagreement_fraction"] == (pytest.approx(discordant / len(eligible)) if eligible else None)
+        assert row["unchanged"] == sum(x == y for x, y in moves) and row["strict_reversal"] == sum(x * y < 0 for x, y in moves)
+        assert row["tie_created"] == sum(x != 0 and y == 0 for x, y in moves) and row["tie_removed"] == sum(x == 0 and y != 0 for x, y in moves)
+    assert found[0]["direction"] == "forward"
+
+
+def test_cases_are_found_behind_a_match_that_is_full(spark):
+    rows = [(f"k{i:03d}", i, "crowd") for i in range(3 * dg.CASES_AT_ONCE)] + [("x1", 1001, "a"), ("x2", 1002, "a"), ("x3", 1003, "b"), ("x0", 1004, "a")]
+    df = spark.createDataFrame(rows, "tie_key string, ordinal long, match_id string")
+    pools = [("first", F.lit(True), 4, [F.col("tie_key").alias("_k")]), ("second", F.lit(True), 5, [F.col("tie_key").alias("_k")])]
+    got = {(r["ordinal"], r["category"]) for r in dg.select_cases(df, pools).collect()}
+    assert got == {(0, "first"), (1, "first"), (1004, "first"), (1001, "first"), (1003, "second")}
+
+
+@pytest.mark.parametrize("name", ["top05_quota_case_selection"])
+def test_diagnosis_is_read_without_rows_per_edge_or_model(spark, monkeypatch, name):
+    import __spark_entry__ as driver
+    from touchline.plans import sizing
+
+    written = []
+    cut = dg.cut_lineage
+    for module in (dg, sizing):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: written.append(set(df.columns)) or cut(df))
+    driver.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert not any(columns & {"ordinal", "event_id"} for columns in written)

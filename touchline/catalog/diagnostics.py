@@ -104,8 +104,18 @@ def _(spark, sf_dir):
     return cuts.select("feature", at(0).alias("q25"), at(1).alias("q50"), at(2).alias("q75"))
 
 
+POPULATION = "population"
+
+
 def diagnosed(spark, sf_dir):
-    return cut_lineage(dg.diagnose(tt.states(spark, sf_dir), MODELS, "population"))
+    return dg.diagnose(tt.stored_states(spark, sf_dir), MODELS, POPULATION)
+
+
+def stored_cases(spark, sf_dir):
+    """What the pools ask of a state, written once for their turns; the long tie keys are derived again when it is read."""
+    columns = ("match_id", "ordinal", "m1_delta", "m2_delta", "m0_top", "m1_top", "m2_top", "target_id", "disagreement_fraction", "changed_fraction")
+    kept = tt._stored(spark, sf_dir, "cases", lambda *_: diagnosed(spark, sf_dir).select(*columns))
+    return dg.with_tie_key(kept, POPULATION)
 
 
 _DIAGNOSED = (
@@ -207,7 +217,7 @@ _COUNTS = ("states", *[f"{m}_{c}" for m in ("m1", "m2") for c in ("improved", "w
 )
 def _(spark, sf_dir):
     cuts = dg.stratum_cuts(cut_lineage(edges(spark, sf_dir)))
-    rows = dg.strata_table(diagnosed(spark, sf_dir), cuts)
+    rows = dg.strata_table(cut_lineage(diagnosed(spark, sf_dir)), cuts)
     return rows.withColumns({c: rounded(F.col(c)) for c in ("m1_mean_rank_change", "m2_mean_rank_change")})
 
 
@@ -267,7 +277,7 @@ pool{i} AS (SELECT k, match_id, '{category}' AS category, tie_key FROM (
     + """SELECT 'case_' || lpad(CAST(row_number() OVER (ORDER BY tie_key) AS VARCHAR), 2, '0') AS case_id, CAST(k AS BIGINT) AS ordinal, match_id, category, tie_key FROM picked""",
 )
 def _(spark, sf_dir):
-    return dg.select_cases(diagnosed(spark, sf_dir), dg.study_pools())
+    return dg.select_cases(stored_cases(spark, sf_dir), dg.study_pools())
 
 
 def scored_with_points(spark, sf_dir):
