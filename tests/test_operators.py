@@ -716,7 +716,7 @@ def test_cases_are_found_behind_a_match_that_is_full(spark):
     assert got == {(0, "first"), (1, "first"), (1004, "first"), (1001, "first"), (1003, "second")}
 
 
-@pytest.mark.parametrize("name", ["top05_quota_case_selection"])
+@pytest.mark.parametrize("name", ["top05_quota_case_selection", "agg42_strata_table"])
 def test_diagnosis_is_read_without_rows_per_edge_or_model(spark, monkeypatch, name):
     import __spark_entry__ as driver
     from touchline.plans import sizing

@@ -99,7 +99,7 @@ quartile AS (SELECT feature, min(v) FILTER ({reached_sql(0.25)}) AS a, min(v) FI
     + "SELECT feature, round(a, 6) + 0e0 AS q25, round(b, 6) + 0e0 AS q50, round(c, 6) + 0e0 AS q75 FROM quartile",
 )
 def _(spark, sf_dir):
-    cuts = dg.stratum_cuts(cut_lineage(edges(spark, sf_dir)))
+    cuts = dg.stratum_cuts(tt.stored_states(spark, sf_dir))
     at = lambda i: rounded(F.get("cuts", F.lit(i)))
     return cuts.select("feature", at(0).alias("q25"), at(1).alias("q50"), at(2).alias("q75"))
 
@@ -216,8 +216,8 @@ _COUNTS = ("states", *[f"{m}_{c}" for m in ("m1", "m2") for c in ("improved", "w
     FROM (SELECT * FROM aliases, cell) LEFT JOIN summed USING (alias, feature, bin)""",
 )
 def _(spark, sf_dir):
-    cuts = dg.stratum_cuts(cut_lineage(edges(spark, sf_dir)))
-    rows = dg.strata_table(cut_lineage(diagnosed(spark, sf_dir)), cuts)
+    cuts = dg.stratum_cuts(tt.stored_states(spark, sf_dir))
+    rows = dg.strata_table(diagnosed(spark, sf_dir), cuts)
     return rows.withColumns({c: rounded(F.col(c)) for c in ("m1_mean_rank_change", "m2_mean_rank_change")})
 
 
